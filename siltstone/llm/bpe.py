@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,53 +22,51 @@ class ReplayEncoder:
     before the rest, so that each word sees its lowest pair first, leftmost among equals.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, cache: int = 400_000):
+    def __init__(self, ranks_path: str, pattern: str, cache: int = 1_200_000):
         import regex
 
         with open(ranks_path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.tokens = {v: k for k, v in self.ranks.items()}
-        self.byte_ids = [self.ranks[bytes([i])] for i in range(256)]
-        self.find = regex.compile(pattern).findall
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        self._load(ranks, regex.compile(pattern).findall, cache)
+
+    def _load(self, ranks: dict[bytes, int], find, cache: int) -> None:
+        self.ranks, self.find, self.cache = ranks, find, cache
+        self.byte_ids = [ranks[bytes([i])] for i in range(256)]
+        self.table = np.empty(max(ranks.values()) + 1, dtype=object)
+        self.table[:] = b""
+        #: The rank of the merge of two tokens, by both ids; every way to cut a token into two tokens is a merge.
         self.pairs: dict[int, int] = {}
+        for token, rank in ranks.items():
+            self.table[rank] = token
+            for k in range(1, len(token)):
+                a, b = ranks.get(token[:k]), ranks.get(token[k:])
+                if a is not None and b is not None:
+                    self.pairs[a << 32 | b] = rank
         self.known: dict[str, bytes] = {}
-        self.cache = cache
-        self.table = np.array([self.tokens.get(i, b"") for i in range(max(self.tokens) + 1)], dtype=object)
-
-    def rank_of(self, a: int, b: int) -> int:
-        """The rank of the merge of tokens a and b, or -1."""
-        k = a << 32 | b
-        r = self.pairs.get(k)
-        if r is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            r = self.pairs[k] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
-        return r
 
     def replay(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(words)
         ids: list[int] = []
         starts: list[tuple[int, int, int]] = []
-        byte_ids, ranks, rank_of = self.byte_ids, self.ranks, self.rank_of
+        byte_ids, ranks, rank_of = self.byte_ids, self.ranks, self.pairs.get
+        index: defaultdict[int, list[int]] = defaultdict(list)
         for n, w in enumerate(words):
             whole = ranks.get(w)
             if whole is not None:  # the word is a token; as in every rank file, its merges lead there
                 out[n] = whole.to_bytes(4, "little")
-            else:
-                starts.append((n, len(ids), len(ids) + len(w)))
-                ids.extend([byte_ids[c] for c in w])
+                continue
+            own = [byte_ids[c] for c in w]
+            at = len(ids)
+            starts.append((n, at, at + len(w)))
+            ids += own
+            ids.append(-1)  # no pair crosses it
+            for i, (a, b) in enumerate(zip(own, own[1:]), at):
+                r = rank_of(a << 32 | b)
+                if r is not None:
+                    index[r].append(i)
         after = list(range(1, len(ids) + 1))
         before = list(range(-1, len(ids) - 1))
-        for _, a, b in starts:
-            before[a] = -1
-            after[b - 1] = -1
-        index: dict[int, list[int]] = {}
-        for _, a, b in starts:
-            for i in range(a, b - 1):
-                r = rank_of(ids[i], ids[i + 1])
-                if r >= 0:
-                    index.setdefault(r, []).append(i)
         heap = list(index)
         heapq.heapify(heap)
         while heap:
@@ -76,34 +76,37 @@ class ReplayEncoder:
                 continue
             at.sort()
             for done, i in enumerate(at):
-                j = after[i]
-                if ids[i] < 0 or j < 0 or rank_of(ids[i], ids[j]) != rank:
-                    continue
-                ids[i], ids[j] = rank, -1
+                a, j = ids[i], after[i]
+                if a < 0 or rank_of(a << 32 | ids[j]) != rank:
+                    continue  # a neighbour has been merged meanwhile
+                ids[i], ids[j] = rank, -2
                 k = after[i] = after[j]
-                lower = False
-                if k >= 0:
-                    before[k] = i
-                    r = rank_of(rank, ids[k])
-                    if r >= 0:
-                        index.setdefault(r, []).append(i)
+                before[k] = i
+                lowest = rank + 1
+                r = rank_of(rank << 32 | ids[k])
+                if r is not None:
+                    if r not in index:
                         heapq.heappush(heap, r)
-                        lower = r <= rank
+                    index[r].append(i)
+                    lowest = r
                 h = before[i]
-                if h >= 0:
-                    r = rank_of(ids[h], rank)
-                    if r >= 0:
-                        index.setdefault(r, []).append(h)
-                        heapq.heappush(heap, r)
-                        lower = lower or r <= rank
-                if lower and done + 1 < len(at):
-                    index.setdefault(rank, []).extend(at[done + 1 :])
-                    heapq.heappush(heap, rank)
+                if h >= 0 and ids[h] >= 0:
+                    r = rank_of(ids[h] << 32 | rank)
+                    if r is not None:
+                        if r not in index:
+                            heapq.heappush(heap, r)
+                        index[r].append(h)
+                        lowest = min(lowest, r)
+                if lowest <= rank and done + 1 < len(at):
+                    if rank not in index:
+                        heapq.heappush(heap, rank)
+                    index[rank] += at[done + 1 :]
                     break
         flat = np.array(ids, dtype=np.int64)
-        for n, a, b in starts:
-            x = flat[a:b]
-            out[n] = x[x >= 0].astype("<u4").tobytes()
+        kept = np.flatnonzero(flat >= 0)
+        raw, place = flat[kept].astype("<u4").tobytes(), np.searchsorted(kept, [x for _, a, b in starts for x in (a, b)]).tolist()
+        for (n, _, _), a, b in zip(starts, place[::2], place[1::2]):
+            out[n] = raw[4 * a : 4 * b]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -112,14 +115,21 @@ class ReplayEncoder:
         if len(known) > self.cache:
             known.clear()
         new = list({w for ws in split for w in ws if w not in known})
-        known.update(zip(new, self.replay([w.encode() for w in new])))
+        for a in range(0, len(new), 2048):  # sets that fit the processor's cache
+            known.update(zip(new[a : a + 2048], self.replay([w.encode() for w in new[a : a + 2048]])))
         return [b"".join([known[w] for w in ws]) for ws in split]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(self.table[np.frombuffer(ids, dtype="<u4")].tolist())
 
 
-def batches_of(texts: Iterable[str], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+@lru_cache(2)
+def coder_of(ranks_path: str, pattern: str) -> ReplayEncoder:
+    """One for all tasks of a worker process."""
+    return ReplayEncoder(ranks_path, pattern)
+
+
+def batches_of(texts: Iterable[str], most: int = 8_000_000) -> Iterator[tuple[int, int]]:
     """(from, to) of runs of texts with about ``most`` characters, one text at least."""
     a = n = b = -1
     a, n = 0, 0
@@ -145,9 +155,8 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = None
+        coder = coder_of(ranks_path, pattern)
         for part in parts:
-            coder = coder or ReplayEncoder(ranks_path, pattern)
             texts = [t or "" for t in part.column(1).to_pylist()]
             for a, b in batches_of(texts):
                 ids = coder.encode(texts[a:b])

@@ -53,8 +53,7 @@ def test_lower_pair_created_by_a_merge_comes_first():
 
     coder = ReplayEncoder.__new__(ReplayEncoder)
     ranks = {bytes([i]): i for i in range(256)} | {b"abc": 300, b"bc": 310, b"xabc": 299, b"ca": 320}
-    coder.ranks, coder.tokens, coder.pairs, coder.known, coder.cache = ranks, {v: k for k, v in ranks.items()}, {}, {}, 10
-    coder.byte_ids, coder.find = list(range(256)), regex.compile(r"\w+").findall
+    coder._load(ranks, regex.compile(r"\w+").findall, 10)
     enc = tiktoken.Encoding("t", pat_str=r"\w+", mergeable_ranks=ranks, special_tokens={})
     for w in ("abcabc", "xabcxabc", "cabca", "abcaabcabc", "bcabcbc"):
         assert coder.encode([w])[0] == b"".join(i.to_bytes(4, "little") for i in enc.encode_ordinary(w)), w
