@@ -185,6 +185,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_simhash": op2_simhash,
@@ -196,5 +202,6 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_main_text": op9_main_text,
     "op10_quality": op10_quality,
+    "pipeline": pipeline,
 }
 ORACLES = {"op1_top_k": OP1_SQL, "op3_url_filter": OP3_SQL, "op4_warc": OP4_SQL, "op6_line_dedup": OP6_SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -120,10 +120,11 @@ class Forest:
             self.up[max(i, j)] = min(i, j)
 
 
-def link_buckets(bucket: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int, small: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def link_buckets(bucket: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int, small: int = 8, verify: Callable[[int, int], bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, root) of a spanning forest of the links within each bucket; ``bucket`` must be sorted.
 
-    side: 0 or 1 in tiles of two chunks, where only links across count; 2 where all count.
+    side: 0 or 1 in tiles of two chunks, where only links across count; 2 where all count. ``verify`` is asked about
+    pairs within the radius that are not connected yet.
     """
     n = len(bucket)
     forest = Forest(n)
@@ -137,7 +138,8 @@ def link_buckets(bucket: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: i
         i = np.repeat(at - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
         ok = close_pairs(fp[i], fp[i + off], radius) & ((side[i] == 2) | (side[i] != side[i + off]))
         for p in i[ok].tolist():
-            forest.join(p, p + off)
+            if verify is None or forest.root(p) != forest.root(p + off) and verify(p, p + off):
+                forest.join(p, p + off)
     for f, s in zip(first[sizes > small].tolist(), sizes[sizes > small].tolist()):
         mixed = side[f] != 2
         right = f + np.flatnonzero(side[f : f + s] == 1) if mixed else np.arange(f, f + s)
@@ -150,7 +152,8 @@ def link_buckets(bucket: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: i
             hit = close_matrix(fp[left[a : a + rows]], planes, len(right), radius)
             for p, row in zip(left[a : a + rows].tolist(), hit):
                 for q in right[np.flatnonzero(row)].tolist():
-                    forest.join(p, q)
+                    if verify is None or forest.root(p) != forest.root(q) and verify(p, q):
+                        forest.join(p, q)
     root = np.fromiter((forest.root(i) for i in range(n)), np.int64, n)
     moved = np.flatnonzero(root != np.arange(n))
     return moved, root[moved]
@@ -164,6 +167,18 @@ def tables_for(radius: int, blocks: int) -> list[list[int]]:
     return [sum(part[k] for k in c) for c in combinations(range(blocks), blocks - radius)]
 
 
+def tiles_of(keyed: DataFrame, tile: int) -> DataFrame:
+    """keyed (node, fp, bucket) -> (node, fp, tile BIGINT, side): buckets of two rows or more, the large ones in tiles.
+
+    A bucket of over ``tile`` rows is dealt into chunks by hash, and each pair of its chunks is a tile.
+    """
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    held = skew_join(keyed, sizes, ["bucket"]).withColumn("chunks", F.ceil(F.col("n") / tile))
+    held = held.withColumn("c", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")))
+    held = held.select("node", "fp", "bucket", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("o"))
+    return held.select("node", "fp", F.xxhash64("bucket", F.least("c", "o"), F.greatest("c", "o")).alias("tile"), F.when(F.col("c") == F.col("o"), 2).when(F.col("c") < F.col("o"), 0).otherwise(1).cast("byte").alias("side"))
+
+
 def link_classes(reps: DataFrame, radius: int, blocks: int | None = None, tile: int | None = None) -> DataFrame:
     """reps (node BIGINT, fp BIGINT, one row a fingerprint) -> (node, root) of nodes linked within ``radius`` bits.
 
@@ -180,40 +195,50 @@ def link_classes(reps: DataFrame, radius: int, blocks: int | None = None, tile:
             blocks += 1
     masks = tables_for(radius, blocks)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = reps.select("node", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "k")).withColumn("bucket", F.xxhash64("t", "k"))
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = skew_join(keyed.select("node", "fp", "bucket"), sizes, ["bucket"])
+    keyed = reps.select("node", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "k")).select("node", "fp", F.xxhash64("t", "k").alias("bucket"))
     if tile is None:
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        tile = min(65536, max(256, len(masks) * total // parts // 4))
-    chunks = F.ceil(F.col("n") / tile)
-    keyed = keyed.withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")))
-    tiled = keyed.select("node", "fp", "bucket", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("o"))
-    tiled = tiled.select("node", "fp", F.xxhash64("bucket", F.least("c", "o"), F.greatest("c", "o")).alias("tile"), F.when(F.col("c") == F.col("o"), 2).when(F.col("c") < F.col("o"), 0).otherwise(1).cast("byte").alias("side"))
+        tile = min(65536, max(256, len(masks) * total // int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
+    tiled = tiles_of(keyed, tile)
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
-        names = ["node", "fp", "tile", "side"]
+    return components(tiled.repartition("tile").sortWithinPartitions("tile").mapInArrow(tile_linker(radius, None), "u long, v long"))
 
-        def links(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            node, fp, key, side = (np.concatenate(c) for c in zip(*rows))
-            i, j = link_buckets(key, side, fp.view(np.uint64), radius)
-            return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["u", "v"])
 
-        for part in parts:  # sorted by tile: all but the last tile of what is held is complete
-            held.append(tuple(part.column(c).to_numpy(zero_copy_only=False) for c in names))
-            if held[-1][2][-1] != last and sum(len(h[0]) for h in held) >= 1 << 16:
+def similar(a: bytes, b: bytes, least: float) -> bool:
+    """Whether the Jaccard similarity of two sets, each a sorted array of 32-bit hashes, reaches ``least``; two empty sets are equal."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    if min(len(x), len(y)) < least * max(len(x), len(y)) - 1e-9:
+        return False
+    same = len(np.intersect1d(x, y, assume_unique=True))
+    return same >= least * (len(x) + len(y) - same) - 1e-9
+
+
+def tile_linker(radius: int, similarity: float | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links within tiles, for rows sorted by tile; with a similarity, pairs within the radius are verified by their sets."""
+    names = ["node", "fp", "tile", "side"] + ["sets"] * (similarity is not None)
+
+    def links(cols: list[np.ndarray]) -> pa.RecordBatch:
+        node, fp, key, side = cols[:4]
+        verify = (lambda p, q: similar(cols[4][p], cols[4][q], similarity)) if similarity is not None else None
+        i, j = link_buckets(key, side, fp.view(np.uint64), radius, verify=verify)
+        return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["u", "v"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for part in parts:
+            if not part.num_rows:
+                continue
+            held.append([part.column(c).to_numpy(zero_copy_only=False) for c in names])
+            size += part.nbytes
+            if size >= 4 << 20:  # all tiles but the last are complete
                 cols = [np.concatenate(c) for c in zip(*held)]
                 cut = int(np.searchsorted(cols[2], cols[2][-1]))
                 if cut:
-                    yield links([tuple(c[:cut] for c in cols)])
-                held = [tuple(c[cut:] for c in cols)]
-            last = held[-1][2][-1]
+                    yield links([c[:cut] for c in cols])
+                held, size = [[c[cut:] for c in cols]], 0
         if held:
-            yield links(held)
+            yield links([np.concatenate(c) for c in zip(*held)])
 
-    edges = tiled.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "u long, v long")
-    return components(edges)
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, blocks: int | None = None, tile: int | None = None) -> DataFrame:
@@ -232,3 +257,82 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = reps.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
     out = skew_join(fps, named, ["fp"])
     return out.withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 20, bands: int = 10, rows: int = 3, tile: int = 2048) -> DataFrame:
+    """(id, component: the smallest id reachable by links) for every id: groups of texts whose shingle sets are similar.
+
+    Two texts link if the Jaccard similarity of their word shingles is at least ``similarity``. At 0.8 their SimHash
+    fingerprints differ in about ten bits, too many for blocks of equal bits, so the blocks for the bit-sliced
+    comparison are texts that agree on ``rows`` minima of ``bands`` times as many hash functions: at a similarity of
+    0.8 all bands miss a pair once in a thousand, and less often above. Within a block, pairs within ``radius`` bits
+    (over three standard deviations beyond the mean at 0.8) are verified on their whole shingle sets.
+
+    Texts with equal sets are one class and never meet in a task. Blocks over ``tile`` texts are cut into tiles of
+    two chunks. Only texts in blocks of two or more are read a second time, for their sets.
+
+    Null and empty texts are equal to each other. Rows with a null id are left out; rows that repeat an id are one
+    document, whose groups are those of all its texts.
+    """
+    import xxhash
+
+    rng = np.random.default_rng(41)
+    mul, add = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
+
+    def hashes(text: str | None) -> np.ndarray:
+        sh = shingles_of(text, shingle)
+        return np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in sh), np.uint64, len(sh))
+
+    def simhash(h: np.ndarray) -> int:
+        if not len(h):
+            return 0
+        bits = np.zeros(64, np.int64)
+        for a in range(0, len(h), 1 << 16):
+            bits += np.unpackbits(h[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        return int(np.packbits(bits * 2 > len(h), bitorder="little").view("<i8")[0])
+
+    def sketch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            fps, same, keys = [], [], []
+            for t in part.column(1):
+                h = hashes(t.as_py())
+                own = np.unique(h)
+                fps.append(simhash(h))
+                same.append(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63))
+                low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+                for a in range(0, len(own), 4096):
+                    low = np.minimum(low, (own[None, a : a + 4096] * mul[:, None] + add[:, None]).min(axis=1))
+                keys.append([xxhash.xxh64_intdigest(low[b * rows : (b + 1) * rows].tobytes(), b) - (1 << 63) for b in range(bands)] if len(own) else [])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64()), pa.array(same, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "fp", "same", "keys"])
+
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sketches = written(texts.mapInArrow(sketch, "id long, fp long, same long, keys array<long>"), "sketch")
+    classes = written(sketches.groupBy("same").agg(F.min("id").alias("node"), F.min(F.struct("id", "fp", "keys")).alias("x")).select("same", "node", "x.fp", "x.keys"), "classes")
+    tiled = tiles_of(classes.select("node", "fp", F.explode("keys").alias("bucket")), tile)
+    places = written(tiled.groupBy("node").agg(F.collect_list(F.struct("tile", "side")).alias("at")), "places")
+
+    def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for n in range(part.num_rows):
+                h = hashes(part.column(1)[n].as_py())
+                own = np.unique((h >> np.uint64(32)).astype("<u4")).tobytes()
+                at = part.column(2)[n].as_py()
+                k = len(at)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0)[n].as_py()] * k, pa.int64()), pa.array([simhash(h)] * k, pa.int64()), pa.array([x["tile"] for x in at], pa.int64()), pa.array([x["side"] for x in at], pa.int8()), pa.array([own] * k, pa.binary())], names=["node", "fp", "tile", "side", "sets"])
+
+    again = texts.join(places.withColumnRenamed("node", "id"), "id").select("id", "text", "at")
+    held = again.mapInArrow(sets, "node long, fp long, tile long, side byte, sets binary")
+    edges = held.repartition("tile").sortWithinPartitions("tile").mapInArrow(tile_linker(radius, similarity), "u long, v long")
+    copies = skew_join(sketches.select("id", "same"), classes.select("same", "node"), ["same"]).select(F.col("id").alias("u"), F.col("node").alias("v")).where("u <> v")
+    roots = components(edges.unionByName(copies))
+    ids = sketches.select("id").distinct()
+    return ids.join(roots, ids["id"] == roots["node"], "left").select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("component"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with one document, that of the smallest id, of each group of ``near_copies``; rows with a null id stay.
+
+    The ids to drop are written first, so that Spark broadcasts them only if their measured size allows.
+    """
+    gone = written(near_copies(docs, id_col, text_col, **how).where(F.col("component") != F.col(id_col)).select(F.col(id_col).alias("__gone")), "gone")
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
