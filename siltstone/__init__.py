@@ -1,0 +1 @@
+"""Analytics for code-review data as DataFrame, SQL and Structured Streaming operators."""
