@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from siltstone.plans import ORACLES, QUERIES, code, pipeline, relational, textual  # noqa: F401  registers them
+from siltstone.plans import ORACLES, QUERIES, code, pipeline, relational, review, textual  # noqa: F401  registers them
 
 FLAGSHIP = QUERIES["f5_findings_filtered"]
