@@ -1,56 +1,18 @@
-"""What the operators of this subpackage share: the shared folder, written tables, key helpers, connected components."""
+"""What the operators of this subpackage share: written tables, key helpers, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from siltstone.checkpoints import forget, fresh_path, shared_dir, written  # noqa: F401  used by the operators
 
 #: White space of every contract here: [\x20\x09-\x0D]. ``bytes.split()`` splits at exactly these six.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset, a temporary folder is set for local masters only; on a cluster it is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    found = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` as a Parquet table in the shared folder: lineage ends here and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.written_path = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes a table of ``written`` that nothing reads any more."""
-    path = getattr(df, "written_path", None)
-    if path:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-
-
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
@@ -69,6 +31,13 @@ def skew_join(left: DataFrame, right: DataFrame, on: Iterable[str], how: str = "
     return left.join(right, cond, how).drop(*(f"__{s}{i}" for s in "lr" for i in range(len(on))))
 
 
+def join_small(df: DataFrame, small: DataFrame, left: str, right: str, how: str, most: int) -> DataFrame:
+    """A join with a written table that is broadcast only if it has at most ``most`` rows; beyond that, Spark decides."""
+    if small.count() <= most:
+        small = F.broadcast(small)
+    return df.join(small, df[left] == small[right], how)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(u, v) BIGINT links -> (node, root): each linked node's smallest reachable node.
 
