@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from siltstone.checkpoints import written
 from siltstone.functions.text import INVISIBLE, decoded_base64, grams, structure_tokens, token_estimate
 
 # Instruction-like phrases, their names and confidences.
@@ -156,10 +157,12 @@ def duplicate_logic(blocks: DataFrame, least: float = 0.8, min_lines: int = 4, m
     classes = ready.groupBy("key").agg(F.min("name").alias("rep"), F.max("changed").alias("changed"))
     copies = ready.join(classes.select("key", "rep"), "key").where("name <> rep").select(F.col("rep").alias("left"), F.col("name").alias("right"), F.lit(1.0).alias("similarity"))
     sets = ready.join(classes.select(F.col("rep").alias("name"), F.col("changed").alias("c")), "name").select("name", F.col("c").alias("changed"), "sh")
+    sets = written(sets, "shingles")
     each = sets.select("name", "changed", F.size("sh").alias("n"), F.explode("sh").alias("s"))
     often = each.groupBy("s").agg(F.count("*").alias("f"))
     order = Window.partitionBy("name").orderBy("f", "s")
     prefix = each.join(often, "s").withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
+    prefix = written(prefix, "prefix")
     a, b = prefix.alias("a"), prefix.alias("b")
     pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.name") < F.col("b.name")) & (F.col("a.changed") | F.col("b.changed")) & (F.col("a.n") >= F.col("b.n") * least) & (F.col("b.n") >= F.col("a.n") * least)).select(F.col("a.name").alias("left"), F.col("b.name").alias("right")).distinct()
     x, y = sets.select(F.col("name").alias("left"), F.col("sh").alias("x")), sets.select(F.col("name").alias("right"), F.col("sh").alias("y"))

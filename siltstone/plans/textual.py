@@ -61,7 +61,7 @@ def t8_duplicate_logic(spark: SparkSession, sf: str) -> DataFrame:
     The tables hold prose, of which every name would become one placeholder; each word stands for a keyword by hash.
     """
     words = F.transform(F.split("text", r"\s+"), lambda w: F.get(F.array(*map(F.lit, X.KEYWORDS)), F.pmod(F.xxhash64(w), F.lit(len(X.KEYWORDS))).cast("int")))
-    blocks = load(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("name"), F.lit("f").alias("file_path"), F.lit(True).alias("changed"), F.array_join(words, " ").alias("source"))
+    blocks = load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("name"), F.lit("f").alias("file_path"), F.lit(True).alias("changed"), F.array_join(words, " ").alias("source"))
     return T.duplicate_logic(blocks, min_lines=1)
 
 
