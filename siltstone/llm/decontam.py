@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from siltstone.llm.common import written
+from siltstone.llm.common import join_small, written
 
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -193,7 +193,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """``docs`` without the documents that hold a match; rows with a null id stay, as nothing names them.
 
-    The ids to drop are written first, so that Spark broadcasts them only if their measured size allows.
+    The ids to drop are written and counted first: up to two million are broadcast, so that the texts stay in place.
     """
     bad = written(contaminated(docs, items, id_col, **how).select(F.col(id_col).alias("__bad")).where("__bad is not null").distinct(), "bad")
-    return docs.join(bad, docs[id_col] == bad["__bad"], "left_anti")
+    return join_small(docs, bad, id_col, "__bad", "left_anti", 2_000_000)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from siltstone.llm.common import components, forget, skew_join, written
+from siltstone.llm.common import components, join_small, skew_join, written
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -320,7 +320,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 k = len(at)
                 yield pa.RecordBatch.from_arrays([pa.array([part.column(0)[n].as_py()] * k, pa.int64()), pa.array([simhash(h)] * k, pa.int64()), pa.array([x["tile"] for x in at], pa.int64()), pa.array([x["side"] for x in at], pa.int8()), pa.array([own] * k, pa.binary())], names=["node", "fp", "tile", "side", "sets"])
 
-    again = texts.join(places.withColumnRenamed("node", "id"), "id").select("id", "text", "at")
+    again = join_small(texts, places, "id", "node", "inner", 100_000).select("id", "text", "at")  # of one node, some hundred bytes
     held = again.mapInArrow(sets, "node long, fp long, tile long, side byte, sets binary")
     edges = held.repartition("tile").sortWithinPartitions("tile").mapInArrow(tile_linker(radius, similarity), "u long, v long")
     copies = skew_join(sketches.select("id", "same"), classes.select("same", "node"), ["same"]).select(F.col("id").alias("u"), F.col("node").alias("v")).where("u <> v")
@@ -332,7 +332,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each group of ``near_copies``; rows with a null id stay.
 
-    The ids to drop are written first, so that Spark broadcasts them only if their measured size allows.
+    The ids to drop are written and counted first: up to two million are broadcast, so that the texts stay in place.
     """
     gone = written(near_copies(docs, id_col, text_col, **how).where(F.col("component") != F.col(id_col)).select(F.col(id_col).alias("__gone")), "gone")
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    return join_small(docs, gone, id_col, "__gone", "left_anti", 2_000_000)
