@@ -22,7 +22,7 @@ class ReplayEncoder:
     before the rest, so that each word sees its lowest pair first, leftmost among equals.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, cache: int = 1_200_000):
+    def __init__(self, ranks_path: str, pattern: str, cache: int = 450_000):
         import regex
 
         with open(ranks_path, "rb") as f:
@@ -129,7 +129,7 @@ def coder_of(ranks_path: str, pattern: str) -> ReplayEncoder:
     return ReplayEncoder(ranks_path, pattern)
 
 
-def batches_of(texts: Iterable[str], most: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def batches_of(texts: Iterable[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """(from, to) of runs of texts with about ``most`` characters, one text at least."""
     a = n = b = -1
     a, n = 0, 0
