@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -27,7 +28,19 @@ TEXTY = frozenset("body html main article".split())
 #: What a start tag ends: tags up the stack that may close without an end tag.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
-DIGITS, WORDS = re.compile(r"\d+"), re.compile(r"[a-z0-9]+")
+DIGITS, WORDS, CAMEL = re.compile(r"\d+"), re.compile(r"[a-z0-9]+"), re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: Words that say what an element goes along with, and last words of elements around others.
+BESIDES, AROUND = frozenset("has with no without".split()), frozenset("wrap wrapper container layout page content main body article post entry inner outer".split())
+
+
+@lru_cache(8192)
+def is_noise(name: str) -> bool:
+    """Whether a class, id or role marks what is not main text: 'main-nav', 'sidebar-content', 'page__footer'; but not
+    'has-sidebar' or 'content-sidebar-wrap'."""
+    words = WORDS.findall(CAMEL.sub("-", name).lower())
+    if NOISE.isdisjoint(words) or not BESIDES.isdisjoint(words):
+        return False
+    return words[0] in NOISE or words[-1] not in AROUND
 
 
 class Element:
@@ -40,18 +53,18 @@ class Element:
 def element(tag: str, attrs: str, up: Element) -> Element:
     named, out, inline = tag, up.out or tag in OUTSIDE, tag in INLINE
     if attrs and not up.out:
-        words, label = [], ""
+        noise, label = False, ""
         for key, *values in ATTR.findall(attrs):
-            value, key = "".join(values).lower(), key.lower()
-            if key == "hidden" or key == "style" and "display:none" in value.replace(" ", ""):
+            value, key = "".join(values), key.lower()
+            if key == "hidden" or key == "style" and "display:none" in value.lower().replace(" ", ""):
                 out = True
             elif key in ("class", "id", "role"):
-                words += WORDS.findall(value)
+                noise = noise or any(map(is_noise, value.split()))
                 if key == "class" or key == "id" and not label:
-                    label = ".".join(sorted(DIGITS.sub("N", x) for x in value.split()))
+                    label = ".".join(sorted(DIGITS.sub("N", x) for x in value.lower().split()))
         if label:
             named = f"{tag}.{label}"
-        if tag not in TEXTY and not NOISE.isdisjoint(words):
+        if tag not in TEXTY and noise:
             out = True
     if out and not up.out and tag == "header" and up.article:
         out = False  # an article's own head line; menus in it are left out by their own names

@@ -38,3 +38,12 @@ def test_consensus(spark):
     assert got == sorted([*want, (6, "Brief news."), (7, f"{LONG} {LONG}"), (9, "")], key=str)
     assert main_text(df).columns == ["page_id", "url", "text"]
     assert main_text(df.limit(0)).count() == 0
+
+
+def test_names():
+    from siltstone.llm.html import is_noise
+
+    assert all(map(is_noise, ("nav", "main-nav", "mainNav", "sidebar-content", "page__footer--dark", "ad-slot", "comments-wrapper", "cookie_notice", "share")))
+    assert not any(map(is_noise, ("has-sidebar", "content-with-sidebar", "content-sidebar-wrap", "post", "entry-content", "readable", "padding")))
+    html = page(f'<div class="layout has-sidebar"><div class="entry"><p>{LONG}</p></div><div class="page__sidebar"><p>{LONG} {LONG}</p></div></div>')
+    assert extract(html) == LONG
