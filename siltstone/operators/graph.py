@@ -158,8 +158,8 @@ def ring_distance(edges: DataFrame, nodes: DataFrame, focus, longest: int = 6) -
     both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
     start = nodes.where(F.col("id") == F.lit(focus)).select(F.col("id").alias("start"))
     rings = reach(both.withColumn("type", F.lit("any")), start, longest, types=None).select("id", F.col("depth").alias("ring")).unionByName(start.select(F.col("start").alias("id"), F.lit(0).alias("ring")))
-    last = rings.agg(F.max("ring").alias("last"))
-    return nodes.select("id").join(rings, "id", "left").crossJoin(F.broadcast(last)).select("id", F.coalesce("ring", F.col("last") + 1).alias("ring"))
+    last = rings.agg(F.max("ring")).scalar()
+    return nodes.select("id").join(rings, "id", "left").select("id", F.coalesce(F.col("ring"), last + 1).alias("ring"))
 
 
 def undirected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -171,8 +171,8 @@ def undirected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 30, cut_every: int = 5) -> DataFrame:
     """(id, rank): PageRank over undirected links, the rank of unlinked nodes spread over all, divided by the largest.
 
-    Each round joins ranks to links by node, sums by the other end in two phases, and adds one broadcast row for the
-    unlinked. Links stay partitioned by node through all rounds; lineage is cut every few rounds.
+    Each round joins ranks to links by node, sums by the other end in two phases, and adds the share of the
+    unlinked, a scalar. Links stay partitioned by node through all rounds; lineage is cut every few rounds.
     """
     ids = nodes.select("id").distinct()
     links = written(undirected(edges, nodes), "links")
@@ -184,12 +184,11 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
     for i in range(rounds):
         sent = state.where("deg > 0").select("id", (damping * F.col("rank") / F.col("deg")).alias("share"))
         got = links.join(sent, links["a"] == sent["id"]).groupBy(F.col("b").alias("id")).agg(F.sum("share").alias("got"))
-        loose = state.where("deg = 0").agg((damping * F.coalesce(F.sum("rank"), F.lit(0.0)) / n).alias("spread"))
-        state = state.drop("rank").join(got, "id", "left").crossJoin(F.broadcast(loose)).select("id", "deg", ((1 - damping) / n + F.coalesce("got", F.lit(0.0)) + F.col("spread")).alias("rank"))
+        loose = state.where("deg = 0").agg(damping * F.coalesce(F.sum("rank"), F.lit(0.0)) / n).scalar()
+        state = state.drop("rank").join(got, "id", "left").select("id", "deg", ((1 - damping) / n + F.coalesce("got", F.lit(0.0)) + loose).alias("rank"))
         if i % cut_every == cut_every - 1:
             state = written(state, "rank")
-    top = state.agg(F.max("rank").alias("top"))
-    return state.crossJoin(F.broadcast(top)).select("id", (F.col("rank") / F.col("top")).alias("rank"))
+    return state.select("id", (F.col("rank") / state.agg(F.max("rank")).scalar()).alias("rank"))
 
 
 def add_arrays(col: Column, width: int) -> list[Column]:

@@ -132,14 +132,14 @@ def merge_verdict(critical: Column, high: Column) -> Column:
 def share_of_total(df: DataFrame, col: str, digits: int = 1) -> DataFrame:
     """Counts by value with each one's percentage of all."""
     counts = df.groupBy(col).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("__all"))
-    return counts.crossJoin(F.broadcast(total)).select(col, "n", F.round(100.0 * F.col("n") / F.col("__all"), digits).alias("percent"))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select(col, "n", F.round(100.0 * F.col("n") / total, digits).alias("percent"))
 
 
 def top_with_flag(df: DataFrame, top: int, *order: Column) -> DataFrame:
     """The first ``top`` rows, each with whether others were cut."""
-    cut = df.limit(top + 1).agg((F.count("*") > top).alias("truncated"))
-    return df.orderBy(*order).limit(top).crossJoin(F.broadcast(cut))
+    cut = df.limit(top + 1).agg(F.count("*") > top).scalar()
+    return df.orderBy(*order).limit(top).withColumn("truncated", cut)
 
 
 def page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:

@@ -158,8 +158,7 @@ def k11_get_or_create(spark: SparkSession, sf: str) -> DataFrame:
 def k20_retention(spark: SparkSession, sf: str) -> DataFrame:
     """Rows older than their time to live (K20, ST10)."""
     e = load(spark, sf, "events")
-    now = e.agg(F.max("ts").alias("now"))
-    return M.older_than(e.crossJoin(F.broadcast(now)), "ts", F.col("now"), 14400).agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+    return M.older_than(e, "ts", e.agg(F.max("ts")).scalar(), 14400).agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
 
 
 @query(FINDINGS + """, d as (select * from (values ('critical', 5), ('high', 4), ('medium', 3), ('low', 2), ('informational', 1)) t(s, r)), a as (select analysis_id from findings where analysis_id < 200 group by 1),
