@@ -45,14 +45,14 @@ def x28_issue_scores(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(spark, sf).groupBy("severity", "source", "category").agg(F.count("*").alias("n"), F.sum(F.col("score").cast("decimal(12,1)")).cast("double").alias("total"), F.max("score").alias("top"), F.min("contextual_relevance").alias("low_relevance"), F.max("reproducibility_factor").alias("high_repro"))
 
 
-@query(SCORED + """ select * from (select analysis_id, part_id, start_line, severity, score, row_number() over (partition by analysis_id order by sev_rank desc, score desc, round(least(1.0, given), 3) desc, part_id, start_line, end_line, rule_id, created) as rank from scored) where rank <= 5""")
+@query(SCORED + """ select * from (select analysis_id, part_id, start_line, severity, score, row_number() over (partition by analysis_id order by sev_rank desc, score desc, round(least(1.0, given), 3) desc, part_id, start_line, end_line, rule_id, created)::int as rank from scored) where rank <= 5""")
 def o3_ranked_findings(spark: SparkSession, sf: str) -> DataFrame:
     """Severity, score and confidence falling within each analysis (O3)."""
     return P.ranked(_scored(spark, sf), "part_id", "start_line", "end_line", "rule_id", "created").where("rank <= 5").select("analysis_id", "part_id", "start_line", "severity", "score", "rank")
 
 
 @query(SCORED + """, r as (select *, substr(sha256(file_path || '|' || category || '|' || rule_id || '|' || (start_line // 10)), 1, 32) as fingerprint, row_number() over (partition by analysis_id order by sev_rank desc, score desc, round(least(1.0, given), 3) desc, part_id, start_line, end_line, rule_id, created) as rank from scored)
-select analysis_id, fingerprint, min(rank) as rank from r group by all""")
+select analysis_id, fingerprint, min(rank)::int as rank from r group by all""")
 def k4_persisted_findings(spark: SparkSession, sf: str) -> DataFrame:
     """One row for each fingerprint of an analysis, the best ranked."""
     r = P.with_fingerprint(P.ranked(_scored(spark, sf), "part_id", "start_line", "end_line", "rule_id", "created"))
@@ -202,7 +202,7 @@ def w7_frames(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "events").select("event_id", F.max(F.col("event_type") == "error").over(back).alias("after_error"), F.max(F.col("event_type") == "purchase").over(ahead).alias("before_purchase"))
 
 
-@query("""select conv_id, turn, tokens, sum(tokens) over (partition by conv_id order by turn rows unbounded preceding)::bigint as running_cost from (select conv_id, turn, greatest(1, length(text) // 4) as tokens from conversations) qualify sum(tokens) over (partition by conv_id order by turn rows unbounded preceding) <= 400""")
+@query("""select conv_id, turn, tokens, sum(tokens) over (partition by conv_id order by turn rows unbounded preceding)::bigint as running_cost from (select conv_id, turn, greatest(1, length(text) // 4)::int as tokens from conversations) qualify sum(tokens) over (partition by conv_id order by turn rows unbounded preceding) <= 400""")
 def w13_until_budget(spark: SparkSession, sf: str) -> DataFrame:
     """Rows in order until a budget is full."""
     from siltstone.operators.vectors import until_budget
@@ -285,7 +285,7 @@ def ext_sliding_windows(spark: SparkSession, sf: str) -> DataFrame:
     return E.sliding_counts(load(spark, sf, "events"), "user_id", "ts", "1 day", "12 hours")
 
 
-@query("""select count(*) as n, sum(cast(json_extract_string(props, '$.k') as bigint)) as total, count(*) filter (where json_extract_string(props, '$.none') is null) as missing from events""")
+@query("""select count(*) as n, sum(cast(json_extract_string(props, '$.k') as bigint))::bigint as total, count(*) filter (where json_extract_string(props, '$.none') is null) as missing from events""")
 def x40_json_fields(spark: SparkSession, sf: str) -> DataFrame:
     """Fields of semi-structured columns with defaults."""
     v = X.extract_json(F.col("props"))

@@ -231,7 +231,7 @@ def a12_table_totals(spark: SparkSession, sf: str) -> DataFrame:
     return R.table_totals(**{t: load(spark, sf, t) for t in ("customer", "lineitem", "orders", "part", "supplier", "events")})
 
 
-@query("""select lang, sum(len(string_split(text, chr(10)))) as lines, count(*) as files from documents group by 1""")
+@query("""select lang, sum(len(string_split(text, chr(10))))::bigint as lines, count(*) as files from documents group by 1""")
 def a16_language_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Line counts per language."""
     from siltstone.sources.files import language_lines
@@ -253,7 +253,7 @@ def a27_mode(spark: SparkSession, sf: str) -> DataFrame:
     return R.mode_by(load(spark, sf, "events"), "user_id", "event_type", "none")
 
 
-@query("""select count(distinct source) as files, string_agg(distinct lang, ',' order by lang) as languages, sum(greatest(1, length(text) // 4)) as tokens, count(*) filter (where n_chars > 5000) as large from documents""")
+@query("""select count(distinct source) as files, string_agg(distinct lang, ',' order by lang) as languages, sum(greatest(1, length(text) // 4))::bigint as tokens, count(*) filter (where n_chars > 5000) as large from documents""")
 def a28_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """One-row manifest."""
     from siltstone.functions.text import token_estimate

@@ -48,7 +48,7 @@ def f17_scanners(spark: SparkSession, sf: str) -> DataFrame:
     return V.selected_scanners(pairs, enabled, families).groupBy("n_nationkey").agg(F.count("*").alias("n"))
 
 
-@query("""select conv_id, turn, 2 as added, 1 as removed, conv_id % 90::int as passed, case when turn % 2 = 0 then 3 else 0 end as failed from conversations""")
+@query("""select conv_id, turn, 2 as added, 1 as removed, (conv_id % 90)::int as passed, case when turn % 2 = 0 then 3 else 0 end as failed from conversations""")
 def x31_diff_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Added and removed lines, and test counters from output."""
     added, removed = X.diff_counts(F.concat(F.lit("--- a\n+++ b\n@@ -1 +1 @@\n+x\n-y\n+"), F.replace("text", F.lit("\n"), F.lit(" "))))

@@ -24,7 +24,7 @@ def t1_line_rules(spark: SparkSession, sf: str) -> DataFrame:
     return T.injection_matches(load(spark, sf, "documents"), "text", "doc_id", normalise=False, rules=WORD_RULES).where("technique = 'instruction'")
 
 
-@query("""with c as (select page_id, unnest(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1)) as inner_text from pages) select page_id, inner_text, contains(inner_text, ' ad ') as hit, length(inner_text) as n from c""")
+@query("""with c as (select page_id, unnest(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1)) as inner_text from pages) select page_id, inner_text, contains(inner_text, ' ad ') as hit, length(inner_text)::int as n from c""")
 def t2_html_comments(spark: SparkSession, sf: str) -> DataFrame:
     """HTML comments of pages."""
     c = load(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"(?s)<!--(.*?)-->"), 1)).alias("inner_text"))
