@@ -22,7 +22,7 @@ class ReplayEncoder:
     before the rest, so that each word sees its lowest pair first, leftmost among equals.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, cache: int = 450_000):
+    def __init__(self, ranks_path: str, pattern: str, cache: int = 1_000_000):
         import regex
 
         with open(ranks_path, "rb") as f:
@@ -124,9 +124,9 @@ class ReplayEncoder:
 
 
 @lru_cache(2)
-def coder_of(ranks_path: str, pattern: str) -> ReplayEncoder:
+def coder_of(ranks_path: str, pattern: str, cache: int) -> ReplayEncoder:
     """One for all tasks of a worker process."""
-    return ReplayEncoder(ranks_path, pattern)
+    return ReplayEncoder(ranks_path, pattern, cache)
 
 
 def batches_of(texts: Iterable[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
@@ -142,12 +142,13 @@ def batches_of(texts: Iterable[str], most: int = 2_000_000) -> Iterator[tuple[in
         yield a, b + 1
 
 
-def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cache: int = 1_000_000) -> DataFrame:
     """(id, n_tokens BIGINT, ids BINARY, decoded BINARY) for every row: encoding, and what decoding its ids gives.
 
     ``ids`` are little-endian unsigned 32-bit integers. Pieces of ``pattern`` are encoded separately, without special
     tokens. No row leaves its partition: each task replays the merges over the different words of a few megabytes
-    of text at a time and keeps a bounded table of words already encoded. ``ranks_path`` names a rank file present on
+    of text at a time and keeps a table of at most about ``cache`` words already encoded (some 220 bytes each, for all tasks of a
+    worker process): a larger one saves time, a smaller one memory. ``ranks_path`` names a rank file present on
     every executor.
 
     Null or empty text: no ids. Null ids and repeated rows pass through. Other columns are not returned.
@@ -155,7 +156,7 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_of(ranks_path, pattern)
+        coder = coder_of(ranks_path, pattern, cache)
         for part in parts:
             texts = [t or "" for t in part.column(1).to_pylist()]
             for a, b in batches_of(texts):
