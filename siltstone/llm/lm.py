@@ -128,15 +128,32 @@ def stirling(discount: float, most: int = 512) -> np.ndarray:
     return out
 
 
-def seat(c: np.ndarray, rest: np.ndarray, base: np.ndarray, discount: float, rng: np.random.Generator, most: int = 512) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit integers, well mixed."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def draws(seed: int, sweep: int, words: np.ndarray, ctx: np.ndarray | int) -> np.ndarray:
+    """A random 64-bit number for each dish (word hash, context): the same in whatever bucket the word is."""
+    return mixed(mixed(words + np.uint64(seed << 32 | sweep)) + mixed(np.atleast_1d(np.asarray(ctx, np.uint64)) + np.uint64(1)))
+
+
+def seat(c: np.ndarray, rest: np.ndarray, base: np.ndarray, discount: float, keys: np.ndarray | np.random.Generator, most: int = 512) -> np.ndarray:
     """Gibbs step: table counts of dishes with ``c`` customers, each drawn from its conditional given all others.
 
     p(t) is proportional to stirling(c, t) * base**t * prod(rest + discount * i, i < t), where ``rest`` is the
     strength plus the discount for each of the restaurant's other tables and ``base`` the parent's probability of the
     dish: the Chinese-restaurant seating with its arrangements summed out. Beyond ``most`` customers of a dish, the
     others sit down one after another by the predictive rule, in runs of a sixteenth of those seated.
+
+    A dish's draw depends on its number in ``keys`` alone (a generator hands out such numbers).
     """
+    if isinstance(keys, np.random.Generator):
+        keys = keys.integers(0, 1 << 64, len(c), np.uint64)
     table = stirling(discount, most)
+    chance = (mixed(keys) >> np.uint64(11)) * 2.0**-53
     t = np.ones(len(c), np.int64)
     first = np.minimum(c, most)
     order = np.argsort(first, kind="stable")
@@ -148,16 +165,16 @@ def seat(c: np.ndarray, rest: np.ndarray, base: np.ndarray, discount: float, rng
             steps = np.log(rest[part, None] + discount * np.arange(size)[None, :]) + np.log(base[part, None])
             logit = table[size, 1 : size + 1][None, :] + np.cumsum(steps, axis=1)
             p = np.cumsum(np.exp(logit - logit.max(axis=1, keepdims=True)), axis=1)
-            t[part] = 1 + np.minimum((p < rng.random(len(part))[:, None] * p[:, -1:]).sum(axis=1), size - 1)
-    big = np.flatnonzero(c > most)
-    seated = np.full(len(big), most, np.int64)
-    while len(big):
-        run = np.minimum(np.maximum(seated // 16, 1), c[big] - seated)
-        new = (rest[big] + discount * t[big]) * base[big]
-        t[big] += rng.binomial(run, new / (new + seated - discount * t[big]))
-        seated += run
-        left = seated < c[big]
-        big, seated = big[left], seated[left]
+            t[part] = 1 + np.minimum((p < chance[part, None] * p[:, -1:]).sum(axis=1), size - 1)
+    for i in np.flatnonzero(c > most).tolist():
+        rng = np.random.Generator(np.random.Philox(key=int(keys[i])))
+        tables, seated, full, other, share = int(t[i]), most, int(c[i]), float(rest[i]), float(base[i])
+        while seated < full:
+            run = min(max(seated // 16, 1), full - seated)
+            new = (other + discount * tables) * share
+            tables += int(rng.binomial(run, new / (new + seated - discount * tables)))
+            seated += run
+        t[i] = tables
     return t
 
 
@@ -217,39 +234,59 @@ def merged(blobs: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return words, at, ctx[head], np.add.reduceat(n, head)
 
 
-def seat_bucket(bucket: int, buckets: int, blobs: list[bytes], total: np.ndarray, s: Settings) -> tuple[bytes, bytes]:
-    """(model, totals) of a bucket of words after Gibbs sweeps over its dishes.
+def counted(at: np.ndarray, ctx: np.ndarray, t: np.ndarray, t0: np.ndarray) -> bytes:
+    """What the other buckets need of a bucket's seating: its words, tables by context, and the root's customers and tables."""
+    return pack(vocabulary=np.array([len(t0)]), tables=np.bincount(ctx, t, CONTEXTS).astype(np.int64), customers=np.array([t.sum()]), root_tables=np.array([t0.sum()]))
 
-    A sweep needs the tables of each restaurant and the customers of the root over all buckets; as a bucket is a
-    random part of the vocabulary, its own are scaled up for that. What is predicted uses the exact totals.
-    """
+
+def first_seating(blobs: list[bytes]) -> tuple[bytes, bytes]:
+    """(seating, counted) of a bucket of words before the first sweep: one table a dish."""
     words, at, ctx, n = merged(blobs)
-    rng = np.random.default_rng((s.seed, bucket))
-    own = np.bincount(ctx, n, CONTEXTS)
-    scale = np.where(own > 0, total / np.maximum(own, 1), 1.0)
-    share = total.sum() / n.sum()
-    uniform = 1.0 / (len(words) * buckets + 1)
-    t = np.ones(len(n), np.int64)
-    sums, roots, tables, customers, root_tables = np.zeros(len(n)), [], [], [], []
-    t0 = np.ones(len(words), np.int64)
+    t, t0 = np.ones(len(n), np.int64), np.ones(len(words), np.int64)
+    seating = pack(word=words, pairs=np.bincount(at, minlength=len(words)), ctx=ctx, n=n, t=t, t0=t0, sums=np.zeros(len(n), np.int64), roots=np.zeros(0, np.float32))
+    return seating, counted(at, ctx, t, t0)
+
+
+def sweep_bucket(raw: bytes, sweep: int, whole: dict[str, np.ndarray], s: Settings) -> tuple[bytes, bytes]:
+    """(seating, counted) after a Gibbs sweep over a bucket's dishes; after the last sweep, (model, counted).
+
+    ``whole`` has the sums of ``counted`` over all buckets after the sweep before. Restaurants are seen as they stood
+    then, so that a sweep's result depends neither on the number of buckets nor on their order.
+    """
+    m = unpack(raw)
+    words, ctx, n, t, t0, sums, roots = m["word"], *(m[k].astype(np.int64) for k in ("ctx", "n", "t", "t0", "sums")), m["roots"]
+    at = np.repeat(np.arange(len(words)), m["pairs"].astype(np.int64))
+    uniform = 1.0 / (int(whole["vocabulary"][0]) + 1)
+    tables = int(whole["root_tables"][0])
+    c0 = np.bincount(at, t, len(words)).astype(np.int64)
+    root = (c0 - s.root_discount * t0 + (s.root_strength + s.root_discount * tables) * uniform) / (s.root_strength + int(whole["customers"][0]))
+    t = seat(n, s.strength + s.discount * (whole["tables"][ctx] - t), root[at], s.discount, draws(s.seed, sweep, words[at], ctx))
+    c0 = np.bincount(at, t, len(words)).astype(np.int64)
+    t0 = seat(c0, s.root_strength + s.root_discount * (tables - t0), np.full(len(words), uniform), s.root_discount, draws(s.seed, sweep, words, CONTEXTS))
+    if sweep >= s.burn_in:
+        sums, roots = sums + t, np.r_[roots, (c0 - s.root_discount * t0).astype(np.float32)]
+    if sweep < s.burn_in + s.samples - 1:
+        out = pack(word=words, pairs=m["pairs"], ctx=ctx, n=n, t=t, t0=t0, sums=sums, roots=roots)
+    else:
+        out = pack(word=words, count=np.bincount(at, n, len(words)).astype(np.int64), root=roots, pairs=m["pairs"], ctx=ctx, stay=(n - s.discount * (sums / s.samples)).astype(np.float32))
+    return out, counted(at, ctx, t, t0)
+
+
+def sampled(kept: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """The sums over all buckets of each sweep that is a sample, one after another."""
+    return {"vocabulary": kept[0]["vocabulary"]} | {k: np.concatenate([x[k] for x in kept]) for k in ("tables", "customers", "root_tables")}
+
+
+def seat_bucket(bucket: int, buckets: int, blobs: list[bytes], total: np.ndarray, s: Settings) -> tuple[bytes, bytes]:
+    """(model, totals) after all sweeps where one bucket holds all words; of several, each sweep needs the others' tables."""
+    if buckets != 1:
+        raise ValueError("a bucket is not seated apart from the others")
+    raw, sums = first_seating(blobs)
+    kept = []
     for sweep in range(s.burn_in + s.samples):
-        c0 = np.bincount(at, t, len(words)).astype(np.int64)
-        others = np.maximum(t0.sum() * share - t0, 0)
-        t0 = seat(c0, s.root_strength + s.root_discount * others, np.full(len(words), uniform), s.root_discount, rng)
-        root = (c0 - s.root_discount * t0 + (s.root_strength + s.root_discount * t0.sum() * share) * uniform) / (s.root_strength + c0.sum() * share)
-        others = np.maximum((np.bincount(ctx, t, CONTEXTS) * scale)[ctx] - t, 0)
-        t = seat(n, s.strength + s.discount * others, root[at], s.discount, rng)
-        if sweep >= s.burn_in:
-            c0 = np.bincount(at, t, len(words)).astype(np.int64)
-            t0 = np.minimum(t0, c0)
-            sums += n - s.discount * t
-            roots.append((c0 - s.root_discount * t0).astype(np.float32))
-            tables.append(np.bincount(ctx, t, CONTEXTS))
-            customers.append(c0.sum())
-            root_tables.append(t0.sum())
-    counts = np.bincount(at, n, len(words)).astype(np.int64)
-    model = pack(word=words, count=counts, root=np.concatenate(roots), pairs=np.bincount(at, minlength=len(words)), ctx=ctx, stay=(sums / s.samples).astype(np.float32))
-    return model, pack(vocabulary=np.array([len(words)], np.int64), tables=np.concatenate(tables).astype(np.int64), customers=np.array(customers, np.int64), root_tables=np.array(root_tables, np.int64))
+        raw, sums = sweep_bucket(raw, sweep, {k: v.astype(np.int64) for k, v in unpack(sums).items()}, s)
+        kept.append(unpack(sums))
+    return raw, pack(**sampled(kept[s.burn_in :]))
 
 
 @dataclass(frozen=True)
@@ -317,6 +354,7 @@ def by_text(scorer: Scorer, words: np.ndarray, pair_word: np.ndarray, pair_ctx:
     return pack(text=texts, score=add(score[pair]), base=add(base[pair_word[pair]]), known=add(known[pair_word[pair]]).astype(np.int64))
 
 
+MODELS = "bucket int, model binary, sums binary"
 SCORED = "bucket int, chunk long, kind int, parts int, blob binary"
 
 
@@ -363,7 +401,8 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     restaurant for each class of the token before (``context_of``), all with the unigram restaurant as parent, which
     backs off to a uniform share for each known word and one for all unknown ones. Seatings are drawn by Gibbs sweeps
     (``seat``); a token's probability is the mean of the predictive probabilities of all samples after the burn-in.
-    Every count of every training text goes into it.
+    Every count of every training text goes into it. After each sweep the buckets' table and root totals are summed,
+    and the next sweep uses those exact sums, so that the number of buckets does not enter the result.
 
     Words are dealt to buckets by hash, one for each ``bucket_bytes`` of text. Tasks count (word, context) pairs
     before anything is exchanged, and exchange arrays, not rows. A word's row has at most CONTEXTS entries; frequent
@@ -379,14 +418,27 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     total = summed(counts.where("bucket = -1").select("blob")).get("total", np.zeros(CONTEXTS, np.int64))
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
-        b = int(rows["bucket"].iloc[0])
-        model, sums = seat_bucket(b, buckets, rows["blob"].tolist(), total, settings)
-        return pd.DataFrame({"bucket": [b], "model": [model], "sums": [sums]})
+        seating, sums = first_seating(rows["blob"].tolist())
+        return pd.DataFrame({"bucket": [int(rows["bucket"].iloc[0])], "model": [seating], "sums": [sums]})
+
+    def swept(seatings: DataFrame, number: int, everyone: dict[str, np.ndarray]) -> DataFrame:
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                for b, raw in zip(part.column(0), part.column(1)):
+                    x, sums = sweep_bucket(raw.as_py(), number, everyone, settings)
+                    yield pa.RecordBatch.from_arrays([pa.array([b.as_py()], pa.int32()), pa.array([x], pa.binary()), pa.array([sums], pa.binary())], names=["bucket", "model", "sums"])
+
+        return seatings.select("bucket", "model").mapInArrow(run, MODELS)
 
-    grouped = counts.where("bucket >= 0").groupBy("bucket")
-    models = written(grouped.applyInPandas(learn, "bucket int, model binary, sums binary"), "lm-model")
+    models = written(counts.where("bucket >= 0").groupBy("bucket").applyInPandas(learn, MODELS), "lm-model")
     forget(counts)
-    got = summed(models.select(F.col("sums").alias("blob")))
+    everyone, kept = summed(models.select(F.col("sums").alias("blob"))), []
+    for number in range(settings.burn_in + settings.samples if everyone else 0):
+        then = written(swept(models, number, everyone), "lm-model")
+        forget(models)
+        models, everyone = then, summed(then.select(F.col("sums").alias("blob")))
+        kept.append(everyone)
+    got = sampled(kept[settings.burn_in :]) if kept else {}
     zero = np.zeros(settings.samples, np.int64)
     totals = Totals(total, int(got["vocabulary"][0]) if got else 0, got.get("tables", np.zeros(settings.samples * CONTEXTS, np.int64)), got.get("customers", zero), got.get("root_tables", zero), settings)
     least = max(1.0, settings.hot * totals.tokens)

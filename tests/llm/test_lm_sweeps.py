@@ -1,0 +1,49 @@
+"""Gibbs sweeps over several buckets see the tables of all of them."""
+
+import math
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from siltstone.llm.lm import CONTEXTS, Settings, first_seating, pack, score_documents, sweep_bucket, tokens_of, unpack
+
+
+def texts(n=150, seed=8):
+    rng = random.Random(seed)
+    return [(i, " ".join(f"{'kalomi'[2 * (k % 3):][:2]}{k}" for k in (min(int(rng.expovariate(0.02)), 400) for _ in range(rng.randrange(5, 90)))) + " the" * (i % 9)) for i in range(n)]
+
+
+def test_buckets_do_not_enter_the_scores(spark):
+    df = spark.createDataFrame(texts(), "doc_id long, text string")
+    train = F.col("doc_id") % 7 != 0
+    got = [{r.doc_id: (r.score, r.n_known) for r in score_documents(df, train, bucket_bytes=size).collect()} for size in (1 << 24, 3000, 700)]
+    for other in got[1:]:
+        assert other.keys() == got[0].keys() and all(math.isclose(other[d][0], x, rel_tol=1e-9) and other[d][1] == k for d, (x, k) in got[0].items())
+
+
+def test_split_sweeps_equal_whole_ones():
+    tok = tokens_of([t for _, t in texts()] + ["so be it " * 3000])
+    key, n = np.unique(tok.index * CONTEXTS + tok.contexts, return_counts=True)
+    assert n.max() > 512
+
+    def sweeps(buckets):
+        state = []
+        for b in range(buckets):
+            mine = tok.hashes[key // CONTEXTS] % np.uint64(buckets) == b
+            word = key[mine] // CONTEXTS
+            head = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            state.append(first_seating([pack(word=tok.hashes[word[head]], pairs=np.diff(np.r_[head, len(word)]), ctx=key[mine] % CONTEXTS, n=n[mine])]))
+        sums = []
+        for k in range(5):
+            parts = [unpack(x) for _, x in state]
+            sums.append({name: sum(p[name].astype(np.int64) for p in parts) for name in parts[0]})
+            state = [sweep_bucket(raw, k, sums[-1], Settings()) for raw, _ in state]
+        return sums
+
+    whole = sweeps(1)
+    assert whole[0]["customers"] == len(key) and whole[4]["tables"].sum() == whole[4]["customers"] > len(key)
+    assert (whole[4]["tables"] <= np.bincount(tok.contexts, minlength=CONTEXTS)).all()
+    for buckets in (3, 40):
+        for a, b in zip(whole, sweeps(buckets)):
+            assert all((a[name] == b[name]).all() for name in a)
