@@ -76,7 +76,7 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]], shingle: int, similarity: float, radius: int):
         self.shingle, self.similarity, self.radius, self.hash = shingle, similarity, radius, RollingHash()
-        self.ids, self.sizes, self.bags, self.least = [], [], [], []
+        self.ids, self.sizes, self.bags = [], [], []
         self.by_hash: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         self.index: dict[int, BlockIndex] = {}
         self.numbers: dict[int, list[int]] = defaultdict(list)
@@ -90,7 +90,6 @@ class Matcher:
             self.ids.append(item)
             self.sizes.append(len(starts))
             self.bags.append(Counter(raw[a:b] for a, b in zip(starts[: len(starts) - k + 1].tolist(), ends[k - 1 :].tolist())))
-            self.least.append(int(np.ceil(2 * similarity / (1 + similarity) * len(h) - 1e-9)))  # equally many shingles on both sides
             for x in set(h.tolist()):
                 self.by_hash[k][x].append(n)
             self.index.setdefault(len(starts), BlockIndex(radius)).add(simhash_of(h))
@@ -102,6 +101,10 @@ class Matcher:
             mask[np.array(list(by), np.uint64) & np.uint64((1 << bits) - 1)] = True
             self.masks[k] = (mask, np.uint64((1 << bits) - 1))
 
+    def least(self, m: int, size: int) -> int:
+        """The shingles that an item of ``m`` and a window of ``size`` shingles have in common at least, if they are similar."""
+        return int(np.ceil(self.similarity / (1 + self.similarity) * (m + size) - 1e-9))
+
     def find(self, text: str | None) -> list[tuple[int, int, int, float, int]]:
         """(item id, first word, words, similarity, Hamming distance): the best windows of each item, not overlapping."""
         raw, starts, ends = words_of(text)
@@ -118,43 +121,44 @@ class Matcher:
                 for n in by.get(x, ()):
                     hits[n].append(p)
             for n, where in hits.items():
-                if len(where) >= self.least[n]:
+                m = self.sizes[n] - k + 1
+                if len(where) >= self.least(m, min(m, len(h))):
                     out += self._windows(n, k, raw, a, b, h, where)
         return out
 
     def _windows(self, n: int, k: int, raw: bytes, a: np.ndarray, b: np.ndarray, h: np.ndarray, where: list[int]) -> list[tuple[int, int, int, float, int]]:
-        """A window reaches the similarity only if it holds ``least`` of the item's shingles or more."""
-        m, bag, least = self.sizes[n] - k + 1, self.bags[n], self.least[n]
+        """A window reaches the similarity only if it holds ``least`` of the item's shingles or more; a shorter document is one window."""
+        m, bag = self.sizes[n] - k + 1, self.bags[n]
+        size = min(m, len(h))
+        least, words = self.least(m, size), size + k - 1
         at, found = np.array(where), []
-        if len(h) < m:
-            return []
         runs = []
         for i in range(len(at) - least + 1):
-            if at[i + least - 1] - at[i] < m:
-                runs.append((max(0, int(at[i + least - 1]) - m + 1), min(int(at[i]), len(h) - m)))
+            if at[i + least - 1] - at[i] < size:
+                runs.append((max(0, int(at[i + least - 1]) - size + 1), min(int(at[i]), len(h) - size)))
         for s in sorted({s for lo, hi in runs for s in range(lo, hi + 1)}):
-            fp = simhash_of(h[s : s + m])
+            fp = simhash_of(h[s : s + size])
             near = dict(self.index[self.sizes[n]].find(fp))
             d = near.get(self.numbers[self.sizes[n]].index(n))
             if d is None:
                 continue
-            own = Counter(raw[x:y] for x, y in zip(a[s : s + m].tolist(), b[s : s + m].tolist()))
+            own = Counter(raw[x:y] for x, y in zip(a[s : s + size].tolist(), b[s : s + size].tolist()))
             same = (own & bag).total()
-            score = same / (2 * m - same)
+            score = same / (m + size - same)
             if score >= self.similarity - 1e-12:
                 found.append((-score, s, d))
         out, taken = [], []
         for score, s, d in sorted(found):
             if all(abs(s - t) >= self.sizes[n] for t in taken):
                 taken.append(s)
-                out.append((self.ids[n], s, self.sizes[n], -score, d))
+                out.append((self.ids[n], s, words, -score, d))
         return out
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 20, block_bytes: int = 32 << 20) -> DataFrame:
     """(id, item_id, first_word, n_words, similarity, distance): the windows of documents that nearly equal an item.
 
-    A window has as many words as the item. It matches if their SimHash fingerprints differ in at most ``radius``
+    A window has as many words as the item; a document of fewer words is one window. It matches if their SimHash fingerprints differ in at most ``radius``
     bits and the weighted Jaccard similarity of their word shingles (repeats count) is at least ``similarity``. The
     default radius lies over three standard deviations beyond what that similarity leads to. Of overlapping matches
     of one item the most similar stays, the first among equals. An item under ``shingle`` words is one shingle.
