@@ -262,11 +262,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 20, bands: int = 10, rows: int = 3, tile: int = 2048) -> DataFrame:
     """(id, component: the smallest id reachable by links) for every id: groups of texts whose shingle sets are similar.
 
-    Two texts link if the Jaccard similarity of their word shingles is at least ``similarity``. At 0.8 their SimHash
-    fingerprints differ in about ten bits, too many for blocks of equal bits, so the blocks for the bit-sliced
+    Two texts link if the Jaccard similarity of their sets of word shingles is at least ``similarity``. At 0.8 the
+    SimHash fingerprints of these sets (repeats do not count) differ in about ten bits, too many for blocks of equal bits, so the blocks for the bit-sliced
     comparison are texts that agree on ``rows`` minima of ``bands`` times as many hash functions: at a similarity of
     0.8 all bands miss a pair once in a thousand, and less often above. Within a block, pairs within ``radius`` bits
-    (over three standard deviations beyond the mean at 0.8) are verified on their whole shingle sets.
+    (over three standard deviations beyond the mean at 0.8) are verified on their whole shingle sets. Both steps can
+    lose a pair close to 0.8 by chance.
 
     Texts with equal sets are one class and never meet in a task. Blocks over ``tile`` texts are cut into tiles of
     two chunks. Only texts in blocks of two or more are read a second time, for their sets.
@@ -297,7 +298,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for t in part.column(1):
                 h = hashes(t.as_py())
                 own = np.unique(h)
-                fps.append(simhash(h))
+                fps.append(simhash(own))
                 same.append(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63))
                 low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
                 for a in range(0, len(own), 4096):
@@ -314,7 +315,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for n in range(part.num_rows):
-                h = hashes(part.column(1)[n].as_py())
+                h = np.unique(hashes(part.column(1)[n].as_py()))
                 own = np.unique((h >> np.uint64(32)).astype("<u4")).tobytes()
                 at = part.column(2)[n].as_py()
                 k = len(at)
