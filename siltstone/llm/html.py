@@ -71,8 +71,8 @@ def element(tag: str, attrs: str, up: Element) -> Element:
     return Element(tag, up.path if inline else f"{up.path}>{named}", out, up, up.article or tag == "article", inline)
 
 
-def blocks_of(html: str | None) -> list[tuple[str, str, int, bool]]:
-    """(container path, text, characters in links, inside an article) of every block of text outside menus and the like.
+def blocks_of(html: str | None) -> list[tuple[str, str, int, bool, str]]:
+    """(container path, text, characters in links, inside an article, tag of the block's own element) of every block of text outside menus and the like.
 
     A block ends at any tag that is not inline. The container is the element around the block's own element, or the
     element itself where text stands in it directly. End tags that match nothing are passed over, and what a start
@@ -80,7 +80,7 @@ def blocks_of(html: str | None) -> list[tuple[str, str, int, bool]]:
     """
     html = html or ""
     root = top = Element("", "", False, None, False)
-    out: list[tuple[str, str, int, bool]] = []
+    out: list[tuple[str, str, int, bool, str]] = []
     parts: list[str] = []
     state = [0, 0]  # characters in links, links open
 
@@ -92,9 +92,10 @@ def blocks_of(html: str | None) -> list[tuple[str, str, int, bool]]:
                 holder = top
                 while holder.inline:
                     holder = holder.up
+                tag = holder.tag
                 if holder.tag not in ("div", "section", "article", "main", "body", "html", "") and holder.up is not None:
                     holder = holder.up
-                out.append((holder.path, text, min(state[0], len(text)), holder.article))
+                out.append((holder.path, text, min(state[0], len(text)), holder.article, tag))
         state[0] = 0
 
     def add(text: str) -> None:
@@ -163,10 +164,10 @@ def blocks_of(html: str | None) -> list[tuple[str, str, int, bool]]:
     return out
 
 
-def scored_paths(blocks: list[tuple[str, str, int, bool]]) -> dict[str, float]:
+def scored_paths(blocks: list[tuple[str, str, int, bool, str]]) -> dict[str, float]:
     """Score of each container path: the text of its own blocks that is no link, half of that of the level below."""
     score: dict[str, float] = {}
-    for path, text, linked, _ in blocks:
+    for path, text, linked, *_ in blocks:
         worth = max(0, len(text) - 2 * linked)
         for level in range(3):
             if not path:
@@ -177,6 +178,7 @@ def scored_paths(blocks: list[tuple[str, str, int, bool]]) -> dict[str, float]:
 
 
 ARTICLE = re.compile(r"^(.*?>article[^>]*)(?:>|$)")
+HEAD = re.compile(r"h[1-6]$")
 
 
 def lifted(path: str) -> str:
@@ -185,26 +187,66 @@ def lifted(path: str) -> str:
     return m[1] if m else path
 
 
-def best_paths(html: str | None) -> list[tuple[str, float]]:
-    """(generalised path, vote) of the page's best containers; votes are shares of the best score, from a half on."""
+def under(path: str, blocks: list[tuple[str, str, int, bool, str]]) -> list[int]:
+    return [i for i, b in enumerate(blocks) if b[0] == path or b[0].startswith(path + ">")]
+
+
+def widened(path: str, blocks: list[tuple[str, str, int, bool, str]]) -> str:
+    """The outermost container around the path that holds more of the same text; an article stays as it is.
+
+    A container holds more of it if what it has besides is not mostly links, and has a head line before the text (an
+    <h1>, or any head line that stands in the container itself) or at least a tenth of the text's length.
+    """
+    if ARTICLE.match(path):
+        return path
+    around, mine = path, under(path, blocks)
+    while mine and (around := around.rpartition(">")[0]).rpartition(">")[2].partition(".")[0] not in ("html", ""):
+        every, inside = under(around, blocks), set(mine)
+        rest = [i for i in every if i not in inside]
+        if not rest:
+            continue
+        size, linked = sum(len(blocks[i][1]) for i in rest), sum(blocks[i][2] for i in rest)
+        head = any(i < mine[0] and not blocks[i][2] and (blocks[i][4] == "h1" or HEAD.match(blocks[i][4]) and blocks[i][0] == around) for i in rest)
+        if 2 * linked > size or not head and 10 * (size - 2 * linked) < sum(len(blocks[i][1]) for i in mine):
+            break
+        path, mine = around, every
+    return path
+
+
+def own_paths(blocks: list[tuple[str, str, int, bool, str]]) -> dict[str, tuple[str, float]]:
+    """The page's best containers -> (widened path, share of the best score, from a half on)."""
     score: dict[str, float] = {}
-    for path, x in scored_paths(blocks_of(html)).items():
+    for path, x in scored_paths(blocks).items():
         path = lifted(path)
         score[path] = max(score.get(path, 0.0), x)
     top = max(score.values(), default=0.0)
-    return sorted(((p, x / top) for p, x in score.items() if x >= top / 2), key=lambda v: (-v[1], len(v[0]), v[0])) if top > 0 else []
+    return {p: (widened(p, blocks), x / top) for p, x in score.items() if x >= top / 2} if top > 0 else {}
+
+
+def ranked(own: dict[str, tuple[str, float]]) -> list[tuple[str, float]]:
+    votes: dict[str, float] = {}
+    for path, x in own.values():
+        votes[path] = max(votes.get(path, 0.0), x)
+    return sorted(votes.items(), key=lambda v: (-v[1], len(v[0]), v[0]))
+
+
+def best_paths(html: str | None) -> list[tuple[str, float]]:
+    """(generalised path, vote) of the page's best containers; votes are shares of the best score, from a half on."""
+    return ranked(own_paths(blocks_of(html)))
 
 
 def extract(html: str | None, paths: list[str] | None = None) -> str:
-    """The page's main text under the first of the paths that it has, or under its own best container."""
+    """The page's main text under the first of the paths that it has, or under its own best container.
+
+    Where that path is among the page's own best containers, it is widened as they are.
+    """
     blocks = blocks_of(html)
-    own = {p for p, _, _, _ in blocks}
-    under = lambda path: [b for b in blocks if b[0] == path or b[0].startswith(path + ">")]
+    have, own = {b[0] for b in blocks}, own_paths(blocks)
     for path in paths or ():
-        if path and any(p == path or p.startswith(path + ">") for p in own):
-            return "\n\n".join(b[1] for b in under(path))
-    best = best_paths(html)
-    return "\n\n".join(b[1] for b in (under(best[0][0]) if best else blocks))
+        if path and any(p == path or p.startswith(path + ">") for p in have):
+            return "\n\n".join(blocks[i][1] for i in under(own[path][0] if path in own else path, blocks))
+    best = ranked(own)
+    return "\n\n".join(blocks[i][1] for i in (under(best[0][0], blocks) if best else range(len(blocks))))
 
 
 def host_of(url):
