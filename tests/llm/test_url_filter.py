@@ -61,3 +61,25 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "pattern string, at long, action string")
     assert filter_urls(captures, none).first().verdict == "none"
     assert filter_urls(captures.limit(0), none).count() == 0
+
+
+def test_long_urls(spark):
+    import time
+
+    url = "http://" + "a." * 1500 + "com/" + "s/" * 2500 + "end"
+    rows = [(1, url, 5), (2, "http://x.com/" + "s" * 8000, 5), (3, "http://" + "b" * 8000, 5), (4, "http://a.com" + "/" * 8000, 5), (1, url, 5)]
+    captures = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, fetched_at long, pattern string, spans int")
+    entries = spark.createDataFrame([("com", 1, "block"), ("a.com/s/s/s", 2, "allow"), ("a.a.com/s", 2, "block"), ("a.com/s/s/s/x", 2, "block"), ("x.com/sss", 1, "block"), ("y.com" + "/s" * 3000, 1, "block")], "pattern string, at long, action string")
+    filter_urls(captures, entries).collect()
+    began = time.time()
+    got = sorted((r.page_id, r.verdict, r.matched) for r in filter_urls(captures, entries).collect())
+    assert time.time() - began < 20
+    assert got == [(1, "allow", "a.com/s/s/s"), (1, "allow", "a.com/s/s/s"), (2, "block", "com"), (3, "none", None), (4, "block", "com")]
+    assert filter_urls(captures, entries).columns == ["page_id", "url", "fetched_at", "pattern", "spans", "verdict", "matched"]
+
+
+def test_ties_and_clashing_columns(spark):
+    captures = spark.createDataFrame([(1, "http://u.a.bc/", 5, "a", "b")], "page_id long, url string, fetched_at long, listed string, matched string")
+    entries = spark.createDataFrame([("a.bc", 1, "block"), ("a.bc", 1, "allow"), ("a.bc", 5, "remove"), ("a.bc", 5, "block")], "pattern string, at long, action string")
+    assert filter_urls(captures, entries).first().verdict == "none"  # of one date, remove counts last
+    assert filter_urls(captures, entries.where("at = 1")).first().verdict == "block"
