@@ -7,10 +7,10 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siltstone.llm.common import skew_join, written
+from siltstone.llm.common import written
 
 
 def sign_code(vector: Column, bits: int = 64) -> Column:
@@ -77,44 +77,50 @@ class SegmentIndex:
         return at[d <= last], d[d <= last]
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", code_col: str = "code", block: int = 1 << 18, batch: int = 1 << 14, least: int = 4096) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", code_col: str = "code", block: int = 1 << 20, least: int = 4096) -> DataFrame:
     """(query_id, rank INT from 1, neighbor_id, distance INT): for every query the k rows nearest in Hamming distance.
 
     Ties go to the smaller id; a query is not its own neighbour. ``rows`` and ``queries`` have an integer id and a
-    BIGINT code. Equal codes are one entry, which keeps its k + 1 smallest ids: more can never be among the k.
-    Entries are dealt into blocks and queries into batches by hash, both of bounded size; every (block, batch) tile
-    is a task of its own that indexes its block and answers its queries, k rows at most a query. Results merge by
-    query.
+    BIGINT code; other columns are not looked at, whatever their names. Equal codes are one entry, which keeps its
+    k + 1 smallest ids: more can never be among the k.
 
-    Rows with a null id or code take no part; a query row repeated with the same id counts once; a table with fewer
-    than k other rows gives what there is.
+    Entries are dealt by hash into blocks of at most about ``block`` codes (and at least ``least``, so that small tables use
+    several tasks). A block is one partition: its codes come first and are indexed once, then the queries stream
+    past in Arrow batches and leave k rows each. Only queries are sent to every block; results merge by query.
+
+    Rows with a null id or code take no part, on either side; a row or query repeated with the same id and code counts
+    once, and an id with several codes is a row for each; a table with fewer than k other rows gives what there is,
+    an empty one nothing.
     """
-    spark = rows.sparkSession
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(code_col).alias("code")).where("id is not null and code is not null").distinct()
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(code_col).alias("code")).where("id is not null and code is not null").distinct()
     salted = Window.partitionBy("code", "salt").orderBy("id")
     few = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("n", F.row_number().over(salted)).where(F.col("n") <= k + 1)
-    entries = few.groupBy("code").agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("ids"))
-    entries = written(entries, "codes")
-    asked = written(asked, "asked")
-    total, n_asked = entries.count(), asked.count()
-    blocks, batches = max(1, -(-total // block), min(32, total // least)), max(1, -(-n_asked // batch))
-    left = entries.withColumn("b", F.pmod(F.xxhash64("code"), F.lit(blocks))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
-    right = asked.withColumn("j", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def tile(held: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(held) and len(want):
-            codes = held["code"].to_numpy().view(np.uint64)
-            ids = held["ids"].to_numpy()
-            weight = np.fromiter(map(len, ids), np.int64, len(ids))
-            index = SegmentIndex(codes)
-            for q, code in zip(want["id"].tolist(), want["code"].to_numpy().view(np.uint64).tolist()):
+    entries = written(few.groupBy("code").agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("ids")), "codes")
+    total = entries.count()
+    blocks = max(1, -(-total // block), min(32, total // least))
+    held = entries.select(F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int").alias("b"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), "code", "ids")
+    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(1).alias("kind"), "id", "code", F.array().cast("array<long>").alias("ids"))
+
+    def answer(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, owners, index = [], [], None
+        for part in parts:
+            first = int(np.searchsorted(part.column("kind").to_numpy(), 1))
+            if first:
+                codes.append(part.column("code").slice(0, first).to_numpy())
+                owners += part.column("ids").slice(0, first).to_pylist()
+            if first == part.num_rows or not codes:
+                continue
+            if index is None:
+                index = SegmentIndex(np.concatenate(codes).view(np.uint64))
+                weight = np.fromiter(map(len, owners), np.int64, len(owners))
+            out = []
+            for q, code in zip(part.column("id").to_pylist()[first:], part.column("code").to_numpy()[first:].view(np.uint64).tolist()):
                 at, d = index.search(code, weight, k + 1)
-                near = sorted((int(x), int(i)) for p, x in zip(at, d) for i in ids[p] if i != q)[:k]
-                out += [(q, i, x) for x, i in near]
-        return pd.DataFrame(out, columns=["query_id", "neighbor_id", "distance"]).astype({"query_id": "int64", "neighbor_id": "int64", "distance": "int32"})
+                out += [(q, i, x) for x, i in sorted((int(x), i) for p, x in zip(at, d) for i in owners[p] if i != q)[:k]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["query_id", "neighbor_id", "distance"])
 
-    found = left.groupBy("b", "j").cogroup(right.groupBy("b", "j")).applyInPandas(tile, "query_id long, neighbor_id long, distance int")
+    tiles = held.unionByName(sent).repartitionById(blocks, F.col("b")).sortWithinPartitions("kind")
+    found = tiles.mapInArrow(answer, "query_id long, neighbor_id long, distance int")
     order = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")

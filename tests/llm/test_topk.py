@@ -45,11 +45,18 @@ def test_against_brute_force(spark):
     df = spark.createDataFrame(rows, "vec_id long, code long")
     queries = df.where("vec_id % 50 = 0")
     want = plain(rows, [r for r in rows if r[0] is not None and r[0] % 50 == 0], 10)
-    for block, batch, least in ((1 << 18, 1 << 14, 4096), (100, 4, 10)):
-        got = sorted((r.query_id, r["rank"], r.neighbor_id, r.distance) for r in top_k(df, queries, 10, block=block, batch=batch, least=least).collect())
+    for block, least in ((1 << 18, 4096), (100, 10)):
+        got = sorted((r.query_id, r["rank"], r.neighbor_id, r.distance) for r in top_k(df, queries, 10, block=block, least=least).collect())
         assert got == want
 
 
+def test_blocks_are_tasks_and_columns_may_clash(spark):
+    df = spark.createDataFrame(data(), "vec_id long, code long").selectExpr("*", "1 as b", "'x' as kind", "vec_id as query_id", "2 as ids")
+    out = top_k(df, df.where("vec_id % 50 = 0"), 3, block=100)
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()  # adaptive execution leaves these apart
+    assert out.count() == 3 * len({r[0] for r in data() if r[0] is not None and r[0] % 50 == 0})
+
+
 def test_few_rows_and_codes(spark):
     df = spark.createDataFrame([(0, [1.0, -1.0]), (1, None), (2, [float("nan"), 2.0]), (3, [1.0] * 64)], "vec_id long, v array<float>").select("vec_id", sign_code(F.col("v")).alias("code"))
     assert {r.vec_id: r.code for r in df.collect()} == {0: 1, 1: 0, 2: 2, 3: -1}
