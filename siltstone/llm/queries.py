@@ -137,9 +137,11 @@ select query_id, rank, neighbor_id, distance from ranked where rank <= 10
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siltstone.llm.warc import read_archive, write_archive
+    """Every page, found again by its url's key."""
+    from siltstone.llm.warc import lookup_keys, surt, write_archive
 
-    out = read_archive(write_archive(table(spark, sf_dir, "pages")), payloads=False)
+    pages = table(spark, sf_dir, "pages")
+    out = lookup_keys(write_archive(pages), pages.select(surt(F.col("url")).alias("key")), payloads=False)
     return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

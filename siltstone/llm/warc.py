@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from siltstone.llm.common import fresh_path, written
+from siltstone.llm.common import forget, fresh_path, written
 
 CAPTURE = "surt string, id long, file string, offset long, length long"
+DIRECTORY = pa.schema([("first_key", pa.string()), ("last_key", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("lines", pa.int64()), ("part", pa.int32())])
 RECORD = "id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
@@ -108,7 +109,7 @@ def parsed(raw: bytes) -> tuple:
     return number("X-Source-Id"), fields.get("WARC-Target-URI"), kind, size, digest, number("X-Refers-To-Source-Id"), payload if kind == "response" else None
 
 
-def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = 1000, block_lines: int = 1024, date: str = "1970-01-01T00:00:00Z") -> Archive:
+def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = 1000, block_lines: int = 1024, part_lines: int = 1_000_000, date: str = "1970-01-01T00:00:00Z") -> Archive:
     """Writes a WARC record for every row into the shared folder, and the index of the captures.
 
     Among equal payloads of at least ``revisit_bytes`` bytes, the row with the largest id is the response and the
@@ -116,8 +117,12 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     can only be a revisit of another; rows that repeat the largest id are all responses.
 
     Level one of the index: capture lines sorted by reversed-host url key, in compressed blocks of ``block_lines``
-    lines. Level two: the directory, one row a block with its first and last key and its place. Files carry a unique
-    name for each attempt of a task, and only those named in the written tables count, so lost executors do no harm.
+    lines, and parts of about ``part_lines`` lines. Level two: the directory, one row a block with its first and last
+    key and its place. Files carry a unique name for each attempt of a task, and only those named in the written
+    tables count, so lost executors do no harm.
+
+    Payloads are compressed and written one at a time, however long they are. An empty table gives an empty archive.
+    Other columns are not looked at, whatever their names.
 
     Only the largest ids of repeated payloads are exchanged to find revisits; html moves at most once, and not at all
     if that table is small enough for Spark to broadcast.
@@ -152,7 +157,8 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             sink.close()
 
     captures = written(ready.mapInArrow(write, CAPTURE), "captures")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    forget(targets)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-captures.count() // part_lines))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"{out}/index/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.cdx.gz"
@@ -164,7 +170,7 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             raw = packed("".join(f"{k} {'-' if i is None else i} {f} {o} {n}\n" for k, i, f, o, n in lines).encode())
             sink.write(raw)
             offset += len(raw)
-            return pa.RecordBatch.from_pylist([{"first_key": lines[0][0], "last_key": lines[-1][0], "file": name, "offset": offset - len(raw), "length": len(raw), "lines": len(lines)}])
+            return pa.RecordBatch.from_pylist([{"first_key": lines[0][0], "last_key": lines[-1][0], "file": name, "offset": offset - len(raw), "length": len(raw), "lines": len(lines), "part": TaskContext.get().partitionId()}], DIRECTORY)
 
         for batch in batches:
             held += zip(*(batch.column(c).to_pylist() for c in ("surt", "id", "file", "offset", "length")))
@@ -177,7 +183,8 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             sink.close()
 
     ranged = captures.repartitionByRange(parts, "surt", "file", "offset").sortWithinPartitions("surt", "file", "offset")
-    directory = written(ranged.mapInArrow(index, "first_key string, last_key string, file string, offset long, length long, lines long"), "directory")
+    directory = written(ranged.mapInArrow(index, "first_key string, last_key string, file string, offset long, length long, lines long, part int"), "directory")
+    forget(captures)
     return Archive(out, directory)
 
 
@@ -218,47 +225,79 @@ def read_archive(archive: Archive, payloads: bool = True) -> DataFrame:
     return archive.directory.repartition(parts, "file", "offset").mapInArrow(read, RECORD)
 
 
-def lookup(archive: Archive, urls: DataFrame, url_col: str = "url", slice_rows: int = 200_000) -> DataFrame:
+def lookup_keys(archive: Archive, keys: DataFrame, key_col: str = "key", payloads: bool = True) -> DataFrame:
+    """RECORD rows of the captures whose key (see ``surt``) is among those given, each once however often its key is given.
+
+    A key goes to the parts of the index that may hold it, found by binary search among their first and last keys, a
+    row a part. One task a part then gets the part's directory rows and its keys in order, finds the blocks of each key
+    by binary search, reads a block once, finds the key's lines in it by binary search, and reads the records by range.
+    Parts are equally large, so captures of one url, however many, are spread over parts.
+
+    Null keys find nothing; the empty key is that of captures without url. Payloads can be left out of the result.
+    """
+    return _search(archive, keys.select(F.lit(None).cast("string").alias("q"), F.col(key_col).alias("k")).where("k is not null").distinct(), payloads).drop("query")
+
+
+def lookup(archive: Archive, urls: DataFrame, url_col: str = "url", payloads: bool = True) -> DataFrame:
     """(query STRING, fields of RECORD): the captures whose key equals that of a url of ``urls``; no row if none does.
 
-    The directory is held in tasks in slices of at most ``slice_rows`` rows; a directory beyond one slice costs one
-    pass over the urls for each. Within a slice, the blocks that may hold a key are found by binary search, then
-    only those blocks and the records are read. Null urls find nothing; repeated urls find the same again.
+    Found as in ``lookup_keys``. Null urls find nothing; repeated urls find the same again.
     """
-    spark = archive.directory.sparkSession
-    total = archive.directory.count()
-    slices = max(1, -(-total // slice_rows))
+    return _search(archive, urls.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias("q"), surt(F.col(url_col)).alias("k")), payloads)
+
+
+def _search(archive: Archive, asked: DataFrame, payloads: bool) -> DataFrame:
     schema = T.StructType([T.StructField("query", T.StringType()), *T._parse_datatype_string(RECORD).fields])
-    asked = urls.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias("q"), surt(F.col(url_col)).alias("k"))
-
-    def search(number: int) -> DataFrame:
-        rows = sorted((r.first_key.encode(), r.last_key.encode(), r.file, r.offset, r.length) for r in archive.directory.where(F.pmod(F.xxhash64("file"), F.lit(slices)) == number).collect())
-        firsts = [r[0] for r in rows]
-        tops, top = [], b""
-        for r in rows:
-            top = max(top, r[1])
-            tops.append(top)  # never falls, so that it can be searched too
-
-        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            store = Store()
-            for batch in batches:
-                out, queries = [], []
-                for q, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    k = key.encode()
-                    for _, last, file, offset, length in rows[bisect_left(tops, k) : bisect_right(firsts, k)]:
-                        if last < k:
-                            continue
-                        lines = lines_of(store.read(file, offset, length))
-                        keys = [x[0].encode() for x in lines]
-                        for _, f, o, n in lines[bisect_left(keys, k) : bisect_right(keys, k)]:
-                            out.append(parsed(zlib.decompress(store.read(f, o, n), 31)))
-                            queries.append(q)
-                found = _rows(out)
-                yield pa.RecordBatch.from_arrays([pa.array(queries, pa.string()), *found.columns], names=[f.name for f in schema])
-
-        return asked.mapInArrow(find, schema)
-
-    out = search(0)
-    for number in range(1, slices):
-        out = out.unionByName(search(number))
-    return out
+    directory = archive.directory
+    tops = sorted((r.part, r.low.encode(), r.high.encode()) for r in directory.groupBy("part").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high")).collect())
+    numbers, lows, highs = [t[0] for t in tops], [t[1] for t in tops], [t[2] for t in tops]  # a row a part of the index
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, parts = [], []
+            for n, key in enumerate(batch.column(1).to_pylist()):
+                k = key.encode()
+                for p in range(bisect_left(highs, k), bisect_right(lows, k)):
+                    rows.append(n)
+                    parts.append(numbers[p])
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), batch.column(0).take(at), batch.column(1).take(at)], names=["part", "q", "k"])
+
+    keys = asked.mapInArrow(deal, "part int, q string, k string").select("part", F.lit(1).alias("kind"), "q", "k", *(F.lit(None).cast(t).alias(c) for c, t in (("last", "string"), ("file", "string"), ("offset", "long"), ("length", "long"))))
+    blocks = directory.select("part", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("q"), F.col("first_key").alias("k"), F.col("last_key").alias("last"), "file", "offset", "length")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, firsts, lasts, places = Store(), [], [], []
+        place, lines, line_keys = None, [], []
+        held, queries = [], []
+
+        def out() -> pa.RecordBatch:
+            found = _rows(held)
+            return pa.RecordBatch.from_arrays([pa.array(queries, pa.string()), *found.columns], names=[f.name for f in schema])
+
+        for batch in batches:
+            cols = batch.to_pydict()
+            for kind, q, key, last, file, offset, length in zip(*(cols[c] for c in ("kind", "q", "k", "last", "file", "offset", "length"))):
+                k = key.encode()
+                if kind == 0:  # the part's directory rows come first, in order
+                    firsts.append(k)
+                    lasts.append(last.encode())
+                    places.append((file, offset, length))
+                    continue
+                for b in range(bisect_left(lasts, k), bisect_right(firsts, k)):
+                    if place != places[b]:
+                        place = places[b]
+                        lines = lines_of(store.read(*place))
+                        line_keys = [x[0].encode() for x in lines]
+                    for _, f, o, n in lines[bisect_left(line_keys, k) : bisect_right(line_keys, k)]:
+                        r = parsed(zlib.decompress(store.read(f, o, n), 31))
+                        held.append(r if payloads else (*r[:-1], None))
+                        queries.append(q)
+                        if len(held) >= 256:
+                            yield out()
+                            held, queries = [], []
+        if held:
+            yield out()
+
+    tiles = keys.unionByName(blocks).repartitionById(max(numbers, default=0) + 1, F.col("part")).sortWithinPartitions("kind", "k", "offset")
+    return tiles.mapInArrow(find, schema)
