@@ -1,4 +1,4 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted verification."""
+"""Benchmark decontamination: item-sized windows from an exact shingle index, exact weighted verification."""
 
 from __future__ import annotations
 
@@ -51,55 +51,37 @@ def simhash_of(h: np.ndarray) -> int:
     return int(np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-class BlockIndex:
-    """Fingerprints by each of radius + 1 blocks of bits: two within the radius agree on a block at least."""
-
-    def __init__(self, radius: int):
-        self.radius = radius
-        self.cuts = [(64 * k // (radius + 1), 64 * (k + 1) // (radius + 1)) for k in range(radius + 1)]
-        self.blocks: list[dict[int, list[int]]] = [defaultdict(list) for _ in self.cuts]
-        self.fps: list[int] = []
-
-    def add(self, fp: int) -> None:
-        for (a, b), block in zip(self.cuts, self.blocks):
-            block[fp >> a & ((1 << (b - a)) - 1)].append(len(self.fps))
-        self.fps.append(fp)
-
-    def find(self, fp: int) -> list[tuple[int, int]]:
-        """(number, distance) of all fingerprints within the radius."""
-        near = {i for (a, b), block in zip(self.cuts, self.blocks) for i in block.get(fp >> a & ((1 << (b - a)) - 1), ())}
-        return sorted((i, d) for i in near if (d := (fp ^ self.fps[i]).bit_count()) <= self.radius)
+class Matcher:
+    """Finds windows of documents that nearly equal benchmark items.
 
+    An inverted index of the items' shingle hashes, as flat arrays: made once, then sent to the workers as it is.
+    """
 
-class Matcher:
-    """Finds windows of documents that nearly equal benchmark items."""
-
-    def __init__(self, items: list[tuple[int, str]], shingle: int, similarity: float, radius: int):
-        self.shingle, self.similarity, self.radius, self.hash = shingle, similarity, radius, RollingHash()
-        self.ids, self.sizes, self.bags = [], [], []
-        self.by_hash: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        self.index: dict[int, BlockIndex] = {}
-        self.numbers: dict[int, list[int]] = defaultdict(list)
+    def __init__(self, items: list[tuple[int, str]], shingle: int, similarity: float):
+        self.shingle, self.similarity = shingle, similarity
+        self.hash = RollingHash()
+        self.ids, self.texts, self.sizes, self.fingerprints = [], [], [], []
+        found: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
         for item, text in items:
             raw, starts, ends = words_of(text)
             if not len(starts):
                 continue
             k = min(shingle, len(starts))
             h = self.hash(raw, starts[: len(starts) - k + 1], ends[k - 1 :])
-            n = len(self.ids)
+            found[k].append((np.unique(h), len(self.ids)))
             self.ids.append(item)
+            self.texts.append(text)
             self.sizes.append(len(starts))
-            self.bags.append(Counter(raw[a:b] for a, b in zip(starts[: len(starts) - k + 1].tolist(), ends[k - 1 :].tolist())))
-            for x in set(h.tolist()):
-                self.by_hash[k][x].append(n)
-            self.index.setdefault(len(starts), BlockIndex(radius)).add(simhash_of(h))
-            self.numbers[len(starts)].append(n)
-        self.masks = {}
-        for k, by in self.by_hash.items():  # a bit for each item shingle's low bits, to pass over the rest quickly
-            bits = max(16, min(26, int(np.log2(max(len(by), 1))) + 6))
-            mask = np.zeros(1 << bits, bool)
-            mask[np.array(list(by), np.uint64) & np.uint64((1 << bits) - 1)] = True
-            self.masks[k] = (mask, np.uint64((1 << bits) - 1))
+            self.fingerprints.append(simhash_of(h))
+        #: By shingle length: item shingles sorted, where each one's items begin, the items, and a bit for each shingle's low bits.
+        self.index: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k, rows in found.items():
+            h, n = np.concatenate([x for x, _ in rows]), np.repeat([n for _, n in rows], [len(x) for x, _ in rows])
+            order = np.argsort(h, kind="stable")
+            keys, starts = np.unique(h[order], return_index=True)
+            mask = np.zeros(1 << max(16, min(26, int(np.log2(len(keys))) + 6)), bool)
+            mask[keys & np.uint64(len(mask) - 1)] = True
+            self.index[k] = keys, np.append(starts, len(h)), n[order], mask
 
     def least(self, m: int, size: int) -> int:
         """The shingles that an item of ``m`` and a window of ``size`` shingles have in common at least, if they are similar."""
@@ -109,65 +91,74 @@ class Matcher:
         """(item id, first word, words, similarity, Hamming distance): the best windows of each item, not overlapping."""
         raw, starts, ends = words_of(text)
         out = []
-        for k, by in self.by_hash.items():
+        for k, (keys, cuts, numbers, mask) in self.index.items():
             if len(starts) < k:
                 continue
             a, b = starts[: len(starts) - k + 1], ends[k - 1 :]
             h = self.hash(raw, a, b)
-            mask, low = self.masks[k]
-            at = np.flatnonzero(mask[h & low])
-            hits: dict[int, list[int]] = defaultdict(list)
-            for p, x in zip(at.tolist(), h[at].tolist()):
-                for n in by.get(x, ()):
-                    hits[n].append(p)
-            for n, where in hits.items():
+            at = np.flatnonzero(mask[h & np.uint64(len(mask) - 1)])
+            place = np.searchsorted(keys, h[at])
+            hit = keys[np.minimum(place, len(keys) - 1)] == h[at]
+            at, place = at[hit], place[hit]
+            if not len(at):
+                continue
+            many = cuts[place + 1] - cuts[place]
+            rows = np.repeat(cuts[place] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+            item, where = numbers[rows], np.repeat(at, many)
+            order = np.argsort(item, kind="stable")
+            item, where = item[order], where[order]
+            first = np.flatnonzero(np.r_[True, item[1:] != item[:-1]])
+            for n, x, y in zip(item[first].tolist(), first.tolist(), [*first[1:].tolist(), len(item)]):
                 m = self.sizes[n] - k + 1
-                if len(where) >= self.least(m, min(m, len(h))):
-                    out += self._windows(n, k, raw, a, b, h, where)
+                if y - x >= self.least(m, min(m, len(h))):
+                    out += self._windows(n, k, raw, a, b, h, where[x:y])
         return out
 
-    def _windows(self, n: int, k: int, raw: bytes, a: np.ndarray, b: np.ndarray, h: np.ndarray, where: list[int]) -> list[tuple[int, int, int, float, int]]:
+    def _windows(self, n: int, k: int, raw: bytes, a: np.ndarray, b: np.ndarray, h: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, float, int]]:
         """A window reaches the similarity only if it holds ``least`` of the item's shingles or more; a shorter document is one window."""
-        m, bag = self.sizes[n] - k + 1, self.bags[n]
+        m = self.sizes[n] - k + 1
         size = min(m, len(h))
         least, words = self.least(m, size), size + k - 1
-        at, found = np.array(where), []
-        runs = []
-        for i in range(len(at) - least + 1):
-            if at[i + least - 1] - at[i] < size:
-                runs.append((max(0, int(at[i + least - 1]) - size + 1), min(int(at[i]), len(h) - size)))
-        for s in sorted({s for lo, hi in runs for s in range(lo, hi + 1)}):
-            fp = simhash_of(h[s : s + size])
-            near = dict(self.index[self.sizes[n]].find(fp))
-            d = near.get(self.numbers[self.sizes[n]].index(n))
-            if d is None:
-                continue
+        text, starts, ends = words_of(self.texts[n])
+        bag = Counter(text[x:y] for x, y in zip(starts[: len(starts) - k + 1].tolist(), ends[k - 1 :].tolist()))
+        near = np.flatnonzero(at[least - 1 :] - at[: len(at) - least + 1] < size)
+        tried = set()
+        for i in near.tolist():
+            tried.update(range(max(0, int(at[i + least - 1]) - size + 1), min(int(at[i]), len(h) - size) + 1))
+        found = []
+        for s in sorted(tried):
             own = Counter(raw[x:y] for x, y in zip(a[s : s + size].tolist(), b[s : s + size].tolist()))
             same = (own & bag).total()
             score = same / (m + size - same)
             if score >= self.similarity - 1e-12:
-                found.append((-score, s, d))
+                found.append((-score, s))
         out, taken = [], []
-        for score, s, d in sorted(found):
+        for score, s in sorted(found):
             if all(abs(s - t) >= self.sizes[n] for t in taken):
                 taken.append(s)
-                out.append((self.ids[n], s, words, -score, d))
+                out.append((self.ids[n], s, words, -score, (simhash_of(h[s : s + size]) ^ self.fingerprints[n]).bit_count()))
         return out
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 20, block_bytes: int = 32 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shingle: int = 5, similarity: float = 0.8, block_bytes: int = 16 << 20) -> DataFrame:
     """(id, item_id, first_word, n_words, similarity, distance): the windows of documents that nearly equal an item.
 
-    A window has as many words as the item; a document of fewer words is one window. It matches if their SimHash fingerprints differ in at most ``radius``
-    bits and the weighted Jaccard similarity of their word shingles (repeats count) is at least ``similarity``. The
-    default radius lies over three standard deviations beyond what that similarity leads to. Of overlapping matches
-    of one item the most similar stays, the first among equals. An item under ``shingle`` words is one shingle.
+    A window has as many words as the item; a document of fewer words is one window. It matches if the weighted
+    Jaccard similarity of their word shingles (repeats count) is at least ``similarity``. Of overlapping matches of one
+    item the most similar stays, the first among equals. An item under ``shingle`` words is one shingle. ``distance``
+    is the number of bits in which the SimHash fingerprints of window and item differ.
+
+    Candidates come from an exact index of the items' shingles: a window that reaches the similarity holds a known
+    number of them (``least``), and only where a document does are windows verified, so none is lost. Multi-index
+    blocks of fingerprints cannot do this: see the README.
 
-    Documents stay in their partitions and are read whole. Windows are fingerprinted only where a document holds
-    enough of an item's shingles to reach the similarity, which loses none. Items go to all tasks in blocks of about
-    ``block_bytes`` of text; beyond one block, documents are read once for each.
+    Documents stay in their partitions and are read whole, however long. Items are indexed on the driver in blocks of
+    about ``block_bytes`` of text, and each worker process gets a block's index once; beyond one block, documents are
+    read once for each.
 
-    Null or empty texts and items match nothing; null ids and repeated rows are treated as any others.
+    Null or empty texts and items match nothing; null ids and repeated rows are treated as any others, and an item that
+    is there twice is found twice. Empty tables on either side give no rows. Other columns are not looked at, whatever
+    their names.
     """
     schema = T.StructType([
         T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_col, T.LongType()), T.StructField("first_word", T.LongType()),
@@ -179,9 +170,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     def search(block: int) -> DataFrame:
         mine = [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()]  # about block_bytes
+        shared = docs.sparkSession.sparkContext.broadcast(Matcher(sorted(mine, key=str), shingle, similarity))
 
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sorted(mine, key=str), shingle, similarity, radius)
+            matcher = shared.value
             for part in parts:
                 rows = [(n, m) for n, t in enumerate(part.column(1)) for m in matcher.find(t.as_py())]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([n for n, _ in rows], pa.int64())), *(pa.array([m[c] for _, m in rows], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32())))], names=[f.name for f in schema])

@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from siltstone.llm.decontam import BlockIndex, Matcher, RollingHash, contaminated, decontaminate, words_of
+from siltstone.llm.decontam import Matcher, RollingHash, contaminated, decontaminate, words_of
 from siltstone.llm.simhash import shingles_of
 
 
@@ -65,15 +65,17 @@ def test_all_windows(spark):
     assert contaminated(df, bench.limit(0)).count() == 0 and contaminated(df.limit(0), bench).count() == 0
 
 
-def test_blocks_and_hashes():
-    index, rng = BlockIndex(6), random.Random(1)
-    fps = [rng.getrandbits(64) for _ in range(50)]
-    for f in fps:
-        index.add(f)
-    for i, f in enumerate(fps):
-        g = f ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 10)))
-        assert index.find(g) == [(j, d) for j, x in enumerate(fps) if (d := (x ^ g).bit_count()) <= 6]
+def test_hashes():
     raw, a, b = words_of("One two one two ONE\ttwo")
     h = RollingHash()(raw, a, b)
     assert h[0] == h[2] == h[4] != h[1] == h[3]
-    assert Matcher([], 5, 0.8, 20).find("any text") == []
+    assert Matcher([], 5, 0.8).find("any text") == []
+
+
+def test_long_texts_and_common_passages():
+    rng = random.Random(3)
+    items = [(i, "the very same words open every item of this set " + " ".join(f"w{rng.randrange(500)}" for _ in range(30))) for i in range(300)]
+    matcher = Matcher(items, 5, 0.8)
+    filler = [f"x{rng.randrange(5000)}" for _ in range(400_000)]
+    text = " ".join(filler[:200_000] + items[7][1].split() + filler[200_000:] + "the very same words open every item of this set".split() * 50)
+    assert [m[:3] for m in matcher.find(text)] == [(7, 200_000, 40)]

@@ -40,15 +40,15 @@ def test_items_less_some_words(spark):
     assert sum(d >= 1000 for d, *_ in want) >= 30
     df = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted((r.doc_id, r.item_id, r.first_word, r.n_words, round(r.similarity, 9)) for r in contaminated(df, bench, radius=64).collect())
+    got = sorted((r.doc_id, r.item_id, r.first_word, r.n_words, round(r.similarity, 9)) for r in contaminated(df, bench).collect())
     assert got == want
-    assert {r.doc_id for r in decontaminate(df, bench, radius=64).collect()} == {d for d, _ in docs} - {w[0] for w in want}
+    assert {r.doc_id for r in decontaminate(df, bench).collect()} == {d for d, _ in docs} - {w[0] for w in want}
 
 
 def test_remnants_of_long_items():
     rng = random.Random(4)
     items = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(30, 90)))) for i in range(50)]
-    matcher = Matcher(items, 5, 0.8, 20)
+    matcher = Matcher(items, 5, 0.8)
     for i, t in items:
         for words in (t.split()[1:], t.split()[:-1]):
             assert [m[:3] for m in matcher.find(" ".join(words))] == [(i, 0, len(words))]
