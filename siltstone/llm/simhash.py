@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from siltstone.llm.common import components, join_small, skew_join, written
+from siltstone.llm.common import components, forget, join_small, skew_join, written
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -167,12 +167,13 @@ def tables_for(radius: int, blocks: int) -> list[list[int]]:
     return [sum(part[k] for k in c) for c in combinations(range(blocks), blocks - radius)]
 
 
-def tiles_of(keyed: DataFrame, tile: int) -> DataFrame:
+def tiles_of(keyed: DataFrame, tile: int, sizes: DataFrame | None = None) -> DataFrame:
     """keyed (node, fp, bucket) -> (node, fp, tile BIGINT, side): buckets of two rows or more, the large ones in tiles.
 
-    A bucket of over ``tile`` rows is dealt into chunks by hash, and each pair of its chunks is a tile.
+    A bucket of over ``tile`` rows is dealt into chunks by hash, and each pair of its chunks is a tile. ``sizes``
+    (bucket, n) names the buckets to take, if not all.
     """
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1") if sizes is None else sizes
     held = skew_join(keyed, sizes, ["bucket"]).withColumn("chunks", F.ceil(F.col("n") / tile))
     held = held.withColumn("c", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")))
     held = held.select("node", "fp", "bucket", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("o"))
@@ -204,8 +205,8 @@ def link_classes(reps: DataFrame, radius: int, blocks: int | None = None, tile:
 
 
 def similar(a: bytes, b: bytes, least: float) -> bool:
-    """Whether the Jaccard similarity of two sets, each a sorted array of 32-bit hashes, reaches ``least``; two empty sets are equal."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    """Whether the Jaccard similarity of two sets, each a sorted array of 64-bit hashes, reaches ``least``; two empty sets are equal."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
     if min(len(x), len(y)) < least * max(len(x), len(y)) - 1e-9:
         return False
     same = len(np.intersect1d(x, y, assume_unique=True))
@@ -259,73 +260,197 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 20, bands: int = 10, rows: int = 3, tile: int = 2048) -> DataFrame:
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The different shingles' XXH64 (seed 42), sorted."""
+    import xxhash
+
+    sh = shingles_of(text, size)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in sh), np.uint64, len(sh)))
+
+
+def simhash_of_set(h: np.ndarray) -> int:
+    if not len(h):
+        return 0
+    bits = np.zeros(64, np.int64)
+    for a in range(0, len(h), 1 << 16):
+        bits += np.unpackbits(h[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(bits * 2 > len(h), bitorder="little").view("<i8")[0])
+
+
+def prefix_of(own: np.ndarray, similarity: float, hot: np.ndarray | None = None) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 of a sorted set; members of ``hot`` (sorted) come last.
+
+    Under one order for all sets, two whose Jaccard similarity reaches ``similarity`` have a member of both prefixes in
+    common.
+    """
+    n = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1 if len(own) else 0
+    if hot is not None and len(hot):
+        last = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
+        own = np.concatenate([own[~last], own[last]])
+    return own[:n]
+
+
+def parity(own: np.ndarray) -> np.ndarray:
+    """512 bits, each the parity of the set's members that fall on it: those of two sets differ in at most as many bits as the sets do in members."""
+    return np.packbits(np.bincount((own & np.uint64(511)).astype(np.int64), minlength=512) & 1, bitorder="little").view("<u8")
+
+
+def pair_finder(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs (u, v) within tiles that are in different components and may be similar by their sizes and parity bits; rows sorted by tile."""
+
+    def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        node, comp, size, bits, tile, side = cols
+        cuts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1], True])
+        us, vs = [], []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            for i in range(a, b):
+                j = np.arange(i + 1, b) if side[i] == 2 else a + np.flatnonzero(side[a:b] == 1) if side[i] == 0 else np.zeros(0, np.int64)
+                j = j[(comp[j] != comp[i]) & (np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]) - 1e-9)]
+                if len(j):
+                    j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(1) <= (1 - similarity) / (1 + similarity) * (size[j] + size[i]) + 1e-9]
+                    us.append(np.minimum(node[j], node[i]))
+                    vs.append(np.maximum(node[j], node[i]))
+        if us:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for part in parts:
+            if not part.num_rows:
+                continue
+            cols = [part.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "size", "tile", "side")]
+            cols.insert(3, part.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, 8))
+            held = [np.concatenate(c) for c in zip(held, cols)] if held else cols
+            cut = int(np.searchsorted(held[4], held[4][-1]))
+            if cut >= 4096:  # all tiles but the last are complete
+                yield from pairs([c[:cut] for c in held])
+                held = [c[cut:] for c in held]
+        if held:
+            yield from pairs(held)
+
+    return run
+
+
+def rest_links(reps: DataFrame, texts: DataFrame, shingle: int, similarity: float, tile: int, hot: int, most_hot: int = 1_000_000) -> DataFrame | None:
+    """(u, v): all links between nodes of different components, found by exact prefixes; None if there are none.
+
+    reps (node, comp, size, prefix, bits), texts (id, text). Similar sets share a member of their prefixes, so only nodes
+    of a shingle whose nodes are of several components can be missing a link. Where over ``hot`` nodes have such a
+    shingle in their prefix, it is put last in the order (at most ``most_hot`` shingles, the most frequent ones; this
+    moves work, and loses nothing), and those nodes' prefixes are taken again. Pairs that sizes and parity bits allow
+    are verified on whole sets.
+    """
+    rows = written(reps.select("node", "comp", F.explode("prefix").alias("bucket")), "prefix")
+    spread = lambda x: written(x.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n"), "spread")
+    shared = spread(rows)
+    often = shared.where(F.col("n") > hot)
+    if often.count():
+        top = often.orderBy(F.col("n").desc(), "bucket").limit(most_hot).select("bucket")
+        last = reps.sparkSession.sparkContext.broadcast(np.sort(np.fromiter((r.bucket for r in top.toLocalIterator()), np.int64).view(np.uint64)))
+        touched = written(skew_join(rows, often.select("bucket"), ["bucket"]).select("node", "comp").distinct(), "touched")
+
+        def again(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                got = [prefix_of(shingle_set(t.as_py(), shingle), similarity, last.value).view(np.int64) for t in part.column(2)]
+                at = np.repeat(np.arange(len(got)), [len(x) for x in got])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(np.concatenate(got) if got else np.zeros(0, np.int64))], names=["node", "comp", "bucket"])
+
+        new = join_small(texts, touched, "id", "node", "inner", 2_000_000).select("node", "comp", "text").mapInArrow(again, "node long, comp long, bucket long")
+        rest = join_small(rows, touched.select(F.col("node").alias("gone")), "node", "gone", "left_anti", 2_000_000)
+        then = written(rest.unionByName(new), "prefix")
+        forget(rows), forget(shared), forget(touched)
+        rows, shared = then, spread(then)
+    held = tiles_of(rows.select("node", F.col("comp").alias("fp"), "bucket"), tile, shared).withColumnRenamed("fp", "comp")
+    held = skew_join(held, reps.select("node", "size", "bits"), ["node"])
+    pairs = written(held.select("node", "comp", "size", "bits", "tile", "side").repartition("tile").sortWithinPartitions("tile").mapInArrow(pair_finder(similarity), "u long, v long").distinct(), "pairs")
+    forget(rows), forget(shared)
+    if not pairs.count():
+        return None
+
+    def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in part.column(1)], pa.binary())], names=["node", "sets"])
+
+    def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            ok = [similar(a.as_py(), b.as_py(), similarity) for a, b in zip(part.column(2), part.column(3))]
+            yield part.filter(pa.array(ok, pa.bool_())).select(["u", "v"])
+
+    nodes = written(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "asked")
+    whole = written(join_small(texts, nodes, "id", "node", "inner", 2_000_000).select("node", "text").mapInArrow(sets, "node long, sets binary"), "sets")
+    left = skew_join(pairs.withColumnRenamed("u", "node"), whole, ["node"]).select(F.col("node").alias("u"), "v", F.col("sets").alias("a"))
+    both = skew_join(left.withColumnRenamed("v", "node"), whole, ["node"]).select("u", F.col("node").alias("v"), "a", F.col("sets").alias("b"))
+    links = written(both.mapInArrow(verify, "u long, v long"), "rest")
+    forget(pairs), forget(nodes), forget(whole)
+    return links
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 20, bands: int = 10, rows: int = 3, tile: int = 2048, hot: int = 1024) -> DataFrame:
     """(id, component: the smallest id reachable by links) for every id: groups of texts whose shingle sets are similar.
 
-    Two texts link if the Jaccard similarity of their sets of word shingles is at least ``similarity``. At 0.8 the
-    SimHash fingerprints of these sets (repeats do not count) differ in about ten bits, too many for blocks of equal bits, so the blocks for the bit-sliced
-    comparison are texts that agree on ``rows`` minima of ``bands`` times as many hash functions: at a similarity of
-    0.8 all bands miss a pair once in a thousand, and less often above. Within a block, pairs within ``radius`` bits
-    (over three standard deviations beyond the mean at 0.8) are verified on their whole shingle sets. Both steps can
-    lose a pair close to 0.8 by chance.
+    Two texts link if the Jaccard similarity of their sets of word shingles is at least ``similarity``; no link is lost.
+
+    First most links are found by SimHash. At 0.8 the fingerprints of these sets (repeats do not count) differ in about
+    ten bits, too many for blocks of equal bits, so the blocks for the bit-sliced comparison are texts that agree on
+    ``rows`` minima of ``bands`` times as many hash functions. Within a block, pairs within ``radius`` bits are
+    verified on their whole shingle sets. This misses few pairs, and leaves most groups whole.
+
+    Then ``rest_links`` finds every link that is missing between the groups so far, by exact prefixes of the sets.
 
     Texts with equal sets are one class and never meet in a task. Blocks over ``tile`` texts are cut into tiles of
-    two chunks. Only texts in blocks of two or more are read a second time, for their sets.
+    two chunks. Only texts in blocks of two or more, or in pairs that may be similar, are read again for their sets.
 
     Null and empty texts are equal to each other. Rows with a null id are left out; rows that repeat an id are one
-    document, whose groups are those of all its texts.
+    document, whose groups are those of all its texts. Texts are read whole, however long. An empty table gives no
+    rows. Other columns are not looked at, whatever their names.
     """
     import xxhash
 
     rng = np.random.default_rng(41)
     mul, add = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
 
-    def hashes(text: str | None) -> np.ndarray:
-        sh = shingles_of(text, shingle)
-        return np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in sh), np.uint64, len(sh))
-
-    def simhash(h: np.ndarray) -> int:
-        if not len(h):
-            return 0
-        bits = np.zeros(64, np.int64)
-        for a in range(0, len(h), 1 << 16):
-            bits += np.unpackbits(h[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        return int(np.packbits(bits * 2 > len(h), bitorder="little").view("<i8")[0])
-
     def sketch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            fps, same, keys = [], [], []
+            fps, same, keys, sizes, prefixes, bits = [], [], [], [], [], []
             for t in part.column(1):
-                h = hashes(t.as_py())
-                own = np.unique(h)
-                fps.append(simhash(own))
+                own = shingle_set(t.as_py(), shingle)
+                fps.append(simhash_of_set(own))
                 same.append(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63))
                 low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
                 for a in range(0, len(own), 4096):
                     low = np.minimum(low, (own[None, a : a + 4096] * mul[:, None] + add[:, None]).min(axis=1))
                 keys.append([xxhash.xxh64_intdigest(low[b * rows : (b + 1) * rows].tobytes(), b) - (1 << 63) for b in range(bands)] if len(own) else [])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64()), pa.array(same, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "fp", "same", "keys"])
+                sizes.append(len(own))
+                prefixes.append(prefix_of(own, similarity).view(np.int64))
+                bits.append(parity(own).view(np.int64))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64()), pa.array(same, pa.int64()), pa.array(keys, longs), pa.array(sizes, pa.int64()), pa.array(prefixes, longs), pa.array(bits, longs)], names=["id", "fp", "same", "keys", "size", "prefix", "bits"])
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = written(texts.mapInArrow(sketch, "id long, fp long, same long, keys array<long>"), "sketch")
-    classes = written(sketches.groupBy("same").agg(F.min("id").alias("node"), F.min(F.struct("id", "fp", "keys")).alias("x")).select("same", "node", "x.fp", "x.keys"), "classes")
+    sketches = written(texts.mapInArrow(sketch, "id long, fp long, same long, keys array<long>, size long, prefix array<long>, bits array<long>"), "sketch")
+    first = sketches.groupBy("same").agg(F.min("id").alias("node"), F.min(F.struct("id", "fp", "keys", "size", "prefix", "bits")).alias("x"))
+    classes = written(first.select("same", "node", "x.fp", "x.keys", "x.size", "x.prefix", "x.bits"), "classes")
     tiled = tiles_of(classes.select("node", "fp", F.explode("keys").alias("bucket")), tile)
     places = written(tiled.groupBy("node").agg(F.collect_list(F.struct("tile", "side")).alias("at")), "places")
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for n in range(part.num_rows):
-                h = np.unique(hashes(part.column(1)[n].as_py()))
-                own = np.unique((h >> np.uint64(32)).astype("<u4")).tobytes()
+                h = shingle_set(part.column(1)[n].as_py(), shingle)
                 at = part.column(2)[n].as_py()
                 k = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0)[n].as_py()] * k, pa.int64()), pa.array([simhash(h)] * k, pa.int64()), pa.array([x["tile"] for x in at], pa.int64()), pa.array([x["side"] for x in at], pa.int8()), pa.array([own] * k, pa.binary())], names=["node", "fp", "tile", "side", "sets"])
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0)[n].as_py()] * k, pa.int64()), pa.array([simhash_of_set(h)] * k, pa.int64()), pa.array([x["tile"] for x in at], pa.int64()), pa.array([x["side"] for x in at], pa.int8()), pa.array([h.tobytes()] * k, pa.binary())], names=["node", "fp", "tile", "side", "sets"])
 
     again = join_small(texts, places, "id", "node", "inner", 100_000).select("id", "text", "at")  # of one node, some hundred bytes
     held = again.mapInArrow(sets, "node long, fp long, tile long, side byte, sets binary")
     edges = held.repartition("tile").sortWithinPartitions("tile").mapInArrow(tile_linker(radius, similarity), "u long, v long")
     copies = skew_join(sketches.select("id", "same"), classes.select("same", "node"), ["same"]).select(F.col("id").alias("u"), F.col("node").alias("v")).where("u <> v")
-    roots = components(edges.unionByName(copies))
+    roots = written(components(edges.unionByName(copies)), "roots")
+    reps = skew_join(classes.select("node", "size", "prefix", "bits"), roots, ["node"], "left").withColumn("comp", F.coalesce("root", "node"))
+    links = rest_links(reps.select("node", "comp", "size", "prefix", "bits"), texts, shingle, similarity, tile, hot)
+    forget(places), forget(classes)
+    if links is not None:
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
     ids = sketches.select("id").distinct()
     return ids.join(roots, ids["id"] == roots["node"], "left").select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("component"))
 
