@@ -1,4 +1,4 @@
-"""Byte-level BPE: merges replayed over all different words at once, and decoding."""
+"""Byte-level BPE: merges replayed over the corpus's different words, and decoding."""
 
 from __future__ import annotations
 
@@ -9,28 +9,36 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from siltstone.llm.common import written
+
+#: Words over this many bytes are replayed step by step; in the others a merge is applied to all words at once.
+LONG = 64
 
 
 class ReplayEncoder:
     """Encodes words by replaying merges over a whole set of words in rank order.
 
-    The words' bytes lie in one array with links to both neighbours. An inverted index leads from the rank of a
+    ``encode_words`` takes any number of words; the more, the cheaper each. The words' bytes lie in one array with links
+    to both neighbours. An inverted index leads from the rank of a
     token pair to the positions where that pair begins; ranks are taken in rising order, each merge touches the two
     neighbouring pairs only. Words are independent, and a pair that a merge creates below the rank in hand is taken
     before the rest, so that each word sees its lowest pair first, leftmost among equals.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, cache: int = 1_000_000):
+    def __init__(self, ranks_path: str, pattern: str):
         import regex
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self._load(ranks, regex.compile(pattern).findall, cache)
+        self._load(ranks, regex.compile(pattern).findall)
 
-    def _load(self, ranks: dict[bytes, int], find, cache: int) -> None:
-        self.ranks, self.find, self.cache = ranks, find, cache
+    def _load(self, ranks: dict[bytes, int], find) -> None:
+        self.ranks, self.find = ranks, find
         self.byte_ids = [ranks[bytes([i])] for i in range(256)]
         self.table = np.empty(max(ranks.values()) + 1, dtype=object)
         self.table[:] = b""
@@ -42,7 +50,8 @@ class ReplayEncoder:
                 a, b = ranks.get(token[:k]), ranks.get(token[k:])
                 if a is not None and b is not None:
                     self.pairs[a << 32 | b] = rank
-        self.known: dict[str, bytes] = {}
+        self.pair_keys = np.array(sorted(self.pairs), np.int64)
+        self.pair_ranks = np.array([self.pairs[k] for k in self.pair_keys.tolist()], np.int64)
 
     def replay(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word as little-endian unsigned 32-bit integers."""
@@ -109,14 +118,91 @@ class ReplayEncoder:
             out[n] = raw[4 * a : 4 * b]
         return out
 
+    def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair of neighbours, -1 where they do not merge."""
+        if not len(self.pair_keys):
+            return np.full(len(a), -1, np.int64)
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == key) & (a >= 0) & (b >= 0), self.pair_ranks[at], -1)
+
+    def replay_together(self, words: list[bytes]) -> list[bytes]:
+        """What ``replay`` gives, a merge in all words at once.
+
+        In each step the lowest rank in the index is taken, and the leftmost place of each word that has it is merged;
+        only the pairs on both sides of these places are looked up again. Other places of a word with the same rank wait
+        for the next step, so that a lower pair that a merge has made comes first.
+        """
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        total = len(raw) + len(words)
+        ids = np.full(total, -1, np.int64)  # -1 after each word: no pair crosses it; -2: merged into the token before
+        ids[np.arange(len(raw)) + np.repeat(np.arange(len(words)), sizes)] = np.array(self.byte_ids, np.int64)[raw]
+        word = np.repeat(np.arange(len(words)), sizes + 1)
+        after, before = np.arange(1, total + 1), np.arange(-1, total - 1)
+        index: defaultdict[int, list[np.ndarray]] = defaultdict(list)
+        heap: list[int] = []
+
+        def enter(at: np.ndarray, rank: np.ndarray) -> None:
+            held = rank >= 0
+            at, rank = at[held], rank[held]
+            if not len(at):
+                return
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            cut = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+            for r, x in zip(rank[np.r_[0, cut]].tolist(), np.split(at, cut)):
+                if r not in index:
+                    heapq.heappush(heap, r)
+                index[r].append(x)
+
+        enter(np.arange(total - 1), self.ranks_of(ids[:-1], ids[1:]))
+        while heap:
+            rank = heapq.heappop(heap)
+            found = index.pop(rank, None)
+            if found is None:
+                continue
+            at = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+            at = at[self.ranks_of(ids[at], ids[after[at]]) == rank]  # a neighbour may have been merged meanwhile
+            if not len(at):
+                continue
+            own = word[at]
+            first = np.r_[True, own[1:] != own[:-1]]
+            if not first.all():
+                index[rank] = [at[~first]]
+                heapq.heappush(heap, rank)
+                at = at[first]
+            gone = after[at]
+            right, left = after[gone], before[at]
+            ids[at], ids[gone], after[at], before[right] = rank, -2, right, at
+            token = np.full(len(at), rank, np.int64)
+            inside = left >= 0
+            enter(np.concatenate([left[inside], at]), np.concatenate([self.ranks_of(ids[left[inside]], token[inside]), self.ranks_of(token, ids[right])]))
+        kept = np.flatnonzero(ids >= 0)
+        flat = ids[kept].astype("<u4").tobytes()
+        ends = (np.cumsum(np.bincount(word[kept], minlength=len(words))) * 4).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as little-endian unsigned 32-bit integers."""
+        out = [b""] * len(words)
+        short, long = [], []
+        for n, w in enumerate(words):
+            whole = self.ranks.get(w)
+            if whole is not None:  # the word is a token; as in every rank file, its merges lead there
+                out[n] = whole.to_bytes(4, "little")
+            else:
+                (short if len(w) <= LONG else long).append(n)
+        for some, way in ((short, self.replay_together), (long, self.replay)):
+            if some:
+                for n, x in zip(some, way([words[n] for n in some])):
+                    out[n] = x
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.find(t) for t in texts]
-        known = self.known
-        if len(known) > self.cache:
-            known.clear()
-        new = list({w for ws in split for w in ws if w not in known})
-        for a in range(0, len(new), 2048):  # sets that fit the processor's cache
-            known.update(zip(new[a : a + 2048], self.replay([w.encode() for w in new[a : a + 2048]])))
+        words = list({w for ws in split for w in ws})
+        known = dict(zip(words, self.encode_words([w.encode() for w in words])))
         return [b"".join([known[w] for w in ws]) for ws in split]
 
     def decode(self, ids: bytes) -> bytes:
@@ -124,12 +210,12 @@ class ReplayEncoder:
 
 
 @lru_cache(2)
-def coder_of(ranks_path: str, pattern: str, cache: int) -> ReplayEncoder:
+def coder_of(ranks_path: str, pattern: str) -> ReplayEncoder:
     """One for all tasks of a worker process."""
-    return ReplayEncoder(ranks_path, pattern, cache)
+    return ReplayEncoder(ranks_path, pattern)
 
 
-def batches_of(texts: Iterable[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def batches_of(texts: Iterable[str], most: int) -> Iterator[tuple[int, int]]:
     """(from, to) of runs of texts with about ``most`` characters, one text at least."""
     a = n = b = -1
     a, n = 0, 0
@@ -142,26 +228,114 @@ def batches_of(texts: Iterable[str], most: int = 2_000_000) -> Iterator[tuple[in
         yield a, b + 1
 
 
-def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cache: int = 1_000_000) -> DataFrame:
+def split_chunks(docs: DataFrame, pattern: str, id_col: str, text_col: str, chunk_chars: int) -> DataFrame:
+    """The texts in chunks: a row with the ids and the pieces' numbers for each chunk, and a row for each different piece (word)."""
+    import zstandard
+
+    kind = docs.schema[id_col].dataType
+    schema = T.StructType([
+        T.StructField("chunk", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("word", T.BinaryType()),
+        T.StructField("ids", T.ArrayType(kind)), T.StructField("sizes", T.BinaryType()), T.StructField("pieces", T.BinaryType()),
+    ])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        find, place, number = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
+        held, texts, size = [], [], 0
+
+        def chunk() -> Iterator[pa.RecordBatch]:
+            index: defaultdict[str, int] = defaultdict()
+            index.default_factory = index.__len__
+            look, sizes, pieces = index.__getitem__, [], []
+            for t in texts:
+                split = find(t)
+                sizes.append(len(split))
+                pieces.append(np.fromiter(map(look, split), np.uint32, len(split)))
+            ids = pa.concat_arrays(held)
+            whole = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            packed = zstandard.ZstdCompressor(level=1).compress(np.concatenate(pieces).tobytes())
+            key = place << 24 | number
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([-1], pa.int32()), pa.array([None], pa.binary()), whole, pa.array([np.array(sizes, np.uint32).tobytes()], pa.binary()), pa.array([packed], pa.binary())], names=schema.names)
+            words = list(index)
+            for a in range(0, len(words), 1 << 16):
+                some = [w.encode() for w in words[a : a + (1 << 16)]]
+                k = len(some)
+                none = pa.nulls(k, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, key)), pa.array(np.arange(a, a + k, dtype=np.int32)), pa.array(some, pa.binary()), pa.nulls(k, whole.type), none, none], names=schema.names)
+
+        for part in parts:
+            rows = [t or "" for t in part.column(1).to_pylist()]
+            for a, b in batches_of(rows, max(1, chunk_chars // 8)):
+                held.append(part.column(0).slice(a, b - a))
+                texts += rows[a:b]
+                size += sum(map(len, rows[a:b]))
+                if size >= chunk_chars:
+                    yield from chunk()
+                    held, texts, size, number = [], [], 0, number + 1
+        if texts:
+            yield from chunk()
+
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 16 << 20) -> DataFrame:
     """(id, n_tokens BIGINT, ids BINARY, decoded BINARY) for every row: encoding, and what decoding its ids gives.
 
     ``ids`` are little-endian unsigned 32-bit integers. Pieces of ``pattern`` are encoded separately, without special
-    tokens. No row leaves its partition: each task replays the merges over the different words of a few megabytes
-    of text at a time and keeps a table of at most about ``cache`` words already encoded (some 220 bytes each, for all tasks of a
-    worker process): a larger one saves time, a smaller one memory. ``ranks_path`` names a rank file present on
-    every executor.
+    tokens. Texts are split once, in chunks of about ``chunk_chars`` characters, into numbers of the chunk's different
+    pieces. The different pieces of the whole corpus are gathered, and the merges replayed over them, once for each
+    piece; their ids are joined back to the chunks' pieces by hash, where adaptive execution can split a piece that all
+    chunks have. The texts themselves are never exchanged: only numbers of pieces, compressed, and different pieces.
+    ``ranks_path`` names a rank file present on every executor.
 
-    Null or empty text: no ids. Null ids and repeated rows pass through. Other columns are not returned.
+    Null or empty text: no ids. Very long texts are one chunk. Null ids and repeated rows pass through; an empty table
+    gives no rows. Other columns are not returned, and may have any name.
     """
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+    split = written(split_chunks(docs, pattern, id_col, text_col, chunk_chars), "bpe-split")
+    words = split.where("n >= 0").select("chunk", "n", "word")
+
+    def replay(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, held = coder_of(ranks_path, pattern), []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            ids = coder.encode_words(held)
+            for a in range(0, len(held), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(held[a : a + (1 << 16)], pa.binary()), pa.array(ids[a : a + (1 << 16)], pa.binary())], names=["own", "tokens"])
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_of(ranks_path, pattern, cache)
         for part in parts:
-            texts = [t or "" for t in part.column(1).to_pylist()]
-            for a, b in batches_of(texts):
-                ids = coder.encode(texts[a:b])
-                back = [coder.decode(x) for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], names=[id_col, "n_tokens", "ids", "decoded"])
+            held += part.column(0).to_pylist()
+            if len(held) >= 1_000_000:
+                yield from done()
+                held = []
+        if held:
+            yield from done()
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    encoded = written(words.select("word").distinct().mapInArrow(replay, "own binary, tokens binary"), "bpe-words")
+    found = words.join(encoded, F.col("word") == F.col("own")).select(F.col("chunk").alias("of"), "n", "tokens")
+
+    def assemble(texts: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
+
+        coder = coder_of(ranks_path, pattern)
+        out = {id_col: [], "n_tokens": [], "ids": [], "decoded": []}
+        if len(texts):
+            tokens = [b""] * len(pieces)
+            for n, x in zip(pieces["n"].tolist(), pieces["tokens"].tolist()):
+                tokens[n] = x
+            lengths = np.fromiter(map(len, tokens), np.int64, len(tokens)) // 4
+            flat, starts = np.frombuffer(b"".join(tokens), "<u4"), np.cumsum(lengths) - lengths
+            number = np.frombuffer(zstandard.ZstdDecompressor().decompress(texts["pieces"].iloc[0]), np.uint32).astype(np.int64)
+            ends = np.cumsum(np.frombuffer(texts["sizes"].iloc[0], np.uint32).astype(np.int64)).tolist()
+            for own, a, b in zip(list(texts["ids"].iloc[0]), [0, *ends], ends):
+                many = lengths[number[a:b]]
+                at = np.repeat(starts[number[a:b]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                ids = flat[at].tobytes()
+                for name, x in zip(out, (own, len(ids) // 4, ids, coder.decode(ids))):
+                    out[name].append(x)
+        out[id_col] = pd.Series(out[id_col], dtype="Int64" if isinstance(schema[id_col].dataType, T.LongType) else None)
+        return pd.DataFrame(out)
+
+    texts = split.where("n < 0").select("chunk", "ids", "sizes", "pieces")
+    return texts.groupBy("chunk").cogroup(found.groupBy("of")).applyInPandas(assemble, schema)

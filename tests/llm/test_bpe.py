@@ -53,7 +53,7 @@ def test_lower_pair_created_by_a_merge_comes_first():
 
     coder = ReplayEncoder.__new__(ReplayEncoder)
     ranks = {bytes([i]): i for i in range(256)} | {b"abc": 300, b"bc": 310, b"xabc": 299, b"ca": 320}
-    coder._load(ranks, regex.compile(r"\w+").findall, 10)
+    coder._load(ranks, regex.compile(r"\w+").findall)
     enc = tiktoken.Encoding("t", pat_str=r"\w+", mergeable_ranks=ranks, special_tokens={})
     for w in ("abcabc", "xabcxabc", "cabca", "abcaabcabc", "bcabcbc"):
         assert coder.encode([w])[0] == b"".join(i.to_bytes(4, "little") for i in enc.encode_ordinary(w)), w
@@ -65,3 +65,40 @@ def test_rows(spark):
     got = sorted(((r.doc_id, r.n_tokens, bytes(r.decoded).decode()) for r in bpe_round_trip(df, PATH, public_tokenizers.PATTERN).collect()), key=str)
     assert [(d, t) for d, _, t in got] == sorted(((d, t or "") for d, t in rows), key=str)
     assert bpe_round_trip(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_both_replays_equal_library_under_random_ranks():
+    import regex
+
+    rng = random.Random(9)
+    for _ in range(60):
+        ranks = {bytes([i]): i for i in range(256)}
+        parts = [b"a", b"b", b"c"]
+        for _ in range(rng.randrange(5, 60)):
+            t = rng.choice(parts) + rng.choice(parts)
+            if t not in ranks and len(t) < 9:
+                ranks[t] = 0
+                parts.append(t)
+        new = [t for t in ranks if len(t) > 1]
+        rng.shuffle(new)  # any order: merges may create lower pairs than their own
+        ranks |= {t: 256 + i for i, t in enumerate(new)}
+        coder = ReplayEncoder.__new__(ReplayEncoder)
+        coder._load(ranks, regex.compile(r"\w+").findall)
+        enc = tiktoken.Encoding("t", pat_str=r"\w+", mergeable_ranks=ranks, special_tokens={})
+        words = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 40))) for _ in range(50)]
+        want = [b"".join(i.to_bytes(4, "little") for i in enc.encode_ordinary(w.decode())) for w in words]
+        assert coder.replay(words) == want
+        assert [t if w not in ranks else x for w, x, t in zip(words, want, coder.replay_together(words))] == want
+        assert coder.encode_words(words) == want
+
+
+def test_chunks_and_long_texts(spark):
+    rng = random.Random(4)
+    enc = plain()
+    rows = [(f"id{i}", "".join(rng.choice(["ab", "cd ", " the", "\n", "é", "xyz", "12 "]) for _ in range(rng.randrange(0, 300)))) for i in range(300)]
+    rows += [("long", " ".join(f"w{rng.randrange(10**6)}" for _ in range(60_000))), ("one", "z" * 30_000), (None, None), ("id1", rows[1][1])]
+    df = spark.createDataFrame([(a, b, 1, "c") for a, b in rows], "doc_id string, text string, n int, chunk string").repartition(3)
+    want = sorted(((d, b"".join(i.to_bytes(4, "little") for i in enc.encode_ordinary(t or "")), (t or "").encode()) for d, t in rows), key=str)
+    for size in (1 << 20, 2000):
+        out = bpe_round_trip(df, PATH, public_tokenizers.PATTERN, chunk_chars=size)
+        assert sorted(((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in out.collect()), key=str) == want
