@@ -9,9 +9,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from siltstone.llm.common import written
@@ -50,6 +48,7 @@ class ReplayEncoder:
                 a, b = ranks.get(token[:k]), ranks.get(token[k:])
                 if a is not None and b is not None:
                     self.pairs[a << 32 | b] = rank
+        self.held: tuple | None = None  # what a task keeps for the next ones of its process
         self.pair_keys = np.array(sorted(self.pairs), np.int64)
         self.pair_ranks = np.array([self.pairs[k] for k in self.pair_keys.tolist()], np.int64)
 
@@ -229,22 +228,18 @@ def batches_of(texts: Iterable[str], most: int) -> Iterator[tuple[int, int]]:
 
 
 def split_chunks(docs: DataFrame, pattern: str, id_col: str, text_col: str, chunk_chars: int) -> DataFrame:
-    """The texts in chunks: a row with the ids and the pieces' numbers for each chunk, and a row for each different piece (word)."""
+    """The texts in chunks, a row each: ids, number of pieces of each text, the pieces as numbers (compressed), the chunk's different pieces."""
     import zstandard
 
-    kind = docs.schema[id_col].dataType
-    schema = T.StructType([
-        T.StructField("chunk", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("word", T.BinaryType()),
-        T.StructField("ids", T.ArrayType(kind)), T.StructField("sizes", T.BinaryType()), T.StructField("pieces", T.BinaryType()),
-    ])
+    longs = T.ArrayType(docs.schema[id_col].dataType)
+    schema = T.StructType([T.StructField("ids", longs), T.StructField("sizes", T.BinaryType()), T.StructField("pieces", T.BinaryType()), T.StructField("words", T.ArrayType(T.BinaryType()))])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, place, number = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
-        held, texts, size = [], [], 0
+        find, held, texts, size = regex.compile(pattern).findall, [], [], 0
 
-        def chunk() -> Iterator[pa.RecordBatch]:
+        def chunk() -> pa.RecordBatch:
             index: defaultdict[str, int] = defaultdict()
             index.default_factory = index.__len__
             look, sizes, pieces = index.__getitem__, [], []
@@ -252,17 +247,10 @@ def split_chunks(docs: DataFrame, pattern: str, id_col: str, text_col: str, chun
                 split = find(t)
                 sizes.append(len(split))
                 pieces.append(np.fromiter(map(look, split), np.uint32, len(split)))
-            ids = pa.concat_arrays(held)
-            whole = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             packed = zstandard.ZstdCompressor(level=1).compress(np.concatenate(pieces).tobytes())
-            key = place << 24 | number
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([-1], pa.int32()), pa.array([None], pa.binary()), whole, pa.array([np.array(sizes, np.uint32).tobytes()], pa.binary()), pa.array([packed], pa.binary())], names=schema.names)
-            words = list(index)
-            for a in range(0, len(words), 1 << 16):
-                some = [w.encode() for w in words[a : a + (1 << 16)]]
-                k = len(some)
-                none = pa.nulls(k, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, key)), pa.array(np.arange(a, a + k, dtype=np.int32)), pa.array(some, pa.binary()), pa.nulls(k, whole.type), none, none], names=schema.names)
+            words = one(pa.array([w.encode() for w in index], pa.binary()))
+            return pa.RecordBatch.from_arrays([one(pa.concat_arrays(held)), pa.array([np.array(sizes, np.uint32).tobytes()], pa.binary()), pa.array([packed], pa.binary()), words], names=schema.names)
 
         for part in parts:
             rows = [t or "" for t in part.column(1).to_pylist()]
@@ -271,22 +259,23 @@ def split_chunks(docs: DataFrame, pattern: str, id_col: str, text_col: str, chun
                 texts += rows[a:b]
                 size += sum(map(len, rows[a:b]))
                 if size >= chunk_chars:
-                    yield from chunk()
-                    held, texts, size, number = [], [], 0, number + 1
+                    yield chunk()
+                    held, texts, size = [], [], 0
         if texts:
-            yield from chunk()
+            yield chunk()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 16 << 20) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 16 << 20, most_words: int = 400_000) -> DataFrame:
     """(id, n_tokens BIGINT, ids BINARY, decoded BINARY) for every row: encoding, and what decoding its ids gives.
 
     ``ids`` are little-endian unsigned 32-bit integers. Pieces of ``pattern`` are encoded separately, without special
     tokens. Texts are split once, in chunks of about ``chunk_chars`` characters, into numbers of the chunk's different
-    pieces. The different pieces of the whole corpus are gathered, and the merges replayed over them, once for each
-    piece; their ids are joined back to the chunks' pieces by hash, where adaptive execution can split a piece that all
-    chunks have. The texts themselves are never exchanged: only numbers of pieces, compressed, and different pieces.
+    pieces. Over the whole corpus the chunks of each different piece are counted; the merges are replayed together over
+    those that several chunks have, ``most_words`` of them at most, those of most chunks first, and their ids go to all
+    tasks (some 20 bytes a piece). The others, rare ones, are replayed together in each chunk that has them. So texts
+    are never exchanged, and a piece of very many chunks is one counter a task.
     ``ranks_path`` names a rank file present on every executor.
 
     Null or empty text: no ids. Very long texts are one chunk. Null ids and repeated rows pass through; an empty table
@@ -294,48 +283,40 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     """
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
     split = written(split_chunks(docs, pattern, id_col, text_col, chunk_chars), "bpe-split")
-    words = split.where("n >= 0").select("chunk", "n", "word")
+    often = split.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.col("n").desc(), "word").limit(most_words).select("word")
 
     def replay(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, held = coder_of(ranks_path, pattern), []
+        words = [w for part in parts for w in part.column(0).to_pylist()]  # most_words at most
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(coder_of(ranks_path, pattern).encode_words(words), pa.binary())], names=["word", "tokens"])
 
-        def done() -> Iterator[pa.RecordBatch]:
-            ids = coder.encode_words(held)
-            for a in range(0, len(held), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(held[a : a + (1 << 16)], pa.binary()), pa.array(ids[a : a + (1 << 16)], pa.binary())], names=["own", "tokens"])
+    once = often.mapInArrow(replay, "word binary, tokens binary").toArrow().combine_chunks()
+    shared = docs.sparkSession.sparkContext.broadcast([pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], pa.binary()) for c in once.columns])
 
-        for part in parts:
-            held += part.column(0).to_pylist()
-            if len(held) >= 1_000_000:
-                yield from done()
-                held = []
-        if held:
-            yield from done()
-
-    encoded = written(words.select("word").distinct().mapInArrow(replay, "own binary, tokens binary"), "bpe-words")
-    found = words.join(encoded, F.col("word") == F.col("own")).select(F.col("chunk").alias("of"), "n", "tokens")
-
-    def assemble(texts: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
+    def assemble(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         coder = coder_of(ranks_path, pattern)
-        out = {id_col: [], "n_tokens": [], "ids": [], "decoded": []}
-        if len(texts):
-            tokens = [b""] * len(pieces)
-            for n, x in zip(pieces["n"].tolist(), pieces["tokens"].tolist()):
-                tokens[n] = x
-            lengths = np.fromiter(map(len, tokens), np.int64, len(tokens)) // 4
-            flat, starts = np.frombuffer(b"".join(tokens), "<u4"), np.cumsum(lengths) - lengths
-            number = np.frombuffer(zstandard.ZstdDecompressor().decompress(texts["pieces"].iloc[0]), np.uint32).astype(np.int64)
-            ends = np.cumsum(np.frombuffer(texts["sizes"].iloc[0], np.uint32).astype(np.int64)).tolist()
-            for own, a, b in zip(list(texts["ids"].iloc[0]), [0, *ends], ends):
-                many = lengths[number[a:b]]
-                at = np.repeat(starts[number[a:b]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                ids = flat[at].tobytes()
-                for name, x in zip(out, (own, len(ids) // 4, ids, coder.decode(ids))):
-                    out[name].append(x)
-        out[id_col] = pd.Series(out[id_col], dtype="Int64" if isinstance(schema[id_col].dataType, T.LongType) else None)
-        return pd.DataFrame(out)
-
-    texts = split.where("n < 0").select("chunk", "ids", "sizes", "pieces")
-    return texts.groupBy("chunk").cogroup(found.groupBy("of")).applyInPandas(assemble, schema)
+        if coder.held is None or coder.held[0] is not shared.value:
+            coder.held = shared.value, dict(zip(*(x.to_pylist() for x in shared.value)))
+        known = coder.held[1]
+        for part in parts:
+            for row in range(part.num_rows):
+                words = part.column(3)[row].values.to_pylist()
+                tokens = list(map(known.get, words))
+                rare = [n for n, x in enumerate(tokens) if x is None]
+                for n, x in zip(rare, coder.encode_words([words[n] for n in rare])):
+                    tokens[n] = x
+                lengths = np.fromiter(map(len, tokens), np.int64, len(tokens)) // 4
+                flat, starts = np.frombuffer(b"".join(tokens), "<u4"), np.cumsum(lengths) - lengths
+                number = np.frombuffer(zstandard.ZstdDecompressor().decompress(part.column(2)[row].as_py()), np.uint32)
+                ends = np.cumsum(np.frombuffer(part.column(1)[row].as_py(), np.uint32).astype(np.int64)).tolist()
+                own = part.column(0)[row].values
+                for a in range(0, len(ends), 1024):
+                    ids, counts = [], []
+                    for x, y in zip([ends[a - 1] if a else 0, *ends[a : a + 1023]], ends[a : a + 1024]):
+                        at, many = starts[number[x:y]], lengths[number[x:y]]
+                        ids.append(flat[np.repeat(at - (np.cumsum(many) - many), many) + np.arange(many.sum())].tobytes())
+                        counts.append(len(ids[-1]) // 4)
+                    yield pa.RecordBatch.from_arrays([own.slice(a, len(ids)), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array([coder.decode(x) for x in ids], pa.binary())], names=schema.names)
+
+    return split.mapInArrow(assemble, schema)

@@ -99,6 +99,6 @@ def test_chunks_and_long_texts(spark):
     rows += [("long", " ".join(f"w{rng.randrange(10**6)}" for _ in range(60_000))), ("one", "z" * 30_000), (None, None), ("id1", rows[1][1])]
     df = spark.createDataFrame([(a, b, 1, "c") for a, b in rows], "doc_id string, text string, n int, chunk string").repartition(3)
     want = sorted(((d, b"".join(i.to_bytes(4, "little") for i in enc.encode_ordinary(t or "")), (t or "").encode()) for d, t in rows), key=str)
-    for size in (1 << 20, 2000):
-        out = bpe_round_trip(df, PATH, public_tokenizers.PATTERN, chunk_chars=size)
+    for size, most in ((1 << 20, 10), (2000, 100_000), (2000, 3)):
+        out = bpe_round_trip(df, PATH, public_tokenizers.PATTERN, chunk_chars=size, most_words=most)
         assert sorted(((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in out.collect()), key=str) == want
