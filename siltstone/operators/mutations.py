@@ -73,3 +73,8 @@ def pull_request_status(merged: Column, state: Column, draft: Column) -> Column:
 def add_missing_columns(df: DataFrame, **kinds: str) -> DataFrame:
     """Additive schema change: absent columns appear as nulls, present ones stay."""
     return df.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in df.columns})
+
+
+def append(rows: DataFrame, path: str, **values: Column) -> None:
+    """Appends rows to a Parquet table, with computed columns such as an id or a time; a failed write leaves no rows."""
+    rows.withColumns(values).write.mode("append").parquet(path)

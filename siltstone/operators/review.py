@@ -141,24 +141,26 @@ def repaired_paths(named: DataFrame, known: DataFrame, path: str = "path") -> Da
     Endings meet on the file name, which two such paths share.
     """
     k = known.select(F.col(path).alias("real")).distinct().withColumn("__name", F.substring_index("real", "/", -1))
-    n = named.withColumn("__name", F.substring_index(path, "/", -1)).withColumn("__row", F.monotonically_increasing_id())
-    fits = n.select("__row", path, "__name").join(k, "__name").where((F.col("real") == F.col(path)) | F.col("real").endswith(F.col(path)) | F.col(path).endswith(F.col("real")))
-    best = fits.groupBy("__row").agg(F.min(F.struct((F.col("real") != F.col(path)).alias("other"), F.col("real").alias("r"))).alias("b")).select("__row", F.col("b.r").alias("real"))
-    return n.join(best, "__row", "left").drop("__row", "__name")
+    n = named.select(path).distinct().withColumn("__name", F.substring_index(path, "/", -1))
+    fits = n.join(k, "__name").where((F.col("real") == F.col(path)) | F.col("real").endswith(F.col(path)) | F.col(path).endswith(F.col("real")))
+    best = fits.groupBy(path).agg(F.min(F.struct((F.col("real") != F.col(path)).alias("other"), F.col("real").alias("r"))).alias("b")).select(F.col(path).alias("__path"), F.col("b.r").alias("real"))
+    return named.join(best, F.col(path) == F.col("__path"), "left").drop("__path")
 
 
-def query_text(title: DataFrame, changes: DataFrame, symbols: DataFrame, key: str, files: int = 20, lines: int = 80, most: int = 20_000) -> DataFrame:
-    """(key, query): title, then paths and added lines of the first changes, then changed symbols.
+def query_text(title: DataFrame, changes: DataFrame, symbols: DataFrame, key: str, files: int | None = None, lines: int | None = None, most: int | None = None) -> DataFrame:
+    """(key, query): title, then paths and added lines of the changes, then changed symbols.
+
+    The first ``files`` changes, ``lines`` lines of each and ``most`` characters in all, where these are given.
 
     title: key, title; changes: key, ord, path, patch; symbols: key, name, signature, of changed files.
     """
     first = Window.partitionBy(key).orderBy("ord")
-    added = F.transform(F.filter(F.slice(F.split("patch", "\n"), 1, lines), lambda x: x.startswith("+") & ~x.startswith("+++")), lambda x: F.trim(F.substring(x, F.lit(2), F.length(x))))
-    c = changes.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= files).groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.concat(F.array("path"), added).alias("t")))), lambda s: s["t"])).alias("c"))
+    added = F.transform(F.filter((F.split("patch", "\n") if lines is None else F.slice(F.split("patch", "\n"), 1, lines)), lambda x: x.startswith("+") & ~x.startswith("+++")), lambda x: F.trim(F.substring(x, F.lit(2), F.length(x))))
+    c = (changes if files is None else changes.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= files)).groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.concat(F.array("path"), added).alias("t")))), lambda s: s["t"])).alias("c"))
     s = symbols.groupBy(key).agg(F.array_sort(F.collect_list(F.concat_ws(" ", "name", "signature"))).alias("s"))
     none = F.array().cast("array<string>")
     parts = F.filter(F.concat(F.array("title"), F.coalesce("c", none), F.coalesce("s", none)), lambda x: x != "")
-    return title.join(c, key, "left").join(s, key, "left").select(key, F.substring(F.array_join(parts, "\n"), 1, most).alias("query"))
+    return title.join(c, key, "left").join(s, key, "left").select(key, (F.array_join(parts, "\n") if most is None else F.substring(F.array_join(parts, "\n"), 1, most)).alias("query"))
 
 
 def hinted_lines(patches: DataFrame, key: str, patch: str) -> DataFrame:
@@ -181,15 +183,16 @@ def complex_functions(symbols: DataFrame, least: int = 11, severe: int = 20) ->
 class PagedSource:
     """A listing read page by page through a function page -> (rows, has_next), as a DataFrame of one partition a page.
 
-    ``fetch`` runs on executors, must be safe to repeat, and is retried with growing pauses.
+    ``fetch`` runs on executors, must be safe to repeat, and is retried with growing pauses. Where the number of pages is
+    not known, one task follows ``has_next`` page by page, to ``most`` rows if that is given.
     """
 
     def __init__(self, fetch, schema: str, retries: int = 3, pause: float = 0.5):
         self.fetch, self.schema, self.retries, self.pause = fetch, schema, retries, pause
 
-    def load(self, spark, pages: int) -> DataFrame:
+    def load(self, spark, pages: int | None = None, most: int | None = None) -> DataFrame:
         fetch, retries, pause = self.fetch, self.retries, self.pause
-        numbers = spark.range(1, pages + 1, 1, max(1, pages)).select(F.col("id").cast("int").alias("page"))
+        numbers = spark.range(1, 2 if pages is None else pages + 1, 1, max(1, pages or 1)).select(F.col("id").cast("int").alias("page"))
         shape = to_arrow_schema(spark.createDataFrame([], self.schema).schema)
 
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,14 +200,65 @@ class PagedSource:
 
             for part in parts:
                 for page in part.column(0).to_pylist():
-                    for attempt in range(retries + 1):
-                        try:
-                            rows, _ = fetch(page)
-                            break
-                        except OSError:
-                            if attempt == retries:
-                                raise
-                            time.sleep(pause * 2**attempt)
-                    yield pa.RecordBatch.from_pylist([dict(zip(shape.names, r)) for r in rows], schema=shape)
+                    left, more = most, True
+                    while more and (left is None or left > 0):
+                        for attempt in range(retries + 1):
+                            try:
+                                rows, more = fetch(page)
+                                break
+                            except OSError as error:
+                                if attempt == retries:
+                                    raise
+                                time.sleep(getattr(error, "retry_after", None) or pause * 2**attempt)
+                        rows = rows if left is None else rows[:left]
+                        left = None if left is None else left - len(rows)
+                        yield pa.RecordBatch.from_pylist([dict(zip(shape.names, r)) for r in rows], schema=shape)
+                        page, more = page + 1, more and pages is None
 
         return numbers.mapInArrow(run, self.schema)
+
+
+def patch_candidates(ranked: DataFrame, files: DataFrame, most: int | None = 12) -> DataFrame:
+    """The first ``most`` findings, best first, that are worth a patch: of severity low or more, in a file at hand.
+
+    ranked: file_path, severity, score, id; files: path.
+    """
+    worth = ranked.where(~F.lower("severity").isin("informational") & (F.col("file_path") != ""))
+    out = worth.join(files.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi").orderBy(F.desc("score"), "id")
+    return out if most is None else out.limit(most)
+
+
+def finding_summary(found: DataFrame, key: str, most: int = 25) -> DataFrame:
+    """(key, summary): a line for each of a key's first ``most`` findings by score, and how many more there are.
+
+    found: key, severity, title, file_path, start_line, score, id.
+    """
+    place = Window.partitionBy(key).orderBy(F.desc("score"), "id")
+    line = F.concat(F.lit("- ["), "severity", F.lit("] "), "title", F.lit(" ("), "file_path", F.lit(":"), F.col("start_line").cast("string"), F.lit(")"))
+    rows = found.select(key, F.row_number().over(place).alias("n"), line.alias("t"))
+    shown = rows.where(F.col("n") <= most).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]), "\n").alias("shown"))
+    total = found.groupBy(key).agg(F.count("*").alias("total"))
+    more = F.when(F.col("total") > most, F.concat(F.lit("\n…and "), (F.col("total") - most).cast("string"), F.lit(" more"))).otherwise("")
+    return shown.join(total, key).select(key, F.concat("shown", more).alias("summary"))
+
+
+def restored(rows: DataFrame, **defaults) -> DataFrame:
+    """Stored rows with the given values where a field is null; fields that the rows lack are added."""
+    add = {c: F.lit(v) for c, v in defaults.items() if c not in rows.columns}
+    fill = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items() if c in rows.columns}
+    return rows.withColumns(add | fill)
+
+
+def repository_order(repositories: DataFrame, analysed: str = "last_analyzed_at", name: str = "full_name") -> DataFrame:
+    """Repositories that were analysed first, then by name."""
+    return repositories.orderBy(F.col(analysed).isNull(), F.lower(name))
+
+
+def context_or_diff(context: DataFrame, changes: DataFrame, key: str, most: int | None = None) -> DataFrame:
+    """``context`` (key, file_path, content), and for keys without any the patches of their changes (key, path, patch), removed files and empty patches left out.
+
+    ``most`` characters of a patch at most, if that is given.
+    """
+    diff = changes.join(context.select(key).distinct(), key, "left_anti").where("coalesce(patch, '') <> '' and coalesce(status, '') <> 'removed'")
+    text = F.col("patch") if most is None else F.substring("patch", 1, most)
+    return context.select(key, "file_path", "content").unionByName(diff.select(key, F.col("path").alias("file_path"), text.alias("content")))

@@ -86,11 +86,11 @@ def injection_matches(df: DataFrame, text: str, *keep: str, normalise: bool = Tr
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters, in bits."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars)
-    share = lambda c: F.size(F.filter(chars, lambda d: d == c)) / n
-    return F.when(n > 0, F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))).otherwise(0.0)
+    """Shannon entropy of the characters, in bits. One pass over the text for each different character."""
+    n = F.length(text)
+    share = lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n
+    chars = F.array_sort(F.filter(F.array_distinct(F.split(text, "")), lambda c: c != ""))
+    return F.when(n > 0, F.aggregate(chars, F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))).otherwise(0.0)
 
 
 def find_secrets(df: DataFrame, text: str, *keep: str, rules=SECRET_RULES) -> DataFrame:
@@ -115,12 +115,15 @@ def redact_secrets(text: Column, rules=SECRET_RULES) -> tuple[Column, Column]:
     return text, count
 
 
-def valid_rules(rules: list[dict], most: int = 50, longest: int = 500) -> list[dict]:
-    """Own rules that can run: enabled, with a short pattern that compiles; an unknown severity is medium."""
+def valid_rules(rules: list[dict], most: int | None = None, longest: int | None = None) -> list[dict]:
+    """Own rules that can run: enabled, with a pattern that compiles; an unknown severity is medium.
+
+    ``most`` rules and patterns of ``longest`` characters at most, if these are given.
+    """
     out = []
     for rule in rules[:most]:
         pattern = (rule.get("pattern") or "").strip()
-        if not rule.get("enabled", True) or not pattern or len(pattern) > longest:
+        if not rule.get("enabled", True) or not pattern or longest is not None and len(pattern) > longest:
             continue
         try:
             re.compile(pattern)
@@ -132,9 +135,10 @@ def valid_rules(rules: list[dict], most: int = 50, longest: int = 500) -> list[d
     return out
 
 
-def custom_rule_matches(df: DataFrame, text: str, language: str, rules: list[dict], *keep: str, longest: int = 2000) -> DataFrame:
-    """(keep, rule_id, severity, line, excerpt): lines of at most ``longest`` characters that an own rule matches."""
-    lines = to_lines(df, text, *keep, *([language] if language not in keep else [])).where(F.length("line_text") <= longest)
+def custom_rule_matches(df: DataFrame, text: str, language: str, rules: list[dict], *keep: str, longest: int | None = None) -> DataFrame:
+    """(keep, rule_id, severity, line, excerpt): lines that an own rule matches; of at most ``longest`` characters, if that is given."""
+    lines = to_lines(df, text, *keep, *([language] if language not in keep else []))
+    lines = lines if longest is None else lines.where(F.length("line_text") <= longest)
     made = [
         F.when(F.col("line_text").rlike(r["pattern"]) & (F.lit(True) if not r["languages"] else F.lower(F.col(language)).isin(r["languages"])), F.struct(F.lit("custom/" + r["id"]).alias("rule_id"), F.lit(r["severity"]).alias("severity")))
         for r in valid_rules(rules)
@@ -178,13 +182,15 @@ def islands(df: DataFrame, number: str, *by: str, least: int = 1) -> DataFrame:
     return out.where(F.col("end") - F.col("start") + 1 >= least).drop("__i")
 
 
-def chunks(files: DataFrame, symbols: DataFrame, imports: DataFrame, longest: int = 160, least_lines: int = 3) -> DataFrame:
+def chunks(files: DataFrame, symbols: DataFrame, imports: DataFrame, longest: int | None = None, least_lines: int = 3) -> DataFrame:
     """(id, file_path, kind, symbol, start_line, end_line, content, tokens): the parts of files that search returns.
 
     The lines up to the last import; each top-level symbol with what lies in it; runs of ``least_lines`` or more
-    other lines; the whole file if it has none of these. Chunks end after ``longest`` lines.
+    other lines; the whole file if it has none of these. Chunks end after ``longest`` lines, if that is given; what is
+    beyond is in no chunk.
     files: path, content; symbols: name, kind, file_path, start_line, end_line, parent; imports: file_path, line.
     """
+    longest = 1 << 30 if longest is None else longest
     lines = F.split(F.regexp_replace("content", r"\r\n|\r", "\n"), "\n")
     lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
     f = files.select(F.col("path").alias("file_path"), lines.alias("ls")).where(F.size("ls") > 0)

@@ -170,10 +170,10 @@ def j12_enclosing_as_of(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(FINDINGS + """, dim as (select * from (values ('critical', 5), ('high', 4), ('medium', 3), ('low', 2), ('informational', 1)) t(severity, rank))
-select dim.severity, rank, count(f.severity) as n from dim left join findings f on f.severity = dim.severity and f.category = 'secret' and f.analysis_id % 50 = 0 group by all""")
+select dim.severity, rank, count(f.severity) as n from dim left join findings f on f.severity = dim.severity and f.category = 'secret' group by all""")
 def a1_severity_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Counts for every severity, zeros included (A1)."""
-    return R.severity_counts(findings(spark, sf).where("category = 'secret' and analysis_id % 50 = 0"))
+    return R.severity_counts(findings(spark, sf).where("category = 'secret'"))
 
 
 @query(FINDINGS + " select category, count(*) as n from findings group by 1 order by n desc, category")
@@ -197,17 +197,17 @@ def a6_daily_trend(spark: SparkSession, sf: str) -> DataFrame:
     return R.daily_pivot(load(spark, sf, "events"), "ts", "event_type", ["click", "error", "purchase", "signup", "view"], 14)
 
 
-@query(FINDINGS + """, g as (select file_path, count(*) as n, max(sev_rank) as r, round(sum(amount::decimal(30,6)), 1)::double as score from findings where status = 'rejected' group by 1)
+@query(FINDINGS + """, g as (select file_path, count(*) as n, max(sev_rank) as r, round(sum(amount::decimal(30,6)), 1)::double as score from findings group by 1)
 select file_path, n, ['informational', 'low', 'medium', 'high', 'critical'][r] as max_severity, score from g order by score desc, file_path limit 10""")
 def a7_riskiest_files(spark: SparkSession, sf: str) -> DataFrame:
     """Top ten files by summed score with their worst severity."""
-    return R.riskiest(findings(spark, sf).where("status = 'rejected'"), "file_path", "severity", F.col("amount"))
+    return R.riskiest(findings(spark, sf), "file_path", "severity", F.col("amount"))
 
 
-@query(FINDINGS + " select greatest(0.0, round(100 - 12.0 * coalesce(sum(sev_weight::decimal(10,2)), 0)::double, 1)) as posture from findings where category in ('security', 'secret', 'dependency') and analysis_id < 4")
+@query(FINDINGS + " select greatest(0.0, round(100 - 12.0 * coalesce(sum(sev_weight::decimal(10,2)), 0)::double, 1)) as posture from findings where category in ('security', 'secret', 'dependency')")
 def a8_posture(spark: SparkSession, sf: str) -> DataFrame:
     """Weighted posture, never below zero."""
-    return R.posture(findings(spark, sf).where("category in ('security', 'secret', 'dependency') and analysis_id < 4"))
+    return R.posture(findings(spark, sf).where("category in ('security', 'secret', 'dependency')"))
 
 
 @query("select o_orderstatus, sum(o_totalprice::decimal(18,2))::decimal(28,4)::double as cost, count(distinct o_custkey) as repositories from orders group by 1")

@@ -40,9 +40,8 @@ def f25_labels(spark: SparkSession, sf: str) -> DataFrame:
 @query("""select n_nationkey, len(list_distinct(list_filter(['ruff', 'eslint', 'builtin_secrets', 'mypy'], lambda x: (x in ('ruff', 'builtin_secrets') or (x = 'eslint' and n_nationkey % 3 = 0)) and (x <> 'eslint' or n_nationkey % 2 = 0)))) as n from nation""")
 def f17_scanners(spark: SparkSession, sf: str) -> DataFrame:
     """Scanners enabled or always on, of a family at hand."""
-    s = spark.createDataFrame([("ruff", ["python"]), ("eslint", ["javascript"]), ("builtin_secrets", ["any"]), ("mypy", ["python"])], "name string, families array<string>")
-    n = load(spark, sf, "nation").select("n_nationkey")
-    pairs = n.join(F.broadcast(s), F.col("n_nationkey") >= 0)  # four scanners for each
+    four = F.array(*(F.struct(F.lit(n).alias("name"), F.array(F.lit(f)).alias("families")) for n, f in (("ruff", "python"), ("eslint", "javascript"), ("builtin_secrets", "any"), ("mypy", "python"))))
+    pairs = load(spark, sf, "nation").select("n_nationkey", F.inline(four))
     enabled = F.when(F.col("n_nationkey") % 3 == 0, F.array(F.lit("ruff"), F.lit("eslint"))).otherwise(F.array(F.lit("ruff")))
     families = F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lit("python"), F.lit("javascript"))).otherwise(F.array(F.lit("python")))
     return V.selected_scanners(pairs, enabled, families).groupBy("n_nationkey").agg(F.count("*").alias("n"))
@@ -100,7 +99,7 @@ def j24_base_classes(spark: SparkSession, sf: str) -> DataFrame:
     return G.base_class_edges(p.select(F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_type").alias("file_path"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.array("p_name").alias("bases")))
 
 
-@query("""select 'src/m' || p_partkey || '.py' as file_path, s.kind, s.a::int as start_line, s.b::int as end_line from part cross join (values ('imports', 1, 3), ('module', 1, 4), ('route', 5, 14), ('model', 15, 17)) s(kind, a, b) where p_partkey < 500""")
+@query("""select 'src/m' || p_partkey || '.py' as file_path, s.kind, (s.a + case when s.kind in ('imports', 'module') then 0 else p_size % 7 end)::int as start_line, (s.b + p_size % 7)::int as end_line from part cross join (values ('imports', 1, 3), ('module', 1, 4), ('route', 5, 14), ('model', 15, 17)) s(kind, a, b)""")
 def r1_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Files cut into imports, top-level symbols and runs of other lines."""
     from siltstone.plans.code import PYTHON, _files

@@ -46,8 +46,8 @@ def t5_wrapped(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select("doc_id", X.wrap_untrusted(F.col("text")).alias("wrapped"))
 
 
-@query("""with l as (select doc_id, lang, unnest(range(1, len(s) + 1)) as line, unnest(s) as t from (select doc_id, lang, string_split(text, chr(10)) as s from documents)), k as (select * from l where length(t) <= 2000)
-select doc_id, 'custom/pipes' as rule_id, 'low' as severity, line::int as line from k where regexp_matches(t, '\\|.*\\|') and lang in ('en', 'de') union all select doc_id, 'custom/shout', 'medium', line::int from k where regexp_matches(t, '[A-Z]{6,}!!')""")
+@query("""with l as (select doc_id, lang, unnest(range(1, len(s) + 1)) as line, unnest(s) as t from (select doc_id, lang, string_split(text, chr(10)) as s from documents))
+select doc_id, 'custom/pipes' as rule_id, 'low' as severity, line::int as line from l where regexp_matches(t, '\\|.*\\|') and lang in ('en', 'de') union all select doc_id, 'custom/shout', 'medium', line::int from l where regexp_matches(t, '[A-Z]{6,}!!')""")
 def t7_custom_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Own rules by language, broken ones passed over."""
     rules = [{"id": "pipes", "pattern": r"\|.*\|", "severity": "low", "languages": ["EN", "de"]}, {"id": "shout", "pattern": "[A-Z]{6,}!!", "severity": "odd"}, {"id": "off", "pattern": "the", "enabled": False}, {"id": "bad", "pattern": "("}]
@@ -73,10 +73,11 @@ def t12_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return T.find_secrets(load(spark, sf, "documents"), "text", "doc_id").select("doc_id", "line", "rule_id", "severity", "confidence", "preview").where("rule_id = 'generic-assignment'")
 
 
-@query("""select doc_id, (list_sum(list_transform(list_distinct(c), lambda x: -(len(list_filter(c, lambda y: y = x)) / len(c)::double) * log2(len(list_filter(c, lambda y: y = x)) / len(c)::double))))::decimal(18,4)::double as entropy from (select doc_id, string_split(substr(text, 1, 60), '') as c from documents where length(text) > 0)""")
+@query("""with c as (select doc_id, length(text) as n, unnest(string_split(text, '')) as ch from documents where length(text) > 0), k as (select doc_id, count(*) / n::double as share from c group by doc_id, n, ch)
+select doc_id, round(sum(-share * log2(share)), 3) as entropy from k group by doc_id""")
 def t12_entropy(spark: SparkSession, sf: str) -> DataFrame:
-    """Shannon entropy of the first characters of texts, as used for secrets."""
-    return load(spark, sf, "documents").where(F.length("text") > 0).select("doc_id", T.entropy(F.substring("text", 1, 60)).cast("decimal(18,4)").cast("double").alias("entropy"))
+    """Shannon entropy of the characters of texts, as used for secrets."""
+    return load(spark, sf, "documents").where(F.length("text") > 0).select("doc_id", F.round(T.entropy(F.col("text")), 3).alias("entropy"))
 
 
 @query("""select doc_id, regexp_replace(text, '(?i)\\b(?:api[_-]?key|secret|token|password|passwd)\\s*[:=]\\s*["''][^"''\\s]{8,}["'']', '<REDACTED:generic-assignment>', 'g') as clean from documents""")
@@ -85,10 +86,12 @@ def t13_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select("doc_id", T.redact_secrets(F.col("text"))[0].alias("clean"))
 
 
-@query("""select conv_id, turn, len(toks) as n, len(list_distinct(toks)) as distinct_n, coalesce(toks[1], '') as first, coalesce(toks[-1], '') as last from (select conv_id, turn, list_transform(regexp_extract_all(substr(text, 1, 40000), '[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\\sA-Za-z0-9_]'), lambda x: lower(x)) as toks from conversations where not regexp_matches(text, '[A-Za-z_][A-Za-z0-9_]{3,}'))""")
+@query("""with r as (select conv_id, turn, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\\sA-Za-z0-9_]') as raw from conversations),
+t as (select conv_id, turn, list_transform(flatten(list_transform(raw, lambda x: case when length(x) > 3 and regexp_matches(x, '^[A-Za-z_]') then list_concat([x], list_filter(regexp_split_to_array(replace(regexp_replace(x, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '_', ' '), '\\s+'), lambda p: length(p) > 2)) else [x] end)), lambda x: lower(x)) as toks from r)
+select conv_id, turn, len(toks) as n, len(list_distinct(toks)) as distinct_n, coalesce(toks[1], '') as first, coalesce(toks[-1], '') as last from t""")
 def x16_code_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """Code tokens of short-worded texts, where no identifier is split."""
-    c = load(spark, sf, "conversations").where(~F.col("text").rlike("[A-Za-z_][A-Za-z0-9_]{3,}")).withColumn("toks", X.code_tokens(F.col("text")))
+    """Code tokens of whole texts, identifiers with their parts."""
+    c = load(spark, sf, "conversations").withColumn("toks", X.code_tokens(F.col("text")))
     return c.select("conv_id", "turn", F.size("toks").cast("long").alias("n"), F.size(F.array_distinct("toks")).cast("long").alias("distinct_n"), F.coalesce(F.get("toks", F.lit(0)), F.lit("")).alias("first"), F.coalesce(F.element_at(F.when(F.size("toks") > 0, F.col("toks")), -1), F.lit("")).alias("last"))
 
 
@@ -168,11 +171,13 @@ def r2_native_embeddings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    """A sparse graph: customers import suppliers' parts and suppliers import customers, by quantity and discount."""
-    l, o = load(spark, sf, "lineitem"), load(spark, sf, "orders")
-    j = l.where("l_quantity >= 48 and l_discount >= 0.09").join(o, l["l_orderkey"] == o["o_orderkey"])
-    a = j.select(F.concat(F.lit("c"), F.col("o_custkey") % 300).alias("source"), F.concat(F.lit("s"), F.col("l_suppkey") % 80).alias("target"), F.when(F.col("l_linenumber") % 3 == 0, "calls").otherwise("imports").alias("type"))
-    b = j.where("l_partkey % 3 = 0").select(F.concat(F.lit("s"), F.col("l_suppkey") % 80).alias("source"), F.concat(F.lit("c"), F.col("l_partkey") % 300).alias("target"), F.lit("imports").alias("type"))
+    """A sparse graph over all parts: each part leads to another by its key and size, every second one to one more."""
+    p = load(spark, sf, "part")
+    n = p.count()
+    name = lambda k: F.concat(F.when(k % 2 == 0, "c").otherwise("s"), k)
+    k = F.col("p_partkey")
+    a = p.select(name(k).alias("source"), name((k * 7 + F.col("p_size")) % n).alias("target"), F.when(F.col("p_size") % 3 == 0, "calls").otherwise("imports").alias("type"))
+    b = p.where("p_partkey % 2 = 0").select(name(k).alias("source"), name((k * 31 + 11 + F.col("p_size")) % n).alias("target"), F.lit("imports").alias("type"))
     return a.unionByName(b).distinct().withColumn("id", F.concat_ws(">", "source", "target", "type"))
 
 
@@ -182,9 +187,10 @@ def _nodes(edges: DataFrame) -> DataFrame:
 
 
 EDGES = """
-with recursive j as (select * from lineitem join orders on l_orderkey = o_orderkey where l_quantity >= 48 and l_discount >= 0.09),
-edges as (select distinct * from (select 'c' || (o_custkey % 300) as source, 's' || (l_suppkey % 80) as target, case when l_linenumber % 3 = 0 then 'calls' else 'imports' end as type from j
-  union all select 's' || (l_suppkey % 80), 'c' || (l_partkey % 300), 'imports' from j where l_partkey % 3 = 0)),
+with recursive total as (select count(*) as n from part),
+numbers as (select p_partkey as a, (p_partkey * 7 + p_size) % (select n from total) as b, case when p_size % 3 = 0 then 'calls' else 'imports' end as type from part
+  union select p_partkey, (p_partkey * 31 + 11 + p_size) % (select n from total), 'imports' from part where p_partkey % 2 = 0),
+edges as (select case when a % 2 = 0 then 'c' else 's' end || a as source, case when b % 2 = 0 then 'c' else 's' end || b as target, type from numbers),
 nodes as (select id, case when starts_with(id, 'c') then 'file' else 'module' end as type, regexp_matches(id, '[05]$') as is_test from (select source as id from edges union select target from edges))"""
 
 
@@ -211,16 +217,15 @@ def g5_covering_tests(spark: SparkSession, sf: str) -> DataFrame:
     return G.covering_tests(e, _nodes(e))
 
 
-@query(EDGES + """, pairs as (select a.id as a, b.id as b from (select id from nodes where starts_with(id, 'c') order by id limit 12) a cross join (select id from nodes order by id desc limit 12) b where a.id <> b.id),
+@query(EDGES + """, pairs as (select case when a % 2 = 0 then 'c' else 's' end || a as a, case when b % 2 = 0 then 'c' else 's' end || b as b from (select p_partkey as a, (p_partkey * 49 + p_size) % (select n from total) as b from part) where a <> b),
 w as (select distinct a, a as pos, 0 as depth from pairs union select w.a, e.target, depth + 1 from w join edges e on e.source = w.pos where depth < 5), m as (select a, pos, min(depth) as depth from w group by all)
 select pairs.a, pairs.b, depth + 1 as nodes from pairs join m on m.a = pairs.a and m.pos = pairs.b where depth > 0""")
 def g7_shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
     """Lengths of shortest paths over all edges."""
-    e = _edges(spark, sf)
-    n = _nodes(e)
-    a = n.where(F.col("id").startswith("c")).orderBy("id").limit(12).select(F.col("id").alias("a"))
-    b = n.orderBy(F.desc("id")).limit(12).select(F.col("id").alias("b"))
-    pairs = a.join(b, F.col("a") != F.col("b"))  # two lists of twelve
+    e, p = _edges(spark, sf), load(spark, sf, "part")
+    name = lambda k: F.concat(F.when(k % 2 == 0, "c").otherwise("s"), k)
+    to = (F.col("p_partkey") * 49 + F.col("p_size")) % p.count()
+    pairs = p.where(F.col("p_partkey") != to).select(name(F.col("p_partkey")).alias("a"), name(to).alias("b"))
     return G.shortest_paths(e, pairs).select("a", "b", F.size("path").alias("nodes"))
 
 

@@ -9,20 +9,28 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from siltstone.functions.dims import language_of, map_severity
 from siltstone.functions.text import clamp_line, is_excluded, is_test_path, relative_path
 
-MAX_FILE_BYTES = 512_000
-#: Folders that hold no source, and suffixes of binary files.
-IGNORED = (".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".next", "coverage", ".mypy_cache", ".pytest_cache")
-BINARY = ("png", "jpg", "jpeg", "gif", "ico", "pdf", "zip", "gz", "tar", "woff", "woff2", "ttf", "eot", "mp4", "mp3", "so", "dll", "exe", "class", "jar", "pyc", "lock")
-
-
-def source_files(spark: SparkSession, root: str, excluded: list[str] = (), languages: list[str] | None = None, max_bytes: int = MAX_FILE_BYTES, max_files: int | None = None) -> DataFrame:
+# Folders that hold no source, and suffixes of files that are not read.
+IGNORED = (
+    ".git", "node_modules", ".venv", "venv", "__pycache__", "dist", "build",
+    ".next", ".turbo", "coverage", ".mypy_cache", ".pytest_cache", ".ruff_cache",
+    "vendor", "target", ".idea", ".vscode",
+)
+BINARY = (
+    "png", "jpg", "jpeg", "gif", "ico", "pdf", "zip", "gz", "tar",
+    "woff", "woff2", "ttf", "eot", "mp4", "mp3", "so", "dll", "exe",
+    "pyc", "class", "jar", "wasm", "lock",
+)
+
+
+def source_files(spark: SparkSession, root: str, excluded: list[str] = (), languages: list[str] | None = None, max_bytes: int | None = None, max_files: int | None = None) -> DataFrame:
     """(path, content, language, size_bytes, is_test): readable UTF-8 text files below ``root``.
 
-    Sizes and paths are filtered before content is decoded. ``max_files`` keeps the first by path, if given.
+    Paths, and sizes if ``max_bytes`` is given, are filtered before content is decoded. ``max_files`` keeps the first
+    by path, if given.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + "/" + root.split(":", 1)[-1].strip("/") + "/", "")
-    out = files.where(F.col("length") <= max_bytes).select(path.alias("path"), "content", F.col("length").alias("size_bytes"))
+    out = (files if max_bytes is None else files.where(F.col("length") <= max_bytes)).select(path.alias("path"), "content", F.col("length").alias("size_bytes"))
     out = out.where(~F.col("path").rlike(r"(^|/)(" + "|".join(x.replace(".", r"\.") for x in IGNORED) + r")/"))
     out = out.where(~F.lower("path").rlike(r"\.(" + "|".join(BINARY) + ")$")).where(~is_excluded(F.col("path"), list(excluded)))
     out = out.withColumn("language", language_of(F.col("path")))
@@ -45,7 +53,7 @@ REPORTS = {
     "npm_audit": "struct<vulnerabilities:map<string,struct<severity:string,range:string>>>",
     "semgrep": "struct<results:array<struct<check_id:string,path:string,start:struct<line:int>,end:struct<line:int>,extra:struct<message:string,severity:string>>>>",
     "gitleaks": "array<struct<RuleID:string,Description:string,File:string,StartLine:int,EndLine:int>>",
-    "osv": "struct<results:array<struct<source:struct<path:string>,packages:array<struct<package:struct<name:string,version:string>,vulnerabilities:array<struct<id:string,summary:string>>>>>>>",
+    "osv": "struct<results:array<struct<source:struct<path:string>,packages:array<struct<package:struct<name:string,version:string>,vulnerabilities:array<struct<id:string,summary:string,severity:array<struct<score:string>>,database_specific:struct<severity:string>>>>>>>>",
     "trivy": "struct<Results:array<struct<Target:string,Vulnerabilities:array<struct<VulnerabilityID:string,Title:string,Severity:string>>,Misconfigurations:array<struct<ID:string,Title:string,Severity:string>>>>>",
 }
 
@@ -54,13 +62,21 @@ def _finding(source: str, rule: Column, path: Column, start: Column, end: Column
     return [F.lit(source).alias("source"), rule.alias("rule_id"), path.alias("file_path"), clamp_line(start.cast("string")).alias("start_line"), F.greatest(clamp_line(start.cast("string")), clamp_line(end.cast("string"))).alias("end_line"), severity.alias("severity"), title.alias("title")]
 
 
+def advisory_severity(x: Column) -> Column:
+    """High where a CVSS vector is reachable over the network, else the word of the advisory's database, else medium."""
+    remote = F.exists(F.coalesce(x["severity"], F.array().cast("array<struct<score:string>>")), lambda e: F.coalesce(e["score"], F.lit("")).rlike("^CVSS:.*/AV:[^/]*N"))
+    return F.when(remote, "high").otherwise(map_severity(x["database_specific"]["severity"]))
+
+
 def report_findings(reports: DataFrame, tool: str, root: str = "", report: str = "report") -> DataFrame:
     """(source, rule_id, file_path, start_line, end_line, severity, title) from a column of JSON reports; broken ones give none."""
     df = reports.select(F.from_json(report, REPORTS[tool]).alias("r"))
+    from siltstone.operators.review import linter_severity
+
     c, path = F.col, lambda p: relative_path(p, root)
     if tool == "ruff":
         df = df.select(F.explode("r").alias("x"))
-        return df.select(*_finding(tool, c("x.code"), path(c("x.filename")), c("x.location.row"), c("x.end_location.row"), F.when(c("x.code").rlike("^(S|B)"), "high").otherwise("low"), c("x.message")))
+        return df.select(*_finding(tool, c("x.code"), path(c("x.filename")), c("x.location.row"), c("x.end_location.row"), linter_severity(c("x.code")), c("x.message")))
     if tool == "bandit":
         df = df.select(F.explode("r.results").alias("x"))
         return df.select(*_finding(tool, c("x.test_id"), path(c("x.filename")), c("x.line_number"), c("x.line_number"), map_severity(c("x.issue_severity")), c("x.issue_text")))
@@ -78,7 +94,7 @@ def report_findings(reports: DataFrame, tool: str, root: str = "", report: str =
         return df.select(*_finding(tool, c("x.RuleID"), path(c("x.File")), c("x.StartLine"), c("x.EndLine"), F.lit("critical"), c("x.Description")))
     if tool == "osv":
         df = df.select(F.explode("r.results").alias("s")).select("s.source.path", F.explode("s.packages").alias("p")).select("path", "p.package.name", F.explode("p.vulnerabilities").alias("x"))
-        return df.select(*_finding(tool, c("x.id"), path(c("path")), F.lit(1), F.lit(1), F.lit("high"), F.concat("name", F.lit(": "), F.coalesce("x.summary", F.lit("known vulnerability")))))
+        return df.select(*_finding(tool, c("x.id"), path(c("path")), F.lit(1), F.lit(1), advisory_severity(c("x")), F.concat("name", F.lit(": "), F.coalesce("x.summary", F.lit("known vulnerability")))))
     if tool == "trivy":
         df = df.select(F.explode("r.Results").alias("t"))
         vulnerable = df.select("t.Target", F.explode("t.Vulnerabilities").alias("x")).select("Target", c("x.VulnerabilityID").alias("id"), "x.Severity", "x.Title")

@@ -109,3 +109,27 @@ def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "ap
     """Everything there is now, into a memory table (for tests and small state)."""
     stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def publish(rows: DataFrame, path: str, key: str, ts: str = "ts") -> None:
+    """Appends events to the log, a folder of Parquet files, with the time of publishing where they have none."""
+    now = F.current_timestamp()
+    stamped = rows.withColumn(ts, F.coalesce(F.col(ts), now) if ts in rows.columns else now)
+    stamped.repartition(key).write.mode("append").parquet(path)
+
+
+def publish_stream(stream: DataFrame, path: str, checkpoint: str):
+    """The same for a stream: a query that appends each batch to the log once."""
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def replay_then_live(spark: SparkSession, path: str, schema: str, key: str | None = None, value: str | None = None, files: int | None = None) -> DataFrame:
+    """A stream of the log from its beginning: what was published before, then what comes; of one key, if given.
+
+    ``files`` bounds how many files a batch takes (ST6).
+    """
+    reader = spark.readStream.schema(schema)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    out = reader.parquet(path)
+    return out if key is None else out.where(F.col(key) == value)

@@ -14,7 +14,7 @@ def test_source_tree(spark, tmp_path):
     for name, data in {"src/a.py": b"x = 1\n", "node_modules/b.js": b"y", "img/c.png": b"z", "d.md": "é".encode(), "bad.ts": b"\xff\xfe\x00", "dist2/e.ts": b"ok", "big.py": b"x" * 600_000}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(data)
-    got = {r.path: (r.language, r.content) for r in S.source_files(spark, str(tmp_path), excluded=["dist2/**"]).collect()}
+    got = {r.path: (r.language, r.content) for r in S.source_files(spark, str(tmp_path), excluded=["dist2/**"], max_bytes=512_000).collect()}
     assert got == {"src/a.py": ("python", "x = 1\n"), "d.md": ("markdown", "é")}
 
 
