@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -15,108 +15,102 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siltstone.llm.common import forget, written
 
-#: Number of context restaurants. All share one parent, the unigram restaurant.
-CONTEXTS = 4096
-END = b""
 CHUNK_BYTES = 6 << 20
+#: Numbers of words are 48 bits of their hash. No word is empty or a space: these stand for the end and the start of a text.
+WORD_BITS = np.uint64((1 << 48) - 1)
+END, START = b"", b" "
 
 
 @dataclass(frozen=True)
 class Settings:
-    discount: float = 0.6
+    discount: float = 0.75
     strength: float = 1.0
     root_discount: float = 0.65
     root_strength: float = 1.0
-    burn_in: int = 2
-    samples: int = 3
-    #: Words with at least this share of all training tokens are scored where the text is; under 1 / hot of them exist.
-    hot: float = 1 / 1024
+    burn_in: int = 1
+    samples: int = 2
+    #: Restaurants of words with about this share of all training tokens are spread over groups; 1 / frequent of them at most.
+    frequent: float = 1 / 65536
+    #: The dishes of a restaurant are redrawn in so many batches at most, each after the one before.
+    batches: int = 64
     seed: int = 11
 
 
-def context_of(word: bytes) -> int:
-    """The restaurant that a token after ``word`` enters: by the word itself up to four bytes, else by its last two.
-
-    Hashed, so that their number is fixed; 0 at the start of a text.
-    """
+def numbers_of(words: Iterable[bytes]) -> np.ndarray:
     import xxhash
 
-    if not word:
-        return 0
-    return 1 + xxhash.xxh32_intdigest(word if len(word) <= 4 else b"\xff" + word[-2:]) % (CONTEXTS - 1)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64) & WORD_BITS
 
 
-@dataclass
-class Tokens:
-    """The tokens of some texts, each text followed by one end: word numbers, words' hashes, contexts, text numbers."""
+END_NUMBER, START_NUMBER = (int(x) for x in numbers_of([END, START]))
 
-    index: np.ndarray
-    hashes: np.ndarray
-    contexts: np.ndarray
-    sizes: np.ndarray
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit integers, well mixed."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-def tokens_of(texts: Iterable[str | None]) -> Tokens:
-    import xxhash
 
-    index: defaultdict[bytes, int] = defaultdict()
-    index.default_factory = index.__len__
-    look = index.__getitem__
-    look(END)
-    parts = []
-    for t in texts:
-        words = (t or "").encode().lower().split()
-        words.append(END)
-        parts.append(np.fromiter(map(look, words), np.int64, len(words)))
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in index), np.uint64, len(index))
-    ctx = np.fromiter(map(context_of, index), np.int64, len(index))
-    before = np.r_[0, flat[:-1]] if len(flat) else flat
-    return Tokens(flat, hashes, ctx[before], np.fromiter(map(len, parts), np.int64, len(parts)))
+def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A 64-bit name for the dish w in the restaurant of u."""
+    return mixed(mixed(u + np.uint64(0x9E3779B97F4A7C15)) + w)
+
+
+def place(x: np.ndarray, groups: int) -> np.ndarray:
+    return (x % np.uint64(groups)).astype(np.int64)
+
+
+def among(x: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each is among the sorted ``known``, its position there or 0)."""
+    if not len(known):
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    hit = known[at] == x
+    return hit, np.where(hit, at, 0)
 
 
 def pack(**arrays: np.ndarray) -> bytes:
-    """Named arrays as bytes, integers in the smallest type that holds them."""
+    """Named arrays as compressed bytes, integers in the smallest type that holds them, word numbers in six bytes."""
+    import zstandard
+
     head, body = [], []
     for name, x in arrays.items():
-        if x.dtype.kind in "iu" and x.dtype != np.uint64:
+        if x.dtype == np.uint64:
+            head.append(f"{name}:w:{len(x)}")
+            body += [(x & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (x >> np.uint64(32)).astype("<u2").tobytes()]
+            continue
+        if x.dtype.kind in "iu":
             top = int(x.max()) if len(x) else 0
-            low = int(x.min()) if len(x) else 0
-            x = x.astype(np.int64 if low < 0 else np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.int64)
+            x = x.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<i8")
         head.append(f"{name}:{x.dtype.str}:{len(x)}")
         body.append(x.tobytes())
     line = ",".join(head).encode()
-    return len(line).to_bytes(4, "little") + line + b"".join(body)
+    return zstandard.ZstdCompressor(level=1).compress(len(line).to_bytes(4, "little") + line + b"".join(body))
 
 
 def unpack(raw: bytes) -> dict[str, np.ndarray]:
+    """What was packed; integers as 64 bits."""
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(raw)
     n = 4 + int.from_bytes(raw[:4], "little")
     out, at = {}, n
     for part in raw[4:n].decode().split(","):
         name, kind, size = part.split(":")
-        out[name] = np.frombuffer(raw, kind, int(size), at)
-        at += out[name].nbytes
+        size = int(size)
+        if kind == "w":
+            out[name] = np.frombuffer(raw, "<u4", size, at).astype(np.uint64) | np.frombuffer(raw, "<u2", size, at + 4 * size).astype(np.uint64) << np.uint64(32)
+            at += 6 * size
+        else:
+            x = np.frombuffer(raw, kind, size, at)
+            at += x.nbytes
+            out[name] = x.astype(np.int64) if x.dtype.kind in "iu" else x
     return out
 
 
-def chunks_of(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """(ids and flags, texts) of about CHUNK_BYTES of text each."""
-    rows, texts, held = [], [], 0
-    for part in parts:
-        for row, text in zip(zip(part.column(0).to_pylist(), part.column(1).to_pylist()), part.column(2)):
-            t = text.as_py()
-            rows.append(row)
-            texts.append(t)
-            held += len(t or "") + 8
-            if held >= CHUNK_BYTES:
-                yield rows, texts
-                rows, texts, held = [], [], 0
-    if rows:
-        yield rows, texts
-
-
 @lru_cache(2)
-def stirling(discount: float, most: int = 512) -> np.ndarray:
+def stirling(discount: float, most: int) -> np.ndarray:
     """log of the generalised Stirling numbers: [c, t] sums the seatings of c customers at t tables."""
     out = np.full((most + 1, most + 2), -np.inf)
     out[1, 1] = 0.0
@@ -128,362 +122,450 @@ def stirling(discount: float, most: int = 512) -> np.ndarray:
     return out
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """64-bit integers, well mixed."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
+def seat(c: np.ndarray, rest: np.ndarray, base: np.ndarray, discount: float, keys: np.ndarray, above: tuple[float, np.ndarray, float] | None = None, most: int = 2048) -> np.ndarray:
+    """Gibbs step: table counts of dishes with ``c`` customers, each drawn from its conditional given the other dishes' tables.
 
-def draws(seed: int, sweep: int, words: np.ndarray, ctx: np.ndarray | int) -> np.ndarray:
-    """A random 64-bit number for each dish (word hash, context): the same in whatever bucket the word is."""
-    return mixed(mixed(words + np.uint64(seed << 32 | sweep)) + mixed(np.atleast_1d(np.asarray(ctx, np.uint64)) + np.uint64(1)))
+    p(t) is proportional to stirling(c, t) * prod((rest + discount * i) * parent(i), i < t), where ``rest`` is the strength
+    plus the discount for each of the restaurant's other tables and parent(i) the parent's probability of the dish when i
+    of these tables have sent it a customer: the Chinese-restaurant seating of the dish with its arrangements summed out.
+    Without ``above`` that is ``base``. With ``above`` (fresh, mass, discount), ``base`` is what the parent's tables of the
+    dish hold of others, and parent(i) is (base + i + fresh) / (mass + i), the first of i less the parent's discount where
+    there are no others.
 
+    The first ``most`` customers of a dish are drawn so; any further ones sit down by the predictive rule, in runs of a
+    64th of those seated.
 
-def seat(c: np.ndarray, rest: np.ndarray, base: np.ndarray, discount: float, keys: np.ndarray | np.random.Generator, most: int = 512) -> np.ndarray:
-    """Gibbs step: table counts of dishes with ``c`` customers, each drawn from its conditional given all others.
+    A dish's draw depends on its number in ``keys`` alone.
+    """
 
-    p(t) is proportional to stirling(c, t) * base**t * prod(rest + discount * i, i < t), where ``rest`` is the
-    strength plus the discount for each of the restaurant's other tables and ``base`` the parent's probability of the
-    dish: the Chinese-restaurant seating with its arrangements summed out. Beyond ``most`` customers of a dish, the
-    others sit down one after another by the predictive rule, in runs of a sixteenth of those seated.
+    def parent(part: np.ndarray, i: np.ndarray) -> np.ndarray:
+        if above is None:
+            return base[part, None]
+        fresh, mass, off = above
+        held = base[part, None] + i[None, :] - np.where((base[part, None] <= 0) & (i[None, :] > 0), off, 0.0)
+        return (held + fresh) / (mass[part, None] + i[None, :])
 
-    A dish's draw depends on its number in ``keys`` alone (a generator hands out such numbers).
-    """
-    if isinstance(keys, np.random.Generator):
-        keys = keys.integers(0, 1 << 64, len(c), np.uint64)
-    table = stirling(discount, most)
     chance = (mixed(keys) >> np.uint64(11)) * 2.0**-53
     t = np.ones(len(c), np.int64)
     first = np.minimum(c, most)
     order = np.argsort(first, kind="stable")
-    edges = np.searchsorted(first[order], np.arange(most + 2))
-    for size in range(2, most + 1):
-        at = order[edges[size] : edges[size + 1]]
-        for lo in range(0, len(at), max(1, (1 << 19) // size)):
-            part = at[lo : lo + max(1, (1 << 19) // size)]
-            steps = np.log(rest[part, None] + discount * np.arange(size)[None, :]) + np.log(base[part, None])
+    sizes, begins = np.unique(first[order], return_index=True)
+    table = stirling(discount, 64 if first.max(initial=1) <= 64 else most)
+    for size, lo, hi in zip(sizes.tolist(), begins.tolist(), [*begins[1:].tolist(), len(order)]):
+        if size < 2:
+            continue
+        at = order[lo:hi]
+        step = max(1, (1 << 19) // size)
+        for a in range(0, len(at), step):
+            part = at[a : a + step]
+            steps = np.log(rest[part, None] + discount * np.arange(size)[None, :]) + np.log(parent(part, np.arange(size)))
             logit = table[size, 1 : size + 1][None, :] + np.cumsum(steps, axis=1)
             p = np.cumsum(np.exp(logit - logit.max(axis=1, keepdims=True)), axis=1)
             t[part] = 1 + np.minimum((p < chance[part, None] * p[:, -1:]).sum(axis=1), size - 1)
     for i in np.flatnonzero(c > most).tolist():
         rng = np.random.Generator(np.random.Philox(key=int(keys[i])))
-        tables, seated, full, other, share = int(t[i]), most, int(c[i]), float(rest[i]), float(base[i])
+        tables, seated, full, other = int(t[i]), most, int(c[i]), float(rest[i])
         while seated < full:
-            run = min(max(seated // 16, 1), full - seated)
-            new = (other + discount * tables) * share
+            run = min(max(seated // 64, 1), full - seated)
+            new = (other + discount * tables) * float(parent(np.array([i]), np.array([tables]))[0, 0])
             tables += int(rng.binomial(run, new / (new + seated - discount * tables)))
             seated += run
         t[i] = tables
     return t
 
 
-def count_blobs(docs: DataFrame, train: Column, buckets: int, id_col: str, text_col: str) -> DataFrame:
-    """(bucket, blob): counts of (word, context) in the training texts of each chunk, by the word's bucket.
+def chunks_of(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    """(ids and flags, texts) of about CHUNK_BYTES of text each."""
+    rows, texts, held = [], [], 0
+    for part in parts:
+        for row, text in zip(zip(part.column(0).to_pylist(), part.column(1).to_pylist()), part.column(2)):
+            t = text.as_py()
+            rows.append(row)
+            texts.append(t)
+            held += len(t or "") + 8
+            if held >= CHUNK_BYTES:
+                yield rows, texts
+                rows, texts, held = [], [], 0
+    if rows:
+        yield rows, texts
 
-    Bucket -1 holds the chunk's tokens by context.
-    """
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in chunks_of(parts):
-            tok = tokens_of(t for (_, learn), t in zip(rows, texts) if learn)
-            key, n = np.unique(tok.index * CONTEXTS + tok.contexts, return_counts=True)
-            word, ctx = key // CONTEXTS, key % CONTEXTS
-            bucket = (tok.hashes % np.uint64(buckets)).astype(np.int64)[word]
-            order = np.argsort(bucket, kind="stable")
-            word, ctx, n, bucket = word[order], ctx[order], n[order], bucket[order]
-            cut = np.searchsorted(bucket, np.arange(buckets + 1))
-            out = [(-1, pack(total=np.bincount(ctx, n, CONTEXTS).astype(np.int64)))]
-            for b in range(buckets):
-                lo, hi = cut[b], cut[b + 1]
-                if hi > lo:
-                    w = word[lo:hi]
-                    head = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-                    out.append((b, pack(word=tok.hashes[w[head]], pairs=np.diff(np.r_[head, hi - lo]), ctx=ctx[lo:hi], n=n[lo:hi])))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "blob"])
-
-    return docs.select(F.col(id_col).cast("long"), F.coalesce(train, F.lit(False)), text_col).mapInArrow(run, "bucket int, blob binary")
-
-
-def summed(blobs: DataFrame) -> dict[str, np.ndarray]:
-    """Blobs of equally long arrays, added up in two steps; one blob reaches the driver."""
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total: dict[str, np.ndarray] = {}
-        for raw in rows["blob"]:
-            for k, x in unpack(raw).items():
-                x = x.astype(np.int64 if x.dtype.kind in "iu" else np.float64)
-                total[k] = total[k] + x if k in total else x
-        return pd.DataFrame({"g": [int(rows["g"].iloc[0]) // 64], "blob": [pack(**total)]})
-
-    first = blobs.select(F.pmod(F.xxhash64("blob"), F.lit(64)).alias("g"), "blob").groupBy("g").applyInPandas(add, "g long, blob binary")
-    got = first.groupBy("g").applyInPandas(add, "g long, blob binary").collect()
-    return {k: v.astype(np.int64 if v.dtype.kind in "iu" else np.float64) for k, v in unpack(got[0].blob).items()} if got else {}
-
-
-def merged(blobs: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words sorted, and for each (word, context): the word's position, the context, the count."""
+def tokens_of(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of the different words, the tokens as positions there, tokens of each text); position 0 is the end, 1 the start."""
+    index: defaultdict[bytes, int] = defaultdict()
+    index.default_factory = index.__len__
+    look = index.__getitem__
+    look(END), look(START)
+    parts = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        words.append(END)
+        parts.append(np.fromiter(map(look, words), np.int64, len(words)))
+    return numbers_of(index), np.concatenate(parts) if parts else np.zeros(0, np.int64), np.fromiter(map(len, parts), np.int64, len(parts))
+
+
+@dataclass
+class Layout:
+    """A chunk's different (word before, word) pairs and words by the group that knows them; the same wherever it is made."""
+
+    u: np.ndarray
+    w: np.ndarray
+    pair: np.ndarray
+    cuts: np.ndarray
+    home: np.ndarray
+    home_cuts: np.ndarray
+
+    @classmethod
+    def of(cls, words: np.ndarray, index: np.ndarray, frequent: np.ndarray, groups: int) -> Layout:
+        n = len(words)
+        before = np.r_[1, index[:-1]] if len(index) else index
+        key, pair = np.unique(np.where(before == 0, 1, before) * n + index, return_inverse=True)
+        u, w = key // n, key % n
+        homes = place(mixed(words), groups)
+        group, spread = homes[u], among(words, frequent)[0][u]
+        group[spread] = place(pair_hash(words[u[spread]], words[w[spread]]), groups)
+        order = np.argsort(group, kind="stable")
+        rank = np.empty(len(key), np.int64)
+        rank[order] = np.arange(len(key))
+        home = np.argsort(homes, kind="stable")
+        home = home[home != 1]
+        return cls(u[order], w[order], rank[pair], np.searchsorted(group[order], np.arange(groups + 1)), home, np.searchsorted(homes[home], np.arange(groups + 1)))
+
+    def runs(self, g: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of a group's pairs: where each word before begins, and how many pairs it has."""
+        u = self.u[self.cuts[g] : self.cuts[g + 1]]
+        head = np.flatnonzero(np.r_[True, u[1:] != u[:-1]]) if len(u) else np.zeros(0, np.int64)
+        return head, np.diff(np.r_[head, len(u)])
+
+
+ROWS = "g long, kind int, o long, blob binary, t long, c long"
+SEATING, ASK, REPLY, PARENT, SPREAD = range(5)
+
+
+def rows_of(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["g", "kind", "o", "blob", "t", "c"])
+
+
+def told(g: int, words: np.ndarray, group: np.ndarray, which: np.ndarray, t: np.ndarray, n: np.ndarray, contexts: np.ndarray, context: np.ndarray, frequent: np.ndarray) -> list[tuple]:
+    """What a group tells after a seating: to the words' homes the customers it sends, and of spread restaurants its tables and customers."""
+    sent = np.bincount(which, t, len(words)).astype(np.int64)
+    cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(words) else np.zeros(1, np.int64)
+    out = [(g, ASK, int(group[a]), pack(word=words[a:b], customers=sent[a:b]), 0, 0) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+    hit, at = among(contexts, frequent)
+    tables, customers = (np.bincount(context, x, len(contexts)).astype(np.int64) for x in (t, n))
+    return out + [(g, SPREAD, int(i), None, int(tables[k]), int(customers[k])) for k, i in zip(np.flatnonzero(hit).tolist(), at[hit].tolist())]
+
+
+def first_seating(g: int, blobs: Iterable[bytes], groups: int, frequent: np.ndarray) -> list[tuple]:
+    """A group's pairs of all chunks, merged, with one table a dish."""
     parts = [unpack(b) for b in blobs]
-    word = np.concatenate([np.repeat(p["word"], p["pairs"].astype(np.int64)) for p in parts])
-    ctx = np.concatenate([p["ctx"].astype(np.int64) for p in parts])
-    n = np.concatenate([p["n"].astype(np.int64) for p in parts])
-    order = np.lexsort((ctx, word))
-    word, ctx, n = word[order], ctx[order], n[order]
-    head = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (ctx[1:] != ctx[:-1])])
-    words, at = np.unique(word[head], return_inverse=True)
-    return words, at, ctx[head], np.add.reduceat(n, head)
+    u = np.concatenate([np.repeat(p["u"], p["k"]) for p in parts])
+    w, n = np.concatenate([p["w"] for p in parts]), np.concatenate([p["n"] for p in parts])
+    u, w, n = u[n > 0], w[n > 0], n[n > 0]
+    _, first, same = np.unique(pair_hash(u, w), return_index=True, return_inverse=True)
+    n = np.bincount(same, n, len(first)).astype(np.int64)
+    contexts, context = np.unique(u[first], return_inverse=True)
+    words, which = np.unique(w[first], return_inverse=True)
+    group = place(mixed(words), groups)
+    order = np.argsort(group, kind="stable")
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    words, group, which = words[order], group[order], back[which]
+    t = np.ones(len(n), np.int64)
+    blob = pack(contexts=contexts, context=context, words=words, group=group, which=which, n=n, t=t, sums=np.zeros(len(n), np.int64), tables=np.zeros(0, np.int64))
+    return [(g, SEATING, 0, blob, len(n), int(n.sum())), *told(g, words, group, which, t, n, contexts, context, frequent)]
+
+
+def parent_step(o: int, asks: list[tuple[int, bytes]], before: bytes | None, tables: int, vocabulary: int, sweep: int, s: Settings) -> list[tuple]:
+    """The unigram restaurant's dishes of one group: their customers are the tables of all contexts' restaurants."""
+    asks = [(g, unpack(b)) for g, b in sorted(asks, key=lambda x: x[0])]
+    words, at = np.unique(np.concatenate([m["word"] for _, m in asks]), return_inverse=True)
+    c = np.bincount(at, np.concatenate([m["customers"] for _, m in asks]), len(words)).astype(np.int64)
+    t = np.ones(len(words), np.int64)
+    if before is not None:
+        own = unpack(before)["t"]  # the same words: none ever loses all its customers
+        t = seat(c, s.root_strength + s.root_discount * (tables - own).astype(float), np.full(len(words), 1 / (vocabulary + 1)), s.root_discount, draws(s, sweep, mixed(words)))
+    stay = (c - s.root_discount * t).astype(np.float32)
+    out, a = [(o, PARENT, len(words), pack(word=words, t=t, stay=stay), int(t.sum()), int(c.sum()))], 0
+    for g, m in asks:
+        out.append((g, REPLY, o, pack(stay=stay[at[a : a + len(m["word"])]]), 0, 0))
+        a += len(m["word"])
+    return out
+
 
+def draws(s: Settings, sweep: int, dishes: np.ndarray) -> np.ndarray:
+    """A random 64-bit number for each dish: the same in whatever group it is."""
+    return mixed(dishes + np.uint64(s.seed << 32 | sweep))
 
-def counted(at: np.ndarray, ctx: np.ndarray, t: np.ndarray, t0: np.ndarray) -> bytes:
-    """What the other buckets need of a bucket's seating: its words, tables by context, and the root's customers and tables."""
-    return pack(vocabulary=np.array([len(t0)]), tables=np.bincount(ctx, t, CONTEXTS).astype(np.int64), customers=np.array([t.sum()]), root_tables=np.array([t0.sum()]))
 
+@dataclass(frozen=True)
+class Whole:
+    """Sums over all groups: of the unigram restaurant, and of each spread restaurant (by position in ``frequent``)."""
+
+    vocabulary: int
+    tables: int
+    customers: int
+    spread_tables: np.ndarray
+    spread_customers: np.ndarray
 
-def first_seating(blobs: list[bytes]) -> tuple[bytes, bytes]:
-    """(seating, counted) of a bucket of words before the first sweep: one table a dish."""
-    words, at, ctx, n = merged(blobs)
-    t, t0 = np.ones(len(n), np.int64), np.ones(len(words), np.int64)
-    seating = pack(word=words, pairs=np.bincount(at, minlength=len(words)), ctx=ctx, n=n, t=t, t0=t0, sums=np.zeros(len(n), np.int64), roots=np.zeros(0, np.float32))
-    return seating, counted(at, ctx, t, t0)
 
+def sweep_group(g: int, raw: bytes, replies: list[tuple[int, bytes]], whole: Whole, sweep: int, frequent: np.ndarray, s: Settings) -> list[tuple]:
+    """A Gibbs sweep over a group's restaurants.
 
-def sweep_bucket(raw: bytes, sweep: int, whole: dict[str, np.ndarray], s: Settings) -> tuple[bytes, bytes]:
-    """(seating, counted) after a Gibbs sweep over a bucket's dishes; after the last sweep, (model, counted).
+    The unigram restaurant is as it stood after the last sweep, less the dish's own tables.
 
-    ``whole`` has the sums of ``counted`` over all buckets after the sweep before. Restaurants are seen as they stood
-    then, so that a sweep's result depends neither on the number of buckets nor on their order.
+    A restaurant's dishes are redrawn one after another (beyond ``batches`` dishes that can change, in as many batches),
+    each given the tables that the others have by then. Restaurants that are spread over groups see their other tables
+    as they stood after the last sweep, so that the number of groups does not matter.
     """
     m = unpack(raw)
-    words, ctx, n, t, t0, sums, roots = m["word"], *(m[k].astype(np.int64) for k in ("ctx", "n", "t", "t0", "sums")), m["roots"]
-    at = np.repeat(np.arange(len(words)), m["pairs"].astype(np.int64))
-    uniform = 1.0 / (int(whole["vocabulary"][0]) + 1)
-    tables = int(whole["root_tables"][0])
-    c0 = np.bincount(at, t, len(words)).astype(np.int64)
-    root = (c0 - s.root_discount * t0 + (s.root_strength + s.root_discount * tables) * uniform) / (s.root_strength + int(whole["customers"][0]))
-    t = seat(n, s.strength + s.discount * (whole["tables"][ctx] - t), root[at], s.discount, draws(s.seed, sweep, words[at], ctx))
-    c0 = np.bincount(at, t, len(words)).astype(np.int64)
-    t0 = seat(c0, s.root_strength + s.root_discount * (tables - t0), np.full(len(words), uniform), s.root_discount, draws(s.seed, sweep, words, CONTEXTS))
+    context, which, n, t = m["context"], m["which"], m["n"], m["t"].copy()
+    stay = np.concatenate([np.zeros(0), *(unpack(b)["stay"] for _, b in sorted(replies, key=lambda x: x[0]))])
+    fresh = (s.root_strength + s.root_discount * whole.tables) / (whole.vocabulary + 1)
+    hit, at = among(m["contexts"], frequent)
+    total = np.where(hit, whole.spread_tables[at] if len(frequent) else 0, np.bincount(context, t, len(hit)).astype(np.int64))
+    dishes = pair_hash(m["contexts"][context], m["words"][which])
+    keys = draws(s, sweep, dishes)
+    free = np.flatnonzero(n > 1)
+    free = free[np.argsort(context[free], kind="stable")]
+    of = context[free]
+    head = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+    many = np.diff(np.r_[head, len(of)])
+    rank, count = np.arange(len(of)) - np.repeat(head, many), np.repeat(many, many)
+    step = np.where(hit[of], 0, np.where(count <= s.batches, rank, rank * s.batches // count))
+    order = np.argsort(step, kind="stable")
+    free, step = free[order], step[order]
+    cut = np.searchsorted(step, np.arange((int(step[-1]) if len(step) else -1) + 2))
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        d = free[a:b]
+        above = fresh, s.root_strength + whole.customers - t[d], s.root_discount
+        new = seat(n[d], s.strength + s.discount * (total[context[d]] - t[d]), np.maximum(stay[which[d]] - t[d], 0.0), s.discount, keys[d], above)
+        alone = ~hit[context[d]]
+        total += np.bincount(context[d][alone], (new - t[d])[alone], len(total)).astype(np.int64)
+        t[d] = new
+    tables, sums = m["tables"], m["sums"]
     if sweep >= s.burn_in:
-        sums, roots = sums + t, np.r_[roots, (c0 - s.root_discount * t0).astype(np.float32)]
-    if sweep < s.burn_in + s.samples - 1:
-        out = pack(word=words, pairs=m["pairs"], ctx=ctx, n=n, t=t, t0=t0, sums=sums, roots=roots)
-    else:
-        out = pack(word=words, count=np.bincount(at, n, len(words)).astype(np.int64), root=roots, pairs=m["pairs"], ctx=ctx, stay=(n - s.discount * (sums / s.samples)).astype(np.float32))
-    return out, counted(at, ctx, t, t0)
+        sums, tables = sums + t, np.r_[tables, np.where(hit, 0, total)]
+    blob = pack(**{k: m[k] for k in ("contexts", "context", "words", "group", "which", "n")}, t=t, sums=sums, tables=tables)
+    return [(g, SEATING, 0, blob, int(t.sum()), int(n.sum())), *told(g, m["words"], m["group"], which, t, n, m["contexts"], context, frequent)]
+
+
+class GroupModel:
+    """What a group knows after all samples: its pairs, its own words' restaurants and their place in the unigram restaurant."""
+
+    def __init__(self, seating: bytes | None, parents: list[bytes], samples: list[Whole], frequent: np.ndarray, s: Settings):
+        none = np.zeros(0, np.int64)
+        m = unpack(seating) if seating is not None else {"contexts": none.astype(np.uint64), "context": none, "words": none.astype(np.uint64), "which": none, "n": none, "sums": none, "tables": np.zeros(0, np.int64)}
+        k = len(samples)
+        self.contexts, self.frequent, self.samples = m["contexts"], frequent, k
+        hit, at = among(self.contexts, frequent)
+        customers = np.bincount(m["context"], m["n"], len(hit)).astype(np.int64)
+        tables = m["tables"].reshape(k, len(hit)) if len(m["tables"]) else np.zeros((k, len(hit)), np.int64)
+        if len(frequent):
+            customers = np.where(hit, samples[-1].spread_customers[at], customers)
+            tables = np.where(hit[None, :], np.array([x.spread_tables for x in samples])[:, at], tables)
+        self.customers = customers
+        self.weight = ((s.strength + s.discount * tables) / (s.strength + customers)[None, :]).astype(np.float32)
+        dishes = pair_hash(self.contexts[m["context"]], m["words"][m["which"]])
+        self.dishes = dishes  # in rising order since the first seating
+        self.stay = ((m["n"] - s.discount * (m["sums"] / max(k, 1))) / (s.strength + customers[m["context"]])).astype(np.float32)
+        known = [unpack(b) for b in parents]
+        self.words = known[0]["word"] if known else none.astype(np.uint64)
+        self.root = np.array([p["stay"] for p in known], np.float32).reshape(k, len(self.words)) if known else np.zeros((k, 0), np.float32)
+
+    def answer(self, ask: dict[str, np.ndarray]) -> bytes:
+        """Of each pair what its dish keeps, of each word before the weight of the unigram restaurant, of each own word its share there and its count."""
+        hit, at = among(pair_hash(np.repeat(ask["u"], ask["k"]), ask["w"]), self.dishes)
+        stay = np.where(hit, self.stay[at] if len(self.stay) else 0, 0).astype(np.float32)
+        seen, to = among(ask["u"], self.contexts)
+        weight = np.ones((self.samples, len(seen)), np.float32)
+        weight[:, seen] = self.weight[:, to[seen]]
+        known, own = among(ask["home"], self.words)
+        root = np.zeros((self.samples, len(known)), np.float32)
+        root[:, known] = self.root[:, own[known]]
+        there, mine = among(ask["home"], self.contexts)
+        count = np.where(there, self.customers[mine] if len(self.contexts) else 0, 0)
+        return pack(stay=stay, weight=weight.reshape(-1), root=root.reshape(-1), count=count.astype(np.int64))
+
+
+def frequent_words(docs: DataFrame, train: Column, id_col: str, text_col: str, share: float) -> np.ndarray:
+    """Sorted numbers of the words with at least this share, and at least 16 tokens, in a 61st of the training documents; and of the start.
+
+    Only says which restaurants are spread over groups; every count of the model is of all documents.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            words, index, _ = tokens_of(part.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(np.bincount(index, minlength=len(words)))], names=["w", "n"])
 
+    some = docs.where(train & (F.pmod(F.xxhash64(id_col), F.lit(61)) == 7)).select(text_col).mapInArrow(run, "w long, n long")
+    counts = written(some.groupBy("w").agg(F.sum("n").alias("n")).where("n > 0"), "lm-frequent")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    got = counts.where(F.col("n") >= max(16.0, share * total)).select("w").collect()  # 1 / share at most
+    forget(counts)
+    return np.unique(np.array([START_NUMBER, *(r.w for r in got if r.w != END_NUMBER)], np.uint64))
 
-def sampled(kept: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    """The sums over all buckets of each sweep that is a sample, one after another."""
-    return {"vocabulary": kept[0]["vocabulary"]} | {k: np.concatenate([x[k] for x in kept]) for k in ("tables", "customers", "root_tables")}
 
+def chunk_rows(docs: DataFrame, train: Column, groups: int, frequent: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+    """(chunk, g, blob): of each chunk its texts' tokens (g -1), and for each group the chunk's pairs and words that it knows, with training counts."""
 
-def seat_bucket(bucket: int, buckets: int, blobs: list[bytes], total: np.ndarray, s: Settings) -> tuple[bytes, bytes]:
-    """(model, totals) after all sweeps where one bucket holds all words; of several, each sweep needs the others' tables."""
-    if buckets != 1:
-        raise ValueError("a bucket is not seated apart from the others")
-    raw, sums = first_seating(blobs)
-    kept = []
-    for sweep in range(s.burn_in + s.samples):
-        raw, sums = sweep_bucket(raw, sweep, {k: v.astype(np.int64) for k, v in unpack(sums).items()}, s)
-        kept.append(unpack(sums))
-    return raw, pack(**sampled(kept[s.burn_in :]))
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part_id = TaskContext.get().partitionId()
+        for number, (rows, texts) in enumerate(chunks_of(parts)):
+            words, index, sizes = tokens_of(texts)
+            lay = Layout.of(words, index, frequent, groups)
+            learn = np.array([bool(f) for _, f in rows])
+            n = np.bincount(lay.pair, np.repeat(learn, sizes), len(lay.u)).astype(np.int64)
+            ids = pack(ids=np.array([i or 0 for i, _ in rows], np.int64).view(np.float64), null=np.array([i is None for i, _ in rows], np.int64), learn=learn.astype(np.int64), sizes=sizes, index=index, words=words)
+            out = [(-1, ids)]
+            for g in np.flatnonzero((np.diff(lay.cuts) > 0) | (np.diff(lay.home_cuts) > 0)).tolist():
+                lo, hi = lay.cuts[g], lay.cuts[g + 1]
+                head, k = lay.runs(g)
+                out.append((g, pack(u=words[lay.u[lo:hi][head]], k=k, w=words[lay.w[lo:hi]], n=n[lo:hi], home=words[lay.home[lay.home_cuts[g] : lay.home_cuts[g + 1]]])))
+            yield pa.RecordBatch.from_arrays([pa.array([part_id << 24 | number] * len(out), pa.int64()), pa.array([g for g, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["chunk", "g", "blob"])
+
+    return docs.select(F.col(id_col).cast("long"), F.coalesce(train, F.lit(False)), text_col).mapInArrow(run, "chunk long, g long, blob binary")
+
+
+def scored(text: bytes, answers: list[tuple[int, bytes]], groups: int, frequent: np.ndarray, samples: list[Whole], s: Settings) -> pd.DataFrame:
+    """The rows of a chunk's texts from what the groups answered."""
+    m = unpack(text)
+    words, index, sizes = m["words"], m["index"], m["sizes"]
+    lay = Layout.of(words, index, frequent, groups)
+    k, n = len(samples), len(words)
+    stay, weight = np.zeros(len(lay.u)), np.ones((k, len(lay.u)))
+    root, count = np.zeros((k, n)), np.zeros(n, np.int64)
+    for g, blob in answers:
+        a = unpack(blob)
+        lo, hi = lay.cuts[g], lay.cuts[g + 1]
+        stay[lo:hi] = a["stay"]
+        many = lay.runs(g)[1]
+        weight[:, lo:hi] = np.repeat(a["weight"].reshape(k, len(many)), many, axis=1)
+        home = lay.home[lay.home_cuts[g] : lay.home_cuts[g + 1]]
+        root[:, home], count[home] = a["root"].reshape(k, len(home)), a["count"]
+    tokens = vocabulary = 0
+    if k:
+        last = samples[-1]
+        hit, at = among(words, frequent)
+        count = np.where(hit, last.spread_customers[at], count)
+        spread, to = hit[lay.u], at[lay.u]  # a group need not have met a spread restaurant to be asked about it
+        weight[:, spread] = [((s.strength + s.discount * x.spread_tables) / (s.strength + x.spread_customers))[to[spread]] for x in samples]
+        count[0] = last.spread_customers[among(np.array([START_NUMBER], np.uint64), frequent)[1][0]]  # an end for each start
+        tokens, vocabulary = last.tokens, last.vocabulary
+        below = np.array([s.root_strength + x.customers for x in samples])[:, None]
+        fresh = np.array([(s.root_strength + s.root_discount * x.tables) / (x.vocabulary + 1) for x in samples])[:, None]
+        p = stay + (weight * ((root + fresh) / below)[:, lay.w]).mean(axis=0)
+    else:
+        p = np.ones(len(lay.u))
+    text_of = np.repeat(np.arange(len(sizes)), sizes)
+    add = lambda x: np.bincount(text_of, x, len(sizes))
+    number = pd.array(m["ids"].view(np.int64), dtype="Int64")
+    number[m["null"].astype(bool)] = pd.NA
+    base = np.log10((count + 0.1) / (tokens + 0.1 * (vocabulary + 1)))
+    return pd.DataFrame({"id": number, "train": m["learn"].astype(bool), "n_tokens": sizes, "n_known": add(count[index] > 0).astype(np.int64), "base_score": add(base[index]), "score": add(np.log10(p)[lay.pair])})
 
 
 @dataclass(frozen=True)
-class Totals:
-    """What all restaurants share: exact sums over all buckets."""
+class Sample(Whole):
+    tokens: int = 0
 
-    contexts: np.ndarray
-    vocabulary: int
-    tables: np.ndarray
-    customers: np.ndarray
-    root_tables: np.ndarray
-    settings: Settings
-
-    @property
-    def tokens(self) -> int:
-        return int(self.contexts.sum())
-
-
-class Scorer:
-    """log10 probabilities under one bucket's model (or the hot words' one)."""
-
-    def __init__(self, model: bytes | None, totals: Totals):
-        m = unpack(model) if model is not None else unpack(pack(word=np.zeros(0, np.uint64), count=np.zeros(0, np.int64), root=np.zeros(0, np.float32), pairs=np.zeros(0, np.int64), ctx=np.zeros(0, np.int64), stay=np.zeros(0, np.float32)))
-        s = totals.settings
-        self.totals, self.words, self.counts = totals, m["word"], m["count"].astype(np.int64)
-        word = np.repeat(np.arange(len(self.words)), m["pairs"].astype(np.int64))
-        self.keys, self.stay = word * CONTEXTS + m["ctx"].astype(np.int64), m["stay"]
-        fresh = (s.root_strength + s.root_discount * totals.root_tables) / (totals.vocabulary + 1)
-        below = s.root_strength + totals.customers
-        self.root = (m["root"].reshape(s.samples, len(self.words)) + fresh[:, None]) / below[:, None]
-        self.unknown = fresh / below
-        self.weight = (s.strength + s.discount * totals.tables.reshape(s.samples, CONTEXTS)) / (s.strength + totals.contexts)[None, :]
-        self.scale = 1.0 / (s.strength + totals.contexts)
-
-    def find(self, words: np.ndarray) -> np.ndarray:
-        """Positions of words (hashes), -1 if unknown."""
-        if not len(self.words):
-            return np.full(len(words), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, at, -1)
-
-    def score(self, at: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-        """The mean over samples of the predictive probability, its log10; ``at`` from ``find``."""
-        known = at >= 0
-        root = np.where(known[None, :], self.root[:, np.maximum(at, 0)] if len(self.words) else 0.0, self.unknown[:, None])
-        p = (self.weight[:, ctx] * root).mean(axis=0)
-        if len(self.keys):
-            key = at * CONTEXTS + ctx
-            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = known & (self.keys[k] == key)
-            p[hit] += self.stay[k[hit]] * self.scale[ctx[hit]]
-        return np.log10(p)
-
-    def base(self, at: np.ndarray) -> np.ndarray:
-        c = np.where(at >= 0, self.counts[np.maximum(at, 0)] if len(self.words) else 0, 0)
-        return np.log10((c + 0.1) / (self.totals.tokens + 0.1 * (self.totals.vocabulary + 1)))
-
-
-def by_text(scorer: Scorer, words: np.ndarray, pair_word: np.ndarray, pair_ctx: np.ndarray, pair: np.ndarray, text: np.ndarray) -> bytes:
-    """Sums over each text's tokens: those that occur here only."""
-    at = scorer.find(words)
-    score, base, known = scorer.score(at[pair_word], pair_ctx), scorer.base(at), at >= 0
-    texts, number = np.unique(text, return_inverse=True)
-    add = lambda x: np.bincount(number, x, len(texts))
-    return pack(text=texts, score=add(score[pair]), base=add(base[pair_word[pair]]), known=add(known[pair_word[pair]]).astype(np.int64))
-
-
-MODELS = "bucket int, model binary, sums binary"
-SCORED = "bucket int, chunk long, kind int, parts int, blob binary"
-
-
-def ask_blobs(docs: DataFrame, train: Column, buckets: int, hot: bytes, totals: Totals, id_col: str, text_col: str) -> DataFrame:
-    """Rows of SCORED. Kind 0: a chunk's ids and the sums over its hot words. Kind 1: its other tokens in a bucket."""
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, place = Scorer(hot, totals), TaskContext.get().partitionId()
-        for number, (rows, texts) in enumerate(chunks_of(parts)):
-            tok = tokens_of(texts)
-            text = np.repeat(np.arange(len(texts)), tok.sizes)
-            is_hot = scorer.find(tok.hashes) >= 0
-            bucket = np.where(is_hot, buckets, (tok.hashes % np.uint64(buckets)).astype(np.int64))
-            key, pair = np.unique(tok.index * CONTEXTS + tok.contexts, return_inverse=True)
-            word, ctx = key // CONTEXTS, key % CONTEXTS
-            rank = np.empty(len(key), np.int64)
-            order = np.argsort(bucket[word], kind="stable")
-            rank[order] = np.arange(len(key))
-            word, ctx, pair = word[order], ctx[order], rank[pair]
-            cut = np.searchsorted(bucket[word], np.arange(buckets + 2))
-            where = np.argsort(bucket[tok.index], kind="stable")
-            pair, text = pair[where], text[where]
-            ends = np.searchsorted(bucket[tok.index][where], np.arange(buckets + 2))
-            chunk, out = place << 24 | number, []
-            for b in range(buckets + 1):
-                lo, hi, x, y = cut[b], cut[b + 1], ends[b], ends[b + 1]
-                words, pair_word = np.unique(word[lo:hi], return_inverse=True)
-                if b == buckets:
-                    sums = by_text(scorer, tok.hashes[words], pair_word, ctx[lo:hi], pair[x:y] - lo, text[x:y])
-                    null = np.array([i is None for i, _ in rows], np.int64)
-                    ids = pack(id=np.array([i or 0 for i, _ in rows], np.int64), null=null, learn=np.array([bool(f) for _, f in rows], np.int64), tokens=tok.sizes)
-                    out.append((chunk % buckets, 0, len(ids).to_bytes(8, "little") + ids + sums))
-                elif y > x:
-                    out.append((b, 1, pack(word=tok.hashes[words], pair_word=pair_word, ctx=ctx[lo:hi], pair=pair[x:y] - lo, text=text[x:y])))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in out], pa.int32()), pa.array([chunk] * len(out), pa.int64()), pa.array([k for _, k, _ in out], pa.int32()), pa.array([len(out)] * len(out), pa.int32()), pa.array([x for _, _, x in out], pa.binary())], names=["bucket", "chunk", "kind", "parts", "blob"])
-
-    return docs.select(F.col(id_col).cast("long"), F.coalesce(train, F.lit(False)), text_col).mapInArrow(run, SCORED)
-
-
-def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), bucket_bytes: int = 16 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), group_bytes: int = 32 << 20) -> DataFrame:
     """(id, train BOOLEAN, n_tokens, n_known, train_tokens BIGINT, base_score, score DOUBLE) for every row.
 
     The model is a two-level hierarchical Pitman-Yor process over the tokens of the rows where ``train`` holds: a
-    restaurant for each class of the token before (``context_of``), all with the unigram restaurant as parent, which
-    backs off to a uniform share for each known word and one for all unknown ones. Seatings are drawn by Gibbs sweeps
-    (``seat``); a token's probability is the mean of the predictive probabilities of all samples after the burn-in.
-    Every count of every training text goes into it. After each sweep the buckets' table and root totals are summed,
-    and the next sweep uses those exact sums, so that the number of buckets does not enter the result.
-
-    Words are dealt to buckets by hash, one for each ``bucket_bytes`` of text. Tasks count (word, context) pairs
-    before anything is exchanged, and exchange arrays, not rows. A word's row has at most CONTEXTS entries; frequent
-    words, of which there are under 1 / settings.hot, are scored where the text is, so that no bucket is hot. What is
-    broadcast has a fixed bound: totals of CONTEXTS entries a sample and the frequent words' rows.
-
-    Null or empty texts: one end token. Null ids and repeated rows come back as they are. Empty table: no rows.
+    restaurant for every different word before, however many there are, all with the unigram restaurant as parent,
+    which backs off to a uniform share for each known word and one for all unknown ones. Seatings are drawn by Gibbs
+    sweeps (``sweep_group``, ``seat``); a token's probability is the mean of the predictive probabilities of all
+    samples after the burn-in. Every count of every training text goes into it. The unigram restaurant is redrawn
+    between the sweeps, given the tables of all the others.
+
+    Restaurants are dealt by hash into groups, one for each ``group_bytes`` of text; a word's dish in the unigram
+    restaurant is in the group of its own restaurant. Restaurants of frequent words (``frequent_words``, at most
+    1 / ``settings.frequent``) are spread over all groups by dish, and only their table and customer sums are gathered.
+    Nothing depends on the number of groups, chunks or partitions. A chunk sends a group its different pairs once, both to
+    learn from and to be answered; messages are arrays, at most one for each word of the sender, so they grow with the
+    text. What reaches all tasks is the list of frequent words with two sums each.
+
+    Words are told apart by 48 bits of their hash. Null or empty texts: one end token. Null ids and repeated rows come
+    back as they are. Very long texts are one chunk. Empty table: no rows; no training rows: scores 0. Other columns are
+    not looked at, whatever their names.
     """
-    spark = docs.sparkSession
+    spark, s = docs.sparkSession, settings
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
-    counts = written(count_blobs(docs, train, buckets, id_col, text_col), "lm-counts")
-    total = summed(counts.where("bucket = -1").select("blob")).get("total", np.zeros(CONTEXTS, np.int64))
-
-    def learn(rows: pd.DataFrame) -> pd.DataFrame:
-        seating, sums = first_seating(rows["blob"].tolist())
-        return pd.DataFrame({"bucket": [int(rows["bucket"].iloc[0])], "model": [seating], "sums": [sums]})
-
-    def swept(seatings: DataFrame, number: int, everyone: dict[str, np.ndarray]) -> DataFrame:
-        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in parts:
-                for b, raw in zip(part.column(0), part.column(1)):
-                    x, sums = sweep_bucket(raw.as_py(), number, everyone, settings)
-                    yield pa.RecordBatch.from_arrays([pa.array([b.as_py()], pa.int32()), pa.array([x], pa.binary()), pa.array([sums], pa.binary())], names=["bucket", "model", "sums"])
-
-        return seatings.select("bucket", "model").mapInArrow(run, MODELS)
-
-    models = written(counts.where("bucket >= 0").groupBy("bucket").applyInPandas(learn, MODELS), "lm-model")
-    forget(counts)
-    everyone, kept = summed(models.select(F.col("sums").alias("blob"))), []
-    for number in range(settings.burn_in + settings.samples if everyone else 0):
-        then = written(swept(models, number, everyone), "lm-model")
-        forget(models)
-        models, everyone = then, summed(then.select(F.col("sums").alias("blob")))
-        kept.append(everyone)
-    got = sampled(kept[settings.burn_in :]) if kept else {}
-    zero = np.zeros(settings.samples, np.int64)
-    totals = Totals(total, int(got["vocabulary"][0]) if got else 0, got.get("tables", np.zeros(settings.samples * CONTEXTS, np.int64)), got.get("customers", zero), got.get("root_tables", zero), settings)
-    least = max(1.0, settings.hot * totals.tokens)
-
-    def frequent(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            out = []
-            for raw in part.column(0):
-                m = unpack(raw.as_py())
-                end = np.cumsum(m["pairs"].astype(np.int64))
-                for i in np.flatnonzero(m["count"] >= least).tolist():
-                    a, b = end[i] - int(m["pairs"][i]), end[i]
-                    out.append(pack(word=m["word"][i : i + 1], count=m["count"][i : i + 1], root=m["root"].reshape(settings.samples, -1)[:, i], pairs=m["pairs"][i : i + 1], ctx=m["ctx"][a:b], stay=m["stay"][a:b]))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["blob"])
-
-    rows = sorted((unpack(r.blob) for r in models.select("model").mapInArrow(frequent, "blob binary").toLocalIterator()), key=lambda m: int(m["word"][0]))
-    hot = pack(**{k: np.concatenate([m[k] for m in rows]) for k in ("word", "count", "pairs", "ctx", "stay")}, root=np.array([m["root"] for m in rows]).T.reshape(-1)) if rows else None
-
-    def score(key: tuple, model: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        scorer = Scorer(bytes(model["model"].iloc[0]) if len(model) else None, totals)
-        blobs = []
-        for kind, raw in zip(asks["kind"], asks["blob"]):
-            if kind == 1:
-                m = unpack(raw)
-                raw = by_text(scorer, m["word"], m["pair_word"].astype(np.int64), m["ctx"].astype(np.int64), m["pair"].astype(np.int64), m["text"].astype(np.int64))
-            blobs.append(raw)
-        return pd.DataFrame({"bucket": asks["bucket"], "chunk": asks["chunk"], "kind": asks["kind"], "parts": asks["parts"], "blob": blobs})
-
-    def gather(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) != rows["parts"].iloc[0] or rows["parts"].nunique() > 1:
-            raise RuntimeError("the rows of a chunk differ between attempts; give score_documents a written table")
-        head = bytes(rows.loc[rows["kind"] == 0, "blob"].iloc[0])
-        cut = 8 + int.from_bytes(head[:8], "little")
-        ids = unpack(head[8:cut])
-        n = len(ids["id"])
-        sums = {k: np.zeros(n) for k in ("score", "base", "known")}
-        for raw in [head[cut:], *rows.loc[rows["kind"] == 1, "blob"]]:
-            m = unpack(raw)
-            for k, x in sums.items():
-                x[m["text"].astype(np.int64)] += m[k]
-        number = pd.array(ids["id"].astype(np.int64), dtype="Int64")
-        number[ids["null"].astype(bool)] = pd.NA
-        return pd.DataFrame({"id": number, "train": ids["learn"].astype(bool), "n_tokens": ids["tokens"].astype(np.int64), "n_known": sums["known"].astype(np.int64), "base_score": sums["base"], "score": sums["score"]})
-
-    asks = ask_blobs(docs, train, buckets, hot, totals, id_col, text_col)
-    done = models.select("bucket", "model").groupBy("bucket").cogroup(asks.groupBy("bucket")).applyInPandas(score, SCORED)
-    out = done.groupBy("chunk").applyInPandas(gather, "id long, train boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.withColumnRenamed("id", id_col).withColumn("train_tokens", F.lit(totals.tokens).cast("long"))
+    groups = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // group_bytes))
+    frequent = frequent_words(docs, train, id_col, text_col, s.frequent)
+    chunks = written(chunk_rows(docs, train, groups, frequent, id_col, text_col), "lm-chunks")
+
+    def first(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows_of(first_seating(int(rows["g"].iloc[0]), rows["blob"], groups, frequent))
+
+    def sums(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        tables, customers = np.zeros(len(frequent), np.int64), np.zeros(len(frequent), np.int64)
+        for r in table.where(F.col("kind") == SPREAD).groupBy("o").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect():  # a row a frequent word
+            tables[r.o], customers[r.o] = r.t, r.c
+        return tables, customers
+
+    def parent_of(seating: DataFrame, before: DataFrame | None, tables: int, vocabulary: int, sweep: int) -> DataFrame:
+        asks = seating.where(F.col("kind") == ASK).select("g", "kind", "o", "blob")
+        if before is not None:
+            asks = asks.unionByName(before.where(F.col("kind") == PARENT).select("g", "kind", F.col("g").alias("o"), "blob"))
+
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            own = rows.loc[rows["kind"] == PARENT, "blob"]
+            mine = rows[rows["kind"] == ASK]
+            return rows_of(parent_step(int(rows["o"].iloc[0]), list(zip(mine["g"].tolist(), mine["blob"])), own.iloc[0] if len(own) else None, tables, vocabulary, sweep, s))
+
+        return written(asks.groupBy("o").applyInPandas(run, ROWS), "lm-parent")
+
+    def whole_of(seating: DataFrame, parent: DataFrame) -> Sample:
+        r = parent.where(F.col("kind") == PARENT).agg(F.sum("o").alias("v"), F.sum("t").alias("t"), F.sum("c").alias("c")).first()
+        n = seating.where(F.col("kind") == SEATING).agg(F.sum("c")).first()[0]
+        return Sample(r.v or 0, r.t or 0, r.c or 0, *sums(seating), n or 0)
+
+    def swept(seating: DataFrame, parent: DataFrame, whole: Sample, sweep: int) -> DataFrame:
+        own = seating.where(F.col("kind") == SEATING).unionByName(parent.where(F.col("kind") == REPLY)).select("g", "kind", "o", "blob")
+
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            mine, replies = rows[rows["kind"] == SEATING], rows[rows["kind"] == REPLY]
+            return rows_of(sweep_group(int(rows["g"].iloc[0]), mine["blob"].iloc[0], list(zip(replies["o"].tolist(), replies["blob"])), whole, sweep, frequent, s))
+
+        return written(own.groupBy("g").applyInPandas(run, ROWS), "lm-seating")
+
+    seating = written(chunks.where("g >= 0").groupBy("g").applyInPandas(first, ROWS), "lm-seating")
+    parent = parent_of(seating, None, 0, 0, 0)
+    whole = whole_of(seating, parent)
+    samples, kept = [], []
+    for sweep in range(s.burn_in + s.samples if whole.tokens else 0):
+        then = swept(seating, parent, whole, sweep)
+        above = parent_of(then, parent, whole.tables, whole.vocabulary, sweep)
+        forget(seating)
+        if sweep <= s.burn_in:
+            forget(parent)
+        seating, parent = then, above
+        whole = whole_of(seating, parent)
+        if sweep >= s.burn_in:
+            samples.append(whole)
+            kept.append(parent.where(F.col("kind") == PARENT).select("g", F.lit(len(samples)).alias("kind"), "blob"))
+
+    model = seating.where(F.col("kind") == SEATING).select("g", F.lit(0).alias("kind"), "blob")
+    for k in kept:
+        model = model.unionByName(k)
+    model = model.select("g", "kind", F.lit(-1).cast("long").alias("chunk"), "blob")
+    asked = chunks.where("g >= 0").select("g", F.lit(-1).alias("kind"), "chunk", "blob")
+
+    def answer(key: tuple, known: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        parts = dict(zip(known["kind"].tolist(), known["blob"]))
+        group = GroupModel(parts.get(0), [parts[k] for k in range(1, len(samples) + 1) if k in parts], samples, frequent, s)
+        blobs = [group.answer(unpack(b)) for b in asks["blob"]] if samples else []
+        return pd.DataFrame({"chunk": asks["chunk"].iloc[: len(blobs)], "g": [key[0]] * len(blobs), "blob": blobs})
+
+    answers = model.groupBy("g").cogroup(asked.groupBy("g")).applyInPandas(answer, "chunk long, g long, blob binary")
+    texts = chunks.where("g < 0").select("chunk", "blob")
+
+    def gather(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        return scored(own["blob"].iloc[0], list(zip(found["g"].tolist(), found["blob"])), groups, frequent, samples, s)
+
+    out = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(gather, "id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.withColumnRenamed("id", id_col).withColumn("train_tokens", F.lit(whole.tokens).cast("long"))
