@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siltstone.checkpoints import forget, fresh_path, shared_dir, written  # noqa: F401  used by the operators
 
@@ -13,6 +14,12 @@ SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps: it does so once their plans are collected as garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 

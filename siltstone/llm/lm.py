@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siltstone.llm.common import forget, written
+from siltstone.llm.common import forget, release, written
 
 CHUNK_BYTES = 6 << 20
 #: Numbers of words are 48 bits of their hash. No word is empty or a space: these stand for the end and the start of a text.
@@ -71,20 +71,23 @@ def among(x: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(**arrays: np.ndarray) -> bytes:
-    """Named arrays as compressed bytes, integers in the smallest type that holds them, word numbers in six bytes."""
+    """Named arrays as compressed bytes: word numbers as differences, which are small where they are sorted, other integers
+    in the smallest type that holds them, and all by planes of equally significant bytes."""
     import zstandard
 
+    planes = lambda x: np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes() if len(x) else b""
+
     head, body = [], []
     for name, x in arrays.items():
         if x.dtype == np.uint64:
             head.append(f"{name}:w:{len(x)}")
-            body += [(x & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (x >> np.uint64(32)).astype("<u2").tobytes()]
+            body.append(planes(np.diff(x, prepend=np.uint64(0))))
             continue
         if x.dtype.kind in "iu":
             top = int(x.max()) if len(x) else 0
             x = x.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<i8")
         head.append(f"{name}:{x.dtype.str}:{len(x)}")
-        body.append(x.tobytes())
+        body.append(planes(x))
     line = ",".join(head).encode()
     return zstandard.ZstdCompressor(level=1).compress(len(line).to_bytes(4, "little") + line + b"".join(body))
 
@@ -98,14 +101,11 @@ def unpack(raw: bytes) -> dict[str, np.ndarray]:
     out, at = {}, n
     for part in raw[4:n].decode().split(","):
         name, kind, size = part.split(":")
-        size = int(size)
-        if kind == "w":
-            out[name] = np.frombuffer(raw, "<u4", size, at).astype(np.uint64) | np.frombuffer(raw, "<u2", size, at + 4 * size).astype(np.uint64) << np.uint64(32)
-            at += 6 * size
-        else:
-            x = np.frombuffer(raw, kind, size, at)
-            at += x.nbytes
-            out[name] = x.astype(np.int64) if x.dtype.kind in "iu" else x
+        size, real = int(size), np.dtype("<u8" if kind == "w" else kind)
+        x = np.frombuffer(raw, np.uint8, size * real.itemsize, at).reshape(real.itemsize, size)
+        at += x.size
+        x = np.ascontiguousarray(x.T).reshape(-1).view(real)
+        out[name] = np.cumsum(x, dtype=np.uint64) if kind == "w" else x.astype(np.int64) if real.kind in "iu" else x
     return out
 
 
@@ -191,7 +191,7 @@ def chunks_of(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
 
 
 def tokens_of(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(numbers of the different words, the tokens as positions there, tokens of each text); position 0 is the end, 1 the start."""
+    """(sorted numbers of the different words, the end and the start among them, the tokens as positions there, tokens of each text)."""
     index: defaultdict[bytes, int] = defaultdict()
     index.default_factory = index.__len__
     look = index.__getitem__
@@ -201,12 +201,13 @@ def tokens_of(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
         words = (t or "").encode().lower().split()
         words.append(END)
         parts.append(np.fromiter(map(look, words), np.int64, len(words)))
-    return numbers_of(index), np.concatenate(parts) if parts else np.zeros(0, np.int64), np.fromiter(map(len, parts), np.int64, len(parts))
+    words, own = np.unique(numbers_of(index), return_inverse=True)
+    return words, own[np.concatenate(parts)] if parts else np.zeros(0, np.int64), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
 @dataclass
 class Layout:
-    """A chunk's different (word before, word) pairs and words by the group that knows them; the same wherever it is made."""
+    """A chunk's different (word before u, word w) pairs by the group that knows them, then by w and u, and its words by group; the same wherever it is made."""
 
     u: np.ndarray
     w: np.ndarray
@@ -218,9 +219,10 @@ class Layout:
     @classmethod
     def of(cls, words: np.ndarray, index: np.ndarray, frequent: np.ndarray, groups: int) -> Layout:
         n = len(words)
-        before = np.r_[1, index[:-1]] if len(index) else index
-        key, pair = np.unique(np.where(before == 0, 1, before) * n + index, return_inverse=True)
-        u, w = key // n, key % n
+        end, start = (int(np.searchsorted(words, np.uint64(x))) for x in (END_NUMBER, START_NUMBER))
+        before = np.r_[end, index[:-1]] if len(index) else index
+        key, pair = np.unique(index * n + np.where(before == end, start, before), return_inverse=True)
+        w, u = key // n, key % n
         homes = place(mixed(words), groups)
         group, spread = homes[u], among(words, frequent)[0][u]
         group[spread] = place(pair_hash(words[u[spread]], words[w[spread]]), groups)
@@ -228,14 +230,12 @@ class Layout:
         rank = np.empty(len(key), np.int64)
         rank[order] = np.arange(len(key))
         home = np.argsort(homes, kind="stable")
-        home = home[home != 1]
+        home = home[home != start]
         return cls(u[order], w[order], rank[pair], np.searchsorted(group[order], np.arange(groups + 1)), home, np.searchsorted(homes[home], np.arange(groups + 1)))
 
-    def runs(self, g: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of a group's pairs: where each word before begins, and how many pairs it has."""
-        u = self.u[self.cuts[g] : self.cuts[g + 1]]
-        head = np.flatnonzero(np.r_[True, u[1:] != u[:-1]]) if len(u) else np.zeros(0, np.int64)
-        return head, np.diff(np.r_[head, len(u)])
+    def befores(self, g: int) -> tuple[np.ndarray, np.ndarray]:
+        """A group's words before, and the position of each pair's among them."""
+        return np.unique(self.u[self.cuts[g] : self.cuts[g + 1]], return_inverse=True)
 
 
 ROWS = "g long, kind int, o long, blob binary, t long, c long"
@@ -259,12 +259,14 @@ def told(g: int, words: np.ndarray, group: np.ndarray, which: np.ndarray, t: np.
 def first_seating(g: int, blobs: Iterable[bytes], groups: int, frequent: np.ndarray) -> list[tuple]:
     """A group's pairs of all chunks, merged, with one table a dish."""
     parts = [unpack(b) for b in blobs]
-    u = np.concatenate([np.repeat(p["u"], p["k"]) for p in parts])
-    w, n = np.concatenate([p["w"] for p in parts]), np.concatenate([p["n"] for p in parts])
+    u, w = np.concatenate([p["u"][p["at"]] for p in parts]), np.concatenate([np.repeat(p["w"], p["k"]) for p in parts])
+    n = np.concatenate([p["n"] for p in parts])
     u, w, n = u[n > 0], w[n > 0], n[n > 0]
     _, first, same = np.unique(pair_hash(u, w), return_index=True, return_inverse=True)
     n = np.bincount(same, n, len(first)).astype(np.int64)
     contexts, context = np.unique(u[first], return_inverse=True)
+    by = np.argsort(context, kind="stable")
+    first, n, context = first[by], n[by], context[by]
     words, which = np.unique(w[first], return_inverse=True)
     group = place(mixed(words), groups)
     order = np.argsort(group, kind="stable")
@@ -272,7 +274,7 @@ def first_seating(g: int, blobs: Iterable[bytes], groups: int, frequent: np.ndar
     back[order] = np.arange(len(order))
     words, group, which = words[order], group[order], back[which]
     t = np.ones(len(n), np.int64)
-    blob = pack(contexts=contexts, context=context, words=words, group=group, which=which, n=n, t=t, sums=np.zeros(len(n), np.int64), tables=np.zeros(0, np.int64))
+    blob = pack(contexts=contexts, per=np.bincount(context, minlength=len(contexts)), words=words, group=group, which=which, n=n, t=t, sums=np.zeros(len(n), np.int64), tables=np.zeros(0, np.int64))
     return [(g, SEATING, 0, blob, len(n), int(n.sum())), *told(g, words, group, which, t, n, contexts, context, frequent)]
 
 
@@ -319,7 +321,7 @@ def sweep_group(g: int, raw: bytes, replies: list[tuple[int, bytes]], whole: Who
     as they stood after the last sweep, so that the number of groups does not matter.
     """
     m = unpack(raw)
-    context, which, n, t = m["context"], m["which"], m["n"], m["t"].copy()
+    context, which, n, t = np.repeat(np.arange(len(m["per"])), m["per"]), m["which"], m["n"], m["t"].copy()
     stay = np.concatenate([np.zeros(0), *(unpack(b)["stay"] for _, b in sorted(replies, key=lambda x: x[0]))])
     fresh = (s.root_strength + s.root_discount * whole.tables) / (whole.vocabulary + 1)
     hit, at = among(m["contexts"], frequent)
@@ -327,7 +329,6 @@ def sweep_group(g: int, raw: bytes, replies: list[tuple[int, bytes]], whole: Who
     dishes = pair_hash(m["contexts"][context], m["words"][which])
     keys = draws(s, sweep, dishes)
     free = np.flatnonzero(n > 1)
-    free = free[np.argsort(context[free], kind="stable")]
     of = context[free]
     head = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
     many = np.diff(np.r_[head, len(of)])
@@ -346,7 +347,7 @@ def sweep_group(g: int, raw: bytes, replies: list[tuple[int, bytes]], whole: Who
     tables, sums = m["tables"], m["sums"]
     if sweep >= s.burn_in:
         sums, tables = sums + t, np.r_[tables, np.where(hit, 0, total)]
-    blob = pack(**{k: m[k] for k in ("contexts", "context", "words", "group", "which", "n")}, t=t, sums=sums, tables=tables)
+    blob = pack(**{k: m[k] for k in ("contexts", "per", "words", "group", "which", "n")}, t=t, sums=sums, tables=tables)
     return [(g, SEATING, 0, blob, int(t.sum()), int(n.sum())), *told(g, m["words"], m["group"], which, t, n, m["contexts"], context, frequent)]
 
 
@@ -355,27 +356,29 @@ class GroupModel:
 
     def __init__(self, seating: bytes | None, parents: list[bytes], samples: list[Whole], frequent: np.ndarray, s: Settings):
         none = np.zeros(0, np.int64)
-        m = unpack(seating) if seating is not None else {"contexts": none.astype(np.uint64), "context": none, "words": none.astype(np.uint64), "which": none, "n": none, "sums": none, "tables": np.zeros(0, np.int64)}
+        m = unpack(seating) if seating is not None else {"contexts": none.astype(np.uint64), "per": none, "words": none.astype(np.uint64), "which": none, "n": none, "sums": none, "tables": np.zeros(0, np.int64)}
         k = len(samples)
         self.contexts, self.frequent, self.samples = m["contexts"], frequent, k
         hit, at = among(self.contexts, frequent)
-        customers = np.bincount(m["context"], m["n"], len(hit)).astype(np.int64)
+        context = np.repeat(np.arange(len(hit)), m["per"])
+        customers = np.bincount(context, m["n"], len(hit)).astype(np.int64)
         tables = m["tables"].reshape(k, len(hit)) if len(m["tables"]) else np.zeros((k, len(hit)), np.int64)
         if len(frequent):
             customers = np.where(hit, samples[-1].spread_customers[at], customers)
             tables = np.where(hit[None, :], np.array([x.spread_tables for x in samples])[:, at], tables)
         self.customers = customers
         self.weight = ((s.strength + s.discount * tables) / (s.strength + customers)[None, :]).astype(np.float32)
-        dishes = pair_hash(self.contexts[m["context"]], m["words"][m["which"]])
-        self.dishes = dishes  # in rising order since the first seating
-        self.stay = ((m["n"] - s.discount * (m["sums"] / max(k, 1))) / (s.strength + customers[m["context"]])).astype(np.float32)
+        dishes = pair_hash(self.contexts[context], m["words"][m["which"]])
+        order = np.argsort(dishes)
+        self.dishes = dishes[order]
+        self.stay = ((m["n"] - s.discount * (m["sums"] / max(k, 1))) / (s.strength + customers[context])).astype(np.float32)[order]
         known = [unpack(b) for b in parents]
         self.words = known[0]["word"] if known else none.astype(np.uint64)
         self.root = np.array([p["stay"] for p in known], np.float32).reshape(k, len(self.words)) if known else np.zeros((k, 0), np.float32)
 
     def answer(self, ask: dict[str, np.ndarray]) -> bytes:
         """Of each pair what its dish keeps, of each word before the weight of the unigram restaurant, of each own word its share there and its count."""
-        hit, at = among(pair_hash(np.repeat(ask["u"], ask["k"]), ask["w"]), self.dishes)
+        hit, at = among(pair_hash(ask["u"][ask["at"]], np.repeat(ask["w"], ask["k"])), self.dishes)
         stay = np.where(hit, self.stay[at] if len(self.stay) else 0, 0).astype(np.float32)
         seen, to = among(ask["u"], self.contexts)
         weight = np.ones((self.samples, len(seen)), np.float32)
@@ -421,8 +424,9 @@ def chunk_rows(docs: DataFrame, train: Column, groups: int, frequent: np.ndarray
             out = [(-1, ids)]
             for g in np.flatnonzero((np.diff(lay.cuts) > 0) | (np.diff(lay.home_cuts) > 0)).tolist():
                 lo, hi = lay.cuts[g], lay.cuts[g + 1]
-                head, k = lay.runs(g)
-                out.append((g, pack(u=words[lay.u[lo:hi][head]], k=k, w=words[lay.w[lo:hi]], n=n[lo:hi], home=words[lay.home[lay.home_cuts[g] : lay.home_cuts[g + 1]]])))
+                us, at = lay.befores(g)
+                ws, k = np.unique(lay.w[lo:hi], return_counts=True)
+                out.append((g, pack(u=words[us], at=at, w=words[ws], k=k, n=n[lo:hi], home=words[lay.home[lay.home_cuts[g] : lay.home_cuts[g + 1]]])))
             yield pa.RecordBatch.from_arrays([pa.array([part_id << 24 | number] * len(out), pa.int64()), pa.array([g for g, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["chunk", "g", "blob"])
 
     return docs.select(F.col(id_col).cast("long"), F.coalesce(train, F.lit(False)), text_col).mapInArrow(run, "chunk long, g long, blob binary")
@@ -440,8 +444,8 @@ def scored(text: bytes, answers: list[tuple[int, bytes]], groups: int, frequent:
         a = unpack(blob)
         lo, hi = lay.cuts[g], lay.cuts[g + 1]
         stay[lo:hi] = a["stay"]
-        many = lay.runs(g)[1]
-        weight[:, lo:hi] = np.repeat(a["weight"].reshape(k, len(many)), many, axis=1)
+        us, at = lay.befores(g)
+        weight[:, lo:hi] = a["weight"].reshape(k, len(us))[:, at]
         home = lay.home[lay.home_cuts[g] : lay.home_cuts[g + 1]]
         root[:, home], count[home] = a["root"].reshape(k, len(home)), a["count"]
     tokens = vocabulary = 0
@@ -451,7 +455,7 @@ def scored(text: bytes, answers: list[tuple[int, bytes]], groups: int, frequent:
         count = np.where(hit, last.spread_customers[at], count)
         spread, to = hit[lay.u], at[lay.u]  # a group need not have met a spread restaurant to be asked about it
         weight[:, spread] = [((s.strength + s.discount * x.spread_tables) / (s.strength + x.spread_customers))[to[spread]] for x in samples]
-        count[0] = last.spread_customers[among(np.array([START_NUMBER], np.uint64), frequent)[1][0]]  # an end for each start
+        count[np.searchsorted(words, np.uint64(END_NUMBER))] = last.spread_customers[among(np.array([START_NUMBER], np.uint64), frequent)[1][0]]  # an end for each start
         tokens, vocabulary = last.tokens, last.vocabulary
         below = np.array([s.root_strength + x.customers for x in samples])[:, None]
         fresh = np.array([(s.root_strength + s.root_discount * x.tables) / (x.vocabulary + 1) for x in samples])[:, None]
@@ -534,6 +538,7 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
         return written(own.groupBy("g").applyInPandas(run, ROWS), "lm-seating")
 
     seating = written(chunks.where("g >= 0").groupBy("g").applyInPandas(first, ROWS), "lm-seating")
+    release(spark)
     parent = parent_of(seating, None, 0, 0, 0)
     whole = whole_of(seating, parent)
     samples, kept = [], []
@@ -543,6 +548,7 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
         forget(seating)
         if sweep <= s.burn_in:
             forget(parent)
+        release(spark)
         seating, parent = then, above
         whole = whole_of(seating, parent)
         if sweep >= s.burn_in:
