@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siltstone.llm.common import forget, release, written
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 12 << 20
 #: Numbers of words are 48 bits of their hash. No word is empty or a space: these stand for the end and the start of a text.
 WORD_BITS = np.uint64((1 << 48) - 1)
 END, START = b"", b" "
@@ -486,7 +486,7 @@ class Sample(Whole):
     tokens: int = 0
 
 
-def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), group_bytes: int = 32 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), group_bytes: int = 32 << 20, turns: int = 3) -> DataFrame:
     """(id, train BOOLEAN, n_tokens, n_known, train_tokens BIGINT, base_score, score DOUBLE) for every row.
 
     The model is a two-level hierarchical Pitman-Yor process over the tokens of the rows where ``train`` holds: a
@@ -509,7 +509,7 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     """
     spark, s = docs.sparkSession, settings
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    groups = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // group_bytes))
+    groups = max(8, -(-size // group_bytes))
     frequent = frequent_words(docs, train, id_col, text_col, s.frequent)
     chunks = written(chunk_rows(docs, train, id_col, text_col), "lm-chunks")
 
@@ -587,7 +587,11 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
         blobs = [group.answer(unpack(b)) for b in asks["blob"]] if samples else []
         return pd.DataFrame({"chunk": asks["chunk"].iloc[: len(blobs)], "g": [key[0]] * len(blobs), "blob": blobs})
 
-    answers = written(model.groupBy("g").cogroup(asked.groupBy("g")).applyInPandas(answer, "chunk long, g long, blob binary"), "lm-answers")
+    answers = None
+    for turn in range(turns):  # a part of the chunks at a time, so that fewer pairs are under way
+        mine = model.groupBy("g").cogroup(asked.where(F.pmod(F.xxhash64("chunk"), F.lit(turns)) == turn).groupBy("g")).applyInPandas(answer, "chunk long, g long, blob binary")
+        mine = written(mine, "lm-answers")
+        answers = mine if answers is None else answers.unionByName(mine)
     for table in [seating, *held]:
         forget(table)
 
