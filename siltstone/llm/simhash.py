@@ -331,39 +331,56 @@ def pair_finder(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Itera
     return run
 
 
-def rest_links(reps: DataFrame, texts: DataFrame, shingle: int, similarity: float, tile: int, hot: int, most_hot: int = 1_000_000) -> DataFrame | None:
+def rest_links(reps: DataFrame, texts: DataFrame, shingle: int, similarity: float, tile: int, hot: int, most_hot: int = 1_000_000, turns: int = 8) -> DataFrame | None:
     """(u, v): all links between nodes of different components, found by exact prefixes; None if there are none.
 
     reps (node, comp, size, prefix, bits), texts (id, text). Similar sets share a member of their prefixes, so only nodes
     of a shingle whose nodes are of several components can be missing a link. Where over ``hot`` nodes have such a
     shingle in their prefix, it is put last in the order (at most ``most_hot`` shingles, the most frequent ones; this
     moves work, and loses nothing), and those nodes' prefixes are taken again. Pairs that sizes and parity bits allow
-    are verified on whole sets.
+    are verified on whole sets. Shingles are taken in ``turns``, a part at a time, which bounds what is exchanged at once.
     """
-    rows = written(reps.select("node", "comp", F.explode("prefix").alias("bucket")), "prefix")
-    spread = lambda x: written(x.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n"), "spread")
-    shared = spread(rows)
-    often = shared.where(F.col("n") > hot)
-    if often.count():
-        top = often.orderBy(F.col("n").desc(), "bucket").limit(most_hot).select("bucket")
-        last = reps.sparkSession.sparkContext.broadcast(np.sort(np.fromiter((r.bucket for r in top.toLocalIterator()), np.int64).view(np.uint64)))
-        touched = written(skew_join(rows, often.select("bucket"), ["bucket"]).select("node", "comp").distinct(), "touched")
+
+    def shared(of: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+        """A part of the shingles at a time: (node, comp, bucket) and the buckets (bucket, n) with nodes of several components."""
+        rows = of.select("node", "comp", F.explode(F.filter("prefix", lambda x: F.pmod(x, F.lit(turns)) == turn)).alias("bucket"))
+        return rows, written(rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n"), "spread")
+
+    reps = written(reps, "reps")
+    top, touched = np.zeros(0, np.int64), None
+    for turn in range(turns):
+        rows, spread = shared(reps, turn)
+        often = spread.where(F.col("n") > hot)
+        if often.count():
+            mine = written(skew_join(rows, often.select("bucket"), ["bucket"]).select("node", "comp").distinct(), "touched")
+            touched = mine if touched is None else touched.unionByName(mine)
+            best = often.orderBy(F.col("n").desc(), "bucket").limit(most_hot // turns).select("bucket")
+            top = np.r_[top, np.fromiter((r.bucket for r in best.toLocalIterator()), np.int64)]
+        forget(spread)
+    if touched is not None:
+        touched = written(touched.distinct(), "touched")
+        last = reps.sparkSession.sparkContext.broadcast(np.sort(top.view(np.uint64)))
 
         def again(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in parts:
                 got = [prefix_of(shingle_set(t.as_py(), shingle), similarity, last.value).view(np.int64) for t in part.column(2)]
-                at = np.repeat(np.arange(len(got)), [len(x) for x in got])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(np.concatenate(got) if got else np.zeros(0, np.int64))], names=["node", "comp", "bucket"])
-
-        new = join_small(texts, touched, "id", "node", "inner", 2_000_000).select("node", "comp", "text").mapInArrow(again, "node long, comp long, bucket long")
-        rest = join_small(rows, touched.select(F.col("node").alias("gone")), "node", "gone", "left_anti", 2_000_000)
-        then = written(rest.unionByName(new), "prefix")
-        forget(rows), forget(shared), forget(touched)
-        rows, shared = then, spread(then)
-    held = tiles_of(rows.select("node", F.col("comp").alias("fp"), "bucket"), tile, shared).withColumnRenamed("fp", "comp")
-    held = skew_join(held, reps.select("node", "size", "bits"), ["node"])
-    pairs = written(held.select("node", "comp", "size", "bits", "tile", "side").repartition("tile").sortWithinPartitions("tile").mapInArrow(pair_finder(similarity), "u long, v long").distinct(), "pairs")
-    forget(rows), forget(shared)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got, pa.list_(pa.int64()))], names=["node", "comp", "prefix"])
+
+        new = join_small(texts, touched, "id", "node", "inner", 2_000_000).select("node", "comp", "text").mapInArrow(again, "node long, comp long, prefix array<long>")
+        rest = join_small(reps.select("node", "comp", "prefix"), touched.select(F.col("node").alias("gone")), "node", "gone", "left_anti", 2_000_000).drop("gone")
+        now = written(rest.unionByName(new), "prefix")
+    else:
+        now = reps.select("node", "comp", "prefix")
+    pairs = None
+    for turn in range(turns):
+        rows, spread = shared(now, turn)
+        held = tiles_of(rows.select("node", F.col("comp").alias("fp"), "bucket"), tile, spread).withColumnRenamed("fp", "comp")
+        held = skew_join(held, reps.select("node", "size", "bits"), ["node"])
+        mine = written(held.select("node", "comp", "size", "bits", "tile", "side").repartition("tile").sortWithinPartitions("tile").mapInArrow(pair_finder(similarity), "u long, v long").distinct(), "pairs")
+        pairs = mine if pairs is None else pairs.unionByName(mine)
+        forget(spread)
+    pairs = written(pairs.distinct(), "pairs")
+    forget(reps)
     if not pairs.count():
         return None
 
