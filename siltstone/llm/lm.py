@@ -583,7 +583,7 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
 
     def answer(key: tuple, known: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         parts = dict(zip(known["kind"].tolist(), known["blob"]))
-        group = GroupModel(parts.get(0), [parts[k] for k in range(1, len(samples) + 1) if k in parts], samples, frequent, s)
+        group = GroupModel(parts.get(0), [parts[k] for k in range(1, len(samples) + 1) if k in parts], samples, frequent, s) if samples else None
         blobs = [group.answer(unpack(b)) for b in asks["blob"]] if samples else []
         return pd.DataFrame({"chunk": asks["chunk"].iloc[: len(blobs)], "g": [key[0]] * len(blobs), "blob": blobs})
 
