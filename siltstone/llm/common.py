@@ -1,10 +1,11 @@
-"""What the operators of this subpackage share: written tables, key helpers, connected components."""
+"""What the operators of this subpackage share: written tables, key helpers, packed arrays, connected components."""
 
 from __future__ import annotations
 
 import gc
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siltstone.checkpoints import forget, fresh_path, shared_dir, written  # noqa: F401  used by the operators
@@ -20,6 +21,52 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit integers, well mixed."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def pack(**arrays: np.ndarray) -> bytes:
+    """Named arrays as compressed bytes: word numbers as differences, which are small where they are sorted, other integers
+    in the smallest type that holds them, and all by planes of equally significant bytes."""
+    import zstandard
+
+    planes = lambda x: np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes() if len(x) else b""
+
+    head, body = [], []
+    for name, x in arrays.items():
+        if x.dtype == np.uint64:
+            head.append(f"{name}:w:{len(x)}")
+            body.append(planes(np.diff(x, prepend=np.uint64(0))))
+            continue
+        if x.dtype.kind in "iu":
+            top = int(x.max()) if len(x) else 0
+            x = x.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<i8")
+        head.append(f"{name}:{x.dtype.str}:{len(x)}")
+        body.append(planes(x))
+    line = ",".join(head).encode()
+    return zstandard.ZstdCompressor(level=1).compress(len(line).to_bytes(4, "little") + line + b"".join(body))
+
+
+def unpack(raw: bytes) -> dict[str, np.ndarray]:
+    """What was packed; integers as 64 bits."""
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    n = 4 + int.from_bytes(raw[:4], "little")
+    out, at = {}, n
+    for part in raw[4:n].decode().split(","):
+        name, kind, size = part.split(":")
+        size, real = int(size), np.dtype("<u8" if kind == "w" else kind)
+        x = np.frombuffer(raw, np.uint8, size * real.itemsize, at).reshape(real.itemsize, size)
+        at += x.size
+        x = np.ascontiguousarray(x.T).reshape(-1).view(real)
+        out[name] = np.cumsum(x, dtype=np.uint64) if kind == "w" else x.astype(np.int64) if real.kind in "iu" else x
+    return out
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 

@@ -6,10 +6,13 @@ from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from siltstone.llm.common import components, forget, join_small, skew_join, written
+from siltstone.llm.common import components, forget, join_small, mixed, pack, release, skew_join, unpack, written
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -167,13 +170,12 @@ def tables_for(radius: int, blocks: int) -> list[list[int]]:
     return [sum(part[k] for k in c) for c in combinations(range(blocks), blocks - radius)]
 
 
-def tiles_of(keyed: DataFrame, tile: int, sizes: DataFrame | None = None) -> DataFrame:
+def tiles_of(keyed: DataFrame, tile: int) -> DataFrame:
     """keyed (node, fp, bucket) -> (node, fp, tile BIGINT, side): buckets of two rows or more, the large ones in tiles.
 
-    A bucket of over ``tile`` rows is dealt into chunks by hash, and each pair of its chunks is a tile. ``sizes``
-    (bucket, n) names the buckets to take, if not all.
+    A bucket of over ``tile`` rows is dealt into chunks by hash, and each pair of its chunks is a tile.
     """
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1") if sizes is None else sizes
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     held = skew_join(keyed, sizes, ["bucket"]).withColumn("chunks", F.ceil(F.col("n") / tile))
     held = held.withColumn("c", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")))
     held = held.select("node", "fp", "bucket", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("o"))
@@ -296,12 +298,17 @@ def parity(own: np.ndarray) -> np.ndarray:
 
 
 def pair_finder(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs (u, v) within tiles that are in different components and may be similar by their sizes and parity bits; rows sorted by tile."""
+    """Pairs (u, v, least) within tiles that are in different components and may be similar by their sizes and parity bits; rows sorted by tile.
+
+    ``least`` is how many members the prefixes of a similar pair of these sizes share at the least: of the prefix that
+    ends first in the common order, at most as many as its set may lack in the other set are not in the other prefix.
+    """
+    lengths = lambda n: n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
 
     def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         node, comp, size, bits, tile, side = cols
         cuts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1], True])
-        us, vs = [], []
+        us, vs, least = [], [], []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             for i in range(a, b):
                 j = np.arange(i + 1, b) if side[i] == 2 else a + np.flatnonzero(side[a:b] == 1) if side[i] == 0 else np.zeros(0, np.int64)
@@ -310,8 +317,10 @@ def pair_finder(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Itera
                     j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(1) <= (1 - similarity) / (1 + similarity) * (size[j] + size[i]) + 1e-9]
                     us.append(np.minimum(node[j], node[i]))
                     vs.append(np.maximum(node[j], node[i]))
+                    same = np.ceil(similarity / (1 + similarity) * (size[j] + size[i]) - 1e-9).astype(np.int64)
+                    least.append(np.maximum(1, np.minimum(lengths(size[j]) - size[j], lengths(size[i]) - size[i]) + same))
         if us:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs, least)], names=["u", "v", "least"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -331,34 +340,134 @@ def pair_finder(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Itera
     return run
 
 
-def rest_links(reps: DataFrame, texts: DataFrame, shingle: int, similarity: float, tile: int, hot: int, most_hot: int = 1_000_000, turns: int = 8) -> DataFrame | None:
+class Members:
+    """A chunk's members of prefixes, sorted by group and member: the different ones with the components of their nodes."""
+
+    def __init__(self, raw: bytes, groups: int):
+        m = unpack(raw)
+        self.key, self.at = m["key"], m["at"]
+        self.node, self.comp = m["node"].view(np.int64), m["comp"].view(np.int64)
+        self.first = np.flatnonzero(np.r_[True, self.key[1:] != self.key[:-1]]) if len(self.key) else np.zeros(0, np.int64)
+        self.count = np.diff(np.r_[self.first, len(self.key)])
+        self.own = self.key[self.first]
+        self.cuts = np.searchsorted(group_of(self.own, groups), np.arange(groups + 1))
+
+    @staticmethod
+    def of(node: np.ndarray, comp: np.ndarray, sizes: np.ndarray, key: np.ndarray, groups: int) -> bytes:
+        order = np.lexsort((key, group_of(key, groups)))
+        return pack(key=key[order], at=np.repeat(np.arange(len(node)), sizes)[order], node=node.view(np.float64), comp=comp.view(np.float64))
+
+    def asks(self) -> Iterator[tuple[int, bytes]]:
+        """For each group its members here, each with the number of nodes, the component of one, and whether there are others."""
+        if not len(self.key):
+            return
+        names, comp = np.unique(self.comp, return_inverse=True)
+        comp = comp[self.at]
+        low, high = np.minimum.reduceat(comp, self.first), np.maximum.reduceat(comp, self.first)
+        for g in np.flatnonzero(np.diff(self.cuts)).tolist():
+            a, b = self.cuts[g], self.cuts[g + 1]
+            used, at = np.unique(low[a:b], return_inverse=True)
+            yield g, pack(key=self.own[a:b], comp=names[used].view(np.float64), at=at, several=(low[a:b] != high[a:b]).astype(np.int64), n=self.count[a:b])
+
+    def shared(self, answers: dict[int, bytes]) -> pd.DataFrame:
+        """The nodes of the members that the groups found in several components."""
+        spread, often = np.zeros(len(self.own), bool), np.zeros(len(self.own), bool)
+        for g, blob in answers.items():
+            a, b = self.cuts[g], self.cuts[g + 1]
+            m = unpack(blob)
+            spread[a:b], often[a:b] = (np.unpackbits(m[x].astype(np.uint8), count=b - a) for x in ("spread", "often"))
+        keep = np.repeat(spread, self.count)
+        at = self.at[keep]
+        return pd.DataFrame({"node": self.node[at], "comp": self.comp[at], "bucket": self.key[keep].view(np.int64), "often": np.repeat(often, self.count)[keep]})
+
+
+def group_of(key: np.ndarray, groups: int) -> np.ndarray:
+    return (mixed(key) % np.uint64(groups)).astype(np.int64)
+
+
+def group_answers(g: int, chunks: list[int], blobs: list[bytes], hot: int) -> pd.DataFrame:
+    """To each chunk, which of its members have nodes in several components, and over ``hot`` nodes besides; the latter members with their nodes."""
+    parts = [unpack(b) for b in blobs]
+    key, at = np.unique(np.concatenate([m["key"] for m in parts]), return_inverse=True)
+    comp = np.concatenate([m["comp"].view(np.int64)[m["at"]] for m in parts])
+    low, high = np.full(len(key), np.iinfo(np.int64).max), np.full(len(key), np.iinfo(np.int64).min)
+    np.minimum.at(low, at, comp)
+    np.maximum.at(high, at, comp)
+    spread = (low != high) | (np.bincount(at, np.concatenate([m["several"] for m in parts]), len(key)) > 0)
+    n = np.bincount(at, np.concatenate([m["n"] for m in parts]), len(key)).astype(np.int64)
+    often = spread & (n > hot)
+    rows, a = [], 0
+    for chunk, m in zip(chunks, parts):
+        own = at[a : a + len(m["key"])]
+        rows.append((chunk, g, pack(spread=np.packbits(spread[own]), often=np.packbits(often[own])), None, None))
+        a += len(own)
+    rows += [(None, g, None, k, x) for k, x in zip(key[often].view(np.int64).tolist(), n[often].tolist())]
+    return pd.DataFrame(rows, columns=["chunk", "g", "blob", "bucket", "n"]).astype({"chunk": "Int64", "bucket": "Int64", "n": "Int64"})
+
+
+def shared_members(prefixes: DataFrame, hot: int, chunk_members: int = 1 << 20, group_members: int = 1 << 21) -> tuple[DataFrame, DataFrame]:
+    """prefixes (node, comp, prefix) -> written (node, comp, bucket, often), the members of prefixes that nodes of several components have; (bucket, n) of those over ``hot`` nodes.
+
+    Most members are in one prefix only, so members do not travel as rows: a chunk sends each group its different
+    members once, sorted and packed, however many of its nodes have them, and is told with a bit each which are shared.
+    """
+    total = prefixes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    groups = max(8, -(-total // group_members))
+
+    def chunk(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, number = [], 0, TaskContext.get().partitionId() << 24
+
+        def blob() -> pa.RecordBatch:
+            node, comp, sizes, key = (np.concatenate(c) for c in zip(*held))
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([Members.of(node, comp, sizes, key.view(np.uint64), groups)], pa.binary())], names=["chunk", "blob"])
+
+        for part in parts:
+            for a in range(0, part.num_rows, 256):
+                some = part.slice(a, 256)
+                held.append((some.column(0).to_numpy(), some.column(1).to_numpy(), pc.list_value_length(some.column(2)).to_numpy(), some.column(2).flatten().to_numpy()))
+                size += len(held[-1][3])
+                if size >= chunk_members:
+                    yield blob()
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield blob()
+
+    def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for number, raw in zip(part.column(0).to_pylist(), part.column(1)):
+                for g, blob in Members(raw.as_py(), groups).asks():
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([g], pa.int64()), pa.array([blob], pa.binary())], names=["chunk", "g", "blob"])
+
+    def judge(rows: pd.DataFrame) -> pd.DataFrame:
+        return group_answers(int(rows["g"].iloc[0]), rows["chunk"].tolist(), rows["blob"].tolist(), hot)
+
+    def take(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        return Members(own["blob"].iloc[0], groups).shared(dict(zip(found["g"].tolist(), found["blob"])))
+
+    chunks = written(prefixes.mapInArrow(chunk, "chunk long, blob binary"), "prefixes")
+    answers = written(chunks.mapInArrow(ask, "chunk long, g long, blob binary").groupBy("g").applyInPandas(judge, "chunk long, g long, blob binary, bucket long, n long"), "answers")
+    told = answers.where("chunk is not null").select("chunk", "g", "blob")
+    shared = written(chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(take, "node long, comp long, bucket long, often boolean"), "shared")
+    often = written(answers.where("bucket is not null").select("bucket", "n"), "often")
+    forget(chunks), forget(answers)
+    return shared, often
+
+
+def rest_links(reps: DataFrame, texts: DataFrame, shingle: int, similarity: float, tile: int, hot: int, most_hot: int = 1_000_000) -> DataFrame | None:
     """(u, v): all links between nodes of different components, found by exact prefixes; None if there are none.
 
     reps (node, comp, size, prefix, bits), texts (id, text). Similar sets share a member of their prefixes, so only nodes
     of a shingle whose nodes are of several components can be missing a link. Where over ``hot`` nodes have such a
     shingle in their prefix, it is put last in the order (at most ``most_hot`` shingles, the most frequent ones; this
-    moves work, and loses nothing), and those nodes' prefixes are taken again. Pairs that sizes and parity bits allow
-    are verified on whole sets. Shingles are taken in ``turns``, a part at a time, which bounds what is exchanged at once.
+    moves work, and loses nothing), and those nodes' prefixes are taken again. Pairs that sizes, parity bits
+    and the number of members that both prefixes have allow are verified on whole sets.
     """
-
-    def shared(of: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-        """A part of the shingles at a time: (node, comp, bucket) and the buckets (bucket, n) with nodes of several components."""
-        rows = of.select("node", "comp", F.explode(F.filter("prefix", lambda x: F.pmod(x, F.lit(turns)) == turn)).alias("bucket"))
-        return rows, written(rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n"), "spread")
-
     reps = written(reps, "reps")
-    top, touched = np.zeros(0, np.int64), None
-    for turn in range(turns):
-        rows, spread = shared(reps, turn)
-        often = spread.where(F.col("n") > hot)
-        if often.count():
-            mine = written(skew_join(rows, often.select("bucket"), ["bucket"]).select("node", "comp").distinct(), "touched")
-            touched = mine if touched is None else touched.unionByName(mine)
-            best = often.orderBy(F.col("n").desc(), "bucket").limit(most_hot // turns).select("bucket")
-            top = np.r_[top, np.fromiter((r.bucket for r in best.toLocalIterator()), np.int64)]
-        forget(spread)
-    if touched is not None:
-        touched = written(touched.distinct(), "touched")
+    shared, often = shared_members(reps.select("node", "comp", "prefix"), hot)
+    if often.count():
+        touched = written(shared.where("often").select("node", "comp").distinct(), "touched")
+        best = often.orderBy(F.col("n").desc(), "bucket").limit(most_hot).select("bucket")
+        top = np.fromiter((r.bucket for r in best.toLocalIterator()), np.int64)
         last = reps.sparkSession.sparkContext.broadcast(np.sort(top.view(np.uint64)))
 
         def again(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,18 +478,16 @@ def rest_links(reps: DataFrame, texts: DataFrame, shingle: int, similarity: floa
         new = join_small(texts, touched, "id", "node", "inner", 2_000_000).select("node", "comp", "text").mapInArrow(again, "node long, comp long, prefix array<long>")
         rest = join_small(reps.select("node", "comp", "prefix"), touched.select(F.col("node").alias("gone")), "node", "gone", "left_anti", 2_000_000).drop("gone")
         now = written(rest.unionByName(new), "prefix")
-    else:
-        now = reps.select("node", "comp", "prefix")
-    pairs = None
-    for turn in range(turns):
-        rows, spread = shared(now, turn)
-        held = tiles_of(rows.select("node", F.col("comp").alias("fp"), "bucket"), tile, spread).withColumnRenamed("fp", "comp")
-        held = skew_join(held, reps.select("node", "size", "bits"), ["node"])
-        mine = written(held.select("node", "comp", "size", "bits", "tile", "side").repartition("tile").sortWithinPartitions("tile").mapInArrow(pair_finder(similarity), "u long, v long").distinct(), "pairs")
-        pairs = mine if pairs is None else pairs.unionByName(mine)
-        forget(spread)
-    pairs = written(pairs.distinct(), "pairs")
-    forget(reps)
+        forget(shared), forget(often)
+        shared, often = shared_members(now, hot)
+        forget(now), forget(touched)
+    held = tiles_of(shared.select("node", F.col("comp").alias("fp"), "bucket"), tile).withColumnRenamed("fp", "comp")
+    held = skew_join(held, reps.select("node", "size", "bits"), ["node"])
+    pairs = held.select("node", "comp", "size", "bits", "tile", "side").repartition("tile").sortWithinPartitions("tile").mapInArrow(pair_finder(similarity), "u long, v long, least long")
+    pairs = pairs.groupBy("u", "v").agg(F.count("*").alias("n"), F.min("least").alias("least")).where("n >= least").select("u", "v")
+    pairs = written(pairs, "pairs")
+    forget(reps), forget(shared), forget(often)
+    release(reps.sparkSession)
     if not pairs.count():
         return None
 
