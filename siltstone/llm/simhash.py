@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import combinations
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from siltstone.llm.common import components, forget, join_small, mixed, pack, release, skew_join, unpack, written
 
+if TYPE_CHECKING:
+    import pandas as pd  # at run time only where it is needed: workers that sketch and compare stay smaller
+
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -371,6 +373,8 @@ class Members:
 
     def shared(self, answers: dict[int, bytes]) -> pd.DataFrame:
         """The nodes of the members that the groups found in several components."""
+        import pandas as pd
+
         spread, often = np.zeros(len(self.own), bool), np.zeros(len(self.own), bool)
         for g, blob in answers.items():
             a, b = self.cuts[g], self.cuts[g + 1]
@@ -387,6 +391,8 @@ def group_of(key: np.ndarray, groups: int) -> np.ndarray:
 
 def group_answers(g: int, chunks: list[int], blobs: list[bytes], hot: int) -> pd.DataFrame:
     """To each chunk, which of its members have nodes in several components, and over ``hot`` nodes besides; the latter members with their nodes."""
+    import pandas as pd
+
     parts = [unpack(b) for b in blobs]
     key, at = np.unique(np.concatenate([m["key"] for m in parts]), return_inverse=True)
     comp = np.concatenate([m["comp"].view(np.int64)[m["at"]] for m in parts])
@@ -424,7 +430,7 @@ def shared_members(prefixes: DataFrame, hot: int, chunk_members: int = 1 << 20,
         for part in parts:
             for a in range(0, part.num_rows, 256):
                 some = part.slice(a, 256)
-                held.append((some.column(0).to_numpy(), some.column(1).to_numpy(), pc.list_value_length(some.column(2)).to_numpy(), some.column(2).flatten().to_numpy()))
+                held.append((some.column(0).to_numpy(), some.column(1).to_numpy(), some.column(2).value_lengths().to_numpy(), some.column(2).flatten().to_numpy()))
                 size += len(held[-1][3])
                 if size >= chunk_members:
                     yield blob()
@@ -534,7 +540,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mul, add = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
 
     def sketch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (batch.slice(a, 512) for batch in parts for a in range(0, batch.num_rows, 512)):
             fps, same, keys, sizes, prefixes, bits = [], [], [], [], [], []
             for t in part.column(1):
                 own = shingle_set(t.as_py(), shingle)
@@ -552,8 +558,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = written(texts.mapInArrow(sketch, "id long, fp long, same long, keys array<long>, size long, prefix array<long>, bits array<long>"), "sketch")
-    first = sketches.groupBy("same").agg(F.min("id").alias("node"), F.min(F.struct("id", "fp", "keys", "size", "prefix", "bits")).alias("x"))
-    classes = written(first.select("same", "node", "x.fp", "x.keys", "x.size", "x.prefix", "x.bits"), "classes")
+    first = sketches.groupBy("same").agg(F.min(F.struct("id", "fp", "keys")).alias("x"))
+    classes = written(first.select("same", F.col("x.id").alias("node"), "x.fp", "x.keys"), "classes")
     tiled = tiles_of(classes.select("node", "fp", F.explode("keys").alias("bucket")), tile)
     places = written(tiled.groupBy("node").agg(F.collect_list(F.struct("tile", "side")).alias("at")), "places")
 
@@ -570,9 +576,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = held.repartition("tile").sortWithinPartitions("tile").mapInArrow(tile_linker(radius, similarity), "u long, v long")
     copies = skew_join(sketches.select("id", "same"), classes.select("same", "node"), ["same"]).select(F.col("id").alias("u"), F.col("node").alias("v")).where("u <> v")
     roots = written(components(edges.unionByName(copies)), "roots")
-    reps = skew_join(classes.select("node", "size", "prefix", "bits"), roots, ["node"], "left").withColumn("comp", F.coalesce("root", "node"))
-    links = rest_links(reps.select("node", "comp", "size", "prefix", "bits"), texts, shingle, similarity, tile, hot)
-    forget(places), forget(classes)
+    named = skew_join(classes.select("node", "same"), roots, ["node"], "left").select("node", F.col("same").alias("class"), F.coalesce("root", "node").alias("comp"))
+    named = written(named, "named")  # prefixes stay where they were written
+    once = sketches if sketches.select("id", "same").distinct().count() == sketches.count() else sketches.dropDuplicates(["id", "same"])
+    reps = join_small(once, named, "id", "node", "inner", 2_000_000).where(F.col("same") == F.col("class")).select("node", "comp", "size", "prefix", "bits")
+    links = rest_links(reps, texts, shingle, similarity, tile, hot)
+    forget(places), forget(classes), forget(named)
     if links is not None:
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
     ids = sketches.select("id").distinct()
