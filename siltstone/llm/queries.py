@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from siltstone.llm import queries_corpus
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -205,5 +207,5 @@ QUERIES = {
     "op9_main_text": op9_main_text,
     "op10_quality": op10_quality,
     "pipeline": pipeline,
-}
-ORACLES = {"op1_top_k": OP1_SQL, "op3_url_filter": OP3_SQL, "op4_warc": OP4_SQL, "op6_line_dedup": OP6_SQL}
+} | queries_corpus.QUERIES
+ORACLES = {"op1_top_k": OP1_SQL, "op3_url_filter": OP3_SQL, "op4_warc": OP4_SQL, "op6_line_dedup": OP6_SQL} | queries_corpus.ORACLES
