@@ -44,5 +44,34 @@ select part, array_to_string(list_transform(seq, lambda k: substr('ABCDE', k, 1)
 from sums
 """
 
-QUERIES = {"op11_filter_audit": op11_filter_audit}
-ORACLES = {"op11_filter_audit": OP11_SQL}
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+with pieces as (
+  select doc_id, lang, unnest(range(len(p))) as piece, unnest(p) as s
+  from (select doc_id, coalesce(lang, 'und') as lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') as p from documents)
+), listed as (select lang, list_filter(string_split_regex(s, '[\x20\x09]+'), lambda x: x <> '') as w from pieces),
+sized as (select unnest([1, 2, 3, 4, 5]) as m),
+grams as (select lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(list_slice(w, i, i + m - 1), ' '))) as phrase from listed join sized on len(w) >= m),
+f as (select lang, m, phrase, count(*) as a from grams group by all having count(*) >= 100),
+n as (select lang, sum(len(w)) as n from listed group by lang),
+cand as (select lang, m, phrase, a, string_split(phrase, ' ') as w from f where m > 1),
+cuts as (select c.*, k from cand c join (select unnest([1, 2, 3, 4]) as k) on k < m),
+parts as (select cuts.lang, m, phrase, a, k, array_to_string(list_slice(w, 1, k), ' ') as lp, array_to_string(list_slice(w, k + 1, m), ' ') as rp from cuts),
+joined as (
+  select p.lang, p.m, p.phrase, p.a, p.k, x.a as l, y.a as r, n.n, (1000::hugeint * p.a * n.n) // (x.a::hugeint * y.a) as score
+  from parts p join f x on x.lang = p.lang and x.phrase = p.lp join f y on y.lang = p.lang and y.phrase = p.rp join n on n.lang = p.lang
+), best as (select *, row_number() over (partition by lang, phrase order by score, k) as rn from joined),
+kept as (
+  select * from best b where rn = 1 and not exists (
+    select 1 from f g where g.lang = b.lang and g.m > b.m and 100 * g.a >= 100 * b.a and contains(' ' || g.phrase || ' ', ' ' || b.phrase || ' '))
+), ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from ranked where rank <= 2000
+"""
+
+QUERIES = {"op12_phrases": op12_phrases, "op11_filter_audit": op11_filter_audit}
+ORACLES = {"op12_phrases": OP12_SQL, "op11_filter_audit": OP11_SQL}
