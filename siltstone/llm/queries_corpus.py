@@ -73,5 +73,27 @@ kept as (
 select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from ranked where rank <= 2000
 """
 
-QUERIES = {"op12_phrases": op12_phrases, "op11_filter_audit": op11_filter_audit}
-ORACLES = {"op12_phrases": OP12_SQL, "op11_filter_audit": OP11_SQL}
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.ngram_join import ngram_groups
+
+    return ngram_groups(table(spark, sf_dir, "documents")).withColumnRenamed("component", "component_id")
+
+
+OP13_SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') as w from documents
+), sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))) end as s from w
+), n as (select doc_id, len(s) as n from sets),
+rows as materialized (select doc_id, unnest(s) as g from sets),
+links as materialized (
+  select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as i from rows x join rows y on x.g = y.g and x.doc_id <> y.doc_id group by all) p
+    join n on n.doc_id = a join n as m on m.doc_id = b where 100 * i >= 85 * (n.n + m.n - i)
+), reach(a, b) as (select doc_id, doc_id from n union select reach.a, links.b from reach join links on links.a = reach.b),
+least as (select a, min(b) as component_id from reach group by a)
+select n.doc_id, n.n as n_shingles, component_id from n join least on a = n.doc_id
+"""
+
+QUERIES = {"op13_ngram_join": op13_ngram_join, "op12_phrases": op12_phrases, "op11_filter_audit": op11_filter_audit}
+ORACLES = {"op13_ngram_join": OP13_SQL, "op12_phrases": OP12_SQL, "op11_filter_audit": OP11_SQL}
