@@ -164,26 +164,12 @@ def tile_links(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray, perc
 def tile_joiner(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``tile_links`` of each tile, for rows (node, comp, tile, side, grams) sorted by tile: one tile at a time in memory."""
 
-    def links(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(rows)
-        node = t["node"].to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), "<u8") for c in t["grams"].chunks for x in c]
-        i, j = tile_links(sets, t["comp"].to_numpy(), t["side"].to_numpy(), percent)
-        return pa.RecordBatch.from_arrays([pa.array(node[i], pa.int64()), pa.array(node[j], pa.int64())], names=["u", "v"])
-
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
-        for part in parts:
-            tile = part.column("tile").to_numpy()
-            cuts = np.r_[np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]), len(tile)] if len(tile) else [0]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if held and tile[a] != now:
-                    yield links(held)
-                    held = []
-                held.append(part.slice(a, b - a))
-                now = tile[a]
-        if held:
-            yield links(held)
+        for t in by_tile(parts):
+            node = t["node"].to_numpy()
+            sets = [np.frombuffer(x.as_buffer(), "<u8") for c in t["grams"].chunks for x in c]
+            i, j = tile_links(sets, t["comp"].to_numpy(), t["side"].to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(node[i], pa.int64()), pa.array(node[j], pa.int64())], names=["u", "v"])
 
     return run
 
@@ -217,18 +203,70 @@ def member_counts(docs: DataFrame, shingle: int) -> np.ndarray:
     return out.ravel()
 
 
-def linked_tiles(blocks: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, percent: int, tile_members: int) -> DataFrame:
-    """(u, v) that join the sets that meet in a block. blocks (block, node, n), nodes (node, comp, n), texts (id, text).
+def tiles_of(blocks: DataFrame, weight: str, most: int) -> DataFrame:
+    """blocks (block, node, ...) -> with (tile BIGINT, side BYTE) for the blocks of two rows or more.
 
-    A block of more members than ``tile_members`` is dealt into chunks by a hash of the node, and each pair of chunks is a tile, so that
-    a task holds two chunks at most; every pair of a block meets in one tile.
+    A block whose ``weight`` sums up to more than ``most`` is dealt into chunks by a hash of the node, and each pair of chunks is a
+    tile, so that a task holds two chunks at a time; every pair of a block meets in one tile.
+    """
+    sizes = blocks.groupBy("block").agg(F.sum(weight).alias("__weight"), F.count("*").alias("__rows")).where("__rows > 1")
+    held = skew_join(blocks, sizes, ["block"]).withColumn("chunks", F.ceil(F.col("__weight") / most)).drop("__weight", "__rows")
+    held = held.withColumn("c", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    side = F.when(F.col("c") == F.col("o"), 2).when(F.col("c") < F.col("o"), 0).otherwise(1).cast("byte")
+    return held.withColumns({"tile": F.xxhash64("block", F.least("c", "o"), F.greatest("c", "o")), "side": side}).drop("chunks", "c", "o")
+
+
+def by_tile(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each tile, for rows sorted by tile: one tile at a time in memory."""
+    held, now = [], None
+    for part in parts:
+        tile = part.column("tile").to_numpy()
+        cuts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1], True]) if len(tile) else []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if held and tile[a] != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part.slice(a, b - a))
+            now = tile[a]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def may_link(n: np.ndarray, s: np.ndarray, comp: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets of a tile may link to another one of it, by sizes ``n`` and numbers ``s`` of members in their rare parts that other sets have.
+
+    Sets x and y link only if they share at least m = ceil(percent * (x + y) / (100 + percent)) members. Of the set whose rare part
+    begins later in the order, ceil(percent / 100 * n) - 1 members are not in it; all other shared members are in both rare parts.
     """
-    sizes = blocks.groupBy("block").agg(F.sum("n").alias("members"), F.count("*").alias("nodes")).where("nodes > 1")
-    held = skew_join(blocks, sizes, ["block"]).withColumn("chunks", F.ceil(F.col("members") / tile_members))
-    held = held.withColumn("c", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks"))).select("node", "block", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("o"))
-    tiled = held.select("node", F.xxhash64("block", F.least("c", "o"), F.greatest("c", "o")).alias("tile"), F.when(F.col("c") == F.col("o"), 2).when(F.col("c") < F.col("o"), 0).otherwise(1).cast("byte").alias("side"))
-    places = tiled.groupBy("node").agg(F.collect_list(F.struct("tile", "side")).alias("at"))
-    places = written(skew_join(places, nodes.select("node", "comp"), ["node"]), "places")
+    out, rest = np.zeros(len(n), bool), -(-percent * n // 100) - 1
+    for a in range(0, len(n), 256):
+        x = slice(a, a + 256)
+        small, large = np.minimum(n[x, None], n[None]), np.maximum(n[x, None], n[None])
+        least = -(-percent * (small + large) // (100 + percent)) - np.maximum(rest[x, None], rest[None])
+        ok = (100 * small >= percent * large) & (np.minimum(s[x, None], s[None]) >= least) & (comp[x, None] != comp[None]) & ((side[x, None] == 2) | (side[x, None] != side[None]))
+        out[x] |= ok.any(1)
+        out |= ok.any(0)
+    return out
+
+
+def promising(blocks: DataFrame, percent: int, tile_rows: int = 4096) -> DataFrame:
+    """The rows of blocks (block, node, n, s, comp, sets) whose sets may link to a set of another group in the block: no set is sent for others."""
+    kind = "block long, node long, n long, s long, comp long, sets long"
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_tile(parts):
+            ok = may_link(*(t[c].to_numpy() for c in ("n", "s", "comp", "side")), percent)
+            if ok.any():
+                yield from t.filter(pa.array(ok)).select(["block", "node", "n", "s", "comp", "sets"]).to_batches()
+
+    tiled = tiles_of(blocks.withColumn("one", F.lit(1)), "one", tile_rows).select("block", "node", "n", "s", "comp", "sets", "tile", "side")
+    return tiled.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, kind).distinct()
+
+
+def linked_tiles(blocks: DataFrame, texts: DataFrame, shingle: int, percent: int, tile_members: int) -> DataFrame:
+    """(u, v) that join the sets that meet in a block. blocks (block, node, n, comp), texts (id, text)."""
+    tiled = tiles_of(blocks, "n", tile_members)
+    places = written(tiled.groupBy("node", "comp").agg(F.collect_list(F.struct("tile", "side")).alias("at")), "places")
 
     def spread(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["node", "comp", "tile", "side", "grams"], [pa.int64(), pa.int64(), pa.int64(), pa.int8(), pa.binary()]
@@ -254,7 +292,8 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     link is lost. Texts with equal sets are one class and never meet in a task.
 
     Sets meet by the members that come last in a common order, the rare ones (see ``rare_part``); a block is the sets that
-    have such a member. Blocks with the same sets are one. Each block is joined with a prefix tree of its whole sets (see
+    have such a member. Sets leave a block where sizes and the number of their rare members that any other set has allow no
+    link (see ``may_link``), before whole sets are sent; blocks with the same sets are one. Each block is joined with a prefix tree of its whole sets (see
     ``tile_links``), large ones in tiles. In a first round a set stands in one block, that of its largest number of sets
     up to 1024; as only components are asked for, the second round leaves out blocks whose sets are in one component
     already, and holds all others.
@@ -282,23 +321,25 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spread = spread.join(classes.select(F.col("node"), F.col("h1").alias("c1"), F.col("h2").alias("c2")), (F.col("id") == F.col("node")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")))
     members = spread.select("node", "n", F.explode("rare").alias("member"))
     shared = members.groupBy("member").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("sets")).where("low <> high")
-    held = written(skew_join(members, shared.select("member", "sets"), ["member"]), "gram-members")
-
-    best = F.max_by("member", F.struct(F.when(F.col("sets") <= 1024, F.col("sets")).otherwise(-F.col("sets")), "member"))
-    picked = held.groupBy("node").agg(best.alias("block"), F.max("n").alias("n"))
-    links = linked_tiles(picked, picked.select("node", F.col("node").alias("comp")), texts, shingle, percent, tile_members)
+    found = written(skew_join(members, shared.select("member", "sets"), ["member"]), "gram-shared")
+    held = written(skew_join(found.withColumnRenamed("member", "block"), found.groupBy("node").agg(F.count("*").alias("s")), ["node"]), "gram-members")
+    forget(found)
+
+    best = F.max_by(F.struct("block", "n", "comp"), F.struct(F.when(F.col("sets") <= 1024, F.col("sets")).otherwise(-F.col("sets")), "block"))
+    likely = promising(held.select("block", "node", "n", "s", F.col("node").alias("comp"), "sets"), percent)
+    picked = likely.groupBy("node").agg(best.alias("x")).select("node", "x.block", "x.n", "x.comp")
+    links = linked_tiles(picked, texts, shingle, percent, tile_members)
     named = skew_join(sketches.where("id is not null and n > 0").select("id", "h1", "h2"), classes, ["h1", "h2"]).select("id", "node")
     copies = named.groupBy("id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u <> v")
     several = named.join(copies.select(F.col("id").alias("twice")), F.col("id") == F.col("twice")).select(F.col("id").alias("u"), F.col("node").alias("v"))
     roots = written(components(links.unionByName(several)), "gram-roots")
 
     grouped = skew_join(held, roots.select("node", "root"), ["node"], "left").withColumn("comp", F.coalesce("root", "node"))
-    open_ = grouped.groupBy("member").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("x2"), F.count("*").alias("sets")).where("low <> high")
-    once = open_.groupBy("x1", "x2", "sets").agg(F.min("member").alias("member")).select("member")
-    rest = written(skew_join(grouped.select("member", "node", "n", "comp"), once, ["member"]), "gram-rest")
+    open_ = grouped.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("x2"), F.count("*").alias("sets")).where("low <> high")
+    once = open_.groupBy("x1", "x2", "sets").agg(F.min("block").alias("block")).select("block")
+    rest = written(promising(skew_join(grouped.select("block", "node", "n", "s", "comp", "sets"), once, ["block"]), percent), "gram-rest")
     if not rest.isEmpty():
-        nodes = rest.groupBy("node").agg(F.first("comp").alias("comp"))
-        links = linked_tiles(rest.select(F.col("member").alias("block"), "node", "n"), nodes, texts, shingle, percent, tile_members)
+        links = linked_tiles(rest, texts, shingle, percent, tile_members)
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
     forget(held), forget(rest)
     classes = skew_join(classes, roots, ["node"], "left").select("h1", "h2", F.coalesce("root", "node").alias("component"))

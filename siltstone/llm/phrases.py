@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from siltstone.llm.common import LOWER, UPPER, forget, pack, unpack, written
+from siltstone.llm.common import LOWER, UPPER, forget, mixed, pack, unpack, written
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -116,14 +116,50 @@ def covered(m: int, at: np.ndarray, wids: np.ndarray, wn: np.ndarray, wat: np.nd
     return wids[own], counts, wat[there]
 
 
-def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_col: str = "text", lang_col: str = "lang", chunk_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
+def group_of(p: np.ndarray, w: np.ndarray, groups: int) -> np.ndarray:
+    return (mixed(mixed(p.view(np.uint64)) + w.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+
+
+def dealt(asks: dict[str, np.ndarray], groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's longer phrases in the order group, p, w, and where each group begins in it."""
+    g = group_of(asks["p"], asks["w"], groups)
+    order = np.lexsort((asks["w"], asks["p"], g))
+    return order, np.searchsorted(g[order], np.arange(groups + 1))
+
+
+def judged(g: int, chunks: list[int], blobs: list[bytes], least: int) -> pd.DataFrame:
+    """To each chunk, which of its longer phrases of group ``g`` all chunks together have ``least`` times, with their ids; and those phrases."""
+    import pandas as pd
+
+    parts = [unpack(x) for x in blobs]
+    p, w, n = (np.concatenate([x[c] for x in parts]) for c in "pwn")
+    order = np.lexsort((w, p))
+    first = np.flatnonzero(np.r_[True, (p[order][1:] != p[order][:-1]) | (w[order][1:] != w[order][:-1])])
+    a = np.add.reduceat(n[order], first)
+    number = np.empty(len(p), np.int64)
+    number[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(p)]))
+    often = a >= least
+    rows, at = [], 0
+    for chunk, x in zip(chunks, parts):
+        own = number[at : at + len(x["p"])]
+        at += len(own)
+        if often[own].any():
+            rows.append((chunk, g, pack(keep=np.packbits(often[own]), id=(g << 32) + own[often[own]]), None, None, None, None))
+    where = order[first[often]]
+    rows += [(None, None, None, *x) for x in zip(((g << 32) + np.flatnonzero(often)).tolist(), p[where].tolist(), w[where].tolist(), a[often].tolist())]
+    return pd.DataFrame(rows, columns=["of", "g", "told", "id", "p", "w", "a"]).astype({c: "Int64" for c in ("of", "g", "id", "p", "w", "a")})
+
+
+def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_col: str = "text", lang_col: str = "lang", chunk_bytes: int = 8 << 20, group_asks: int = 1 << 21) -> tuple[DataFrame, DataFrame]:
     """-> (lang, phrase, words INT, a BIGINT), every phrase of up to ``longest`` words with a >= ``least`` occurrences; (lang, n BIGINT), all words of a language.
 
     A phrase has a list of the positions where it occurs, kept in chunks of whole texts, so that the list of a frequent
     phrase is as many short ones as there are chunks that have it, and no task holds more than a chunk. Chunks extend
-    their lists by a word and tell the lengths; lengths are summed over the chunks with map-side combining, and only
-    the lists of phrases that are frequent everywhere together go on. The length of the lists is the exact frequency.
+    their lists by a word and tell the lengths, sorted and packed, to groups of phrases; a group sums the lengths over the
+    chunks and answers with a bit each which phrases are frequent, and only their lists go on. The length of the lists is the exact frequency.
+    A group takes about ``group_asks`` lengths, so that their number grows with the texts.
     """
+    spark = docs.sparkSession
     chunks = written(index_chunks(docs, text_col, lang_col, chunk_bytes), "phrase-index")
     spoken = chunks.select(F.explode("words").alias("w")).select("w.lang", "w.word", "w.n")
     totals = written(spoken.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
@@ -132,47 +168,65 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_c
     levels = [words.select("id", "lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "a")]
     asked = chunks.select(F.col("chunk").alias("of"), F.posexplode("words").alias("k", "w")).select("of", "k", "w.lang", "w.word")
     known = asked.join(words.select("id", "lang", "word"), ["lang", "word"]).select("of", "k", "id")
+    kind = "chunk long, size long, asks binary, lists binary"
 
-    def begin(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        known = known.sort_values("k")
-        m, keep = unpack(own["blob"].iloc[0]), known["k"].to_numpy()
-        return state_row(own, {"m": np.array([1]), "ids": known["id"].to_numpy(), "n": m["n"][keep], "at": kept_lists(m["n"], m["at"], keep)}, len(keep))
+    def row(own: pd.DataFrame, state: dict[str, np.ndarray]) -> pd.DataFrame:
+        out = extended(state, "wids" not in state)
+        rows = own[["chunk"]].iloc[: 1 if len(out["p"]) else 0]
+        asks, lists = ("p", "w", "n"), ("n", "at", "wids", "wn", "wat")
+        return rows.assign(size=len(out["p"]), asks=[pack(**{c: out[c] for c in asks})] * len(rows), lists=[pack(m=state["m"], **{c: out[c] for c in lists})] * len(rows))
 
-    def go_on(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    def begin(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if own.empty or known.empty:
+            return own[["chunk"]].iloc[:0].assign(size=0, asks=b"", lists=b"")
         known = known.sort_values("k")
-        m, keep = unpack(own["blob"].iloc[0]), known["k"].to_numpy()
-        at, longer = kept_lists(m["n"], m["at"], keep), int(m["m"][0]) + 1
-        wids, wn, wat = covered(longer, at, m["wids"], m["wn"], m["wat"])
-        return state_row(own, {"m": np.array([longer]), "ids": known["id"].to_numpy(), "n": m["n"][keep], "at": at, "wids": wids, "wn": wn, "wat": wat}, len(keep))
-
-    def state_row(own: pd.DataFrame, arrays: dict[str, np.ndarray], size: int) -> pd.DataFrame:
-        rows = own[["chunk"]].iloc[:1] if size else own[["chunk"]].iloc[:0]
-        return rows.assign(blob=[pack(**arrays)] if size else [])
-
-    def extend(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for number, raw in zip(part.column(0).to_pylist(), part.column(1)):
-                state = unpack(raw.as_py())
-                out = extended(state, "wids" not in state)
-                kind = pa.struct([("p", pa.int64()), ("w", pa.int64()), ("n", pa.int64())])
-                asks = pa.StructArray.from_arrays([pa.array(out[c], pa.int64()) for c in "pwn"], fields=list(kind))
-                blob = pack(m=state["m"], **{c: out[c] for c in ("n", "at", "wids", "wn", "wat")})
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(asks)], pa.int32()), asks), pa.array([blob], pa.binary())], names=["chunk", "asks", "blob"])
-
-    before, take = chunks, begin
-    for m in range(1, longest):
-        state = written(before.select("chunk", "blob").groupBy("chunk").cogroup(known.groupBy("of")).applyInPandas(take, "chunk long, blob binary"), "phrase-lists")
-        forget(before)
-        before = written(state.mapInArrow(extend, "chunk long, asks array<struct<p: long, w: long, n: long>>, blob binary"), "phrase-asked")
-        forget(state)
-        counted = before.select(F.explode("asks").alias("x")).select("x.p", "x.w", "x.n").groupBy("p", "w").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-        longer = written(counted.select(F.monotonically_increasing_id().alias("id"), "p", "w", "a"), "phrase-longer")
-        if longer.isEmpty():
+        m, keep = unpack(own["lists"].iloc[0]), known["k"].to_numpy()
+        return row(own, {"m": np.array([1]), "ids": known["id"].to_numpy(), "n": m["n"][keep], "at": kept_lists(m["n"], m["at"], keep)})
+
+    before = written(chunks.select("chunk", F.col("blob").alias("lists")).groupBy("chunk").cogroup(known.groupBy("of")).applyInPandas(begin, kind), "phrase-lists")
+    forget(chunks)
+    for longer in range(2, longest + 1):
+        total = before.agg(F.sum("size")).first()[0] or 0
+        groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // group_asks))
+
+        def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                for number, raw in zip(part.column(0).to_pylist(), part.column(1)):
+                    asks = unpack(raw.as_py())
+                    order, cuts = dealt(asks, groups)
+                    there = np.flatnonzero(np.diff(cuts)).tolist()
+                    blobs = [pack(**{c: asks[c][order[cuts[g] : cuts[g + 1]]] for c in "pwn"}) for g in there]
+                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(there), pa.int64()), pa.array(there, pa.int64()), pa.array(blobs, pa.binary())], names=["of", "g", "told"])
+
+        def judge(rows: pd.DataFrame) -> pd.DataFrame:
+            return judged(int(rows["g"].iloc[0]), rows["of"].tolist(), rows["told"].tolist(), least)
+
+        answers = before.select("chunk", "asks").mapInArrow(ask, "of long, g long, told binary").groupBy("g").applyInPandas(judge, "of long, g long, told binary, id long, p long, w long, a long")
+        answers = written(answers, "phrase-answers")
+        found = answers.where("id is not null").select("id", "p", "w", "a")
+        named = found.join(levels[-1].select(F.col("id").alias("p"), "lang", "phrase"), "p").join(words.select(F.col("id").alias("w"), "word"), "w")
+        levels.append(written(named.select("id", "lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), F.lit(longer).alias("words"), "a"), "phrase-level"))
+        if longer == longest or levels[-1].isEmpty():
             break
-        named = longer.join(levels[-1].select(F.col("id").alias("p"), "lang", "phrase"), "p").join(words.select(F.col("id").alias("w"), "word"), "w")
-        levels.append(written(named.select("id", "lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), F.lit(m + 1).alias("words"), "a"), "phrase-level"))
-        asks = before.select(F.col("chunk").alias("of"), F.posexplode("asks").alias("k", "x")).select("of", "k", "x.p", "x.w")
-        known, take = asks.join(longer.select("id", "p", "w"), ["p", "w"]).select("of", "k", "id"), go_on
+
+        def go_on(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+            if own.empty or told.empty:
+                return own[["chunk"]].iloc[:0].assign(size=0, asks=b"", lists=b"")
+            asks, m = unpack(own["asks"].iloc[0]), unpack(own["lists"].iloc[0])
+            order, cuts = dealt(asks, groups)
+            ids = np.full(len(order), -1, np.int64)
+            for g, blob in zip(told["g"].tolist(), told["told"]):
+                x, places = unpack(blob), order[cuts[g] : cuts[g + 1]]
+                ids[places[np.unpackbits(x["keep"].astype(np.uint8), count=len(places)).astype(bool)]] = x["id"]
+            keep = np.flatnonzero(ids >= 0)
+            at = kept_lists(m["n"], m["at"], keep)
+            wids, wn, wat = covered(longer, at, m["wids"], m["wn"], m["wat"])
+            return row(own, {"m": np.array([longer]), "ids": ids[keep], "n": m["n"][keep], "at": at, "wids": wids, "wn": wn, "wat": wat})
+
+        told = answers.where("told is not null").select("of", "g", "told")
+        after = written(before.groupBy("chunk").cogroup(told.groupBy("of")).applyInPandas(go_on, kind), "phrase-lists")
+        forget(before), forget(answers)
+        before = after
     forget(before)
     out = levels[0]
     for more in levels[1:]:

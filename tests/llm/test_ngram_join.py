@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from siltstone.llm.ngram_join import COUNTERS, gram_set, ngram_groups, rare_part, tile_links
+from siltstone.llm.ngram_join import COUNTERS, gram_set, may_link, ngram_groups, rare_part, tile_links
 from siltstone.llm.queries import ORACLES, QUERIES
 
 
@@ -121,3 +121,19 @@ def test_against_duckdb(spark):
     c.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
     want = sorted(c.execute(f"select doc_id, n_shingles, component_id from ({ORACLES['op13_ngram_join']})").fetchall())
     assert sorted(tuple(r) for r in QUERIES["op13_ngram_join"](spark, "/root/testdata/sf0.001").collect()) == want
+
+
+def test_sets_that_link_are_promising():
+    rng = np.random.default_rng(3)
+    for _ in range(150):
+        base = np.unique(rng.integers(0, 1 << 40, rng.integers(1, 150), dtype=np.uint64))
+        sets = [np.unique(np.r_[base[rng.random(len(base)) < rng.uniform(0.85, 1)], rng.integers(0, 1 << 40, rng.integers(0, 12), dtype=np.uint64)]) for _ in range(6)]
+        sets = [x for x in sets if len(x)]
+        counters = rng.integers(0, 9, COUNTERS)
+        rare = [rare_part(x, counters, 85) for x in sets]
+        s = np.array([sum(any(m in r for j, r in enumerate(rare) if j != i) for m in own) for i, own in enumerate(rare)])
+        ok = may_link(np.array([len(x) for x in sets]), s, np.arange(len(sets)), np.full(len(sets), 2), 85)
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if i != j and 100 * len(np.intersect1d(x, y)) >= 85 * len(np.union1d(x, y)):
+                    assert ok[i] and ok[j]
