@@ -232,35 +232,77 @@ def by_tile(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def may_link(n: np.ndarray, s: np.ndarray, comp: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
-    """Which sets of a tile may link to another one of it, by sizes ``n`` and numbers ``s`` of members in their rare parts that other sets have.
+def parity(own: np.ndarray) -> bytes:
+    """A bit for every remainder of the members by the power of two that is at least their number (64 at least): the parity of those that
+    have it. Two sets' bits, halved by exclusive or to the same length, differ in at most as many places as the sets do in members."""
+    bits = max(64, 1 << (len(own) - 1).bit_length()) if len(own) else 64
+    return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def halved(bits: np.ndarray, width: int) -> np.ndarray:
+    while bits.shape[1] > width:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def parities_fit(i: np.ndarray, j: np.ndarray, most: np.ndarray, bits: list[bytes]) -> np.ndarray:
+    """Which pairs differ in at most ``most`` places of their parities."""
+    width = np.fromiter(map(len, bits), np.int64, len(bits))
+    held = {w: np.frombuffer(b"".join(b for b in bits if len(b) == w), "<u8").reshape(-1, w // 8) for w in np.unique(width).tolist()}
+    row = np.zeros(len(bits), np.int64)
+    for w in held:
+        row[width == w] = np.arange(len(held[w]))
+    out = np.zeros(len(i), bool)
+    for w in held:
+        for v in held:
+            which = np.flatnonzero((width[i] == w) & (width[j] == v))
+            for a in range(0, len(which), 1 << 14):
+                some = which[a : a + (1 << 14)]
+                x, y = halved(held[w][row[i[some]]], min(v, w) // 8), halved(held[v][row[j[some]]], min(v, w) // 8)
+                out[some] = np.bitwise_count(x ^ y).sum(1) <= most[some]
+    return out
+
+
+def may_link(n: np.ndarray, s: np.ndarray, comp: np.ndarray, side: np.ndarray, percent: int, bits: list[bytes] | None = None) -> np.ndarray:
+    """Which sets of a tile may link to another one of it, by sizes ``n``, numbers ``s`` of members in their rare parts that other sets have, and parities.
 
     Sets x and y link only if they share at least m = ceil(percent * (x + y) / (100 + percent)) members. Of the set whose rare part
     begins later in the order, ceil(percent / 100 * n) - 1 members are not in it; all other shared members are in both rare parts.
     """
-    out, rest = np.zeros(len(n), bool), -(-percent * n // 100) - 1
+    order = np.argsort(n, kind="stable")
+    n, s, comp, side = n[order], s[order], comp[order], side[order]
+    bits = [bits[k] for k in order] if bits is not None else None
+    out, rest, end = np.zeros(len(n), bool), -(-percent * n // 100) - 1, np.searchsorted(n, 100 * n // percent, "right")
     for a in range(0, len(n), 256):
-        x = slice(a, a + 256)
-        small, large = np.minimum(n[x, None], n[None]), np.maximum(n[x, None], n[None])
-        least = -(-percent * (small + large) // (100 + percent)) - np.maximum(rest[x, None], rest[None])
-        ok = (100 * small >= percent * large) & (np.minimum(s[x, None], s[None]) >= least) & (comp[x, None] != comp[None]) & ((side[x, None] == 2) | (side[x, None] != side[None]))
-        out[x] |= ok.any(1)
-        out |= ok.any(0)
-    return out
+        x, y = slice(a, min(a + 256, len(n))), slice(a, int(end[min(a + 256, len(n)) - 1]))
+        shared = -(-percent * (n[x, None] + n[None, y]) // (100 + percent))
+        ok = (np.arange(y.start, y.stop) > np.arange(x.start, x.stop)[:, None]) & (100 * n[x, None] >= percent * n[None, y]) & (np.minimum(s[x, None], s[None, y]) >= shared - rest[None, y])
+        ok &= (comp[x, None] != comp[None, y]) & ((side[x, None] == 2) | (side[x, None] != side[None, y]))
+        i, j = np.nonzero(ok)
+        if bits is not None and len(i):
+            most = (n[i + a] + n[j + a]) - 2 * shared[i, j]
+            fit = parities_fit(i + a, j + a, most, bits)
+            i, j = i[fit], j[fit]
+        out[i + a] = out[j + a] = True
+    back = np.empty(len(n), bool)
+    back[order] = out
+    return back
 
 
 def promising(blocks: DataFrame, percent: int, tile_rows: int = 4096) -> DataFrame:
-    """The rows of blocks (block, node, n, s, comp, sets) whose sets may link to a set of another group in the block: no set is sent for others."""
-    kind = "block long, node long, n long, s long, comp long, sets long"
+    """The rows of blocks (block, node, n, s, comp[, bits]) whose sets may link to a set of another group in the block: no set is sent for others."""
+    names = ["block", "node", "n", "s", "comp"]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_tile(parts):
-            ok = may_link(*(t[c].to_numpy() for c in ("n", "s", "comp", "side")), percent)
+            ok = may_link(*(t[c].to_numpy() for c in ("n", "s", "comp", "side")), percent, t["bits"].to_pylist() if "bits" in t.column_names else None)
             if ok.any():
-                yield from t.filter(pa.array(ok)).select(["block", "node", "n", "s", "comp", "sets"]).to_batches()
+                yield from t.filter(pa.array(ok)).select(names).to_batches()
 
-    tiled = tiles_of(blocks.withColumn("one", F.lit(1)), "one", tile_rows).select("block", "node", "n", "s", "comp", "sets", "tile", "side")
-    return tiled.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, kind).distinct()
+    kept = [*names, *(c for c in ("bits",) if c in blocks.columns), "tile", "side"]
+    tiled = tiles_of(blocks.withColumn("one", F.lit(1)), "one", tile_rows).select(kept)
+    return tiled.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "block long, node long, n long, s long, comp long").distinct()
 
 
 def linked_tiles(blocks: DataFrame, texts: DataFrame, shingle: int, percent: int, tile_members: int) -> DataFrame:
@@ -293,7 +335,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Sets meet by the members that come last in a common order, the rare ones (see ``rare_part``); a block is the sets that
     have such a member. Sets leave a block where sizes and the number of their rare members that any other set has allow no
-    link (see ``may_link``), before whole sets are sent; blocks with the same sets are one. Each block is joined with a prefix tree of its whole sets (see
+    link (see ``may_link``; a bit or two of parity for each member are sent for that), before whole sets are sent; blocks with the same sets are one. Each block is joined with a prefix tree of its whole sets (see
     ``tile_links``), large ones in tiles. In a first round a set stands in one block, that of its largest number of sets
     up to 1024; as only components are asked for, the second round leaves out blocks whose sets are in one component
     already, and holds all others.
@@ -313,22 +355,26 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             own = [gram_set(t.as_py(), shingle) for t in part.column(1)]
             digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in own), "<i8").reshape(-1, 2)
             rare = [rare_part(x, counters.value, percent).view(np.int64) for x in own]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(map(len, own), pa.int64()), pa.array(rare, pa.list_(pa.int64()))], names=["id", "h1", "h2", "n", "rare"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(map(len, own), pa.int64()), pa.array(rare, pa.list_(pa.int64())), pa.array([parity(x) for x in own], pa.binary())], names=["id", "h1", "h2", "n", "rare", "bits"])
 
-    sketches = written(texts.mapInArrow(sketch, "id long, h1 long, h2 long, n long, rare array<long>"), "grams")
+    sketches = written(texts.mapInArrow(sketch, "id long, h1 long, h2 long, n long, rare array<long>, bits binary"), "grams")
     classes = written(sketches.where("id is not null and n > 0").groupBy("h1", "h2").agg(F.min("id").alias("node")), "gram-classes")
     spread = sketches.where("id is not null and n > 0")
     spread = spread.join(classes.select(F.col("node"), F.col("h1").alias("c1"), F.col("h2").alias("c2")), (F.col("id") == F.col("node")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")))
+    bits = written(spread.select("node", "bits"), "gram-bits").dropDuplicates(["node"])
     members = spread.select("node", "n", F.explode("rare").alias("member"))
-    shared = members.groupBy("member").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("sets")).where("low <> high")
+    shared = members.groupBy("member").agg(F.count("*").alias("sets")).where("sets > 1")
     found = written(skew_join(members, shared.select("member", "sets"), ["member"]), "gram-shared")
     held = written(skew_join(found.withColumnRenamed("member", "block"), found.groupBy("node").agg(F.count("*").alias("s")), ["node"]), "gram-members")
     forget(found)
 
-    best = F.max_by(F.struct("block", "n", "comp"), F.struct(F.when(F.col("sets") <= 1024, F.col("sets")).otherwise(-F.col("sets")), "block"))
-    likely = promising(held.select("block", "node", "n", "s", F.col("node").alias("comp"), "sets"), percent)
-    picked = likely.groupBy("node").agg(best.alias("x")).select("node", "x.block", "x.n", "x.comp")
-    links = linked_tiles(picked, texts, shingle, percent, tile_members)
+    def fitting(blocks: DataFrame) -> DataFrame:
+        first = written(promising(blocks, percent), "gram-first")
+        return promising(first.join(bits, "node"), percent)
+
+    best = F.max_by(F.struct("block", "n", "s"), F.struct(F.when(F.col("sets") <= 1024, F.col("sets")).otherwise(-F.col("sets")), "block"))
+    picked = held.groupBy("node").agg(best.alias("x")).select("node", "x.block", "x.n", "x.s", F.col("node").alias("comp"))
+    links = linked_tiles(fitting(picked), texts, shingle, percent, tile_members)
     named = skew_join(sketches.where("id is not null and n > 0").select("id", "h1", "h2"), classes, ["h1", "h2"]).select("id", "node")
     copies = named.groupBy("id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u <> v")
     several = named.join(copies.select(F.col("id").alias("twice")), F.col("id") == F.col("twice")).select(F.col("id").alias("u"), F.col("node").alias("v"))
@@ -337,7 +383,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     grouped = skew_join(held, roots.select("node", "root"), ["node"], "left").withColumn("comp", F.coalesce("root", "node"))
     open_ = grouped.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("x2"), F.count("*").alias("sets")).where("low <> high")
     once = open_.groupBy("x1", "x2", "sets").agg(F.min("block").alias("block")).select("block")
-    rest = written(promising(skew_join(grouped.select("block", "node", "n", "s", "comp", "sets"), once, ["block"]), percent), "gram-rest")
+    rest = written(fitting(skew_join(grouped.select("block", "node", "n", "s", "comp"), once, ["block"])), "gram-rest")
     if not rest.isEmpty():
         links = linked_tiles(rest, texts, shingle, percent, tile_members)
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))

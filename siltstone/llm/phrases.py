@@ -36,7 +36,7 @@ def by_position(counts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at[order], np.repeat(np.arange(len(counts)), counts)[order]
 
 
-def chunk_words(texts: list[bytes], langs: list[str]) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
+def chunk_words(texts: list[bytes], langs: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
     """(language, word, counts, lists) of the words of some texts. Positions count words, ends of pieces and ends of texts, so that
     only words of one piece have positions that follow each other."""
     raw = TEXT.join(texts).translate(TABLE)
@@ -47,20 +47,24 @@ def chunk_words(texts: list[bytes], langs: list[str]) -> tuple[pa.Array, pa.Arra
     text = np.cumsum(ids == marks[1])
     at = np.flatnonzero((ids != marks[0]) & (ids != marks[1]))
     own, counts, lists = lists_of(code[text[at]] * len(words) + ids[at], at)
-    return pa.array(names, pa.string()).take(pa.array(own // max(1, len(words)))), words.take(pa.array(own % max(1, len(words)))), counts, lists
+    return names[own // max(1, len(words))], words.take(pa.array(own % max(1, len(words)))).to_pylist(), counts, lists
 
 
 def index_chunks(docs: DataFrame, text_col: str, lang_col: str, chunk_bytes: int) -> DataFrame:
-    """(chunk BIGINT, words ARRAY of (lang, word, n), blob: the words' lists): texts in chunks of about ``chunk_bytes``, each whole in one chunk."""
+    """(chunk BIGINT, size BIGINT, totals ARRAY of (lang, n), words and n: names and counts, packed, blob: the words' lists): texts in
+    chunks of about ``chunk_bytes``, each whole in one chunk."""
+    kind = pa.struct([("lang", pa.string()), ("n", pa.int64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, langs, size, number = [], [], 0, TaskContext.get().partitionId() << 24
 
         def row() -> pa.RecordBatch:
             lang, word, counts, lists = chunk_words(texts, langs)
-            kind = pa.struct([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
-            words = pa.StructArray.from_arrays([lang, word.cast(pa.string()), pa.array(counts, pa.int64())], fields=list(kind))
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.array([pack(n=counts, at=lists)], pa.binary())], names=["chunk", "words", "blob"])
+            spoken, code = np.unique(lang, return_inverse=True)
+            totals = [{"lang": x, "n": int(n)} for x, n in zip(spoken.tolist(), np.bincount(code, counts, len(spoken)))] if len(lang) else []
+            names = pack_names([x.encode() + b" " + w for x, w in zip(lang.tolist(), word)])
+            cells = [pa.array([number], pa.int64()), pa.array([len(word)], pa.int64()), pa.array([totals], pa.list_(kind)), pa.array([names], pa.binary()), pa.array([pack(n=counts)], pa.binary()), pa.array([pack(n=counts, at=lists)], pa.binary())]
+            return pa.RecordBatch.from_arrays(cells, names=["chunk", "size", "totals", "words", "n", "blob"])
 
         for part in parts:
             for text, lang in zip(part.column(0).cast(pa.binary()), part.column(1).to_pylist()):
@@ -74,7 +78,7 @@ def index_chunks(docs: DataFrame, text_col: str, lang_col: str, chunk_bytes: int
             yield row()
 
     text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
-    return docs.select(text.alias("text"), lang.alias("lang")).mapInArrow(run, "chunk long, words array<struct<lang: string, word: string, n: long>>, blob binary")
+    return docs.select(text.alias("text"), lang.alias("lang")).mapInArrow(run, "chunk long, size long, totals array<struct<lang: string, n: long>>, words binary, n binary, blob binary").where("size > 0")
 
 
 def extended(state: dict[str, np.ndarray], first: bool) -> dict[str, np.ndarray]:
@@ -127,6 +131,67 @@ def dealt(asks: dict[str, np.ndarray], groups: int) -> tuple[np.ndarray, np.ndar
     return order, np.searchsorted(g[order], np.arange(groups + 1))
 
 
+def pack_names(names: list[bytes]) -> bytes:
+    """Names of languages and words, which hold no PIECE, compressed; the length of the result comes first."""
+    import zstandard
+
+    out = zstandard.ZstdCompressor(level=1).compress(PIECE.join(names))
+    return len(out).to_bytes(4, "little") + out
+
+
+def unpack_names(raw: bytes) -> tuple[list[bytes], bytes]:
+    """The names, and what follows them."""
+    import zstandard
+
+    end = 4 + int.from_bytes(raw[:4], "little")
+    return zstandard.ZstdDecompressor().decompress(raw[4:end]).split(PIECE), raw[end:]
+
+
+def dealt_words(raw: bytes, groups: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """A chunk's words in the order of their groups, where each group begins in it, and their names."""
+    import xxhash
+
+    names = unpack_names(raw)[0]
+    g = (np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names)) % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(g, kind="stable")
+    return order, np.searchsorted(g[order], np.arange(groups + 1)), names
+
+
+def ids_told(told: pd.DataFrame, order: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The ids of what a chunk asked about, in its own order; -1 where the answer was no."""
+    ids = np.full(len(order), -1, np.int64)
+    for g, blob in zip(told["g"].tolist(), told["told"]):
+        x, places = unpack(blob), order[cuts[g] : cuts[g + 1]]
+        ids[places[np.unpackbits(x["keep"].astype(np.uint8), count=len(places)).astype(bool)]] = x["id"]
+    return ids
+
+
+def judged_words(g: int, chunks: list[int], blobs: list[bytes], least: int) -> pd.DataFrame:
+    """``judged`` for words, which have their language and a space before them."""
+    import pandas as pd
+
+    names, counts, sizes = [], [], []
+    for raw in blobs:
+        own, rest = unpack_names(raw)
+        names += own
+        counts.append(unpack(rest)["n"])
+        sizes.append(len(own))
+    known = pa.array(names, pa.binary()).dictionary_encode()
+    number = known.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    a = np.bincount(number, np.concatenate(counts), len(known.dictionary)).astype(np.int64)
+    often = a >= least
+    rows, at = [], 0
+    for chunk, size in zip(chunks, sizes):
+        own = number[at : at + size]
+        at += size
+        if often[own].any():
+            rows.append((chunk, g, pack(keep=np.packbits(often[own]), id=(g << 32) + own[often[own]]), None, None, None, None))
+    for k in np.flatnonzero(often).tolist():
+        lang, _, word = known.dictionary[k].as_py().rpartition(b" ")
+        rows.append((None, None, None, (g << 32) + k, lang.decode(), word.decode(), int(a[k])))
+    return pd.DataFrame(rows, columns=["of", "g", "told", "id", "lang", "word", "a"]).astype({c: "Int64" for c in ("of", "g", "id", "a")})
+
+
 def judged(g: int, chunks: list[int], blobs: list[bytes], least: int) -> pd.DataFrame:
     """To each chunk, which of its longer phrases of group ``g`` all chunks together have ``least`` times, with their ids; and those phrases."""
     import pandas as pd
@@ -161,13 +226,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_c
     """
     spark = docs.sparkSession
     chunks = written(index_chunks(docs, text_col, lang_col, chunk_bytes), "phrase-index")
-    spoken = chunks.select(F.explode("words").alias("w")).select("w.lang", "w.word", "w.n")
-    totals = written(spoken.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
-    found = spoken.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    words = written(found.select(F.monotonically_increasing_id().alias("id"), "lang", "word", "a"), "phrase-words")
-    levels = [words.select("id", "lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "a")]
-    asked = chunks.select(F.col("chunk").alias("of"), F.posexplode("words").alias("k", "w")).select("of", "k", "w.lang", "w.word")
-    known = asked.join(words.select("id", "lang", "word"), ["lang", "word"]).select("of", "k", "id")
+    totals = written(chunks.select(F.explode("totals").alias("t")).groupBy("t.lang").agg(F.sum("t.n").alias("n")), "phrase-totals")
     kind = "chunk long, size long, asks binary, lists binary"
 
     def row(own: pd.DataFrame, state: dict[str, np.ndarray]) -> pd.DataFrame:
@@ -176,14 +235,37 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_c
         asks, lists = ("p", "w", "n"), ("n", "at", "wids", "wn", "wat")
         return rows.assign(size=len(out["p"]), asks=[pack(**{c: out[c] for c in asks})] * len(rows), lists=[pack(m=state["m"], **{c: out[c] for c in lists})] * len(rows))
 
-    def begin(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if own.empty or known.empty:
-            return own[["chunk"]].iloc[:0].assign(size=0, asks=b"", lists=b"")
-        known = known.sort_values("k")
-        m, keep = unpack(own["lists"].iloc[0]), known["k"].to_numpy()
-        return row(own, {"m": np.array([1]), "ids": known["id"].to_numpy(), "n": m["n"][keep], "at": kept_lists(m["n"], m["at"], keep)})
+    total = chunks.agg(F.sum("size")).first()[0] or 0
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // group_asks))
 
-    before = written(chunks.select("chunk", F.col("blob").alias("lists")).groupBy("chunk").cogroup(known.groupBy("of")).applyInPandas(begin, kind), "phrase-lists")
+    def ask_words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for number, raw, n in zip(part.column(0).to_pylist(), part.column(1), part.column(2)):
+                order, cuts, names = dealt_words(raw.as_py(), groups)
+                counts, there = unpack(n.as_py())["n"], np.flatnonzero(np.diff(cuts)).tolist()
+                blobs = []
+                for g in there:
+                    own = order[cuts[g] : cuts[g + 1]]
+                    blobs.append(pack_names([names[k] for k in own.tolist()]) + pack(n=counts[own]))
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(there), pa.int64()), pa.array(there, pa.int64()), pa.array(blobs, pa.binary())], names=["of", "g", "told"])
+
+    def judge_words(rows: pd.DataFrame) -> pd.DataFrame:
+        return judged_words(int(rows["g"].iloc[0]), rows["of"].tolist(), rows["told"].tolist(), least)
+
+    def begin(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        if own.empty or told.empty:
+            return own[["chunk"]].iloc[:0].assign(size=0, asks=b"", lists=b"")
+        order, cuts, _ = dealt_words(own["words"].iloc[0], groups)
+        m, ids = unpack(own["lists"].iloc[0]), ids_told(told, order, cuts)
+        keep = np.flatnonzero(ids >= 0)
+        return row(own, {"m": np.array([1]), "ids": ids[keep], "n": m["n"][keep], "at": kept_lists(m["n"], m["at"], keep)})
+
+    answers = chunks.select("chunk", "words", "n").mapInArrow(ask_words, "of long, g long, told binary").groupBy("g").applyInPandas(judge_words, "of long, g long, told binary, id long, lang string, word string, a long")
+    answers = written(answers, "phrase-words")
+    words = answers.where("id is not null").select("id", "lang", "word", "a")
+    levels = [words.select("id", "lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "a")]
+    told = answers.where("told is not null").select("of", "g", "told")
+    before = written(chunks.select("chunk", "words", F.col("blob").alias("lists")).groupBy("chunk").cogroup(told.groupBy("of")).applyInPandas(begin, kind), "phrase-lists")
     forget(chunks)
     for longer in range(2, longest + 1):
         total = before.agg(F.sum("size")).first()[0] or 0
@@ -214,10 +296,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_c
                 return own[["chunk"]].iloc[:0].assign(size=0, asks=b"", lists=b"")
             asks, m = unpack(own["asks"].iloc[0]), unpack(own["lists"].iloc[0])
             order, cuts = dealt(asks, groups)
-            ids = np.full(len(order), -1, np.int64)
-            for g, blob in zip(told["g"].tolist(), told["told"]):
-                x, places = unpack(blob), order[cuts[g] : cuts[g + 1]]
-                ids[places[np.unpackbits(x["keep"].astype(np.uint8), count=len(places)).astype(bool)]] = x["id"]
+            ids = ids_told(told, order, cuts)
             keep = np.flatnonzero(ids >= 0)
             at = kept_lists(m["n"], m["at"], keep)
             wids, wn, wat = covered(longer, at, m["wids"], m["wn"], m["wat"])
