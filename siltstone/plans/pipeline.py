@@ -12,7 +12,7 @@ from siltstone.operators import validation as V
 from siltstone.plans import query
 from siltstone.plans.base import FINDINGS, findings
 from siltstone.sources.tables import load
-from siltstone.streaming import events as E
+from siltstone.streaming import events as E, state as K
 
 
 @query(FINDINGS + """ select distinct substr(sha256(file_path || '|' || category || '|' || rule_id || '|' || (start_line // 10)), 1, 32) as fingerprint,
@@ -263,6 +263,33 @@ def st5_until_terminal(spark: SparkSession, sf: str) -> DataFrame:
     return E.until_terminal(load(spark, sf, "events"), "user_id", "ts", "event_type", ("purchase",)).select("user_id", "event_id")
 
 
+@query("""with r as (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as rn, count(*) over (partition by user_id) as seen from events) select user_id, event_id, seen from r where rn <= 20""")
+def st2_history_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The events played as a stream that is stopped and restarted: the history that its state holds at the end (ST2, ST10)."""
+    sent = K.to_the_end(load(spark, sf, "events"), "ts", lambda s: K.stream_history(s, "user_id", "ts", "event_id", 20))
+    return sent.groupBy("user_id").agg(F.max_by("ids", "seen").alias("ids"), F.max("seen").alias("seen")).select("user_id", F.explode("ids").alias("event_id"), "seen")
+
+
+@query("""with g as (select user_id, ts as after, epoch_us(coalesce(lead(ts) over (partition by user_id order by ts), timestamp '2024-02-10 00:00:00')) - epoch_us(ts) as gap from events),
+n as (select user_id, after, (gap - 1) // 86400000000 as n from g where gap > 86400000000) select user_id, after, unnest(range(1, n + 1)) as beat from n""")
+def st4_beats_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Beats that timers send on a stream, up to a time after its end (ST4)."""
+    sent = K.to_the_end(load(spark, sf, "events"), "ts", lambda s: K.stream_beats(s, "user_id", "ts", 86400))
+    return sent.where(F.col("after") + F.make_interval(days=F.col("beat").cast("int")) < F.lit("2024-02-10").cast("timestamp")).select("user_id", F.col("after").cast("timestamp_ntz").alias("after"), "beat")
+
+
+@query("""select user_id, event_id, event_type from events e where ts <= coalesce((select min(ts) from events t where t.user_id = e.user_id and t.event_type = 'purchase'), ts)""")
+def st5_until_terminal_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows up to the first terminal one, on a stream (ST5)."""
+    return K.to_the_end(load(spark, sf, "events"), "ts", lambda s: K.stream_until_terminal(s, "user_id", "ts", "event_type", "event_id", ("purchase",)))
+
+
+@query("""select user_id, event_id, hits, hits > 2 as rejected from (select user_id, event_id, count(*) over (partition by user_id order by epoch_us(ts) range between 7199999999 preceding and current row) as hits from events)""")
+def st9_sliding_log_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits in a trailing span, on a stream that keeps no more than the span (ST9)."""
+    return K.to_the_end(load(spark, sf, "events"), "ts", lambda s: K.stream_sliding_log(s, "user_id", "ts", "event_id", 7200, 2))
+
+
 @query("""with s as (select user_id, event_type as status, ts as "at", row_number() over (partition by user_id order by ts desc, event_type desc) as rn from events)
 select user_id, "at", case when status in ('click', 'view') then 'failed' else status end as status, status not in ('signup') as may_start from s where rn = 1""")
 def st11_states(spark: SparkSession, sf: str) -> DataFrame:
