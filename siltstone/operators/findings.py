@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from functools import reduce
 
 import pandas as pd
@@ -38,15 +40,101 @@ def same_issue(a: str, b: str) -> Column:
     return (c(f"{a}.fingerprint") == c(f"{b}.fingerprint")) | (lines_overlap(a, b) & (rule | cwe | title))
 
 
+def overlap_pairs(df: DataFrame, key: str, id_col: str, start: str, end: str, slack: int = LINE_SLACK) -> DataFrame:
+    """(key, a, b): ids of rows of one key, a before b, whose intervals [start - slack, end] overlap, both ways round.
+
+    Not all pairs of a key meet. An interval is held in the bins of its own width, the power of two that is at least its
+    length, of which it touches two at most, and asks there and in the bins of all larger widths that occur: a pair meets in the bins
+    of the longer of the two. Of the two bins that a pair may share, the first common one counts, so a pair comes once. The rows that meet are
+    those that overlap and their neighbours, however many rows a key has.
+
+    Null keys, ids or bounds: no pair. Equal ids make no pair; a row that is repeated makes its pairs as often. An end before
+    the start is an interval that still overlaps what the two comparisons say. Empty table: no rows.
+    """
+    low, high = F.col(start).cast("long") - slack, F.col(end).cast("long")
+    rows = df.select(F.col(key).alias("key"), F.col(id_col).alias("id"), low.alias("low"), high.alias("high")).where("key is not null and id is not null and low is not null and high is not null")
+    rows = rows.select("key", "id", "low", "high", F.least("low", "high").alias("left"), F.greatest("low", "high").alias("right"))
+    rows = rows.withColumn("level", F.ceil(F.log2(F.col("right") - F.col("left") + 1)).cast("int"))
+    levels = F.array(*(F.lit(r.level).cast("int") for r in rows.select("level").distinct().orderBy("level").collect()))  # at most 64
+    first, bins = F.expr("shiftright(left, level)"), F.expr("sequence(shiftright(left, level), shiftright(right, level))")
+    held = rows.select("key", "id", "low", "high", "level", first.alias("first"), F.explode(bins).alias("bin"))
+    asks = rows.select("key", "id", "low", "high", "left", "right", F.col("level").alias("own"), F.explode(F.filter(levels, lambda x: x >= F.col("level"))).alias("level"))
+    asks = asks.select("key", "id", "low", "high", "own", "level", first.alias("first"), F.explode(bins).alias("bin"))
+    x, y = held.alias("x"), asks.alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.level") == F.col("y.level")) & (F.col("x.bin") == F.col("y.bin")))
+    once = (F.col("x.bin") == F.greatest("x.first", "y.first")) & ((F.col("y.own") < F.col("y.level")) & (F.col("x.id") != F.col("y.id")) | (F.col("y.own") == F.col("y.level")) & (F.col("x.id") < F.col("y.id")))
+    met = met.where(once & (F.col("x.low") <= F.col("y.high")) & (F.col("y.low") <= F.col("x.high")))
+    return met.select(F.col("x.key").alias(key), F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
+class Leaders:
+    """The first findings of clusters, looked up by what a later finding may share with them; findings come in the order of their first lines.
+
+    A leader whose last line, with the slack, lies before the next first line is struck from a list when the list is read: no
+    later finding overlaps it. Titles are looked up by their rare words: of n words, a similar title has one of any n - ceil(0.55 n) + 1.
+    """
+
+    def __init__(self, often: dict[str, int]):
+        self.often, self.rows = often, []
+        self.prints: dict[str, int] = {}
+        self.lists: dict[tuple, list[int]] = {}
+
+    def rare(self, words: frozenset) -> list[str]:
+        return sorted(words, key=lambda t: (self.often.get(t, 0), t))[: len(words) - math.ceil(TITLE_SIMILARITY * len(words) - 1e-9) + 1]
+
+    def names(self, r: dict) -> list[tuple]:
+        words = r["__tokens"]
+        return [(k, r[f]) for k, f in (("rule", "__rule"), ("cwe", "cwe")) if r[f]] + ([("word", t) for t in self.rare(words)] if words else [("empty",)])
+
+    def add(self, r: dict) -> None:
+        self.prints.setdefault(r["fingerprint"], len(self.rows))
+        for name in self.names(r):
+            self.lists.setdefault(name, []).append(len(self.rows))
+        self.rows.append(r)
+
+    def home(self, r: dict) -> int | None:
+        """The number of the first leader that is the same issue."""
+        best = self.prints.get(r["fingerprint"])
+        for name in self.names(r):
+            held = self.lists.get(name)
+            if not held:
+                continue
+            if any(self.rows[i]["end_line"] < r["start_line"] - LINE_SLACK for i in held):
+                held[:] = [i for i in held if self.rows[i]["end_line"] >= r["start_line"] - LINE_SLACK]
+            for i in held:
+                if best is not None and i >= best:
+                    break
+                if self.rows[i]["start_line"] - LINE_SLACK <= r["end_line"] and (name[0] != "word" or self.similar(self.rows[i]["__tokens"], r["__tokens"])):
+                    best = i
+                    break
+        return best
+
+    @staticmethod
+    def similar(x: frozenset, y: frozenset) -> bool:
+        return len(x & y) / len(x | y) >= TITLE_SIMILARITY
+
+
+def islands(df: DataFrame) -> DataFrame:
+    """With __island: runs of a file's and category's findings, in the order of their lines, that no issue goes across.
+
+    A finding begins a run if it overlaps none before and lies in another ten of lines, so that it has no fingerprint of them either.
+    """
+    w = Window.partitionBy("file_path", "category").orderBy("start_line", F.desc("__rank"), "ord")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    apart = (F.col("start_line") - LINE_SLACK > F.max("end_line").over(before)) & (F.floor(F.col("start_line") / 10) != F.floor(F.lag("start_line").over(w) / 10))
+    return df.withColumn("__apart", F.when(apart, 1).otherwise(0)).withColumn("__island", F.sum("__apart").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__apart")
+
+
 def merge_findings(df: DataFrame) -> DataFrame:
     """Findings of one issue become one, with the other tools as corroboration.
 
     Within a file and category, in order of first line and falling severity, a finding joins the first cluster whose
     leader is the same issue, else it leads a new one. The cluster's representative has the highest severity, then
     the longest description, then a deterministic source; it takes on the others' range, sources, related files (8 at
-    most) and a confidence raised by each other source. This depends on the order within a group, and groups are
-    single files, so each is one pandas call. Input: ord, file_path, category, severity, source, rule_id, cwe, title,
-    description, start_line, end_line, confidence, related_files. Ties in the order go to the smaller ord.
+    most) and a confidence raised by each other source. This depends on the order, so a run of findings that overlap (see
+    ``islands``) is one pandas call, a sweep that looks leaders up (see ``Leaders``) instead of comparing with all. Input: ord,
+    file_path, category, severity, source, rule_id, cwe, title, description, start_line, end_line, confidence,
+    related_files. Ties in the order go to the smaller ord.
     """
     ready = with_fingerprint(df).select(
         *df.columns, "fingerprint", severity_rank(F.col("severity")).alias("__rank"), normalise_rule(F.coalesce("rule_id", F.lit(""))).alias("__rule"),
@@ -56,23 +144,17 @@ def merge_findings(df: DataFrame) -> DataFrame:
 
     fields, names = list(df.columns), [f.name for f in out]
 
-    def same(a: dict, b: dict) -> bool:
-        if a["fingerprint"] == b["fingerprint"]:
-            return True
-        if a["start_line"] - LINE_SLACK > b["end_line"] or b["start_line"] - LINE_SLACK > a["end_line"]:
-            return False
-        if a["__rule"] and a["__rule"] == b["__rule"] or a["cwe"] and a["cwe"] == b["cwe"]:
-            return True
-        x, y = a["__tokens"], b["__tokens"]
-        return not (x or y) or bool(x and y) and len(x & y) / len(x | y) >= TITLE_SIMILARITY
-
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         group = [r | {"__tokens": frozenset(r["__tokens"])} for r in rows.astype(object).where(rows.notna(), None).to_dict("records")]
         group.sort(key=lambda r: (r["start_line"], -r["__rank"], r["ord"]))
-        clusters: list[list[dict]] = []
+        leaders, clusters = Leaders(Counter(t for r in group for t in r["__tokens"])), []
         for r in group:
-            home = next((c for c in clusters if same(c[0], r)), None)
-            home.append(r) if home else clusters.append([r])
+            home = leaders.home(r)
+            if home is None:
+                leaders.add(r)
+                clusters.append([r])
+            else:
+                clusters[home].append(r)
         merged = []
         for c in clusters:
             lead = max(c, key=lambda r: (r["__rank"], len(r["description"] or ""), not r["__ai"]))
@@ -85,7 +167,7 @@ def merge_findings(df: DataFrame) -> DataFrame:
             merged.append(row)
         return pd.DataFrame(merged, columns=names)
 
-    return ready.groupBy("file_path", "category").applyInPandas(merge, out)
+    return islands(ready).groupBy("file_path", "category", "__island").applyInPandas(merge, out)
 
 
 def relevance(in_change: Column, has_changed_lines: Column, touches: Column, known_file: Column, has_dependents: Column) -> Column:

@@ -146,13 +146,21 @@ def j26_nested_children(spark: SparkSession, sf: str) -> DataFrame:
 @query("""select distinct a.l_orderkey, least(a.l_partkey, b.l_partkey) as part_a, greatest(a.l_partkey, b.l_partkey) as part_b from lineitem a join lineitem b
 on a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey and a.l_linenumber * 7 - 4 <= b.l_linenumber * 7 + b.l_quantity and b.l_linenumber * 7 - 4 <= a.l_linenumber * 7 + a.l_quantity""")
 def j10_interval_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    """Interval overlap with slack inside an equality key."""
-    from siltstone.operators.findings import lines_overlap
+    """Interval overlap with slack inside an equality key, by bins."""
+    from siltstone.operators.findings import overlap_pairs
 
     l = load(spark, sf, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_linenumber") * 7).alias("start_line"), (F.col("l_linenumber") * 7 + F.col("l_quantity")).alias("end_line"))
-    a, b = l.alias("a"), l.alias("b")
-    out = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_partkey") < F.col("b.l_partkey")) & lines_overlap("a", "b"))
-    return out.select("a.l_orderkey", F.col("a.l_partkey").alias("part_a"), F.col("b.l_partkey").alias("part_b")).distinct()
+    return overlap_pairs(l, "l_orderkey", "l_partkey", "start_line", "end_line").select("l_orderkey", F.col("a").alias("part_a"), F.col("b").alias("part_b")).distinct()
+
+
+@query("""with r as (select user_id, event_id, epoch_us(ts) // 60000000 as m, cast(value as bigint) as len from events)
+select a.user_id, a.event_id as a, b.event_id as b from r a join r b on a.user_id = b.user_id and a.event_id < b.event_id and a.m - 4 <= b.m + b.len and b.m - 4 <= a.m + a.len""")
+def j10_event_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Overlapping spans of a user's events, some users with many."""
+    from siltstone.operators.findings import overlap_pairs
+
+    e = load(spark, sf, "events").select("user_id", "event_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000).alias("m"), F.rint("value").cast("long").alias("len"))
+    return overlap_pairs(e.withColumn("until", F.col("m") + F.col("len")), "user_id", "event_id", "m", "until")
 
 
 @query("""with e as (select event_id, user_id, ts from events where event_type = 'error'), v as (select event_id as view_id, user_id as vu, ts as vts, value from events where event_type = 'view')

@@ -239,6 +239,16 @@ def g8_short_cycles(spark: SparkSession, sf: str) -> DataFrame:
     return G.short_cycles(_edges(spark, sf), 4).select(F.array_join("cycle", ">").alias("cycle"))
 
 
+@query(EDGES + """, i as materialized (select distinct source as s, target as t from edges where type = 'imports' and source <> target),
+reach(s, t) as (select s, t from i union select r.s, i.t from reach r join i on i.s = r.t),
+same as (select r.s as id, r.t as other from reach r join reach b on b.s = r.t and b.t = r.s),
+named as (select id, min(other) as component from same group by id)
+select id, component, count(*) over (partition by component) as size from named where (select count(*) from same x where x.id = named.id) > 1""")
+def g8_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Import cycles of any length, as strongly connected components."""
+    return G.strong_components(_edges(spark, sf))
+
+
 @query(EDGES + """ select type as kind, count(*) as n from nodes group by 1 union all select 'nodes', count(*) from nodes union all select 'edges', count(*) from edges""")
 def g9_graph_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes by type and totals."""
