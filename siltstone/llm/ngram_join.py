@@ -210,7 +210,7 @@ def tiles_of(blocks: DataFrame, weight: str, most: int) -> DataFrame:
     tile, so that a task holds two chunks at a time; every pair of a block meets in one tile.
     """
     sizes = blocks.groupBy("block").agg(F.sum(weight).alias("__weight"), F.count("*").alias("__rows")).where("__rows > 1")
-    held = skew_join(blocks, sizes, ["block"]).withColumn("chunks", F.ceil(F.col("__weight") / most)).drop("__weight", "__rows")
+    held = skew_join(blocks, sizes, ["block"]).withColumn("chunks", F.ceil((F.col("__weight") + 1) / most)).drop("__weight", "__rows")
     held = held.withColumn("c", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     side = F.when(F.col("c") == F.col("o"), 2).when(F.col("c") < F.col("o"), 0).otherwise(1).cast("byte")
     return held.withColumns({"tile": F.xxhash64("block", F.least("c", "o"), F.greatest("c", "o")), "side": side}).drop("chunks", "c", "o")
@@ -269,7 +269,10 @@ def may_link(n: np.ndarray, s: np.ndarray, comp: np.ndarray, side: np.ndarray, p
 
     Sets x and y link only if they share at least m = ceil(percent * (x + y) / (100 + percent)) members. Of the set whose rare part
     begins later in the order, ceil(percent / 100 * n) - 1 members are not in it; all other shared members are in both rare parts.
+    A size of 0 stands for an id that has several sets: its tile is taken whole.
     """
+    if (n == 0).any():
+        return np.ones(len(n), bool)
     order = np.argsort(n, kind="stable")
     n, s, comp, side = n[order], s[order], comp[order], side[order]
     bits = [bits[k] for k in order] if bits is not None else None
@@ -361,16 +364,17 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = written(sketches.where("id is not null and n > 0").groupBy("h1", "h2").agg(F.min("id").alias("node")), "gram-classes")
     spread = sketches.where("id is not null and n > 0")
     spread = spread.join(classes.select(F.col("node"), F.col("h1").alias("c1"), F.col("h2").alias("c2")), (F.col("id") == F.col("node")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")))
-    bits = written(spread.select("node", "bits"), "gram-bits").dropDuplicates(["node"])
-    members = spread.select("node", "n", F.explode("rare").alias("member"))
-    shared = members.groupBy("member").agg(F.count("*").alias("sets")).where("sets > 1")
+    single = (F.min("h1") == F.max("h1")) & (F.min("h2") == F.max("h2"))
+    nodes = written(spread.groupBy("node").agg(F.when(single, F.max("n")).otherwise(0).alias("n"), F.max("bits").alias("bits")), "gram-nodes")
+    members = spread.select("node", F.explode("rare").alias("member"))
+    shared = written(members.groupBy("member").agg(F.count("*").alias("sets")).where("sets > 1"), "gram-often")
     found = written(skew_join(members, shared.select("member", "sets"), ["member"]), "gram-shared")
-    held = written(skew_join(found.withColumnRenamed("member", "block"), found.groupBy("node").agg(F.count("*").alias("s")), ["node"]), "gram-members")
-    forget(found)
+    held = written(skew_join(found.withColumnRenamed("member", "block"), found.groupBy("node").agg(F.count("*").alias("s")).join(nodes.select("node", "n"), "node"), ["node"]), "gram-members")
+    forget(found), forget(shared)
 
     def fitting(blocks: DataFrame) -> DataFrame:
         first = written(promising(blocks, percent), "gram-first")
-        return promising(first.join(bits, "node"), percent)
+        return promising(first.join(nodes.select("node", "bits"), "node"), percent)
 
     best = F.max_by(F.struct("block", "n", "s"), F.struct(F.when(F.col("sets") <= 1024, F.col("sets")).otherwise(-F.col("sets")), "block"))
     picked = held.groupBy("node").agg(best.alias("x")).select("node", "x.block", "x.n", "x.s", F.col("node").alias("comp"))
@@ -387,7 +391,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not rest.isEmpty():
         links = linked_tiles(rest, texts, shingle, percent, tile_members)
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
-    forget(held), forget(rest)
+    forget(held), forget(rest), forget(nodes)
     classes = skew_join(classes, roots, ["node"], "left").select("h1", "h2", F.coalesce("root", "node").alias("component"))
     out = skew_join(sketches.select("id", "n", "h1", "h2"), classes, ["h1", "h2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))

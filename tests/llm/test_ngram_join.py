@@ -113,6 +113,10 @@ def test_null_repeated_and_empty(spark):
     got = sorted((tuple(r) for r in ngram_groups(spark.createDataFrame(data, "doc_id long, text string")).collect()), key=str)
     assert got == sorted([(None, 77, 5), (5, 77, 5), (5, 78, 5), (5, 2, 5), (9, 2, 5), (None, 2, None), (3, 2, 3)], key=str)
     assert ngram_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    other = " ".join(f"v{i}" for i in range(200))
+    twice = [(1, words), (1, other), (7, words + " more"), (8, other + " more"), (9, "more")]
+    got = sorted(tuple(r) for r in ngram_groups(spark.createDataFrame(twice, "doc_id long, text string")).collect())
+    assert got == [(1, 77, 1), (1, 197, 1), (7, 78, 1), (8, 198, 1), (9, 1, 9)]
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no data")
