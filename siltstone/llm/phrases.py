@@ -173,10 +173,10 @@ def judged_words(g: int, chunks: list[int], blobs: list[bytes], least: int) -> p
     names, counts, sizes = [], [], []
     for raw in blobs:
         own, rest = unpack_names(raw)
-        names += own
+        names.append(pa.array(own, pa.binary()))
         counts.append(unpack(rest)["n"])
         sizes.append(len(own))
-    known = pa.array(names, pa.binary()).dictionary_encode()
+    known = pa.concat_arrays(names).dictionary_encode()
     number = known.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     a = np.bincount(number, np.concatenate(counts), len(known.dictionary)).astype(np.int64)
     often = a >= least
@@ -215,7 +215,7 @@ def judged(g: int, chunks: list[int], blobs: list[bytes], least: int) -> pd.Data
     return pd.DataFrame(rows, columns=["of", "g", "told", "id", "p", "w", "a"]).astype({c: "Int64" for c in ("of", "g", "id", "p", "w", "a")})
 
 
-def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_col: str = "text", lang_col: str = "lang", chunk_bytes: int = 8 << 20, group_asks: int = 1 << 21) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_col: str = "text", lang_col: str = "lang", chunk_bytes: int = 4 << 20, group_asks: int = 1 << 19) -> tuple[DataFrame, DataFrame]:
     """-> (lang, phrase, words INT, a BIGINT), every phrase of up to ``longest`` words with a >= ``least`` occurrences; (lang, n BIGINT), all words of a language.
 
     A phrase has a list of the positions where it occurs, kept in chunks of whole texts, so that the list of a frequent
@@ -354,7 +354,7 @@ def first_of_each(rows: DataFrame, key: str, order: list, most: int, out: str) -
     return rows.drop("__share").withColumn(out, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(out) <= most)
 
 
-def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, text_col: str = "text", lang_col: str = "lang", chunk_bytes: int = 8 << 20) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, text_col: str = "text", lang_col: str = "lang", chunk_bytes: int = 4 << 20) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score, all BIGINT but the strings): the ``top`` phrases of each language.
 
     A-Z are lower-cased; texts are split at [.,;:!?\\x0A-\\x0D] into pieces, those at spaces and tabs into words. See
