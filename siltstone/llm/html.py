@@ -35,6 +35,13 @@ HOLDERS = frozenset("div section article main body html".split()) | {""}
 DIGITS, WORDS, CAMEL, HEAD = re.compile(r"\d+"), re.compile(r"[a-z0-9]+"), re.compile(r"(?<=[a-z])(?=[A-Z])"), re.compile(r"h[1-6]$")
 #: Words that say what an element goes along with, and last words of elements around others.
 BESIDES, AROUND = frozenset("has with no without".split()), frozenset("wrap wrapper container layout page content main body article post entry inner outer".split())
+#: Words that say nothing of a text's subject: with words of ``NOISE`` alone they make up the name of a part of the site.
+PARTS = AROUND | frozenset("""slot unit box bar block blocks list lists link links button buttons icon icons area section panel row col column group item items posts articles story stories title titles heading text thread top left right
+site web mobile desktop tag label inline policy module component card cards small large dark light more now us by you""".split())
+#: Tags of the text itself; inside an article only words that name nothing else mark them.
+PROSE = frozenset("p blockquote h1 h2 h3 h4 h5 h6 pre table ul ol dl figure li dd td".split())
+PLAIN = frozenset("""nav navbar navigation submenu topmenu sidebar sidebars ad ads adv advert adverts advertisement advertising adbox adslot banner banners sponsor sponsored sponsors promo promos cookie cookies gdpr popup newsletter signup signin
+login disqus breadcrumb breadcrumbs pagination pager toolbar widget widgets searchbox copyright disclaimer contentinfo complementary""".split())
 
 
 @lru_cache(8192)
@@ -47,6 +54,15 @@ def is_noise(name: str) -> bool:
     return words[0] in NOISE or words[-1] not in AROUND
 
 
+@lru_cache(8192)
+def is_noise_inside(name: str, prose: bool) -> bool:
+    """The same inside an article or main part, where a word is not enough: every word of the name must be of the site's
+    own parts. 'ad-slot', 'share-buttons', 'related-posts' go; 'related-work', 'share-price', 'hidden-gems' stay. Of tags
+    of the text itself, such as quotes and paragraphs, one word at least must mean nothing else: 'social' stays, 'ad' goes."""
+    words = WORDS.findall(CAMEL.sub("-", name).lower())
+    return is_noise(name) and all(w in NOISE or w in PARTS or DIGITS.search(w) for w in words) and not (prose and PLAIN.isdisjoint(words))
+
+
 class Paths:
     """Container paths as numbers: a path is its parent's number and a name. Parents have smaller numbers; 0 is the root."""
 
@@ -91,7 +107,7 @@ def element(tag: str, attrs: str, up: Element, paths: Paths) -> Element:
             if key == "hidden" or key == "style" and "display:none" in value.lower().replace(" ", ""):
                 out = True
             elif key in ("class", "id", "role"):
-                noise = noise or any(map(is_noise, value.split()))
+                noise = noise or any(is_noise_inside(x, tag in PROSE) if up.inner else is_noise(x) for x in value.split())
                 if key == "class" or key == "id" and not label:
                     label = ".".join(sorted(DIGITS.sub("N", x) for x in value.lower().split()))
         if label:

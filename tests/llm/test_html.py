@@ -47,3 +47,11 @@ def test_names():
     assert not any(map(is_noise, ("has-sidebar", "content-with-sidebar", "content-sidebar-wrap", "post", "entry-content", "readable", "padding")))
     html = page(f'<div class="layout has-sidebar"><div class="entry"><p>{LONG}</p></div><div class="page__sidebar"><p>{LONG} {LONG}</p></div></div>')
     assert extract(html) == LONG
+
+
+def test_class_words_inside_an_article_need_more_than_one_word():
+    kept = ['section class="related-work"', 'p class="search-results"', 'section id="comment-on-method"', 'div class="form-of-matter"', 'div class="hidden-gems"', 'div class="share-price"', 'div class="alert-system"', 'h2 class="menu-of-the-day"', 'p id="notice-periods"', 'blockquote class="social"']
+    gone = ["div class=ad-slot", "div class='share-buttons'", "section id=comments", "div class=related-posts", "p class=advert", "div class='ad-300x250'", "ul class='breadcrumbs'", "div role=complementary", "div class=cookieNotice"]
+    shut = lambda t: t.split()[0]
+    body = "".join(f"<{t}>{LONG} {i}</{shut(t)}>" for i, t in enumerate(kept)) + "".join(f"<{t}>{LONG} gone</{shut(t)}>" for t in gone)
+    assert extract(page(f"<article><h1>Head</h1>{body}</article>")).split("\n\n") == ["Head", *(f"{LONG} {i}" for i in range(len(kept)))]
