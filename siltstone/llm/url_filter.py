@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from siltstone.checkpoints import written
+
 URL = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?([^?#]*)"
 
 
@@ -55,7 +57,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", t
 
     Each capture is judged by the entries in force at its fetch time: valid_from <= time < valid_to. The longest
     pattern decides; of equally long ones, the last in the order of strings. Dated entries become validity intervals,
-    gathered into one row a pattern, and the interval in force is looked up in the row.
+    one row each, written once; an as-of join on pattern and time finds the one in force. A pattern's intervals do not
+    overlap, so a capture meets one at most.
 
     A capture's candidates are bounded by the list, not by the url: its host's last labels in the numbers that listed
     hosts have are joined to the listed hosts, and of its path only the beginnings are built whose lengths the list
@@ -72,15 +75,16 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", t
     asked = base.select(F.col(url_col).alias("__u"), F.col(time_col).alias("__t")).where("__u is not null and __t is not null")
     host, path = host_and_path(F.col("__u"))
     path = F.rtrim(F.regexp_replace(path, "/+", "/"), F.lit("/"))
-    spans = validity(entries).groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct("valid_from", "valid_to", "action"))).alias("spans"))
+    spans = written(validity(entries), "url-spans")
     hosts = listed_hosts(spans)
     labels = hosts.agg(F.array_sort(F.collect_set("labels"))).scalar()
     asked = asked.select("__u", "__t", host.alias("__h"), path.alias("__path"), labels.alias("__k")).select("__u", "__t", "__path", F.explode(suffixes(F.col("__h"), F.col("__k"))).alias("__h"))
     # new columns: both sides are exchanged, so hot hosts and patterns can be split
-    hosts, spans = hosts.select(F.concat("listed", F.lit("")).alias("listed"), "lengths"), spans.select(F.concat("pattern", F.lit("")).alias("pattern"), "spans")
+    hosts, spans = hosts.select(F.concat("listed", F.lit("")).alias("listed"), "lengths"), spans.select(F.concat("pattern", F.lit("")).alias("pattern"), "valid_from", "valid_to", "action")
     asked = asked.join(hosts, F.col("__h") == F.col("listed")).select("__u", "__t", "__h", F.explode(prefixes(F.col("__path"), F.col("lengths"))).alias("__p"))
     asked = asked.select("__u", "__t", F.concat("__h", "__p").alias("__p"))
-    hit = asked.join(spans, F.col("__p") == F.col("pattern")).withColumn("span", F.get(F.filter("spans", lambda s: (s["valid_from"] <= F.col("__t")) & (s["valid_to"].isNull() | (F.col("__t") < s["valid_to"]))), F.lit(0))).where("span is not null")
-    best = hit.groupBy("__u", "__t").agg(F.max(F.struct(F.length("pattern").alias("n"), F.col("pattern").alias("p"), F.col("span.action").alias("a"))).alias("__best"))
+    in_force = (F.col("valid_from") <= F.col("__t")) & (F.col("valid_to").isNull() | (F.col("__t") < F.col("valid_to")))
+    hit = asked.join(spans, (F.col("__p") == F.col("pattern")) & in_force)
+    best = hit.groupBy("__u", "__t").agg(F.max(F.struct(F.length("pattern").alias("n"), F.col("pattern").alias("p"), F.col("action").alias("a"))).alias("__best"))
     out = base.join(best, (base[url_col] == best["__u"]) & (base[time_col] == best["__t"]), "left")
     return out.withColumns({"verdict": F.coalesce(F.col("__best.a"), F.lit("none")), "matched": F.col("__best.p")}).drop("__u", "__t", "__best")

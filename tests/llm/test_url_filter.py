@@ -83,3 +83,12 @@ def test_ties_and_clashing_columns(spark):
     entries = spark.createDataFrame([("a.bc", 1, "block"), ("a.bc", 1, "allow"), ("a.bc", 5, "remove"), ("a.bc", 5, "block")], "pattern string, at long, action string")
     assert filter_urls(captures, entries).first().verdict == "none"  # of one date, remove counts last
     assert filter_urls(captures, entries.where("at = 1")).first().verdict == "block"
+
+
+def test_the_list_is_evaluated_once(spark):
+    caps = spark.createDataFrame([(1, "http://a.b.com/x", 5), (2, "http://c.com/", 50)], "page_id long, url string, fetched_at long")
+    rows = spark.createDataFrame([("b.com", 1, "block"), ("b.com", 10, "remove"), ("c.com", 7, "allow")], "pattern string, at long, action string")
+    out = filter_urls(caps, rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") <= 2 and "url-spans" in "".join(out.inputFiles())
+    assert [(r.page_id, r.verdict, r.matched) for r in out.orderBy("page_id").collect()] == [(1, "block", "b.com"), (2, "allow", "c.com")]
