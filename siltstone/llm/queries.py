@@ -64,18 +64,18 @@ def list_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.url_filter import URL
 
     u = table(spark, sf_dir, "pages").select(F.lower(F.regexp_extract("url", URL, 1)).alias("h"), F.regexp_extract("url", URL, 2).alias("rest"))
-    u = u.select("h", F.split("rest", "/").alias("s")).where("h <> ''")
-    hosts = u.select(F.col("h").alias("pattern"), F.lit(6).alias("most"))
-    domains = u.select(F.regexp_extract("h", r"([^.]+\.[^.]+)$", 1).alias("pattern"), F.lit(16).alias("most")).where("pattern <> ''")
-    paths = u.where("size(s) > 1 and s[1] <> ''").select(F.concat("h", F.lit("/"), F.expr("s[1]")).alias("pattern"), F.lit(2).alias("most"))
-    p = hosts.unionByName(domains).unionByName(paths).groupBy("pattern").agg(F.max("most").alias("most"))
+    u = u.select("h", F.split("rest", "/").alias("s"), F.regexp_extract("h", r"([^.]+\.[^.]+)$", 1).alias("d")).where("h <> ''")
+    path = F.when((F.size("s") > 1) & (F.get("s", F.lit(1)) != ""), F.concat("h", F.lit("/"), F.get("s", F.lit(1)))).otherwise("")
+    named = lambda pattern, most: F.struct(pattern.alias("pattern"), F.lit(most).alias("most"))
+    p = u.select(F.inline(F.array(named(F.col("h"), 6), named(F.col("d"), 16), named(path, 2)))).where("pattern <> ''")
+    p = p.groupBy("pattern").agg(F.max("most").alias("most"))
     digit = lambda i: F.instr(F.lit("0123456789abcdef"), F.substring(F.md5("pattern"), i, 1)) - 1
     p = p.where(digit(1) < F.col("most")).select("pattern", digit(2).alias("a"), digit(3).alias("b"), digit(4).alias("c"))
-    at = lambda days: (F.lit(1704067200) + days * 86400).cast("long")
-    entered = p.select("pattern", at(F.col("a")).alias("at"), F.when(F.col("b") < 11, "block").otherwise("allow").alias("action"))
-    removed = p.where("c < 8").select("pattern", at(F.col("a") + F.col("c") + 1).alias("at"), F.lit("remove").alias("action"))
-    again = p.where("c < 3").select("pattern", at(F.col("a") + F.col("c") + 5).alias("at"), F.lit("block").alias("action"))
-    return entered.unionByName(removed).unionByName(again)
+    dated = lambda when, days, action: F.struct(when.alias("when"), (F.lit(1704067200) + days * 86400).cast("long").alias("at"), action.alias("action"))
+    entered = dated(F.lit(True), F.col("a"), F.when(F.col("b") < 11, "block").otherwise("allow"))
+    removed = dated(F.col("c") < 8, F.col("a") + F.col("c") + 1, F.lit("remove"))
+    again = dated(F.col("c") < 3, F.col("a") + F.col("c") + 5, F.lit("block"))
+    return p.select("pattern", F.inline(F.array(entered, removed, again))).where("when").drop("when")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
