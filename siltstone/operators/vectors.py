@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
+from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from siltstone.checkpoints import written
 from siltstone.functions.text import code_tokens
 
 
@@ -32,21 +34,88 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull() | (F.size(a) == 0) | (F.size(a) != F.size(b)), F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b))))
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int, min_score: float, id_col: str = "id", vector: str = "v", exclude: DataFrame | None = None, digits: int = 6, block: int = 1 << 16, batch: int = 1 << 12) -> DataFrame:
-    """(query, id, score, rank): for each query vector the k rows of highest cosine, itself excluded; exact.
+def _angles(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(rows @ centres.T, -1, 1))
 
-    Rows are dealt into blocks and queries into batches by hash, both of bounded size. A (block, batch) tile is one
-    matrix product in one task and returns at most k rows a query; results merge by query. Ties go to the smaller id.
-    Rows without a vector, or whose vector has another length than the query's, take no part.
+
+def _unit_rows(df: DataFrame, id_col: str, vector: str, name: str) -> DataFrame:
+    """(name, u): rows with a vector of numbers, at length one or zero."""
+    u = df.select(F.col(id_col).alias(name), unit(F.col(vector)).alias("u"))
+    return u.where(F.col("u").isNotNull() & ~F.exists("u", lambda x: x.isNull() | F.isnan(x)))
+
+
+def _placed(rows: DataFrame, centres: list[np.ndarray], width: float) -> DataFrame:
+    """``rows`` with c (the nearest centre of the same length), ring (the angle to it over ``width``) and angle; c is -1
+    for zero vectors and for lengths that no centre has."""
+    by_size = {n: [i for i, x in enumerate(centres) if len(x) == n] for n in {len(x) for x in centres}}
+    shape = T.StructType([*rows.schema.fields, T.StructField("c", T.IntegerType()), T.StructField("ring", T.IntegerType()), T.StructField("angle", T.DoubleType())])
+
+    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            c, ring, angle = np.full(len(part), -1, "i4"), np.zeros(len(part), "i4"), np.zeros(len(part))
+            sizes = part["u"].map(len).to_numpy()
+            for n, mine in by_size.items():
+                at = np.flatnonzero(sizes == n)
+                if len(at):
+                    u = np.stack(part["u"].to_numpy()[at])
+                    near = _angles(u, np.stack([centres[i] for i in mine]))
+                    best, some = near.argmin(1), u.any(1)
+                    c[at] = np.where(some, np.array(mine)[best], -1)
+                    angle[at] = np.where(some, near[np.arange(len(at)), best], 0)
+                    ring[at] = (angle[at] / width).astype("i4")
+            yield part.assign(c=c, ring=ring, angle=angle)
+
+    return rows.mapInPandas(place, shape)
+
+
+def _visits(asked: DataFrame, centres: list[np.ndarray], directory: list, k: int, slack: float) -> DataFrame:
+    """(query, u, c, ring): the cells a query has to look at.
+
+    A member of a cell is at least max(0, a - hi, lo - a) away from a query at angle a from the cell's centre, where lo
+    and hi are the least and greatest angle of its members. With a null ``least`` these are the first cells by that
+    bound that hold more than k rows together; with a score in ``least``, all others that can hold a row of that score.
     """
-    base = vectors if exclude is None else vectors.join(exclude, id_col, "left_anti")
-    v = base.select(F.col(id_col).alias("id"), unit(F.col(vector)).alias("u")).where("u is not null")
-    q = queries.select(F.col(id_col).alias("query"), unit(F.col(vector)).alias("u")).where("u is not null")
-    blocks, batches = max(1, -(-v.count() // block)), max(1, -(-q.count() // batch))
-    left = v.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
-    right = q.withColumn("j", F.pmod(F.xxhash64("query"), F.lit(batches)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    kind = v.schema["id"].dataType
-    out = T.StructType([T.StructField("query", kind), T.StructField("id", kind), T.StructField("score", T.DoubleType())])
+    c, ring = np.array([d["c"] for d in directory]), np.array([d["ring"] for d in directory])
+    lo, hi, n = (np.array([d[x] for d in directory]) for x in ("lo", "hi", "n"))
+    sizes = np.array([len(centres[i]) if i >= 0 else -1 for i in c])
+    shape = T.StructType([asked.schema["query"], asked.schema["u"], T.StructField("c", T.IntegerType()), T.StructField("ring", T.IntegerType())])
+
+    def cells(u: np.ndarray, least: float | None) -> np.ndarray:
+        bound = np.where(sizes == len(u), 1.0, np.where(sizes < 0, 1.0, -9.0))
+        same = np.flatnonzero(sizes == len(u))
+        if len(same) and u.any():
+            own = np.unique(c[same])
+            to = np.zeros(len(centres))
+            to[own] = _angles(u[None], np.stack([centres[i] for i in own]))[0]
+            bound[same] = np.cos(np.maximum(0, np.maximum(to[c[same]] - hi[same], lo[same] - to[c[same]])))
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > -2]
+        first = int(np.searchsorted(np.cumsum(n[order]), k + 1)) + 1
+        rest = order[first:]
+        return order[:first] if least is None else rest[bound[rest] + slack >= least]
+
+    def visit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            at = [cells(np.asarray(u), None if pd.isna(least) else least) for u, least in zip(part["u"], part["least"])]
+            rows = part[["query", "u"]].loc[part.index.repeat([len(x) for x in at])]
+            if len(rows):
+                to = np.concatenate(at)
+                yield rows.assign(c=c[to], ring=ring[to])
+
+    return asked.mapInPandas(visit, shape)
+
+
+def _met(rows: DataFrame, visits: DataFrame, k: int, min_score: float, digits: int, block: int, batch: int) -> DataFrame:
+    """(query, id, score): the k best rows of a query in each part of the cells that it visits."""
+    kind = rows.schema["id"].dataType
+    out = T.StructType([T.StructField("query", visits.schema["query"].dataType), T.StructField("id", kind), T.StructField("score", T.DoubleType())])
+    parts = rows.groupBy("c", "ring").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    batches = visits.groupBy("c", "ring").agg(F.ceil(F.count("*") / batch).cast("int").alias("batches"))
+    split = parts.join(batches, ["c", "ring"])
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda x, n: F.pmod(F.xxhash64(x), F.col(n)).cast("int")
+    left = rows.join(split, ["c", "ring"]).select("id", "u", "c", "ring", dealt("id", "parts").alias("part"), upto("batches").alias("j"))
+    right = visits.join(split, ["c", "ring"]).select("query", "u", "c", "ring", dealt("query", "batches").alias("j"), upto("parts").alias("part"))
 
     def tile(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -62,9 +131,51 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int, min_score: float,
                 found += [(n, ids[i], s[i]) for i in at]
         return pd.DataFrame(found, columns=["query", "id", "score"])
 
-    near = left.groupBy("b", "j").cogroup(right.groupBy("b", "j")).applyInPandas(tile, out)
+    key = ["c", "ring", "part", "j"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(tile, out)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def searched(vectors: DataFrame, queries: DataFrame, k: int, min_score: float, id_col: str = "id", vector: str = "v", exclude: DataFrame | None = None, digits: int = 6, block: int = 1 << 14, batch: int = 1 << 12, centres: int = 256, width: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``neighbours`` and, beside them, (products, of): scalar products taken, and what all pairs would take.
+
+    The index is ``centres`` rows, the first by hash; each row goes to the cell of its nearest centre and of its angle to
+    it in steps of ``width``. The cells' counts and angles, at most centres * pi / width, and the centres are all that
+    tasks are sent. A query looks at the nearest cells that hold more than k rows, then at every cell that can hold a
+    row as good as its k-th so far; other cells are skipped by a bound on angles, so results are exact. A cell is met in
+    parts of some ``block`` rows and ``batch`` queries, each one task's matrix product, so large cells and cells that
+    many queries visit are split.
+    """
+    base = vectors if exclude is None else vectors.join(exclude, id_col, "left_anti")
+    v, q = _unit_rows(base, id_col, vector, "id"), _unit_rows(queries, id_col, vector, "query")
+    picked = [np.array(r["u"]) for r in v.where(F.exists("u", lambda x: x != 0)).select("u", F.xxhash64("id", "u").alias("h")).orderBy("h").limit(centres).collect()]
+    rows = written(_placed(v, picked, width), "vectors")
+    directory = rows.groupBy("c", "ring").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count("*").alias("n")).orderBy("c", "ring").collect()
+    slack = 10.0**-digits + 1e-9
+    first = written(_visits(q.withColumn("least", F.lit(None).cast("double")), picked, directory, k, slack), "visits")
+    near = written(_met(rows, first, k, min_score, digits, block, batch), "near")
+    reached = _best(near, k).groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("s"))
+    least = reached.select("query", F.when(F.col("n") >= k, F.col("s")).alias("s"))
+    asked = q.join(least, "query", "left").select("query", "u", F.greatest(F.lit(float(min_score)), F.coalesce("s", F.lit(float(min_score)))).alias("least"))
+    second = written(_visits(asked, picked, directory, k, slack), "visits")
+    found = near.unionByName(_met(rows, second, k, min_score, digits, block, batch))
+    sizes = rows.groupBy("c", "ring").agg(F.count("*").alias("n"))
+    products = first.select("c", "ring").unionByName(second.select("c", "ring")).groupBy("c", "ring").agg(F.count("*").alias("m")).join(sizes, ["c", "ring"]).agg(F.coalesce(F.sum(F.col("m") * F.col("n")), F.lit(0)).alias("products"))
+    every = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).crossJoin(q.agg(F.count("*").alias("asked")))
+    return _best(found, k), products.crossJoin(every).select("products", (F.col("rows") * F.col("asked")).alias("of"))
+
+
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int, min_score: float, id_col: str = "id", vector: str = "v", exclude: DataFrame | None = None, digits: int = 6, **index) -> DataFrame:
+    """(query, id, score, rank): for each query vector the k rows of highest cosine, itself excluded; exact, see ``searched``.
+
+    Ties go to the smaller id. Rows without a vector, with a null or a number that is none in it, or whose vector has
+    another length than the query's, take no part. Empty tables give no rows.
+    """
+    return searched(vectors, queries, k, min_score, id_col, vector, exclude, digits, **index)[0]
 
 
 def hashed_embedding(text: list[str] | None, size: int = 512) -> list[float]:

@@ -139,12 +139,12 @@ def w5_changed_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""with u as (select vec_id, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) as v from embeddings),
-p as (select q.vec_id as query, r.vec_id as id, round(greatest(-1.0, least(1.0, list_inner_product(q.v, r.v))), 4) as score from u q join u r on q.vec_id % 50 = 0 and q.vec_id <> r.vec_id)
+p as (select q.vec_id as query, r.vec_id as id, round(greatest(-1.0, least(1.0, list_inner_product(q.v, r.v))), 4) as score from u q join u r on q.vec_id % 100 = 0 and q.vec_id <> r.vec_id)
 select query, id, score, rank::int as rank from (select *, row_number() over (partition by query order by score desc, id) as rank from p where score >= 0.25) where rank <= 5""")
 def o6_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """Nearest rows by cosine for stated queries."""
     e = load(spark, sf, "embeddings")
-    return V.neighbours(e, e.where("vec_id % 50 = 0"), 5, 0.25, "vec_id", "embedding", digits=4)
+    return V.neighbours(e, e.where("vec_id % 100 = 0"), 5, 0.25, "vec_id", "embedding", digits=4)
 
 
 @query("""with v as (select vec_id as id, label / 10.0::double as score from embeddings where vec_id % 2 = 0), g as (select vec_id as id, 0.35 + max(case when label = 3 then 0.2 else 0 end) as score, string_agg(distinct 'label ' || label, ',' order by 'label ' || label) as reasons from embeddings where vec_id % 3 = 0 group by 1)
