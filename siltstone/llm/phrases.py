@@ -102,6 +102,12 @@ def extended(state: dict[str, np.ndarray], first: bool) -> dict[str, np.ndarray]
     return {"p": state["ids"][own // max(1, len(wids))], "w": wids[own % max(1, len(wids))], "n": counts, "at": lists, "wids": wids, "wn": state["n"] if first else state["wn"], "wat": state["at"] if first else state["wat"]}
 
 
+def longer_lists(state: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """``extended`` for a state as it is kept. A chunk keeps the lists that are known to be frequent, and merges them
+    again where it needs the longer ones: most of those are not frequent and would be the bulk of what is written."""
+    return extended(state, "wids" not in state)
+
+
 def kept_lists(n: np.ndarray, at: np.ndarray, keep: np.ndarray) -> np.ndarray:
     """The lists with the numbers ``keep`` (ascending), one after another."""
     there = np.zeros(len(n), bool)
@@ -227,13 +233,12 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_c
     spark = docs.sparkSession
     chunks = written(index_chunks(docs, text_col, lang_col, chunk_bytes), "phrase-index")
     totals = written(chunks.select(F.explode("totals").alias("t")).groupBy("t.lang").agg(F.sum("t.n").alias("n")), "phrase-totals")
-    kind = "chunk long, size long, asks binary, lists binary"
+    kind = "chunk long, size long, lists binary"
 
     def row(own: pd.DataFrame, state: dict[str, np.ndarray]) -> pd.DataFrame:
-        out = extended(state, "wids" not in state)
-        rows = own[["chunk"]].iloc[: 1 if len(out["p"]) else 0]
-        asks, lists = ("p", "w", "n"), ("n", "at", "wids", "wn", "wat")
-        return rows.assign(size=len(out["p"]), asks=[pack(**{c: out[c] for c in asks})] * len(rows), lists=[pack(m=state["m"], **{c: out[c] for c in lists})] * len(rows))
+        size = len(longer_lists(state)["p"])
+        rows = own[["chunk"]].iloc[: 1 if size else 0]
+        return rows.assign(size=size, lists=[pack(**state)] * len(rows))
 
     total = chunks.agg(F.sum("size")).first()[0] or 0
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // group_asks))
@@ -254,7 +259,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_c
 
     def begin(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if own.empty or told.empty:
-            return own[["chunk"]].iloc[:0].assign(size=0, asks=b"", lists=b"")
+            return own[["chunk"]].iloc[:0].assign(size=0, lists=b"")
         order, cuts, _ = dealt_words(own["words"].iloc[0], groups)
         m, ids = unpack(own["lists"].iloc[0]), ids_told(told, order, cuts)
         keep = np.flatnonzero(ids >= 0)
@@ -274,7 +279,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_c
         def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in parts:
                 for number, raw in zip(part.column(0).to_pylist(), part.column(1)):
-                    asks = unpack(raw.as_py())
+                    asks = longer_lists(unpack(raw.as_py()))
                     order, cuts = dealt(asks, groups)
                     there = np.flatnonzero(np.diff(cuts)).tolist()
                     blobs = [pack(**{c: asks[c][order[cuts[g] : cuts[g + 1]]] for c in "pwn"}) for g in there]
@@ -283,7 +288,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_c
         def judge(rows: pd.DataFrame) -> pd.DataFrame:
             return judged(int(rows["g"].iloc[0]), rows["of"].tolist(), rows["told"].tolist(), least)
 
-        answers = before.select("chunk", "asks").mapInArrow(ask, "of long, g long, told binary").groupBy("g").applyInPandas(judge, "of long, g long, told binary, id long, p long, w long, a long")
+        answers = before.select("chunk", "lists").mapInArrow(ask, "of long, g long, told binary").groupBy("g").applyInPandas(judge, "of long, g long, told binary, id long, p long, w long, a long")
         answers = written(answers, "phrase-answers")
         found = answers.where("id is not null").select("id", "p", "w", "a")
         named = found.join(levels[-1].select(F.col("id").alias("p"), "lang", "phrase"), "p").join(words.select(F.col("id").alias("w"), "word"), "w")
@@ -293,9 +298,9 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_c
 
         def go_on(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
             if own.empty or told.empty:
-                return own[["chunk"]].iloc[:0].assign(size=0, asks=b"", lists=b"")
-            asks, m = unpack(own["asks"].iloc[0]), unpack(own["lists"].iloc[0])
-            order, cuts = dealt(asks, groups)
+                return own[["chunk"]].iloc[:0].assign(size=0, lists=b"")
+            m = longer_lists(unpack(own["lists"].iloc[0]))
+            order, cuts = dealt(m, groups)
             ids = ids_told(told, order, cuts)
             keep = np.flatnonzero(ids >= 0)
             at = kept_lists(m["n"], m["at"], keep)
