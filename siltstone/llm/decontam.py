@@ -7,12 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from siltstone.llm.common import join_small, written
 
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: Items of shingles that are counted at once.
+SLICE = 1 << 20
 
 
 class RollingHash:
@@ -61,27 +64,30 @@ class Matcher:
         self.shingle, self.similarity = shingle, similarity
         self.hash = RollingHash()
         self.ids, self.texts, self.sizes, self.fingerprints = [], [], [], []
-        found: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, int]]] = defaultdict(list)
         for item, text in items:
             raw, starts, ends = words_of(text)
             if not len(starts):
                 continue
             k = min(shingle, len(starts))
             h = self.hash(raw, starts[: len(starts) - k + 1], ends[k - 1 :])
-            found[k].append((np.unique(h), len(self.ids)))
+            found[k].append((*np.unique(h, return_counts=True), len(self.ids)))
             self.ids.append(item)
             self.texts.append(text)
             self.sizes.append(len(starts))
             self.fingerprints.append(simhash_of(h))
-        #: By shingle length: item shingles sorted, where each one's items begin, the items, and a bit for each shingle's low bits.
-        self.index: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        #: By shingle length: item shingles sorted, where each one's items begin, the items, how often each has it, and a bit for each shingle's low bits.
+        self.index: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for k, rows in found.items():
-            h, n = np.concatenate([x for x, _ in rows]), np.repeat([n for _, n in rows], [len(x) for x, _ in rows])
+            h, times = np.concatenate([x for x, _, _ in rows]), np.concatenate([c for _, c, _ in rows])
+            n = np.repeat([n for _, _, n in rows], [len(x) for x, _, _ in rows])
             order = np.argsort(h, kind="stable")
             keys, starts = np.unique(h[order], return_index=True)
             mask = np.zeros(1 << max(16, min(26, int(np.log2(len(keys))) + 6)), bool)
             mask[keys & np.uint64(len(mask) - 1)] = True
-            self.index[k] = keys, np.append(starts, len(h)), n[order], mask
+            self.index[k] = keys, np.append(starts, len(h)), n[order].astype(np.int32), times[order].astype(np.int32), mask
+        #: Shingles that a document has in common with each item; zero between documents.
+        self.common = np.zeros(len(self.ids), np.int64)
 
     def least(self, m: int, size: int) -> int:
         """The shingles that an item of ``m`` and a window of ``size`` shingles have in common at least, if they are similar."""
@@ -91,7 +97,7 @@ class Matcher:
         """(item id, first word, words, similarity, Hamming distance): the best windows of each item, not overlapping."""
         raw, starts, ends = words_of(text)
         out = []
-        for k, (keys, cuts, numbers, mask) in self.index.items():
+        for k, (keys, _, _, _, mask) in self.index.items():
             if len(starts) < k:
                 continue
             a, b = starts[: len(starts) - k + 1], ends[k - 1 :]
@@ -102,25 +108,48 @@ class Matcher:
             at, place = at[hit], place[hit]
             if not len(at):
                 continue
-            many = cuts[place + 1] - cuts[place]
-            rows = np.repeat(cuts[place] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-            item, where = numbers[rows], np.repeat(at, many)
-            order = np.argsort(item, kind="stable")
-            item, where = item[order], where[order]
-            first = np.flatnonzero(np.r_[True, item[1:] != item[:-1]])
-            for n, x, y in zip(item[first].tolist(), first.tolist(), [*first[1:].tolist(), len(item)]):
-                m = self.sizes[n] - k + 1
-                if y - x >= self.least(m, min(m, len(h))):
-                    out += self._windows(n, k, raw, a, b, h, where[x:y])
+            at = at[np.argsort(place, kind="stable")]
+            place, times = np.unique(place, return_counts=True)
+            cuts = np.append(0, np.cumsum(times))
+            for n in self._candidates(k, place, times, len(h)):
+                out += self._windows(n, k, raw, a, b, h, keys[place], cuts, at)
         return out
 
-    def _windows(self, n: int, k: int, raw: bytes, a: np.ndarray, b: np.ndarray, h: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, float, int]]:
-        """A window reaches the similarity only if it holds ``least`` of the item's shingles or more; a shorter document is one window."""
+    def _candidates(self, k: int, place: np.ndarray, times: np.ndarray, size: int) -> list[int]:
+        """The items that have ``least`` shingles in common with a document of ``size`` shingles, repeats counted.
+
+        Each different shingle is met once with its items, ``SLICE`` items at a time or those of one shingle, so memory
+        does not grow with how often the document repeats it.
+        """
+        _, cuts, numbers, counts, _ = self.index[k]
+        many = cuts[place + 1] - cuts[place]
+        upto, x, touched = np.cumsum(many), 0, []
+        while x < len(place):
+            y = max(x + 1, int(np.searchsorted(upto, (upto[x - 1] if x else 0) + SLICE, "right")))
+            part = many[x:y]
+            rows = np.repeat(cuts[place[x:y]] - np.r_[0, np.cumsum(part)[:-1]], part) + np.arange(part.sum())
+            np.add.at(self.common, numbers[rows], np.minimum(counts[rows], np.repeat(times[x:y], part)))
+            touched.append(np.unique(numbers[rows]))
+            x = y
+        items = np.unique(np.concatenate(touched))
+        same, self.common[items] = self.common[items], 0
+        return [n for n, c in zip(items.tolist(), same.tolist()) if c >= self.least(m := self.sizes[n] - k + 1, min(m, size))]
+
+    def _windows(self, n: int, k: int, raw: bytes, a: np.ndarray, b: np.ndarray, h: np.ndarray, known: np.ndarray, cuts: np.ndarray, places: np.ndarray) -> list[tuple[int, int, int, float, int]]:
+        """A window reaches the similarity only if it holds ``least`` of the item's shingles or more; a shorter document is one window.
+
+        ``known`` are the document's different shingles that any item has, sorted; those of number i are at ``places[cuts[i]:cuts[i + 1]]``.
+        """
         m = self.sizes[n] - k + 1
         size = min(m, len(h))
         least, words = self.least(m, size), size + k - 1
         text, starts, ends = words_of(self.texts[n])
-        bag = Counter(text[x:y] for x, y in zip(starts[: len(starts) - k + 1].tolist(), ends[k - 1 :].tolist()))
+        starts, ends = starts[: len(starts) - k + 1], ends[k - 1 :]
+        bag = Counter(text[x:y] for x, y in zip(starts.tolist(), ends.tolist()))
+        own = np.unique(self.hash(text, starts, ends))
+        met = np.searchsorted(known, own)
+        met = met[known[np.minimum(met, len(known) - 1)] == own]
+        at = np.sort(np.concatenate([places[cuts[i] : cuts[i + 1]] for i in met.tolist()]))
         near = np.flatnonzero(at[least - 1 :] - at[: len(at) - least + 1] < size)
         tried = set()
         for i in near.tolist():
@@ -168,7 +197,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
 
-    def search(block: int) -> DataFrame:
+    def search(block: int) -> tuple[DataFrame, Broadcast]:
         mine = [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()]  # about block_bytes
         shared = docs.sparkSession.sparkContext.broadcast(Matcher(sorted(mine, key=str), shingle, similarity))
 
@@ -178,11 +207,16 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                 rows = [(n, m) for n, t in enumerate(part.column(1)) for m in matcher.find(t.as_py())]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([n for n, _ in rows], pa.int64())), *(pa.array([m[c] for _, m in rows], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32())))], names=[f.name for f in schema])
 
-        return docs.select(id_col, text_col).mapInArrow(run, schema)
+        return docs.select(id_col, text_col).mapInArrow(run, schema), shared
 
-    out = search(0)
-    for block in range(1, blocks):
-        out = out.unionByName(search(block))
+    if blocks == 1:
+        return search(0)[0]
+    out = None
+    for block in range(blocks):
+        found, shared = search(block)
+        found = written(found, "matches")
+        shared.destroy()
+        out = found if out is None else out.unionByName(found)
     return out
 
 
