@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from siltstone.checkpoints import fresh_path
 from siltstone.functions import dims as D
 from siltstone.functions import text as X
 from siltstone.operators import findings as P
@@ -12,7 +13,7 @@ from siltstone.operators import validation as V
 from siltstone.plans import query
 from siltstone.plans.base import FINDINGS, findings
 from siltstone.sources.tables import load
-from siltstone.streaming import events as E, state as K
+from siltstone.streaming import events as E, log as L, state as K
 
 
 @query(FINDINGS + """ select distinct substr(sha256(file_path || '|' || category || '|' || rule_id || '|' || (start_line // 10)), 1, 32) as fingerprint,
@@ -290,6 +291,28 @@ def st9_sliding_log_stream(spark: SparkSession, sf: str) -> DataFrame:
     return K.to_the_end(load(spark, sf, "events"), "ts", lambda s: K.stream_sliding_log(s, "user_id", "ts", "event_id", 7200, 2))
 
 
+@query("""with t as (select *, case when event_id % 2 = 0 then 'even' else 'odd' end as writer from events)
+select 'all' as topic, writer, event_id, user_id, ts, event_type from t union all select 'ends' as topic, writer, event_id, user_id, ts, event_type from t where event_type in ('purchase', 'error')""")
+def st7_topics_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Two streams publish to two topics of a log; one reader a topic follows both, stopped and restarted between them (K14, ST1, ST3, ST7)."""
+    events = load(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema)
+    log, out, at = (fresh_path(spark, n) for n in ("log", "log-read", "log-state"))
+    topics = {"all": L.Topic(), "ends": L.Topic("event_type in ('purchase', 'error')")}
+
+    def play(writer) -> None:
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+    for odd, name in enumerate(("even", "odd")):
+        rows = f"{log}-{name}"
+        events.where(F.col("event_id") % 2 == odd).write.parquet(rows)
+        play(L.publish_to(spark.readStream.schema(events.schema).parquet(rows), log, name, topics, f"{at}/{name}"))
+        for topic in topics:
+            play(L.follow(spark, log, topic, schema, "query").writeStream.format("parquet").option("path", f"{out}/topic={topic}").option("checkpointLocation", f"{at}/{topic}"))
+    read = [spark.read.parquet(f"{out}/topic={topic}").withColumn("topic", F.lit(topic)) for topic in topics]
+    return read[0].unionByName(read[1]).select("topic", "writer", *events.columns)
+
+
 @query("""with s as (select user_id, event_type as status, ts as "at", row_number() over (partition by user_id order by ts desc, event_type desc) as rn from events)
 select user_id, "at", case when status in ('click', 'view') then 'failed' else status end as status, status not in ('signup') as may_start from s where rn = 1""")
 def st11_states(spark: SparkSession, sf: str) -> DataFrame:
