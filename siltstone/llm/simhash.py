@@ -411,7 +411,7 @@ def group_answers(g: int, chunks: list[int], blobs: list[bytes], hot: int) -> pd
     return pd.DataFrame(rows, columns=["chunk", "g", "blob", "bucket", "n"]).astype({"chunk": "Int64", "bucket": "Int64", "n": "Int64"})
 
 
-def shared_members(prefixes: DataFrame, hot: int, chunk_members: int = 1 << 20, group_members: int = 1 << 21) -> tuple[DataFrame, DataFrame]:
+def shared_members(prefixes: DataFrame, hot: int, chunk_members: int = 1 << 20, group_members: int = 1 << 19) -> tuple[DataFrame, DataFrame]:
     """prefixes (node, comp, prefix) -> written (node, comp, bucket, often), the members of prefixes that nodes of several components have; (bucket, n) of those over ``hot`` nodes.
 
     Most members are in one prefix only, so members do not travel as rows: a chunk sends each group its different
