@@ -66,6 +66,11 @@ def latest_per(df: DataFrame, key: str | list[str], *order: Column, top: int = 1
     return df.withColumn("__n", F.row_number().over(window)).where(F.col("__n") <= top).drop("__n")
 
 
+def preferred(df: DataFrame, key: str | list[str], wanted: Column, *order: Column) -> DataFrame:
+    """One row of each key: the first in the given order that is ``wanted``, or the first of all if none is."""
+    return latest_per(df, key, F.desc(F.coalesce(wanted, F.lit(False))), *order)
+
+
 def nested(parents: DataFrame, children: DataFrame, key: str, child_key: str, name: str, fields: list[str]) -> DataFrame:
     """Parents with their children as a sorted array of structs, empty if there are none."""
     kids = children.groupBy(F.col(child_key).alias("__key")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from siltstone.checkpoints import fresh_path
 from siltstone.functions import dims as D
 from siltstone.functions import text as X
+from siltstone.operators import code as C
 from siltstone.operators import findings as P
 from siltstone.operators import mutations as M
 from siltstone.operators import validation as V
@@ -224,6 +225,15 @@ def w12_greedy_budget(spark: SparkSession, sf: str) -> DataFrame:
     return select_within_budget(c, "conv_id", ["o", "turn"], "role", "tokens", 3, 300).select("conv_id", "turn", F.col("tokens").cast("long").alias("tokens"))
 
 
+@query(FINDINGS + """, f as (select analysis_id, start_line, confidence as given, replace(file_path, '.py', ['.py', '.ts', '.TSX', '.txt'][part_id % 4 + 1]) as file_path, part_id % 4 in (1, 2) as degraded from findings)
+select analysis_id, start_line, file_path, degraded, case when degraded then greatest(0.0, round(given - 0.2, 6)) else given end::double as confidence from f""")
+def p8_degraded_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Less confidence in findings of files whose language has no parser here."""
+    suffix = F.get(F.array(*map(F.lit, (".py", ".ts", ".TSX", ".txt"))), (F.col("part_id") % 4).cast("int"))
+    f = findings(spark, sf).withColumn("file_path", F.replace(F.col("file_path"), F.lit(".py"), suffix))
+    return C.degraded(f, ("typescript", "tsx")).select("analysis_id", "start_line", "file_path", "degraded", F.col("confidence").cast("double").alias("confidence"))
+
+
 @query("""with p as (select conv_id, turn, case turn % 3 when 0 then 'gemini-2.5-flash-lite' when 1 then 'llama-3.1-8b-instant-x' else 'unknown' end as model, length(text)::bigint * 100 as p, greatest(1, length(text) // 4)::bigint as c from conversations),
 q as (select *, case turn % 3 when 0 then 0.30 when 1 then 0.05 else 1.25 end as pp, case turn % 3 when 0 then 2.50 when 1 then 0.08 else 10.0 end as cp from p)
 select conv_id, turn, model, round(round(p / 1000000.0::double * pp::double + c / 1000000.0::double * cp::double, 9), 6) as cost from q""")

@@ -134,6 +134,12 @@ def j25_latest_child(spark: SparkSession, sf: str) -> DataFrame:
     return R.latest_per(load(spark, sf, "orders"), "o_custkey", F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus")
 
 
+@query("""select o_custkey, coalesce(min(case when o_orderstatus = 'F' then o_orderkey end), min(o_orderkey)) as o_orderkey from orders group by 1""")
+def f28_default_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """The first finished row of each parent, or its first where none is finished."""
+    return R.preferred(load(spark, sf, "orders"), "o_custkey", F.col("o_orderstatus") == "F", F.asc("o_orderkey")).select("o_custkey", "o_orderkey")
+
+
 @query("""select o_orderkey, o_totalprice, coalesce(kids, '') as children, coalesce(n, 0) as n from orders left join
 (select l_orderkey, string_agg(l_partkey || ':' || l_linenumber, ',' order by l_partkey, l_linenumber) as kids, count(*) as n from lineitem group by 1) on l_orderkey = o_orderkey where o_orderkey % 10 < 10""")
 def j26_nested_children(spark: SparkSession, sf: str) -> DataFrame:
