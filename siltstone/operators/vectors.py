@@ -34,6 +34,10 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull() | (F.size(a) == 0) | (F.size(a) != F.size(b)), F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b))))
 
 
+#: Scores that a task holds at once, of a product of queries and rows.
+PRODUCTS = 1 << 20
+
+
 def _angles(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(rows @ centres.T, -1, 1))
 
@@ -96,15 +100,28 @@ def _visits(asked: DataFrame, centres: list[np.ndarray], directory: list, k: int
 
     def visit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            at = [cells(np.asarray(u), None if pd.isna(least) else least) for u, least in zip(part["u"], part["least"])]
-            rows = part[["query", "u"]].loc[part.index.repeat([len(x) for x in at])]
-            if len(rows):
-                to = np.concatenate(at)
-                yield rows.assign(c=c[to], ring=ring[to])
+            for a in range(0, len(part), 16):  # a query's vector goes along to each of its cells
+                some = part.iloc[a : a + 16]
+                at = [cells(np.asarray(u), None if pd.isna(least) else least) for u, least in zip(some["u"], some["least"])]
+                rows, to = some[["query", "u"]].loc[some.index.repeat([len(x) for x in at])], np.concatenate(at)
+                for b in range(0, len(rows), 4096):
+                    yield rows.iloc[b : b + 4096].assign(c=c[to[b : b + 4096]], ring=ring[to[b : b + 4096]])
 
     return asked.mapInPandas(visit, shape)
 
 
+def _scored(queries: np.ndarray, asks: np.ndarray, ids: np.ndarray, to: np.ndarray, k: int, min_score: float, digits: int) -> list[tuple]:
+    """(query, id, score): the k best of the rows ``to`` for each of ``asks``, in products of bounded size."""
+    found, step = [], max(1, PRODUCTS // len(to))
+    for a in range(0, len(asks), step):
+        scores = np.round(np.clip(asks[a : a + step] @ to.T, -1, 1), digits)
+        for n, s in zip(queries[a : a + step], scores):
+            at = np.flatnonzero((s >= min_score) & (ids != n))
+            at = at[np.argsort(-s[at], kind="stable")[:k]]
+            found += [(n, ids[i], s[i]) for i in at]
+    return found
+
+
 def _met(rows: DataFrame, visits: DataFrame, k: int, min_score: float, digits: int, block: int, batch: int) -> DataFrame:
     """(query, id, score): the k best rows of a query in each part of the cells that it visits."""
     kind = rows.schema["id"].dataType
@@ -123,12 +140,7 @@ def _met(rows: DataFrame, visits: DataFrame, k: int, min_score: float, digits: i
             fit = rows[rows["u"].map(len) == size].sort_values("id")
             if not len(fit):
                 continue
-            ids = fit["id"].to_numpy()
-            scores = np.round(np.clip(np.stack(mine["u"].to_numpy()) @ np.stack(fit["u"].to_numpy()).T, -1, 1), digits)
-            for n, s in zip(mine["query"], scores):
-                at = np.flatnonzero((s >= min_score) & (ids != n))
-                at = at[np.argsort(-s[at], kind="stable")[:k]]
-                found += [(n, ids[i], s[i]) for i in at]
+            found += _scored(mine["query"].to_numpy(), np.stack(mine["u"].to_numpy()), fit["id"].to_numpy(), np.stack(fit["u"].to_numpy()), k, min_score, digits)
         return pd.DataFrame(found, columns=["query", "id", "score"])
 
     key = ["c", "ring", "part", "j"]
