@@ -57,11 +57,25 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def base_class_edges(classes: DataFrame) -> DataFrame:
-    """(source, target) from a class to a base of the same file that is declared before it, the latest if several."""
-    a = classes.select("id", "file_path", "ord", F.explode("bases").alias("base")).alias("a")
-    b = classes.select("id", "file_path", "ord", "name").alias("b")
-    pairs = a.join(b, (F.col("a.file_path") == F.col("b.file_path")) & (F.col("a.base") == F.col("b.name")) & (F.col("b.ord") < F.col("a.ord")))
-    return pairs.groupBy(F.col("a.id").alias("source"), "a.base").agg(F.max_by("b.id", "b.ord").alias("target")).select("source", "target")
+    """(source, target) from a class to a base of the same file that is declared before it, the latest if several.
+
+    An as-of join without meeting: declarations and asks of a name lie in one order, cut into ranges of rows. Each range
+    is one sorted pass, and the last declarations of a name are handed on from range to range, so a name of any number
+    of declarations is split, and work grows with the rows.
+    """
+    names = classes.select("file_path", "name", "ord", F.lit(0).alias("asks"), "id")
+    asks = classes.select("file_path", F.explode("bases").alias("name"), "ord", F.lit(1).alias("asks"), "id")
+    rows = asks.unionByName(names).where("file_path is not null and name is not null and ord is not null")
+    rows = written(rows.repartitionByRange("file_path", "name", "ord").withColumn("range", F.spark_partition_id()), "bases")
+    # asks come before the declarations of the same place in the order, of which they are not to find any
+    before = Window.partitionBy("file_path", "name", "range").orderBy("ord", F.desc("asks")).rowsBetween(Window.unboundedPreceding, -1)
+    base = F.struct("ord", "id")
+    near = rows.withColumn("near", F.last(F.when(F.col("asks") == 0, base), ignorenulls=True).over(before)).where("asks = 1")
+    ends = rows.where("asks = 0").groupBy("file_path", "name", "range").agg(F.max(base).alias("end"))
+    spread = rows.select("file_path", "name", "range").distinct().join(ends, ["file_path", "name", "range"], "left")
+    carried = spread.withColumn("carried", F.last("end", ignorenulls=True).over(Window.partitionBy("file_path", "name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))).where("carried is not null")
+    found = near.join(carried.select("file_path", "name", "range", "carried"), ["file_path", "name", "range"], "left").withColumn("base", F.coalesce("near", "carried")).where("base is not null")
+    return found.groupBy(F.col("id").alias("source"), "name").agg(F.max("base").alias("last")).select("source", F.col("last.id").alias("target"))
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int, forward: bool = True, types: tuple[str, ...] | None = ("imports",)) -> DataFrame:
