@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltstone.operators import code as C
 from siltstone.plans import query
-from siltstone.sources.tables import load
+from siltstone.sources.tables import load, spread
 
 PYTHON = '''import os, requests
 from .db import session
@@ -41,7 +41,8 @@ def _files(spark: SparkSession, sf: str, text: str, suffix: str) -> DataFrame:
     """A file for each part, named after its key, with as many blank lines at its top as its size leaves when divided by 7."""
     n = F.col("p_partkey").cast("string")
     top = F.repeat(F.lit("\n"), F.col("p_size") % 7)
-    return load(spark, sf, "part").select(F.concat(F.lit("src/m"), n, F.lit(suffix)).alias("path"), F.concat(top, F.replace(F.lit(text), F.lit("%d"), n)).alias("content"))
+    p = spread(load(spark, sf, "part").select("p_partkey", "p_size"))
+    return p.select(F.concat(F.lit("src/m"), n, F.lit(suffix)).alias("path"), F.concat(top, F.replace(F.lit(text), F.lit("%d"), n)).alias("content"))
 
 
 @query("""select 'src/m' || p_partkey || '.py' as file_path, s.name || case when s.numbered then p_partkey::varchar else '' end as name, s.kind, (s.a + p_size % 7)::int as start_line, (s.b + p_size % 7)::int as end_line, s.cx::int as complexity
@@ -55,8 +56,7 @@ def p1_python_symbols(spark: SparkSession, sf: str) -> DataFrame:
 def p2_imports_and_calls(spark: SparkSession, sf: str) -> DataFrame:
     """Imports and calls of Python files."""
     f = _files(spark, sf, PYTHON, ".py")
-    a = C.python_facts(f, "imports").select("file_path", F.lit("import").alias("kind"), F.col("module").alias("what"), "line")
-    return a.unionByName(C.python_facts(f, "calls").select("file_path", F.lit("call").alias("kind"), F.col("callee").alias("what"), "line"))
+    return C.python_facts(f, "uses")
 
 
 @query("""select 'src/m' || p_partkey || '.py' as file_path, s.rule_id, s.severity, (s.line + p_size % 7)::int as start_line from part cross join (values ('python.sql-injection', 'critical', 8), ('python.blocking-call-in-async', 'high', 6), ('python.ssrf', 'high', 6), ('python.missing-timeout', 'medium', 6),
