@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import hashlib
 import hmac
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
 
+from siltstone.operators.text import patch_rows
+
 # Lines of the activity feed by action.
 ACTIVITY = {
     "analysis.started": "Analysis started on {target}",
@@ -163,16 +166,23 @@ def query_text(title: DataFrame, changes: DataFrame, symbols: DataFrame, key: st
     return title.join(c, key, "left").join(s, key, "left").select(key, (F.array_join(parts, "\n") if most is None else F.substring(F.array_join(parts, "\n"), 1, most)).alias("query"))
 
 
+def _hinted(lines: list[str]) -> Iterator[tuple]:
+    start = moved = 0
+    for t in lines:
+        if t.startswith("@@"):
+            moved, named = 0, re.search(r"\+([0-9]+)", t)
+            start = int(named[1]) if named and int(named[1]) < 1 << 31 else start
+        elif t.startswith("+") and not t.startswith("+++"):
+            moved += 1
+            yield start + moved, t[1 : 1 + (1 << 20)]
+        elif t.startswith(" "):
+            moved += 1
+
+
 def hinted_lines(patches: DataFrame, key: str, patch: str) -> DataFrame:
     """(key, line, text) of added lines with the numbers a hasty reader gives them: counted from the hunk's start before
     each line, so one too high, and the start 0 before any hunk. Kept apart from ``changed_lines`` on purpose."""
-    rows = patches.select(key, F.posexplode(F.split(patch, "\n")).alias("pos", "t"))
-    is_hunk, adds = F.col("t").startswith("@@"), F.col("t").startswith("+") & ~F.col("t").startswith("+++")
-    to_here = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"no": F.count_if(is_hunk).over(to_here), "start": F.coalesce(F.last(F.when(is_hunk, F.regexp_extract("t", r"\+(\d+)", 1).try_cast("int")), ignorenulls=True).over(to_here), F.lit(0))})
-    inner = Window.partitionBy(key, "no").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    moved = F.sum(F.when(~is_hunk & (adds | F.col("t").startswith(" ")), 1).otherwise(0)).over(inner)
-    return rows.withColumn("line", (F.col("start") + moved).cast("int")).where(adds).select(key, "line", F.substring("t", 2, 1 << 20).alias("text"))
+    return patch_rows(patches, key, patch, "line int, text string", _hinted)
 
 
 def complex_functions(symbols: DataFrame, least: int = 11, severe: int = 20) -> DataFrame:

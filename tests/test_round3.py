@@ -44,3 +44,15 @@ def test_files_are_dealt_to_all_cores(spark):
     from siltstone.plans.code import PYTHON, _files
 
     assert _files(spark, "/root/testdata/sf0.001", PYTHON, ".py").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_patches_are_read_without_windows(spark):
+    from siltstone.operators.review import hinted_lines
+    from siltstone.operators.text import changed_lines
+
+    one = "+x\n a\n@@ -1,2 +5,3 @@ def\n+b\n+++ c\n\n-d\n+e\n@@ odd\n+f\n@@ -9 +5 @@\n+again"
+    df = spark.createDataFrame([(1, one), (2, None), (3, ""), (1, "@@ -1 +8 @@\n+z")], "k long, p string")
+    assert sorted(map(tuple, changed_lines(df, "k", "p").collect())) == [(1, 0), (1, 5), (1, 7), (1, 8)]
+    assert sorted(map(tuple, hinted_lines(df, "k", "p").collect())) == [(1, 1, "x"), (1, 6, "again"), (1, 6, "b"), (1, 6, "f"), (1, 7, "e"), (1, 9, "z")]
+    for op in (changed_lines, hinted_lines):
+        assert "Window" not in op(df, "k", "p")._jdf.queryExecution().executedPlan().toString()
