@@ -205,7 +205,7 @@ def hashed_embedding(text: list[str] | None, size: int = 512) -> list[float]:
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _embed(tokens: pd.Series) -> pd.Series:
-    return tokens.map(hashed_embedding)
+    return tokens.map(lambda t: np.array(hashed_embedding(t)))  # eight bytes a number, not an object
 
 
 def embed(text: Column) -> Column:

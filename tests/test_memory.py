@@ -16,3 +16,11 @@ def test_products_are_taken_in_bounded_pieces():
     tracemalloc.stop()
     assert len(got) == 2 * 2048 and peak < 64 << 20  # one product of all would be 128 MB
 
+
+
+def test_embeddings_leave_python_as_packed_numbers():
+    import pandas as pd
+
+    got = V._embed.func(pd.Series([["a", "b"], []]))
+    assert all(isinstance(x, np.ndarray) and x.dtype == np.float64 and len(x) == 512 for x in got)
+    assert got[0].tolist() == V.hashed_embedding(["a", "b"])
