@@ -285,7 +285,7 @@ def st2_history_stream(spark: SparkSession, sf: str) -> DataFrame:
 n as (select user_id, after, (gap - 1) // 86400000000 as n from g where gap > 86400000000) select user_id, after, unnest(range(1, n + 1)) as beat from n""")
 def st4_beats_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Beats that timers send on a stream, up to a time after its end (ST4)."""
-    sent = K.to_the_end(load(spark, sf, "events"), "ts", lambda s: K.stream_beats(s, "user_id", "ts", 86400))
+    sent = K.to_the_end(load(spark, sf, "events"), "ts", lambda s: K.stream_beats(s, "user_id", "ts", 86400), until="2024-02-10")
     return sent.where(F.col("after") + F.make_interval(days=F.col("beat").cast("int")) < F.lit("2024-02-10").cast("timestamp")).select("user_id", F.col("after").cast("timestamp_ntz").alias("after"), "beat")
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from typing import Any
 
 import pandas as pd
@@ -137,13 +139,14 @@ def stream_sliding_log(stream: DataFrame, key: str, ts: str, id_col: str, second
     span = seconds * 1_000_000
 
     def step(kept: list | None, rows: list[tuple[int, dict]], now: int) -> tuple[Any, list[dict], int | None]:
-        log, sent, k = list(kept or []), [], 0
-        while k < len(rows):
-            at, peers = rows[k][0], [r for t, r in rows[k:] if t == rows[k][0]]
-            log = [t for t in log if t > at - span] + [at] * len(peers)
-            sent += [{id_col: r[id_col], "hits": len(log), "rejected": len(log) > limit} for r in peers]
-            k += len(peers)
-        return log, sent, None
+        log, sent = deque(kept or []), []
+        for at, peers in groupby(rows, key=lambda r: r[0]):
+            own = [r for _, r in peers]
+            while log and log[0] <= at - span:
+                log.popleft()
+            log.extend([at] * len(own))
+            sent += [{id_col: r[id_col], "hits": len(log), "rejected": len(log) > limit} for r in own]
+        return list(log), sent, None
 
     kinds = T.StructType([stream.schema[id_col], T.StructField("hits", T.LongType()), T.StructField("rejected", T.BooleanType())])
     return in_order(stream, key, ts, [id_col], late, kinds, step, idle=seconds)
@@ -159,15 +162,20 @@ def beats(df: DataFrame, key: str, ts: str, silence: int, until: str) -> DataFra
     return df.withColumn("__gap", gap).where(n > 0).select(key, F.col(ts).cast("timestamp").alias("after"), F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("beat"))
 
 
-def to_the_end(df: DataFrame, ts: str, operator: Callable[[DataFrame], DataFrame], per_trigger: int | None = None) -> DataFrame:
+def to_the_end(df: DataFrame, ts: str, operator: Callable[[DataFrame], DataFrame], per_trigger: int | None = None, until: str | None = None) -> DataFrame:
     """All that a stream operator sends for the rows of a table, played as a stream of files and then closed.
 
-    The table is written to the shared folder by time, and a last row without a key, a year on, moves the watermark past all others.
+    The table is written to the shared folder by time, and a last row without a key moves the watermark past all others: a year on, or to the time ``until`` if the rows end
+    a second before it at the latest, so that timers do not go on beyond.
     """
     spark = df.sparkSession
     rows, out, state = (fresh_path(spark, name) for name in ("stream-rows", "stream-out", "stream-state"))
     df.write.parquet(rows)
-    close = df.agg(F.max(ts).alias(ts)).withColumn(ts, F.col(ts) + F.expr("interval 1 year")).select(*(F.col(ts) if c.name == ts else F.lit(None).cast(c.dataType).alias(c.name) for c in df.schema))
+    end = F.col(ts) + F.expr("interval 1 year")
+    if until is not None:
+        at = F.lit(until).cast(df.schema[ts].dataType)
+        end = F.when(F.col(ts) < at - F.expr("interval 1 second"), at).otherwise(end)
+    close = df.agg(F.max(ts).alias(ts)).withColumn(ts, end).select(*(F.col(ts) if c.name == ts else F.lit(None).cast(c.dataType).alias(c.name) for c in df.schema))
     reader = spark.readStream.schema(df.schema)
     reader = reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader
 

@@ -80,3 +80,10 @@ def test_idle_keys_are_forgotten(spark, tmp_path):
         stream().writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     got = sorted((r.k, r.seen, r.ids) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == [("a", 1, [1]), ("a", 1, [3]), ("a", 2, [4, 3]), ("b", 1, [2])]
+
+
+def test_timers_end_where_the_query_does(spark):
+    """A close a year after the last row sent a year of beats for each key, of which all but some days were thrown away."""
+    rows = spark.sql("select 'a' as k, timestamp '2024-01-01 00:00:00' as ts union all select 'b', timestamp '2024-01-05 12:00:00'")
+    got = K.to_the_end(rows, "ts", lambda s: K.stream_beats(s, "k", "ts", 86400), until="2024-01-10")
+    assert sorted((r.k, r.beat) for r in got.collect()) == [("a", n) for n in range(1, 9)] + [("b", n) for n in range(1, 5)]
