@@ -29,6 +29,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 #: Spark's setting to delete the shuffle files of a query when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings that hold while a table is written. Batches for Python are an eighth of Spark's default: a task holds each of them twice, on both sides.
+WHILE_WRITTEN = {CLEANUP: "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -37,12 +39,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The shuffle files of the write go when it is done: nothing reads them any more.
     """
     spark = df.sparkSession
-    path, before = fresh_path(spark, name), spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    path, before = fresh_path(spark, name), {k: spark.conf.get(k, None) for k in WHILE_WRITTEN}
+    for k, v in WHILE_WRITTEN.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out

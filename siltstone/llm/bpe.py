@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -214,19 +214,6 @@ def coder_of(ranks_path: str, pattern: str) -> ReplayEncoder:
     return ReplayEncoder(ranks_path, pattern)
 
 
-def batches_of(texts: Iterable[str], most: int) -> Iterator[tuple[int, int]]:
-    """(from, to) of runs of texts with about ``most`` characters, one text at least."""
-    a = n = b = -1
-    a, n = 0, 0
-    for b, t in enumerate(texts):
-        n += len(t)
-        if n >= most:
-            yield a, b + 1
-            a, n = b + 1, 0
-    if b + 1 > a:
-        yield a, b + 1
-
-
 def split_chunks(docs: DataFrame, pattern: str, id_col: str, text_col: str, chunk_chars: int) -> DataFrame:
     """The texts in chunks, a row each: ids, number of pieces of each text, the pieces as numbers (compressed), the chunk's different pieces."""
     import zstandard
@@ -237,43 +224,43 @@ def split_chunks(docs: DataFrame, pattern: str, id_col: str, text_col: str, chun
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, held, texts, size = regex.compile(pattern).findall, [], [], 0
+        find = regex.compile(pattern).findall
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        held, sizes, pieces, size = [], [], [], 0
+        index: defaultdict[str, int] = defaultdict()
+        index.default_factory = index.__len__
 
         def chunk() -> pa.RecordBatch:
-            index: defaultdict[str, int] = defaultdict()
-            index.default_factory = index.__len__
-            look, sizes, pieces = index.__getitem__, [], []
-            for t in texts:
-                split = find(t)
-                sizes.append(len(split))
-                pieces.append(np.fromiter(map(look, split), np.uint32, len(split)))
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             packed = zstandard.ZstdCompressor(level=1).compress(np.concatenate(pieces).tobytes())
             words = one(pa.array([w.encode() for w in index], pa.binary()))
-            return pa.RecordBatch.from_arrays([one(pa.concat_arrays(held)), pa.array([np.array(sizes, np.uint32).tobytes()], pa.binary()), pa.array([packed], pa.binary()), words], names=schema.names)
+            return pa.RecordBatch.from_arrays([one(pa.array(held, id_type)), pa.array([np.array(sizes, np.uint32).tobytes()], pa.binary()), pa.array([packed], pa.binary()), words], names=schema.names)
 
         for part in parts:
-            rows = [t or "" for t in part.column(1).to_pylist()]
-            for a, b in batches_of(rows, max(1, chunk_chars // 8)):
-                held.append(part.column(0).slice(a, b - a))
-                texts += rows[a:b]
-                size += sum(map(len, rows[a:b]))
+            id_type = part.column(0).type
+            for own, text in zip(part.column(0).to_pylist(), part.column(1)):  # a text is let go once it is split
+                t = text.as_py() or ""
+                split = find(t)
+                held.append(own)
+                sizes.append(len(split))
+                pieces.append(np.fromiter(map(index.__getitem__, split), np.uint32, len(split)))
+                size += len(t)
                 if size >= chunk_chars:
                     yield chunk()
-                    held, texts, size = [], [], 0
-        if texts:
+                    held, sizes, pieces, size = [], [], [], 0
+                    index.clear()
+        if held:
             yield chunk()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 16 << 20, most_words: int = 400_000) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 16 << 20, most_words: int = 400_000, together: int = 100_000) -> DataFrame:
     """(id, n_tokens BIGINT, ids BINARY, decoded BINARY) for every row: encoding, and what decoding its ids gives.
 
     ``ids`` are little-endian unsigned 32-bit integers. Pieces of ``pattern`` are encoded separately, without special
     tokens. Texts are split once, in chunks of about ``chunk_chars`` characters, into numbers of the chunk's different
     pieces. Over the whole corpus the chunks of each different piece are counted; the merges are replayed together over
-    those that several chunks have, ``most_words`` of them at most, those of most chunks first, and their ids go to all
+    those that several chunks have, ``most_words`` of them at most and ``together`` at a time, those of most chunks first, and their ids go to all
     tasks (some 20 bytes a piece). The others, rare ones, are replayed together in each chunk that has them. So texts
     are never exchanged, and a piece of very many chunks is one counter a task.
     ``ranks_path`` names a rank file present on every executor.
@@ -287,7 +274,9 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
     def replay(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = [w for part in parts for w in part.column(0).to_pylist()]  # most_words at most
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(coder_of(ranks_path, pattern).encode_words(words), pa.binary())], names=["word", "tokens"])
+        for a in range(0, len(words), together):
+            some = words[a : a + together]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array(coder_of(ranks_path, pattern).encode_words(some), pa.binary())], names=["word", "tokens"])
 
     once = often.mapInArrow(replay, "word binary, tokens binary").toArrow().combine_chunks()
     shared = docs.sparkSession.sparkContext.broadcast([pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], pa.binary()) for c in once.columns])

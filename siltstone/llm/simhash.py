@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 from typing import TYPE_CHECKING
 
@@ -218,13 +219,28 @@ def similar(a: bytes, b: bytes, least: float) -> bool:
 
 
 def tile_linker(radius: int, similarity: float | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Links within tiles, for rows sorted by tile; with a similarity, pairs within the radius are verified by their sets."""
-    names = ["node", "fp", "tile", "side"] + ["sets"] * (similarity is not None)
+    """Links within tiles, for rows sorted by tile.
+
+    With a similarity, rows also have the sizes and parity bits of their sets, and what comes out are pairs that may be
+    similar by these: a spanning forest of each tile, so at most one pair a row.
+    """
 
     def links(cols: list[np.ndarray]) -> pa.RecordBatch:
         node, fp, key, side = cols[:4]
-        verify = (lambda p, q: similar(cols[4][p], cols[4][q], similarity)) if similarity is not None else None
-        i, j = link_buckets(key, side, fp.view(np.uint64), radius, verify=verify)
+        if similarity is None:
+            i, j = link_buckets(key, side, fp.view(np.uint64), radius)
+        else:
+            size, bits, pairs = *cols[4:], []
+
+            def may(p: int, q: int) -> bool:
+                low, high = sorted((int(size[p]), int(size[q])))
+                ok = low >= similarity * high - 1e-9 and int(np.bitwise_count(bits[p] ^ bits[q]).sum()) <= (1 - similarity) / (1 + similarity) * (low + high) + 1e-9
+                if ok:
+                    pairs.append((p, q))
+                return ok
+
+            link_buckets(key, side, fp.view(np.uint64), radius, verify=may)
+            i, j = np.array(pairs, np.int64).reshape(-1, 2).T
         return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["u", "v"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +248,10 @@ def tile_linker(radius: int, similarity: float | None) -> Callable[[Iterator[pa.
         for part in parts:
             if not part.num_rows:
                 continue
-            held.append([part.column(c).to_numpy(zero_copy_only=False) for c in names])
+            cols = [part.column(c).to_numpy(zero_copy_only=False) for c in ["node", "fp", "tile", "side"] + ["size"] * (similarity is not None)]
+            if similarity is not None:
+                cols.append(part.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, 8))
+            held.append(cols)
             size += part.nbytes
             if size >= 4 << 20:  # all tiles but the last are complete
                 cols = [np.concatenate(c) for c in zip(*held)]
@@ -459,16 +478,57 @@ def shared_members(prefixes: DataFrame, hot: int, chunk_members: int = 1 << 20,
     return shared, often
 
 
-def rest_links(reps: DataFrame, texts: DataFrame, shingle: int, similarity: float, tile: int, hot: int, most_hot: int = 1_000_000) -> DataFrame | None:
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The written pairs (u, v) whose whole sets are similar, written; texts (id, text). A text that is in a pair is read again, once."""
+
+    def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (batch.slice(a, 256) for batch in parts for a in range(0, batch.num_rows, 256)):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in part.column(1)], pa.binary())], names=["node", "sets"])
+
+    def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            ok = [similar(a.as_py(), b.as_py(), similarity) for a, b in zip(part.column(2), part.column(3))]
+            yield part.filter(pa.array(ok, pa.bool_())).select(["u", "v"])
+
+    nodes = written(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "asked")
+    whole = written(join_small(texts, nodes, "id", "node", "inner", 2_000_000).select("node", "text").mapInArrow(sets, "node long, sets binary"), "sets")
+    left = skew_join(pairs.withColumnRenamed("u", "node"), whole, ["node"]).select(F.col("node").alias("u"), "v", F.col("sets").alias("a"))
+    both = skew_join(left.withColumnRenamed("v", "node"), whole, ["node"]).select("u", F.col("node").alias("v"), "a", F.col("sets").alias("b"))
+    links = written(both.mapInArrow(verify, "u long, v long"), "links")
+    forget(nodes), forget(whole)
+    return links
+
+
+def candidates(shared: DataFrame, reps: DataFrame, similarity: float, tile: int, pass_rows: int) -> DataFrame:
+    """Written (u, v): pairs with enough shared members that sizes and parity bits allow.
+
+    Members are met in passes, by hash, of about ``pass_rows`` rows of ``shared``, and only the pairs' counts stay from a
+    pass, so the disk for meeting does not grow with the table.
+    """
+    passes, parts = max(1, -(-shared.count() // pass_rows)), []
+    for k in range(passes):
+        mine = shared.where(F.pmod(F.xxhash64("bucket", F.lit(23)), F.lit(passes)) == k)
+        held = tiles_of(mine.select("node", F.col("comp").alias("fp"), "bucket"), tile).withColumnRenamed("fp", "comp")
+        held = skew_join(held, reps.select("node", "size", "bits"), ["node"])
+        pairs = held.select("node", "comp", "size", "bits", "tile", "side").repartition("tile").sortWithinPartitions("tile").mapInArrow(pair_finder(similarity), "u long, v long, least long")
+        parts.append(written(pairs.groupBy("u", "v").agg(F.count("*").alias("n"), F.min("least").alias("least")), "met"))
+        release(reps.sparkSession)
+    met = reduce(DataFrame.unionByName, parts).groupBy("u", "v").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    pairs = written(met.where("n >= least").select("u", "v"), "pairs")
+    for part in parts:
+        forget(part)
+    return pairs
+
+
+def rest_links(reps: DataFrame, texts: DataFrame, shingle: int, similarity: float, tile: int, hot: int, most_hot: int = 1_000_000, pass_rows: int = 4_000_000) -> DataFrame | None:
     """(u, v): all links between nodes of different components, found by exact prefixes; None if there are none.
 
-    reps (node, comp, size, prefix, bits), texts (id, text). Similar sets share a member of their prefixes, so only nodes
+    reps (node, comp, size, prefix, bits), written, and deleted here; texts (id, text). Similar sets share a member of their prefixes, so only nodes
     of a shingle whose nodes are of several components can be missing a link. Where over ``hot`` nodes have such a
     shingle in their prefix, it is put last in the order (at most ``most_hot`` shingles, the most frequent ones; this
     moves work, and loses nothing), and those nodes' prefixes are taken again. Pairs that sizes, parity bits
     and the number of members that both prefixes have allow are verified on whole sets.
     """
-    reps = written(reps, "reps")
     shared, often = shared_members(reps.select("node", "comp", "prefix"), hot)
     if often.count():
         touched = written(shared.where("often").select("node", "comp").distinct(), "touched")
@@ -487,31 +547,12 @@ def rest_links(reps: DataFrame, texts: DataFrame, shingle: int, similarity: floa
         forget(shared), forget(often)
         shared, often = shared_members(now, hot)
         forget(now), forget(touched)
-    held = tiles_of(shared.select("node", F.col("comp").alias("fp"), "bucket"), tile).withColumnRenamed("fp", "comp")
-    held = skew_join(held, reps.select("node", "size", "bits"), ["node"])
-    pairs = held.select("node", "comp", "size", "bits", "tile", "side").repartition("tile").sortWithinPartitions("tile").mapInArrow(pair_finder(similarity), "u long, v long, least long")
-    pairs = pairs.groupBy("u", "v").agg(F.count("*").alias("n"), F.min("least").alias("least")).where("n >= least").select("u", "v")
-    pairs = written(pairs, "pairs")
+    pairs = candidates(shared, reps, similarity, tile, pass_rows)
     forget(reps), forget(shared), forget(often)
-    release(reps.sparkSession)
     if not pairs.count():
         return None
-
-    def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in part.column(1)], pa.binary())], names=["node", "sets"])
-
-    def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            ok = [similar(a.as_py(), b.as_py(), similarity) for a, b in zip(part.column(2), part.column(3))]
-            yield part.filter(pa.array(ok, pa.bool_())).select(["u", "v"])
-
-    nodes = written(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "asked")
-    whole = written(join_small(texts, nodes, "id", "node", "inner", 2_000_000).select("node", "text").mapInArrow(sets, "node long, sets binary"), "sets")
-    left = skew_join(pairs.withColumnRenamed("u", "node"), whole, ["node"]).select(F.col("node").alias("u"), "v", F.col("sets").alias("a"))
-    both = skew_join(left.withColumnRenamed("v", "node"), whole, ["node"]).select("u", F.col("node").alias("v"), "a", F.col("sets").alias("b"))
-    links = written(both.mapInArrow(verify, "u long, v long"), "rest")
-    forget(pairs), forget(nodes), forget(whole)
+    links = verified(pairs, texts, shingle, similarity)
+    forget(pairs)
     return links
 
 
@@ -522,13 +563,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     First most links are found by SimHash. At 0.8 the fingerprints of these sets (repeats do not count) differ in about
     ten bits, too many for blocks of equal bits, so the blocks for the bit-sliced comparison are texts that agree on
-    ``rows`` minima of ``bands`` times as many hash functions. Within a block, pairs within ``radius`` bits are
-    verified on their whole shingle sets. This misses few pairs, and leaves most groups whole.
+    ``rows`` minima of ``bands`` times as many hash functions. Within a block, a spanning forest of the pairs within
+    ``radius`` bits that sizes and parity bits allow is taken; these are verified on their whole shingle sets, which
+    meet nowhere else: a text's set does not go to every block that it is in. This misses few pairs, and leaves most
+    groups whole.
 
     Then ``rest_links`` finds every link that is missing between the groups so far, by exact prefixes of the sets.
 
     Texts with equal sets are one class and never meet in a task. Blocks over ``tile`` texts are cut into tiles of
-    two chunks. Only texts in blocks of two or more, or in pairs that may be similar, are read again for their sets.
+    two chunks. Only texts in pairs that may be similar are read again for their sets.
 
     Null and empty texts are equal to each other. Rows with a null id are left out; rows that repeat an id are one
     document, whose groups are those of all its texts. Texts are read whole, however long. An empty table gives no
@@ -558,33 +601,26 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = written(texts.mapInArrow(sketch, "id long, fp long, same long, keys array<long>, size long, prefix array<long>, bits array<long>"), "sketch")
-    first = sketches.groupBy("same").agg(F.min(F.struct("id", "fp", "keys")).alias("x"))
-    classes = written(first.select("same", F.col("x.id").alias("node"), "x.fp", "x.keys"), "classes")
+    ids = written(sketches.select("id", "same"), "ids")
+    first = sketches.groupBy("same").agg(F.min(F.struct("id", "fp", "keys", "size", "bits")).alias("x"))
+    classes = written(first.select("same", F.col("x.id").alias("node"), "x.fp", "x.keys", "x.size", "x.bits"), "classes")
     tiled = tiles_of(classes.select("node", "fp", F.explode("keys").alias("bucket")), tile)
-    places = written(tiled.groupBy("node").agg(F.collect_list(F.struct("tile", "side")).alias("at")), "places")
-
-    def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for n in range(part.num_rows):
-                h = shingle_set(part.column(1)[n].as_py(), shingle)
-                at = part.column(2)[n].as_py()
-                k = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0)[n].as_py()] * k, pa.int64()), pa.array([simhash_of_set(h)] * k, pa.int64()), pa.array([x["tile"] for x in at], pa.int64()), pa.array([x["side"] for x in at], pa.int8()), pa.array([h.tobytes()] * k, pa.binary())], names=["node", "fp", "tile", "side", "sets"])
-
-    again = join_small(texts, places, "id", "node", "inner", 100_000).select("id", "text", "at")  # of one node, some hundred bytes
-    held = again.mapInArrow(sets, "node long, fp long, tile long, side byte, sets binary")
-    edges = held.repartition("tile").sortWithinPartitions("tile").mapInArrow(tile_linker(radius, similarity), "u long, v long")
-    copies = skew_join(sketches.select("id", "same"), classes.select("same", "node"), ["same"]).select(F.col("id").alias("u"), F.col("node").alias("v")).where("u <> v")
+    held = skew_join(tiled, classes.select("node", "size", "bits"), ["node"]).select("node", "fp", "tile", "side", "size", "bits")
+    near = held.repartition("tile").sortWithinPartitions("tile").mapInArrow(tile_linker(radius, similarity), "u long, v long")
+    near = written(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near")
+    edges = verified(near, texts, shingle, similarity)
+    copies = skew_join(ids, classes.select("same", "node"), ["same"]).select(F.col("id").alias("u"), F.col("node").alias("v")).where("u <> v")
     roots = written(components(edges.unionByName(copies)), "roots")
     named = skew_join(classes.select("node", "same"), roots, ["node"], "left").select("node", F.col("same").alias("class"), F.coalesce("root", "node").alias("comp"))
     named = written(named, "named")  # prefixes stay where they were written
-    once = sketches if sketches.select("id", "same").distinct().count() == sketches.count() else sketches.dropDuplicates(["id", "same"])
-    reps = join_small(once, named, "id", "node", "inner", 2_000_000).where(F.col("same") == F.col("class")).select("node", "comp", "size", "prefix", "bits")
+    once = sketches if ids.distinct().count() == ids.count() else sketches.dropDuplicates(["id", "same"])
+    reps = written(join_small(once, named, "id", "node", "inner", 2_000_000).where(F.col("same") == F.col("class")).select("node", "comp", "size", "prefix", "bits"), "reps")
+    forget(sketches), forget(classes), forget(named), forget(near), forget(edges)
+    release(docs.sparkSession)
     links = rest_links(reps, texts, shingle, similarity, tile, hot)
-    forget(places), forget(classes), forget(named)
     if links is not None:
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
-    ids = sketches.select("id").distinct()
+    ids = ids.select("id").distinct()
     return ids.join(roots, ids["id"] == roots["node"], "left").select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("component"))
 
 
