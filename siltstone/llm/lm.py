@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siltstone.llm.common import forget, mixed, pack, release, unpack, written
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 #: Numbers of words are 48 bits of their hash. No word is empty or a space: these stand for the end and the start of a text.
 WORD_BITS = np.uint64((1 << 48) - 1)
 END, START = b"", b" "
@@ -440,7 +440,7 @@ class Sample(Whole):
     tokens: int = 0
 
 
-def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), group_bytes: int = 32 << 20, turns: int = 3) -> DataFrame:
+def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), group_bytes: int = 12 << 20, turns: int = 3) -> DataFrame:
     """(id, train BOOLEAN, n_tokens, n_known, train_tokens BIGINT, base_score, score DOUBLE) for every row.
 
     The model is a two-level hierarchical Pitman-Yor process over the tokens of the rows where ``train`` holds: a
@@ -473,7 +473,7 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
                 out = list(dealt(blob.as_py(), groups, frequent))
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(out), pa.int64()), pa.array([g for g, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["chunk", "g", "blob"])
 
-    pairs = chunks.mapInArrow(deal, "chunk long, g long, blob binary")
+    pairs = lambda some: some.mapInArrow(deal, "chunk long, g long, blob binary")
 
     def first(rows: pd.DataFrame) -> pd.DataFrame:
         return rows_of(first_seating(int(rows["g"].iloc[0]), rows["blob"], groups, frequent))
@@ -510,7 +510,7 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
 
         return written(own.groupBy("g").applyInPandas(run, ROWS), "lm-seating")
 
-    seating = written(pairs.groupBy("g").applyInPandas(first, ROWS), "lm-seating")
+    seating = written(pairs(chunks).groupBy("g").applyInPandas(first, ROWS), "lm-seating")
     release(spark)
     parent = parent_of(seating, None, 0, 0, 0)
     whole = whole_of(seating, parent)
@@ -533,7 +533,6 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     for k in kept:
         model = model.unionByName(k)
     model = model.select("g", "kind", F.lit(-1).cast("long").alias("chunk"), "blob")
-    asked = pairs.select("g", F.lit(-1).alias("kind"), "chunk", "blob")
 
     def answer(key: tuple, known: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         parts = dict(zip(known["kind"].tolist(), known["blob"]))
@@ -543,7 +542,8 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
 
     answers = None
     for turn in range(turns):  # a part of the chunks at a time, so that fewer pairs are under way
-        mine = model.groupBy("g").cogroup(asked.where(F.pmod(F.xxhash64("chunk"), F.lit(turns)) == turn).groupBy("g")).applyInPandas(answer, "chunk long, g long, blob binary")
+        asked = pairs(chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(turns)) == turn)).select("g", F.lit(-1).alias("kind"), "chunk", "blob")
+        mine = model.groupBy("g").cogroup(asked.groupBy("g")).applyInPandas(answer, "chunk long, g long, blob binary")
         mine = written(mine, "lm-answers")
         answers = mine if answers is None else answers.unionByName(mine)
     for table in [seating, *held]:
