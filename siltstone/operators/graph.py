@@ -164,7 +164,7 @@ def strong_components(edges: DataFrame, types: tuple[str, ...] = ("imports",), l
     By colours: nodes without an edge in or out are peeled off; then every node takes the largest id that reaches it as its colour;
     the nodes of a colour that reach, within it, the node that has it as its id are a component and leave the graph; and again with the rest. Each
     round is written, so a lost executor costs a round at most, and only counts reach the driver. Joins are by node, edges
-    are never gathered by component. ``log`` gets the name of each step and the rows that it changed.
+    are never gathered by component, and no table is broadcast: small ones would pass through the driver in every round. ``log`` gets the name of each step and the rows that it changed.
 
     Edges of a node with itself, repeated edges and null ends are left out; components of one node are not returned. The
     number of rounds grows with the longest path along which a colour travels, not with the number of cycles.
@@ -187,7 +187,7 @@ def strong_components(edges: DataFrame, types: tuple[str, ...] = ("imports",), l
 
     def peel(e: DataFrame) -> DataFrame:
         ends = lambda c, by: e.select(F.col(c).alias(by)).distinct()
-        return e.join(ends("target", "source"), "source", "left_semi").join(ends("source", "target"), "target", "left_semi").select("source", "target")
+        return e.join(ends("target", "source").hint("merge"), "source", "left_semi").join(ends("source", "target").hint("merge"), "target", "left_semi").select("source", "target")
 
     def peeled(e: DataFrame) -> DataFrame:
         left = counted("peel", e)
@@ -199,12 +199,12 @@ def strong_components(edges: DataFrame, types: tuple[str, ...] = ("imports",), l
         return e
 
     def spread(colours: DataFrame) -> DataFrame:
-        told = e.join(colours.where("fresh").select(F.col("id").alias("source"), "colour"), "source").groupBy(F.col("target").alias("id")).agg(F.max("colour").alias("told"))
-        return colours.join(told, "id", "left").select("id", F.greatest("colour", "told").alias("colour"), F.coalesce(F.col("told") > F.col("colour"), F.lit(False)).alias("fresh"))
+        told = e.join(colours.where("fresh").select(F.col("id").alias("source"), "colour").hint("merge"), "source").groupBy(F.col("target").alias("id")).agg(F.max("colour").alias("told"))
+        return colours.join(told.hint("merge"), "id", "left").select("id", F.greatest("colour", "told").alias("colour"), F.coalesce(F.col("told") > F.col("colour"), F.lit(False)).alias("fresh"))
 
     def back(reach: DataFrame) -> DataFrame:
-        met = inside.join(reach.where("fresh").select(F.col("id").alias("target")), "target").select(F.col("source").alias("id")).distinct().withColumn("met", F.lit(True))
-        met = reach.join(met, "id", "left").withColumn("met", F.coalesce("met", F.lit(False)))
+        met = inside.join(reach.where("fresh").select(F.col("id").alias("target")).hint("merge"), "target").select(F.col("source").alias("id")).distinct().withColumn("met", F.lit(True))
+        met = reach.join(met.hint("merge"), "id", "left").withColumn("met", F.coalesce("met", F.lit(False)))
         return met.select("id", "colour", (F.col("reached") | F.col("met")).alias("reached"), (~F.col("reached") & F.col("met")).alias("fresh"))
 
     e = peeled(e)
@@ -212,20 +212,20 @@ def strong_components(edges: DataFrame, types: tuple[str, ...] = ("imports",), l
         colours = written(e.select(F.col("source").alias("id")).distinct().withColumn("colour", F.col("id")).withColumn("fresh", F.lit(True)), "scc-colours")
         while counted("colour", colours, F.col("fresh")):
             colours = repeated(colours, spread, 3, "scc-colours")
-        inside = e.join(colours.select(F.col("id").alias("source"), F.col("colour").alias("c1")), "source").join(colours.select(F.col("id").alias("target"), F.col("colour").alias("c2")), "target").where("c1 = c2").select("source", "target")
+        inside = e.join(colours.select(F.col("id").alias("source"), F.col("colour").alias("c1")).hint("merge"), "source").join(colours.select(F.col("id").alias("target"), F.col("colour").alias("c2")).hint("merge"), "target").where("c1 = c2").select("source", "target")
         inside = written(inside, "scc-inside")
         reach = written(colours.select("id", "colour", (F.col("id") == F.col("colour")).alias("reached"), (F.col("id") == F.col("colour")).alias("fresh")), "scc-reach")
         while counted("back", reach, F.col("fresh")):
             reach = repeated(reach, back, 3, "scc-reach")
         own = written(reach.where("reached").select("id", "colour"), "scc-found")
         least = own.groupBy("colour").agg(F.min("id").alias("component"))
-        found = found.unionByName(own.join(least, "colour").select("id", "component"))
-        rest = e.join(own.select(F.col("id").alias("source")), "source", "left_anti").join(own.select(F.col("id").alias("target")), "target", "left_anti")
+        found = found.unionByName(own.join(least.hint("merge"), "colour").select("id", "component"))
+        rest = e.join(own.select(F.col("id").alias("source")).hint("merge"), "source", "left_anti").join(own.select(F.col("id").alias("target")).hint("merge"), "target", "left_anti")
         before, e = e, written(rest.select("source", "target"), "scc-edges")
         forget(before), forget(colours), forget(inside), forget(reach)
         e = peeled(e)
     sizes = found.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
-    return found.join(sizes, "component").select("id", "component", "size")
+    return found.join(sizes.hint("merge"), "component").select("id", "component", "size")
 
 
 def impact(edges: DataFrame, origins: DataFrame, types: tuple[str, ...] = ("imports", "calls", "tests")) -> DataFrame:
