@@ -280,21 +280,26 @@ def add_arrays(col: Column, width: int) -> list[Column]:
     return [F.sum(col[i]).alias(f"s{i}") for i in range(width)]
 
 
-def propagate(edges: DataFrame, nodes: DataFrame, vectors: DataFrame, width: int, hops: int = 2) -> DataFrame:
+def propagate(edges: DataFrame, nodes: DataFrame, vectors: DataFrame, width: int, hops: int = 2, rows: int = 50_000) -> DataFrame:
     """(id, v): symmetric-normalised neighbourhood sums with self-loops, ``hops`` times, then unit length.
 
-    A hop is one join and one element-wise sum by node, combined on the map side. vectors: id, v.
+    A hop is one join and one element-wise sum by node, in two steps, so that a node of very many links is summed by several
+    tasks. Rows are dealt to a partition for about every ``rows`` of them: vectors are mostly zeros and their shuffle
+    files small, so adaptive execution would put all of them into a few tasks. vectors: id, v.
     """
     from siltstone.operators.vectors import unit
 
-    links = undirected(edges, nodes)
+    links = written(undirected(edges, nodes), "links")
+    n = max(edges.sparkSession.sparkContext.defaultParallelism, -(-(links.count() + nodes.count()) // rows))
     degree = nodes.select("id").join(links.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")), "id", "left").select("id", (F.coalesce("n", F.lit(0)) + 1).alias("d"))
     ways = links.where("a <> b").unionByName(nodes.select(F.col("id").alias("a"), F.col("id").alias("b")))
     weights = ways.join(degree.withColumnsRenamed({"id": "a", "d": "da"}), "a").join(degree.withColumnsRenamed({"id": "b", "d": "db"}), "b").select("a", "b", (1 / F.sqrt(F.col("da") * F.col("db"))).alias("w"))
     out = vectors.select("id", "v")
     for _ in range(hops):
-        sent = weights.join(out, weights["a"] == out["id"]).select("b", F.transform("v", lambda x: x * F.col("w")).alias("x"))
-        out = sent.groupBy(F.col("b").alias("id")).agg(*add_arrays(F.col("x"), width)).select("id", F.array(*[f"s{i}" for i in range(width)]).alias("v"))
+        sent = weights.repartition(n, "a").join(out.repartition(n, "id").hint("merge"), F.col("a") == F.col("id"))
+        out = sent.select(F.col("b").alias("id"), F.pmod(F.xxhash64("a"), F.lit(16)).alias("part"), F.transform("v", lambda x: x * F.col("w")).alias("v"))
+        for by in (["id", "part"], ["id"]):
+            out = out.repartition(n, *by).groupBy(*by).agg(*add_arrays(F.col("v"), width)).select(*by, F.array(*[f"s{i}" for i in range(width)]).alias("v"))
     return out.select("id", unit(F.col("v")).alias("v"))
 
 
