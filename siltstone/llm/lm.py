@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -10,12 +9,15 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siltstone.llm.common import forget, mixed, pack, release, unpack, written
 
 CHUNK_BYTES = 8 << 20
+#: Sums of spread restaurants travel in rows of so many words.
+SLICE = 1024
 #: Numbers of words are 48 bits of their hash. No word is empty or a space: these stand for the end and the start of a text.
 WORD_BITS = np.uint64((1 << 48) - 1)
 END, START = b"", b" "
@@ -63,6 +65,25 @@ def among(x: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hit, np.where(hit, at, 0)
 
 
+def ordered(x: np.ndarray, below: int) -> np.ndarray:
+    """The stable order of numbers from 0 to below ``below``; where a number and its position fit into 63 bits, sorted as one value."""
+    bits = len(x).bit_length()
+    if below.bit_length() + bits > 63:
+        return np.argsort(x, kind="stable")
+    at = x.astype(np.int64) << bits | np.arange(len(x))
+    at.sort()
+    return at & ((1 << bits) - 1)
+
+
+def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted different values, position of each there): by hash, for values that repeat."""
+    codes, found = pd.factorize(x)
+    order = np.argsort(found)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return found[order], rank[codes]
+
+
 @lru_cache(2)
 def stirling(discount: float, most: int) -> np.ndarray:
     """log of the generalised Stirling numbers: [c, t] sums the seatings of c customers at t tables."""
@@ -102,20 +123,19 @@ def seat(c: np.ndarray, rest: np.ndarray, base: np.ndarray, discount: float, key
     chance = (mixed(keys) >> np.uint64(11)) * 2.0**-53
     t = np.ones(len(c), np.int64)
     first = np.minimum(c, most)
-    order = np.argsort(first, kind="stable")
-    sizes, begins = np.unique(first[order], return_index=True)
     table = stirling(discount, 64 if first.max(initial=1) <= 64 else most)
-    for size, lo, hi in zip(sizes.tolist(), begins.tolist(), [*begins[1:].tolist(), len(order)]):
-        if size < 2:
-            continue
-        at = order[lo:hi]
+    wide = np.ceil(np.log2(np.maximum(first, 1))).astype(np.int64)  # dishes of 2, to 4, to 8 ... customers are drawn together
+    order = ordered(wide, 64)
+    cuts = np.searchsorted(wide[order], np.arange(1, int(wide.max(initial=0)) + 2))
+    for k, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist()), 1):
+        at, size = order[lo:hi], min(1 << k, most)
         step = max(1, (1 << 19) // size)
         for a in range(0, len(at), step):
             part = at[a : a + step]
             steps = np.log(rest[part, None] + discount * np.arange(size)[None, :]) + np.log(parent(part, np.arange(size)))
-            logit = table[size, 1 : size + 1][None, :] + np.cumsum(steps, axis=1)
+            logit = table[first[part], 1 : size + 1] + np.cumsum(steps, axis=1)  # -inf beyond a dish's customers
             p = np.cumsum(np.exp(logit - logit.max(axis=1, keepdims=True)), axis=1)
-            t[part] = 1 + np.minimum((p < chance[part, None] * p[:, -1:]).sum(axis=1), size - 1)
+            t[part] = 1 + np.minimum((p < chance[part, None] * p[:, -1:]).sum(axis=1), first[part] - 1)
     for i in np.flatnonzero(c > most).tolist():
         rng = np.random.Generator(np.random.Philox(key=int(keys[i])))
         tables, seated, full, other = int(t[i]), most, int(c[i]), float(rest[i])
@@ -146,17 +166,19 @@ def chunks_of(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
 
 def tokens_of(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted numbers of the different words, the end and the start among them, the tokens as positions there, tokens of each text)."""
-    index: defaultdict[bytes, int] = defaultdict()
-    index.default_factory = index.__len__
-    look = index.__getitem__
-    look(END), look(START)
-    parts = []
-    for t in texts:
-        words = (t or "").encode().lower().split()
-        words.append(END)
-        parts.append(np.fromiter(map(look, words), np.int64, len(words)))
-    words, own = np.unique(numbers_of(index), return_inverse=True)
-    return words, own[np.concatenate(parts)] if parts else np.zeros(0, np.int64), np.fromiter(map(len, parts), np.int64, len(parts))
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(pa.array(texts, pa.large_string()), "")))  # the six of [\x20\x09-\x0D]
+    flat, cuts = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
+    word = pc.binary_length(flat).to_numpy() > 0  # white space at the ends of a text leaves empty parts
+    sizes = np.diff(np.r_[0, np.cumsum(word)][cuts]) + 1
+    found = flat.filter(pa.array(word)).dictionary_encode()
+    data, at = found.dictionary.buffers()[2], np.frombuffer(found.dictionary.buffers()[1] or b"", np.int64)[: len(found.dictionary) + 1].tolist()
+    data = data.to_pybytes() if data else b""
+    words, own = np.unique(numbers_of([END, START, *(data[a:b] for a, b in zip(at[:-1], at[1:]))]), return_inverse=True)
+    index = np.full(int(sizes.sum()), own[0])
+    inner = np.ones(len(index), bool)
+    inner[np.cumsum(sizes) - 1] = False
+    index[inner] = own[2:][found.indices.to_numpy()]
+    return words, index, sizes
 
 
 @dataclass
@@ -165,31 +187,54 @@ class Layout:
 
     u: np.ndarray
     w: np.ndarray
-    pair: np.ndarray
     cuts: np.ndarray
     home: np.ndarray
     home_cuts: np.ndarray
+    #: Whether each word is frequent, its position among these or 0.
+    spread: np.ndarray
+    at: np.ndarray
+    #: Of each token the position of its pair, if asked for. Of each pair its training tokens, if told which to learn from; then only pairs that have some.
+    pair: np.ndarray | None = None
+    n: np.ndarray | None = None
 
     @classmethod
-    def of(cls, words: np.ndarray, index: np.ndarray, frequent: np.ndarray, groups: int) -> Layout:
-        n = len(words)
+    def of(cls, words: np.ndarray, index: np.ndarray, frequent: np.ndarray, groups: int, pairs: bool = False, learn: np.ndarray | None = None) -> Layout:
+        n, pair, count = len(words), None, None
         end, start = (int(np.searchsorted(words, np.uint64(x))) for x in (END_NUMBER, START_NUMBER))
         before = np.r_[end, index[:-1]] if len(index) else index
-        key, pair = np.unique(index * n + np.where(before == end, start, before), return_inverse=True)
-        w, u = key // n, key % n
+        key = index * n + np.where(before == end, start, before)
+        if pairs:
+            by = ordered(key, n * n)
+            key = key[by]
+        else:
+            key = key * 2 + (0 if learn is None else learn)
+            key.sort()
+            flag, key = key & 1, key >> 1
+        new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+        head = np.flatnonzero(new)
+        if learn is not None and len(head):
+            count = np.add.reduceat(flag, head)
+            head, count = head[count > 0], count[count > 0]
+        w, u = np.divmod(key[head], n)
         homes = place(mixed(words), groups)
-        group, spread = homes[u], among(words, frequent)[0][u]
+        hit, at = among(words, frequent)
+        group, spread = homes[u], hit[u]
         group[spread] = place(pair_hash(words[u[spread]], words[w[spread]]), groups)
-        order = np.argsort(group, kind="stable")
-        rank = np.empty(len(key), np.int64)
-        rank[order] = np.arange(len(key))
-        home = np.argsort(homes, kind="stable")
+        order = ordered(group, groups)
+        if pairs:
+            rank = np.empty(len(head), np.int64)
+            rank[order] = np.arange(len(head))
+            pair = np.empty(len(key), np.int64)
+            pair[by] = rank[np.cumsum(new) - 1]
+        if count is not None:
+            count = count[order]
+        home = ordered(homes, groups)
         home = home[home != start]
-        return cls(u[order], w[order], rank[pair], np.searchsorted(group[order], np.arange(groups + 1)), home, np.searchsorted(homes[home], np.arange(groups + 1)))
+        return cls(u[order], w[order], np.searchsorted(group[order], np.arange(groups + 1)), home, np.searchsorted(homes[home], np.arange(groups + 1)), hit, at, pair, count)
 
     def befores(self, g: int) -> tuple[np.ndarray, np.ndarray]:
         """A group's words before, and the position of each pair's among them."""
-        return np.unique(self.u[self.cuts[g] : self.cuts[g + 1]], return_inverse=True)
+        return coded(self.u[self.cuts[g] : self.cuts[g + 1]])
 
 
 ROWS = "g long, kind int, o long, blob binary, t long, c long"
@@ -200,48 +245,76 @@ def rows_of(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["g", "kind", "o", "blob", "t", "c"])
 
 
-def told(g: int, words: np.ndarray, group: np.ndarray, which: np.ndarray, t: np.ndarray, n: np.ndarray, contexts: np.ndarray, context: np.ndarray, frequent: np.ndarray) -> list[tuple]:
-    """What a group tells after a seating: to the words' homes the customers it sends, and of spread restaurants its tables and customers."""
+def slots_of(groups: int) -> int:
+    """The unigram restaurant is kept in so many slots, with the words of 16 groups each (fewer below 256 groups): a group sends each a message, so these do not grow with the square of the groups until there are hundreds."""
+    return min(groups, max(16, -(-groups // 16)))
+
+
+def told(g: int, words: np.ndarray, slot: np.ndarray, which: np.ndarray, t: np.ndarray, n: np.ndarray, contexts: np.ndarray, context: np.ndarray, frequent: np.ndarray, slots: int) -> list[tuple]:
+    """What a group tells after a seating: to the words' slots the customers it sends, and of spread restaurants its tables and customers, in a row for each SLICE of them."""
     sent = np.bincount(which, t, len(words)).astype(np.int64)
-    cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(words) else np.zeros(1, np.int64)
-    out = [(g, ASK, int(group[a]), pack(word=words[a:b], customers=sent[a:b]), 0, 0) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+    cut = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1], True]) if len(words) else np.zeros(1, np.int64)
+    out = [(g, ASK, int(slot[a]), pack(word=words[a:b], customers=sent[a:b]), 0, 0) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
     hit, at = among(contexts, frequent)
-    tables, customers = (np.bincount(context, x, len(contexts)).astype(np.int64) for x in (t, n))
-    return out + [(g, SPREAD, int(i), None, int(tables[k]), int(customers[k])) for k, i in zip(np.flatnonzero(hit).tolist(), at[hit].tolist())]
+    tables, customers = (np.bincount(context, x, len(contexts)).astype(np.int64)[hit] for x in (t, n))
+    at = at[hit]
+    cut = np.searchsorted(at, np.arange(0, len(frequent) + SLICE, SLICE))
+    return out + [(g, SPREAD, slots + k, pack(at=at[a:b] % SLICE, tables=tables[a:b], customers=customers[a:b]), 0, 0) for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if b > a]
+
+
+def spread_step(o: int, blobs: Iterable[bytes]) -> list[tuple]:
+    """The sums of all groups for a slice of the spread restaurants."""
+    tables, customers = np.zeros(SLICE, np.int64), np.zeros(SLICE, np.int64)
+    for m in map(unpack, blobs):  # a group names a word once
+        tables[m["at"]] += m["tables"]
+        customers[m["at"]] += m["customers"]
+    return [(o, SPREAD, o, pack(tables=tables, customers=customers), 0, 0)]
 
 
 def first_seating(g: int, blobs: Iterable[bytes], groups: int, frequent: np.ndarray) -> list[tuple]:
     """A group's pairs of all chunks, merged, with one table a dish."""
-    parts = [unpack(b) for b in blobs]
-    u, w = np.concatenate([p["u"][p["at"]] for p in parts]), np.concatenate([np.repeat(p["w"], p["k"]) for p in parts])
-    n = np.concatenate([p["n"] for p in parts])
-    u, w, n = u[n > 0], w[n > 0], n[n > 0]
-    _, first, same = np.unique(pair_hash(u, w), return_index=True, return_inverse=True)
-    n = np.bincount(same, n, len(first)).astype(np.int64)
-    contexts, context = np.unique(u[first], return_inverse=True)
-    by = np.argsort(context, kind="stable")
-    first, n, context = first[by], n[by], context[by]
-    words, which = np.unique(w[first], return_inverse=True)
-    group = place(mixed(words), groups)
-    order = np.argsort(group, kind="stable")
+    us, ws, ns = [], [], []
+    for p in map(unpack, blobs):
+        us.append(received(p, "u", frequent)[p["at"]]), ws.append(np.repeat(received(p, "w", frequent), p["k"])), ns.append(p["n"].astype(np.int32))
+    u, w, n = (np.concatenate(x) for x in (us, ws, ns))
+    del us, ws, ns
+    dishes = pair_hash(u, w)
+    order = np.argsort(dishes)
+    dishes = dishes[order]
+    head = np.flatnonzero(np.r_[True, dishes[1:] != dishes[:-1]]) if len(dishes) else order
+    first, n = order[head], np.add.reduceat(n[order], head, dtype=np.int64) if len(head) else n
+    u, w = u[first], w[first]
+    del dishes, order, head, first
+    contexts, context = coded(u)
+    by = ordered(context, len(contexts) + 1)
+    w, n, context = w[by], n[by], context[by]
+    words, which = coded(w)
+    slot = place(mixed(words), groups) % slots_of(groups)
+    order = ordered(slot, groups)
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
-    words, group, which = words[order], group[order], back[which]
+    words, slot, which = words[order], slot[order], back[which]
     t = np.ones(len(n), np.int64)
-    blob = pack(contexts=contexts, per=np.bincount(context, minlength=len(contexts)), words=words, group=group, which=which, n=n, t=t, sums=np.zeros(len(n), np.int64), tables=np.zeros(0, np.int64))
-    return [(g, SEATING, 0, blob, len(n), int(n.sum())), *told(g, words, group, which, t, n, contexts, context, frequent)]
+    blob = pack(contexts=contexts, per=np.bincount(context, minlength=len(contexts)), words=words, slot=slot, which=which, n=n, t=t, sums=np.zeros(len(n), np.int64), tables=np.zeros(0, np.int64))
+    return [(g, SEATING, 0, blob, len(n), int(n.sum())), *told(g, words, slot, which, t, n, contexts, context, frequent, slots_of(groups))]
 
 
-def parent_step(o: int, asks: list[tuple[int, bytes]], before: bytes | None, tables: int, vocabulary: int, sweep: int, s: Settings) -> list[tuple]:
-    """The unigram restaurant's dishes of one group: their customers are the tables of all contexts' restaurants."""
+def parent_step(o: int, asks: list[tuple[int, bytes]], before: list[bytes], groups: int, tables: int, vocabulary: int, sweep: int, s: Settings) -> list[tuple]:
+    """The unigram restaurant's dishes of one slot: their customers are the tables of all contexts' restaurants. A row for each group whose words they are."""
     asks = [(g, unpack(b)) for g, b in sorted(asks, key=lambda x: x[0])]
-    words, at = np.unique(np.concatenate([m["word"] for _, m in asks]), return_inverse=True)
+    words, at = coded(np.concatenate([m["word"] for _, m in asks]))
     c = np.bincount(at, np.concatenate([m["customers"] for _, m in asks]), len(words)).astype(np.int64)
     t = np.ones(len(words), np.int64)
-    if before is not None:
-        own = unpack(before)["t"]  # the same words: none ever loses all its customers
+    if before:
+        known = [unpack(b) for b in before]  # the same words: none ever loses all its customers
+        own = np.concatenate([m["t"] for m in known])[np.argsort(np.concatenate([m["word"] for m in known]))]
         t = seat(c, s.root_strength + s.root_discount * (tables - own).astype(float), np.full(len(words), 1 / (vocabulary + 1)), s.root_discount, draws(s, sweep, mixed(words)))
-    out, a = [(o, PARENT, len(words), pack(word=words, t=t, c=c), int(t.sum()), int(c.sum()))], 0
+    out, a = [], 0
+    home = place(mixed(words), groups)
+    by = ordered(home, groups)
+    cut = np.flatnonzero(np.r_[True, np.diff(home[by]) > 0, True])
+    for mine in (by[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())):
+        out.append((int(home[mine[0]]), PARENT, len(mine), pack(word=words[mine], t=t[mine], c=c[mine]), int(t[mine].sum()), int(c[mine].sum())))
     for g, m in asks:
         own = at[a : a + len(m["word"])]
         out.append((g, REPLY, o, pack(t=t[own], c=c[own]), 0, 0))
@@ -265,7 +338,7 @@ class Whole:
     spread_customers: np.ndarray
 
 
-def sweep_group(g: int, raw: bytes, replies: list[tuple[int, bytes]], whole: Whole, sweep: int, frequent: np.ndarray, s: Settings) -> list[tuple]:
+def sweep_group(g: int, raw: bytes, replies: list[tuple[int, bytes]], whole: Whole, sweep: int, frequent: np.ndarray, slots: int, s: Settings) -> list[tuple]:
     """A Gibbs sweep over a group's restaurants.
 
     The unigram restaurant is as it stood after the last sweep, less the dish's own tables.
@@ -289,7 +362,7 @@ def sweep_group(g: int, raw: bytes, replies: list[tuple[int, bytes]], whole: Who
     many = np.diff(np.r_[head, len(of)])
     rank, count = np.arange(len(of)) - np.repeat(head, many), np.repeat(many, many)
     step = np.where(hit[of], 0, np.where(count <= s.batches, rank, rank * s.batches // count))
-    order = np.argsort(step, kind="stable")
+    order = ordered(step, len(step) + 1)
     free, step = free[order], step[order]
     cut = np.searchsorted(step, np.arange((int(step[-1]) if len(step) else -1) + 2))
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
@@ -302,8 +375,8 @@ def sweep_group(g: int, raw: bytes, replies: list[tuple[int, bytes]], whole: Who
     tables, sums = m["tables"], m["sums"]
     if sweep >= s.burn_in:
         sums, tables = sums + t, np.r_[tables, np.where(hit, 0, total)]
-    blob = pack(**{k: m[k] for k in ("contexts", "per", "words", "group", "which", "n")}, t=t, sums=sums, tables=tables)
-    return [(g, SEATING, 0, blob, int(t.sum()), int(n.sum())), *told(g, m["words"], m["group"], which, t, n, m["contexts"], context, frequent)]
+    blob = pack(**{k: m[k] for k in ("contexts", "per", "words", "slot", "which", "n")}, t=t, sums=sums, tables=tables)
+    return [(g, SEATING, 0, blob, int(t.sum()), int(n.sum())), *told(g, m["words"], m["slot"], which, t, n, m["contexts"], context, frequent, slots)]
 
 
 class GroupModel:
@@ -333,9 +406,10 @@ class GroupModel:
 
     def answer(self, ask: dict[str, np.ndarray]) -> bytes:
         """Of each pair what its dish keeps, of each word before the weight of the unigram restaurant, of each own word its share there and its count."""
-        hit, at = among(pair_hash(ask["u"][ask["at"]], np.repeat(ask["w"], ask["k"])), self.dishes)
+        u, w = received(ask, "u", self.frequent), received(ask, "w", self.frequent)
+        hit, at = among(pair_hash(u[ask["at"]], np.repeat(w, ask["k"])), self.dishes)
         stay = np.where(hit, self.stay[at] if len(self.stay) else 0, 0).astype(np.float32)
-        seen, to = among(ask["u"], self.contexts)
+        seen, to = among(u, self.contexts)
         weight = np.ones((self.samples, len(seen)), np.float32)
         weight[:, seen] = self.weight[:, to[seen]]
         known, own = among(ask["home"], self.words)
@@ -379,17 +453,28 @@ def chunk_rows(docs: DataFrame, train: Column, id_col: str, text_col: str) -> Da
     return docs.select(F.col(id_col).cast("long"), F.coalesce(train, F.lit(False)), text_col).mapInArrow(run, "chunk long, blob binary")
 
 
-def dealt(chunk: bytes, groups: int, frequent: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """For each group the chunk's pairs and words that it knows, with training counts."""
+def dealt(chunk: bytes, groups: int, frequent: np.ndarray, learn: bool) -> Iterator[tuple[int, bytes]]:
+    """For each group the chunk's pairs that it knows: to learn from, with training counts; to be answered, with the words that it knows."""
     m = unpack(chunk)
     words = m["words"]
-    lay = Layout.of(words, m["index"], frequent, groups)
-    n = np.bincount(lay.pair, np.repeat(m["learn"], m["sizes"]), len(lay.u)).astype(np.int64)
-    for g in np.flatnonzero((np.diff(lay.cuts) > 0) | (np.diff(lay.home_cuts) > 0)).tolist():
+    lay = Layout.of(words, m["index"], frequent, groups, learn=np.repeat(m["learn"], m["sizes"]) if learn else None)
+
+    def sent(name: str, own: np.ndarray) -> dict[str, np.ndarray]:
+        hit = lay.spread[own]
+        return {name: words[own[~hit]], f"{name}s": np.diff(lay.at[own[hit]], prepend=0)}
+
+    for g in np.flatnonzero((np.diff(lay.cuts) > 0) | (not learn) & (np.diff(lay.home_cuts) > 0)).tolist():
         lo, hi = lay.cuts[g], lay.cuts[g + 1]
         us, at = lay.befores(g)
-        ws, k = np.unique(lay.w[lo:hi], return_counts=True)
-        yield g, pack(u=words[us], at=at, w=words[ws], k=k, n=n[lo:hi], home=words[lay.home[lay.home_cuts[g] : lay.home_cuts[g + 1]]])
+        w = lay.w[lo:hi]
+        head = np.flatnonzero(np.r_[True, w[1:] != w[:-1]]) if hi > lo else np.zeros(0, np.int64)
+        also = {"n": lay.n[lo:hi]} if learn else {"home": words[lay.home[lay.home_cuts[g] : lay.home_cuts[g + 1]]]}
+        yield g, pack(**sent("u", us), at=at, **sent("w", w[head]), k=np.diff(np.r_[head, hi - lo]), **also)
+
+
+def received(m: dict[str, np.ndarray], name: str, frequent: np.ndarray) -> np.ndarray:
+    """The sorted words of a message: frequent ones were sent as steps between their positions."""
+    return np.sort(np.concatenate([frequent[np.cumsum(m[f"{name}s"])], m[name]]))
 
 
 def rounded(x: np.ndarray) -> np.ndarray:
@@ -401,7 +486,7 @@ def scored(text: bytes, answers: list[tuple[int, bytes]], groups: int, frequent:
     """The rows of a chunk's texts from what the groups answered."""
     m = unpack(text)
     words, index, sizes = m["words"], m["index"], m["sizes"]
-    lay = Layout.of(words, index, frequent, groups)
+    lay = Layout.of(words, index, frequent, groups, pairs=True)
     k, n = len(samples), len(words)
     stay, weight = np.zeros(len(lay.u)), np.ones((k, len(lay.u)))
     root, count = np.zeros((k, n)), np.zeros(n, np.int64)
@@ -440,7 +525,7 @@ class Sample(Whole):
     tokens: int = 0
 
 
-def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), group_bytes: int = 12 << 20, turns: int = 3) -> DataFrame:
+def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), group_bytes: int = 8 << 20, turns: int = 3) -> DataFrame:
     """(id, train BOOLEAN, n_tokens, n_known, train_tokens BIGINT, base_score, score DOUBLE) for every row.
 
     The model is a two-level hierarchical Pitman-Yor process over the tokens of the rows where ``train`` holds: a
@@ -454,8 +539,9 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     restaurant is in the group of its own restaurant. Restaurants of frequent words (``frequent_words``, at most
     1 / ``settings.frequent``) are spread over all groups by dish, and only their table and customer sums are gathered.
     Nothing depends on the number of groups or partitions. Texts are split into words once. A chunk sends a group its
-    different pairs, once to learn from and once to be answered; messages are arrays, at most one for each word of the sender, so they grow with the
-    text. What reaches all tasks is the list of frequent words with two sums each.
+    different pairs, once to learn from and once to be answered; a group sends each slot of the unigram restaurant
+    (``slots_of``) its customers, and the sums of its spread restaurants in slices. Messages are arrays. The chunks are
+    answered and scored in ``turns``, so that a part of the answers is on disk at a time. What reaches all tasks is the list of frequent words with two sums each.
 
     Words are told apart by 48 bits of their hash. Null or empty texts: one end token. Null ids and repeated rows come
     back as they are. Very long texts are one chunk. Empty table: no rows; no training rows: scores 0. Other columns are
@@ -464,53 +550,58 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     spark, s = docs.sparkSession, settings
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     groups = max(8, -(-size // group_bytes))
+    slots = slots_of(groups)
     frequent = frequent_words(docs, train, id_col, text_col, s.frequent)
     chunks = written(chunk_rows(docs, train, id_col, text_col), "lm-chunks")
 
-    def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for chunk, blob in zip(part.column(0).to_pylist(), part.column(1)):
-                out = list(dealt(blob.as_py(), groups, frequent))
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(out), pa.int64()), pa.array([g for g, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["chunk", "g", "blob"])
+    def pairs(some: DataFrame, learn: bool) -> DataFrame:
+        def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                for chunk, blob in zip(part.column(0).to_pylist(), part.column(1)):
+                    out = list(dealt(blob.as_py(), groups, frequent, learn))
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(out), pa.int64()), pa.array([g for g, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["chunk", "g", "blob"])
 
-    pairs = lambda some: some.mapInArrow(deal, "chunk long, g long, blob binary")
+        return some.mapInArrow(deal, "chunk long, g long, blob binary")
 
     def first(rows: pd.DataFrame) -> pd.DataFrame:
         return rows_of(first_seating(int(rows["g"].iloc[0]), rows["blob"], groups, frequent))
 
-    def sums(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        tables, customers = np.zeros(len(frequent), np.int64), np.zeros(len(frequent), np.int64)
-        for r in table.where(F.col("kind") == SPREAD).groupBy("o").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect():  # a row a frequent word
-            tables[r.o], customers[r.o] = r.t, r.c
-        return tables, customers
+    def sums(parent: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        tables, customers = (np.zeros(len(frequent) + SLICE, np.int64) for _ in range(2))
+        for r in parent.where(F.col("kind") == SPREAD).select("o", "blob").collect():  # two numbers a frequent word
+            m, a = unpack(bytes(r.blob)), (r.o - slots) * SLICE
+            tables[a : a + SLICE], customers[a : a + SLICE] = m["tables"], m["customers"]
+        return tables[: len(frequent)], customers[: len(frequent)]
 
     def parent_of(seating: DataFrame, before: DataFrame | None, tables: int, vocabulary: int, sweep: int) -> DataFrame:
-        asks = seating.where(F.col("kind") == ASK).select("g", "kind", "o", "blob")
+        asks = seating.where(F.col("kind").isin(ASK, SPREAD)).select("g", "kind", "o", "blob")
         if before is not None:
-            asks = asks.unionByName(before.where(F.col("kind") == PARENT).select("g", "kind", F.col("g").alias("o"), "blob"))
+            asks = asks.unionByName(before.where(F.col("kind") == PARENT).select("g", "kind", (F.col("g") % slots).alias("o"), "blob"))
 
         def run(rows: pd.DataFrame) -> pd.DataFrame:
-            own = rows.loc[rows["kind"] == PARENT, "blob"]
+            o = int(rows["o"].iloc[0])
+            if o >= slots:
+                return rows_of(spread_step(o, rows["blob"]))
             mine = rows[rows["kind"] == ASK]
-            return rows_of(parent_step(int(rows["o"].iloc[0]), list(zip(mine["g"].tolist(), mine["blob"])), own.iloc[0] if len(own) else None, tables, vocabulary, sweep, s))
+            return rows_of(parent_step(o, list(zip(mine["g"].tolist(), mine["blob"])), rows.loc[rows["kind"] == PARENT, "blob"].tolist(), groups, tables, vocabulary, sweep, s))
 
         return written(asks.groupBy("o").applyInPandas(run, ROWS), "lm-parent")
 
     def whole_of(seating: DataFrame, parent: DataFrame) -> Sample:
         r = parent.where(F.col("kind") == PARENT).agg(F.sum("o").alias("v"), F.sum("t").alias("t"), F.sum("c").alias("c")).first()
         n = seating.where(F.col("kind") == SEATING).agg(F.sum("c")).first()[0]
-        return Sample(r.v or 0, r.t or 0, r.c or 0, *sums(seating), n or 0)
+        return Sample(r.v or 0, r.t or 0, r.c or 0, *sums(parent), n or 0)
 
     def swept(seating: DataFrame, parent: DataFrame, whole: Sample, sweep: int) -> DataFrame:
         own = seating.where(F.col("kind") == SEATING).unionByName(parent.where(F.col("kind") == REPLY)).select("g", "kind", "o", "blob")
 
         def run(rows: pd.DataFrame) -> pd.DataFrame:
             mine, replies = rows[rows["kind"] == SEATING], rows[rows["kind"] == REPLY]
-            return rows_of(sweep_group(int(rows["g"].iloc[0]), mine["blob"].iloc[0], list(zip(replies["o"].tolist(), replies["blob"])), whole, sweep, frequent, s))
+            return rows_of(sweep_group(int(rows["g"].iloc[0]), mine["blob"].iloc[0], list(zip(replies["o"].tolist(), replies["blob"])), whole, sweep, frequent, slots, s))
 
         return written(own.groupBy("g").applyInPandas(run, ROWS), "lm-seating")
 
-    seating = written(pairs(chunks).groupBy("g").applyInPandas(first, ROWS), "lm-seating")
+    seating = written(pairs(chunks, True).groupBy("g").applyInPandas(first, ROWS), "lm-seating")
     release(spark)
     parent = parent_of(seating, None, 0, 0, 0)
     whole = whole_of(seating, parent)
@@ -540,17 +631,20 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
         blobs = [group.answer(unpack(b)) for b in asks["blob"]] if samples else []
         return pd.DataFrame({"chunk": asks["chunk"].iloc[: len(blobs)], "g": [key[0]] * len(blobs), "blob": blobs})
 
-    answers = None
-    for turn in range(turns):  # a part of the chunks at a time, so that fewer pairs are under way
-        asked = pairs(chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(turns)) == turn)).select("g", F.lit(-1).alias("kind"), "chunk", "blob")
-        mine = model.groupBy("g").cogroup(asked.groupBy("g")).applyInPandas(answer, "chunk long, g long, blob binary")
-        mine = written(mine, "lm-answers")
-        answers = mine if answers is None else answers.unionByName(mine)
-    for table in [seating, *held]:
-        forget(table)
-
     def gather(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         return scored(own["blob"].iloc[0], list(zip(found["g"].tolist(), found["blob"])), groups, frequent, samples, s)
 
-    out = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(gather, "id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    out = None
+    for turn in range(turns):  # a part of the chunks at a time, so that fewer pairs and answers are under way
+        some = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(turns)) == turn)
+        asked = pairs(some, False).select("g", F.lit(-1).alias("kind"), "chunk", "blob")
+        answers = written(model.groupBy("g").cogroup(asked.groupBy("g")).applyInPandas(answer, "chunk long, g long, blob binary"), "lm-answers")
+        release(spark)
+        mine = some.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(gather, "id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+        mine = written(mine, "lm-scored")
+        forget(answers)
+        release(spark)
+        out = mine if out is None else out.unionByName(mine)
+    for table in [chunks, seating, parent, *held]:
+        forget(table)
     return out.withColumnRenamed("id", id_col).withColumn("train_tokens", F.lit(whole.tokens).cast("long"))
