@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from siltstone.llm.common import written
@@ -48,7 +49,6 @@ class ReplayEncoder:
                 a, b = ranks.get(token[:k]), ranks.get(token[k:])
                 if a is not None and b is not None:
                     self.pairs[a << 32 | b] = rank
-        self.held: tuple | None = None  # what a task keeps for the next ones of its process
         self.pair_keys = np.array(sorted(self.pairs), np.int64)
         self.pair_ranks = np.array([self.pairs[k] for k in self.pair_keys.tolist()], np.int64)
 
@@ -254,6 +254,13 @@ def split_chunks(docs: DataFrame, pattern: str, id_col: str, text_col: str, chun
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def flat_of(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words in a row, and where each word's begin, the end at last."""
+    ends = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset : tokens.offset + len(tokens) + 1].astype(np.int64) if len(tokens) else np.zeros(1, np.int64)
+    flat = np.frombuffer(tokens.buffers()[2], "<u4", (ends[-1] - ends[0]) // 4, ends[0]) if ends[-1] > ends[0] else np.zeros(0, "<u4")
+    return flat, (ends - ends[0]) // 4
+
+
 def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 16 << 20, most_words: int = 400_000, together: int = 100_000) -> DataFrame:
     """(id, n_tokens BIGINT, ids BINARY, decoded BINARY) for every row: encoding, and what decoding its ids gives.
 
@@ -285,18 +292,22 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
         import zstandard
 
         coder = coder_of(ranks_path, pattern)
-        if coder.held is None or coder.held[0] is not shared.value:
-            coder.held = shared.value, dict(zip(*(x.to_pylist() for x in shared.value)))
-        known = coder.held[1]
+        often, tokens = shared.value
+        often_flat, often_ends = flat_of(tokens)
         for part in parts:
             for row in range(part.num_rows):
-                words = part.column(3)[row].values.to_pylist()
-                tokens = list(map(known.get, words))
-                rare = [n for n, x in enumerate(tokens) if x is None]
-                for n, x in zip(rare, coder.encode_words([words[n] for n in rare])):
-                    tokens[n] = x
-                lengths = np.fromiter(map(len, tokens), np.int64, len(tokens)) // 4
-                flat, starts = np.frombuffer(b"".join(tokens), "<u4"), np.cumsum(lengths) - lengths
+                words = part.column(3)[row].values
+                at = pc.fill_null(pc.index_in(words, value_set=often), -1).to_numpy()  # no piece becomes an object of Python if it is shared
+                rare = np.flatnonzero(at < 0)
+                own_flat, own_ends = [np.zeros(0, "<u4")], [np.zeros(1, np.int64)]
+                for a in range(0, len(rare), together):
+                    x, ends = flat_of(pa.array(coder.encode_words(words.take(pa.array(rare[a : a + together])).to_pylist()), pa.binary()))
+                    own_flat.append(x)
+                    own_ends.append(ends[1:] + own_ends[-1][-1])
+                flat, rare_ends = np.concatenate([often_flat, *own_flat]), np.concatenate(own_ends) + len(often_flat)
+                starts, lengths = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+                for where, ends, n in ((np.flatnonzero(at >= 0), often_ends, at[at >= 0]), (rare, rare_ends, np.arange(len(rare)))):
+                    starts[where], lengths[where] = ends[n], ends[n + 1] - ends[n]
                 number = np.frombuffer(zstandard.ZstdDecompressor().decompress(part.column(2)[row].as_py()), np.uint32)
                 ends = np.cumsum(np.frombuffer(part.column(1)[row].as_py(), np.uint32).astype(np.int64)).tolist()
                 own = part.column(0)[row].values

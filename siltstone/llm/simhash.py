@@ -478,25 +478,88 @@ def shared_members(prefixes: DataFrame, hot: int, chunk_members: int = 1 << 20,
     return shared, often
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The written pairs (u, v) whose whole sets are similar, written; texts (id, text). A text that is in a pair is read again, once."""
+def parity_of(own: np.ndarray) -> bytes:
+    """As ``parity``, of four to eight bits a member (512 at least): two of different lengths compare once the longer is folded."""
+    n = max(512, 1 << (4 * len(own)).bit_length())
+    return np.packbits(np.bincount((own & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1, bitorder="little").tobytes()
+
+
+def may_be_similar(a: bytes, b: bytes, x: int, y: int, least: float) -> bool:
+    """Whether sets of sizes x and y with these ``parity_of`` can have a Jaccard similarity of ``least``; never false if they have."""
+    if min(x, y) < least * max(x, y) - 1e-9:
+        return False
+    short, long = (np.frombuffer(z, "<u8") for z in sorted((a, b), key=len))
+    return int(np.bitwise_count(short ^ np.bitwise_xor.reduce(long.reshape(-1, len(short)), axis=0)).sum()) <= (1 - least) / (1 + least) * (x + y) + 1e-9
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float, pass_bytes: int | None = None) -> DataFrame:
+    """The written pairs (u, v) whose whole sets are similar, written; texts (id, text).
+
+    First the pairs' parity bits meet, which are a tenth of the sets or less and leave few pairs that are not similar; the
+    sets of these pairs only are taken from the texts and meet. Both is done in passes of about ``pass_bytes`` of what the
+    pairs hold of it (512 bytes for each text, 256 MB at least), so the disk does not grow with the number of pairs.
+    """
+    if pass_bytes is None:
+        pass_bytes = max(256 << 20, 512 * texts.count())
+    small = lambda parts: (batch.slice(a, 256) for batch in parts for a in range(0, batch.num_rows, 256))
+    asked = lambda some: some.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("times"))
+
+    def parities(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in small(parts):
+            own = [shingle_set(t.as_py(), shingle) for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, own), pa.int64()), pa.array(map(parity_of, own), pa.binary())], names=["node", "size", "data"])
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (batch.slice(a, 256) for batch in parts for a in range(0, batch.num_rows, 256)):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in part.column(1)], pa.binary())], names=["node", "sets"])
+        for part in small(parts):
+            own = [shingle_set(t.as_py(), shingle) for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, own), pa.int64()), pa.array((x.tobytes() for x in own), pa.binary())], names=["node", "size", "data"])
 
-    def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tested(test: Callable[[bytes, bytes, int, int], bool]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                ok = [test(a.as_py(), b.as_py(), x, y) for a, b, x, y in zip(part.column(4), part.column(5), part.column(2).to_pylist(), part.column(3).to_pylist())]
+                yield part.filter(pa.array(ok, pa.bool_())).select(["u", "v"])
+
+        return run
+
+    def held(nodes: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], name: str) -> DataFrame:
+        return written(join_small(texts, nodes, "id", "node", "inner", 2_000_000).select("node", "text").mapInArrow(make, "node long, size long, data binary"), name)
+
+    def meet(some: DataFrame, data: DataFrame, test: Callable[[bytes, bytes, int, int], bool], name: str) -> DataFrame:
+        left = skew_join(some.withColumnRenamed("u", "node"), data, ["node"]).select(F.col("node").alias("u"), "v", F.col("size").alias("x"), F.col("data").alias("a"))
+        both = skew_join(left.withColumnRenamed("v", "node"), data, ["node"]).select("u", F.col("node").alias("v"), "x", F.col("size").alias("y"), "a", F.col("data").alias("b"))
+        return written(both.mapInArrow(tested(test), "u long, v long").distinct(), name)
+
+    def in_passes(some: DataFrame, total: int | None) -> Iterator[DataFrame]:
+        passes = max(1, -(-int(total or 0) // pass_bytes))
+        return (some if passes == 1 else some.where(F.pmod(F.xxhash64("u", "v", F.lit(29)), F.lit(passes)) == k) for k in range(passes))
+
+    def joined(parts: list[DataFrame], name: str) -> DataFrame:
+        if len(parts) == 1:
+            return parts[0]
+        out = written(reduce(DataFrame.unionByName, parts), name)
         for part in parts:
-            ok = [similar(a.as_py(), b.as_py(), similarity) for a, b in zip(part.column(2), part.column(3))]
-            yield part.filter(pa.array(ok, pa.bool_())).select(["u", "v"])
-
-    nodes = written(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "asked")
-    whole = written(join_small(texts, nodes, "id", "node", "inner", 2_000_000).select("node", "text").mapInArrow(sets, "node long, sets binary"), "sets")
-    left = skew_join(pairs.withColumnRenamed("u", "node"), whole, ["node"]).select(F.col("node").alias("u"), "v", F.col("sets").alias("a"))
-    both = skew_join(left.withColumnRenamed("v", "node"), whole, ["node"]).select("u", F.col("node").alias("v"), "a", F.col("sets").alias("b"))
-    links = written(both.mapInArrow(verify, "u long, v long"), "links")
-    forget(nodes), forget(whole)
-    return links
+            forget(part)
+        return out
+
+    nodes = written(asked(pairs), "asked")
+    bits = held(nodes, parities, "parities")
+    total = lambda of, width: of.join(bits.select(F.col("node").alias("id"), width.alias("w")), F.col("node") == F.col("id")).agg(F.sum(F.col("times") * F.col("w"))).first()[0]
+    may = joined([meet(some, bits, lambda a, b, x, y: may_be_similar(a, b, x, y, similarity), "may") for some in in_passes(pairs, total(nodes, F.length("data") + 32))], "may")
+    forget(nodes)
+    nodes = written(asked(may), "asked")
+    most = total(nodes, F.col("size") * 8 + 32)
+    forget(bits), forget(nodes)
+    if not most:
+        return may
+    links = []
+    for some in in_passes(may, most):
+        nodes = written(asked(some).select("node"), "asked")
+        whole = held(nodes, sets, "sets")
+        links.append(meet(some, whole, lambda a, b, x, y: similar(a, b, similarity), "links"))
+        forget(nodes), forget(whole)
+    forget(may)
+    return joined(links, "links")
 
 
 def candidates(shared: DataFrame, reps: DataFrame, similarity: float, tile: int, pass_rows: int) -> DataFrame:
