@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from siltstone.llm.common import written
+from siltstone.llm.common import trim, written
 
 #: Words over this many bytes are replayed step by step; in the others a merge is applied to all words at once.
 LONG = 64
@@ -248,8 +248,11 @@ def split_chunks(docs: DataFrame, pattern: str, id_col: str, text_col: str, chun
                     yield chunk()
                     held, sizes, pieces, size = [], [], [], 0
                     index.clear()
+                    trim()
         if held:
             yield chunk()
+        del held, sizes, pieces, index
+        trim()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -284,6 +287,7 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
         for a in range(0, len(words), together):
             some = words[a : a + together]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array(coder_of(ranks_path, pattern).encode_words(some), pa.binary())], names=["word", "tokens"])
+        trim()
 
     once = often.mapInArrow(replay, "word binary, tokens binary").toArrow().combine_chunks()
     shared = docs.sparkSession.sparkContext.broadcast([pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], pa.binary()) for c in once.columns])
@@ -318,5 +322,7 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
                         ids.append(flat[np.repeat(at - (np.cumsum(many) - many), many) + np.arange(many.sum())].tobytes())
                         counts.append(len(ids[-1]) // 4)
                     yield pa.RecordBatch.from_arrays([own.slice(a, len(ids)), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array([coder.decode(x) for x in ids], pa.binary())], names=schema.names)
+                del words, at, rare, own_flat, own_ends, flat, rare_ends, starts, lengths, where, number, ends, n, ids, counts
+                trim()
 
     return split.mapInArrow(assemble, schema)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from siltstone.llm.common import components, forget, join_small, mixed, pack, release, skew_join, unpack, written
+from siltstone.llm.common import components, forget, join_small, mixed, pack, release, skew_join, trim, unpack, written
 
 if TYPE_CHECKING:
     import pandas as pd  # at run time only where it is needed: workers that sketch and compare stay smaller
@@ -454,8 +454,11 @@ def shared_members(prefixes: DataFrame, hot: int, chunk_members: int = 1 << 20,
                 if size >= chunk_members:
                     yield blob()
                     held, size, number = [], 0, number + 1
+                    trim()
         if held:
             yield blob()
+        del held
+        trim()
 
     def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
